@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,11 +80,19 @@ class FeatureState:
         return cls(**d)
 
 
+def category_counts(df: DataFrame, col: str = "weather_main") -> list[tuple[str, int]]:
+    """Rows per non-null category (one small grouped count; categories are few)."""
+    return [(r[0], int(r[1])) for r in
+            df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1))).collect()]
+
+
+def mode_of(counts: list[tuple[str, int]]) -> str | None:
+    """Most frequent category, lowest on ties (AG-6)."""
+    return min(counts, key=lambda kv: (-kv[1], kv[0]))[0] if counts else None
+
+
 def weather_mode(df: DataFrame, col: str = "weather_main") -> str | None:
-    """Most frequent non-null category, lowest on ties (AG-6)."""
-    row = (df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-           .agg(F.min_by(col, F.struct(-F.col("n"), F.col(col))).alias("m")).first())
-    return row["m"] if row else None
+    return mode_of(category_counts(df, col))
 
 
 def distinct_categories(df: DataFrame, col: str = "weather_main") -> list[str]:
@@ -102,8 +111,7 @@ def impute_pass1(df: DataFrame, keys: Sequence[str], state: FeatureState | None,
     cols = numeric_columns(df, exclude=keys)
     if fit:
         nulls = null_counts(df, cols)
-        todo = [c for c in cols if nulls[c] > 0]
-        med = exact_medians(df, todo)
+        med = exact_medians(df, [c for c in cols if nulls[c] > 0])
         medians = {c: v for c, v in med.items() if v is not None}
         zero = [c for c, v in med.items() if v is None]
     else:
@@ -138,6 +146,10 @@ def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Seque
     data = normalize_missing(data)
 
     keys = [*series, "datetime", RN]
+    if fit:
+        # hourly grain (≤ one row per series and hour): cached once, scanned by
+        # the fitted statistics below instead of recomputing the upstream plan
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
     data, med_pre, zero = impute_pass1(data, keys, st, fit)
     if fit:
         st.medians_pre, st.zero_cols = med_pre, zero
@@ -175,13 +187,15 @@ def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Seque
     # 6. one-hot weather
     if "weather_main" in data.columns:
         if fit:
-            st.weather_mode = weather_mode(data)
+            counts = category_counts(data)
+            st.weather_mode = mode_of(counts)
+            # after the mode fill the category set is the same
+            st.weather_categories = sorted(c for c, _ in counts)
+            cats = st.weather_categories
         if st.weather_mode is not None:
             data = data.withColumn("weather_main", F.coalesce(F.col("weather_main"), F.lit(st.weather_mode)))
-        if fit or spec.one_hot == "frame":
+        if not fit and spec.one_hot == "frame":
             cats = distinct_categories(data)
-            if fit:
-                st.weather_categories = cats
         if spec.one_hot == "training" or not fit:
             cats = st.weather_categories or []
         data = data.withColumns(one_hot(cats))
@@ -194,9 +208,9 @@ def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Seque
     # 8. median fill of nulls left by the windows; all-null columns stay null
     feat_cols = [c for c in numeric_columns(data, exclude=keys)]
     if fit:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
         nulls = null_counts(data, feat_cols)
-        todo = [c for c in feat_cols if nulls[c] > 0]
-        st.medians_post = exact_medians(data, todo) if todo else {}
+        st.medians_post = exact_medians(data, [c for c in feat_cols if nulls[c] > 0])
         st.feature_names = [c for c in feat_cols if c != TARGET]
     data = fill_values(data, {c: v for c, v in st.medians_post.items() if c in data.columns})
 

@@ -27,7 +27,11 @@ DEFAULT_ACCURACY = 100_000
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    accuracy: int = DEFAULT_ACCURACY) -> dict[str, list[float | None]]:
+                    accuracy: int = DEFAULT_ACCURACY, only_with_nulls: bool = False,
+                    null_counts_out: dict | None = None) -> dict[str, list[float | None]]:
+    """Exact quantiles of ``cols``. With ``only_with_nulls`` the second pass
+    (and the result) is limited to columns that contain nulls; the null
+    counts of all columns come from the first pass (``null_counts_out``)."""
     if not cols:
         return {}
     eps = 1.0 / accuracy
@@ -40,8 +44,19 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
         for p in probs:
             bounds += [max(0.0, p - delta), min(1.0, p + delta)]
         aggs.append(F.count(x).alias(f"n{i}"))
+        aggs.append(F.count_if(x.isNull()).alias(f"z{i}"))
         aggs.append(F.percentile_approx(x, F.array(*[F.lit(b) for b in bounds]), accuracy).alias(f"b{i}"))
     first = df.agg(*aggs).first()
+    if null_counts_out is not None:
+        null_counts_out.update({c: int(first[f"z{i}"]) for i, c in enumerate(cols)})
+    if only_with_nulls:
+        keep = [i for i in range(len(cols)) if int(first[f"z{i}"]) > 0]
+        cols = [cols[i] for i in keep]
+        xs = [xs[i] for i in keep]
+        first = {**{f"n{j}": first[f"n{i}"] for j, i in enumerate(keep)},
+                 **{f"b{j}": first[f"b{i}"] for j, i in enumerate(keep)}}
+        if not cols:
+            return {}
 
     aggs2 = []
     plan = []
@@ -80,7 +95,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
             lo_v, hi_v = band[a], band[bidx]
             vals.append(lo_v if kl == ku else lo_v + (k - kl) * (hi_v - lo_v))
         out[c] = vals
-    if fallback:
+    if fallback:  # never expected; exact built-in percentile for that column
         fb = sorted(set(fallback))
         row = df.agg(*[F.percentile(xs[i], F.array(*[F.lit(p) for p in probs])).alias(f"q{i}")
                        for i in fb]).first()
@@ -89,6 +104,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
     return out
 
 
-def exact_medians(df: DataFrame, cols: list[str], accuracy: int = DEFAULT_ACCURACY) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, cols: list[str], accuracy: int = DEFAULT_ACCURACY,
+                  only_with_nulls: bool = False, null_counts_out: dict | None = None) -> dict[str, float | None]:
     """Column medians ignoring nulls (pandas ``median`` after NaN → null)."""
-    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5], accuracy).items()}
+    q = exact_quantiles(df, cols, [0.5], accuracy, only_with_nulls, null_counts_out)
+    return {c: v[0] for c, v in q.items()}

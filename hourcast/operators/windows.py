@@ -37,12 +37,16 @@ DEFAULT_BLOCK_ROWS = 8192
 
 def add_row_index(df: DataFrame, order_col: str = "datetime", series_cols: Sequence[str] = (),
                   tiebreak: Sequence[str] = (), bucket_seconds: int = WEEK_SECONDS,
-                  name: str = RN) -> DataFrame:
-    """1-based row position per series by ascending ``order_col`` (nulls last)."""
+                  name: str = RN, bucket: Column | None = None) -> DataFrame:
+    """1-based row position per series by ascending ``order_col`` (nulls last).
+
+    ``bucket`` may give any coarse key that is monotone in ``order_col``
+    (default: weeks of a timestamp column)."""
     series = list(series_cols)
     ts = F.col(order_col)
-    bucket = F.coalesce(F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(bucket_seconds)),
-                        F.lit(_NULL_BUCKET).cast("long"))
+    if bucket is None:
+        bucket = F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(bucket_seconds))
+    bucket = F.coalesce(bucket.cast("long"), F.lit(_NULL_BUCKET).cast("long"))
     b = df.withColumn(_BUCKET, bucket)
     counts = b.groupBy(*series, _BUCKET).agg(F.count(F.lit(1)).alias("_cnt"))
     prior = Window.partitionBy(*series).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
