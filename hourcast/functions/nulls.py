@@ -29,11 +29,10 @@ def normalize_missing(df: DataFrame) -> DataFrame:
 
 
 def null_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    """Nulls per column in one aggregate (AG-10 helper)."""
-    if not cols:
-        return {}
-    row = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in cols]).first()
-    return {c: int(row[c]) for c in cols}
+    """Nulls per column (AG-10 helper), computed in long form."""
+    from hourcast.operators.quantiles import summarize
+
+    return summarize(df, cols, []).nulls
 
 
 def fill_values(df: DataFrame, values: dict[str, float | None]) -> DataFrame:

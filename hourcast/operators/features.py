@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from hourcast.functions.calendar import calendar_columns, cyclical, with_is_holiday
 from hourcast.functions.nulls import fill_values, normalize_missing, null_counts, numeric_columns
-from hourcast.operators.quantiles import exact_medians
+from hourcast.operators.quantiles import exact_medians, summarize
 from hourcast.operators.windows import RN, add_row_index, halo_window, lag_columns, window_reach
 from hourcast.sources.trips import as_timestamp
 
@@ -110,13 +110,14 @@ def impute_pass1(df: DataFrame, keys: Sequence[str], state: FeatureState | None,
     """Median fill of numeric columns; all-null columns become 0 (FN-NU2)."""
     cols = numeric_columns(df, exclude=keys)
     if fit:
-        nulls = null_counts(df, cols)
-        med = exact_medians(df, [c for c in cols if nulls[c] > 0])
+        summ = summarize(df, cols, [0.5])
+        med = {c: summ.quantiles[c][0] for c in cols if summ.nulls[c] > 0}
         medians = {c: v for c, v in med.items() if v is not None}
         zero = [c for c, v in med.items() if v is None]
     else:
-        medians = {c: v for c, v in state.medians_pre.items() if c in df.columns}
-        zero = [c for c in state.zero_cols if c in df.columns]
+        have = set(df.columns)
+        medians = {c: v for c, v in state.medians_pre.items() if c in have}
+        zero = [c for c in state.zero_cols if c in have]
     out = fill_values(df, medians)
     if zero:
         out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in zero})
@@ -203,16 +204,18 @@ def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Seque
         data = data.withColumns({f"weather_{c}": F.lit(0) for c in st.weather_categories})
 
     # 7. drop non-features (datetime stays as a key)
-    data = data.drop(*[c for c in NON_FEATURE_COLUMNS if c != "datetime" and c in data.columns])
+    have = set(data.columns)
+    data = data.drop(*[c for c in NON_FEATURE_COLUMNS if c != "datetime" and c in have])
 
     # 8. median fill of nulls left by the windows; all-null columns stay null
     feat_cols = [c for c in numeric_columns(data, exclude=keys)]
     if fit:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
-        nulls = null_counts(data, feat_cols)
-        st.medians_post = exact_medians(data, [c for c in feat_cols if nulls[c] > 0])
+        summ = summarize(data, feat_cols, [0.5])
+        st.medians_post = {c: summ.quantiles[c][0] for c in feat_cols if summ.nulls[c] > 0}
         st.feature_names = [c for c in feat_cols if c != TARGET]
-    data = fill_values(data, {c: v for c, v in st.medians_post.items() if c in data.columns})
+    have = set(data.columns)
+    data = fill_values(data, {c: v for c, v in st.medians_post.items() if c in have})
 
     if not keep_keys:
         data = data.drop(RN)
@@ -227,7 +230,8 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 def align_features(df: DataFrame, feature_names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Serving alignment: missing training features become 0, unexpected ones
     are dropped, training order is restored, the target is removed (PRJ-8)."""
-    cols = [F.col(k) for k in keys if k in df.columns]
-    cols += [F.col(f"`{c}`").cast("double").alias(c) if c in df.columns else F.lit(0.0).alias(c)
+    have = set(df.columns)
+    cols = [F.col(k) for k in keys if k in have]
+    cols += [F.col(f"`{c}`").cast("double").alias(c) if c in have else F.lit(0.0).alias(c)
              for c in feature_names]
     return df.select(*cols)

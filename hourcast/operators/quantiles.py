@@ -4,12 +4,17 @@ whole column into one task.
 Spark's exact ``percentile`` merges a map of every distinct value into the
 single final task of a global aggregate. Instead:
 
-1. one pass computes ``count`` and a ``percentile_approx`` bracket
-   [p − 3ε, p + 3ε] per column and probability (mergeable sketches, rank error
-   ≤ ε·n, so the bracket always contains the exact order statistics);
-2. a second pass counts the values below the bracket and gathers only the
-   values inside it (about 6ε·n per quantile);
-3. the exact order statistics are picked from that band, interpolated
+1. the columns are turned long — ``(k, v)`` rows, one per column and input
+   row — so every statistic is a ``groupBy(k)`` with a few aggregate
+   expressions (small generated code however many columns there are; the
+   map-side partial aggregation sends one row per column and task);
+2. one pass computes count, nulls, min, max and a ``percentile_approx``
+   bracket [p − 3ε, p + 3ε] per column and probability (mergeable sketches,
+   rank error ≤ ε·n, so the bracket always holds the exact order statistics);
+3. a second pass counts the values below each bracket and gathers only the
+   values inside it (about 6ε·n per quantile; ε is sized to the row count so
+   that stays near 6,000 values up to 1e8 rows);
+4. the exact order statistics are picked from that band, interpolated
    linearly as numpy / pandas / sklearn / DuckDB ``quantile_cont`` do.
 
 If a band ever misses (it should not), that column falls back to the exact
@@ -19,93 +24,112 @@ built-in ``percentile``.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 100_000
+MIN_ACCURACY = 1_000
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    accuracy: int = DEFAULT_ACCURACY, only_with_nulls: bool = False,
-                    null_counts_out: dict | None = None) -> dict[str, list[float | None]]:
-    """Exact quantiles of ``cols``. With ``only_with_nulls`` the second pass
-    (and the result) is limited to columns that contain nulls; the null
-    counts of all columns come from the first pass (``null_counts_out``)."""
+def sketch_accuracy(n_rows: int, max_accuracy: int = DEFAULT_ACCURACY) -> int:
+    """Sketch size for n rows (band ≈ 6·n / accuracy values)."""
+    return int(min(max_accuracy, max(MIN_ACCURACY, n_rows // 1000)))
+
+
+def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(k, v)``: column index and value as double, one row per column and row."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"`{c}`").cast("double").alias("v"))
+                      for i, c in enumerate(cols)])
+    return df.select(F.inline(pairs))
+
+
+@dataclass
+class ColumnSummary:
+    count: dict[str, int]
+    nulls: dict[str, int]
+    min: dict[str, float | None]
+    max: dict[str, float | None]
+    quantiles: dict[str, list[float | None]]
+
+
+def summarize(df: DataFrame, cols: list[str], probs: list[float],
+              accuracy: int = DEFAULT_ACCURACY) -> ColumnSummary:
+    """Count, nulls, min, max and exact quantiles of every column (two passes)."""
     if not cols:
-        return {}
-    eps = 1.0 / accuracy
-    delta = 3 * eps
-    xs = [F.col(f"`{c}`").cast("double") for c in cols]
-
-    aggs = []
-    for i, x in enumerate(xs):
-        bounds = []
-        for p in probs:
-            bounds += [max(0.0, p - delta), min(1.0, p + delta)]
-        aggs.append(F.count(x).alias(f"n{i}"))
-        aggs.append(F.count_if(x.isNull()).alias(f"z{i}"))
-        aggs.append(F.percentile_approx(x, F.array(*[F.lit(b) for b in bounds]), accuracy).alias(f"b{i}"))
-    first = df.agg(*aggs).first()
-    if null_counts_out is not None:
-        null_counts_out.update({c: int(first[f"z{i}"]) for i, c in enumerate(cols)})
-    if only_with_nulls:
-        keep = [i for i in range(len(cols)) if int(first[f"z{i}"]) > 0]
-        cols = [cols[i] for i in keep]
-        xs = [xs[i] for i in keep]
-        first = {**{f"n{j}": first[f"n{i}"] for j, i in enumerate(keep)},
-                 **{f"b{j}": first[f"b{i}"] for j, i in enumerate(keep)}}
-        if not cols:
-            return {}
-
-    aggs2 = []
-    plan = []
-    for i, x in enumerate(xs):
-        n = int(first[f"n{i}"])
-        b = first[f"b{i}"]
-        for j, _ in enumerate(probs):
-            if n == 0 or b is None:
-                plan.append(None)
-                continue
-            lo, hi = b[2 * j], b[2 * j + 1]
-            aggs2.append(F.count_if(x < F.lit(lo)).alias(f"lo{i}_{j}"))
-            aggs2.append(F.sort_array(F.collect_list(
-                F.when((x >= F.lit(lo)) & (x <= F.lit(hi)), x))).alias(f"band{i}_{j}"))
-            plan.append((i, j))
-    second = df.agg(*aggs2).first() if aggs2 else None
-
-    out: dict[str, list[float | None]] = {}
-    fallback: list[int] = []
+        return ColumnSummary({}, {}, {}, {}, {})
+    n_rows = df.count()
+    acc = sketch_accuracy(n_rows, accuracy)
+    delta = 3.0 / acc
+    bounds = []
+    for p in probs:
+        bounds += [max(0.0, p - delta), min(1.0, p + delta)]
+    lv = long_values(df, cols)
+    aggs = [F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("z"),
+            F.min("v").alias("mn"), F.max("v").alias("mx")]
+    if probs:
+        aggs.append(F.percentile_approx("v", F.array(*[F.lit(b) for b in bounds]), acc).alias("b"))
+    first = {r["k"]: r for r in lv.groupBy("k").agg(*aggs).collect()}
+
+    out = ColumnSummary(
+        {c: int(first[i]["n"]) if i in first else 0 for i, c in enumerate(cols)},
+        {c: int(first[i]["z"]) if i in first else n_rows for i, c in enumerate(cols)},
+        {c: first[i]["mn"] if i in first else None for i, c in enumerate(cols)},
+        {c: first[i]["mx"] if i in first else None for i, c in enumerate(cols)},
+        {c: [None] * len(probs) for c in cols})
+    if not probs:
+        return out
+
+    brackets = [(i, j, first[i]["b"][2 * j], first[i]["b"][2 * j + 1])
+                for i in first if first[i]["n"] > 0 and first[i]["b"] is not None
+                for j in range(len(probs))]
+    if not brackets:
+        return out
+    br = df.sparkSession.createDataFrame(brackets, "k int, j int, lo double, hi double")
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    # bracket table: ≤ columns × probabilities rows, broadcast by construction
+    second = {(r["k"], r["j"]): r for r in
+              lv.where(v.isNotNull()).join(F.broadcast(br), "k").groupBy("k", "j").agg(
+                  F.count_if(v < lo).alias("below"),
+                  F.sort_array(F.collect_list(F.when((v >= lo) & (v <= hi), v))).alias("band")).collect()}
+
+    fallback = set()
     for i, c in enumerate(cols):
-        n = int(first[f"n{i}"])
-        vals: list[float | None] = []
+        if i not in first or first[i]["n"] == 0:
+            continue
+        n = int(first[i]["n"])
+        vals = []
         for j, p in enumerate(probs):
-            if n == 0 or second is None or f"band{i}_{j}" not in second.asDict():
+            r = second.get((i, j))
+            if r is None:
+                fallback.add(i)
                 vals.append(None)
                 continue
-            below = int(second[f"lo{i}_{j}"])
-            band = second[f"band{i}_{j}"]
             k = p * (n - 1)
             kl, ku = math.floor(k), math.ceil(k)
-            a, bidx = kl - below, ku - below
-            if a < 0 or bidx >= len(band):
-                fallback.append(i)
+            a, b = kl - int(r["below"]), ku - int(r["below"])
+            band = r["band"]
+            if a < 0 or b >= len(band):
+                fallback.add(i)
                 vals.append(None)
                 continue
-            lo_v, hi_v = band[a], band[bidx]
-            vals.append(lo_v if kl == ku else lo_v + (k - kl) * (hi_v - lo_v))
-        out[c] = vals
-    if fallback:  # never expected; exact built-in percentile for that column
-        fb = sorted(set(fallback))
-        row = df.agg(*[F.percentile(xs[i], F.array(*[F.lit(p) for p in probs])).alias(f"q{i}")
-                       for i in fb]).first()
-        for i in fb:
-            out[cols[i]] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs)
+            vals.append(band[a] if kl == ku else band[a] + (k - kl) * (band[b] - band[a]))
+        out.quantiles[c] = vals
+    if fallback:  # never expected; exact built-in percentile for those columns
+        fb = sorted(fallback)
+        rows = lv.where(F.col("k").isin(fb)).groupBy("k").agg(
+            F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()
+        for r in rows:
+            out.quantiles[cols[r["k"]]] = list(r["q"])
     return out
 
 
-def exact_medians(df: DataFrame, cols: list[str], accuracy: int = DEFAULT_ACCURACY,
-                  only_with_nulls: bool = False, null_counts_out: dict | None = None) -> dict[str, float | None]:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
+                    accuracy: int = DEFAULT_ACCURACY) -> dict[str, list[float | None]]:
+    return summarize(df, cols, probs, accuracy).quantiles
+
+
+def exact_medians(df: DataFrame, cols: list[str], accuracy: int = DEFAULT_ACCURACY) -> dict[str, float | None]:
     """Column medians ignoring nulls (pandas ``median`` after NaN → null)."""
-    q = exact_quantiles(df, cols, [0.5], accuracy, only_with_nulls, null_counts_out)
-    return {c: v[0] for c, v in q.items()}
+    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5], accuracy).items()}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourcast.functions.nulls import zero_if_null
-from hourcast.operators.quantiles import exact_quantiles
+from hourcast.operators.quantiles import summarize
 
 
 @dataclass
@@ -52,13 +52,11 @@ class Scalers:
 
 def fit_scalers(df: DataFrame, features: Sequence[str], target: str) -> Scalers:
     cols = [*features, target]
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    mm = df.agg(*[F.min(F.col(f"`{c}`").cast("double")).alias(f"mn{i}") for i, c in enumerate(cols)],
-                *[F.max(F.col(f"`{c}`").cast("double")).alias(f"mx{i}") for i, c in enumerate(cols)]).first()
+    summ = summarize(df, cols, [0.25, 0.5, 0.75])
     s = Scalers(list(features), target)
-    for i, c in enumerate(cols):
-        s.q1[c], s.median[c], s.q3[c] = q[c]
-        s.min_value[c], s.max_value[c] = mm[f"mn{i}"], mm[f"mx{i}"]
+    for c in cols:
+        s.q1[c], s.median[c], s.q3[c] = summ.quantiles[c]
+        s.min_value[c], s.max_value[c] = summ.min[c], summ.max[c]
     return s
 
 
@@ -82,9 +80,10 @@ def unscale_target(c: Column, s: Scalers) -> Column:
 
 def transform(df: DataFrame, s: Scalers, keep: Sequence[str] = (), target_out: str | None = None) -> DataFrame:
     """Scaled features (nulls → 0 = the training median) and scaled target."""
-    cols = [F.col(k) for k in keep if k in df.columns]
-    cols += [scale_feature(c, s).alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in s.features]
-    if s.target in df.columns:
+    have = set(df.columns)  # one schema round trip, not one per feature
+    cols = [F.col(k) for k in keep if k in have]
+    cols += [scale_feature(c, s).alias(c) if c in have else F.lit(0.0).alias(c) for c in s.features]
+    if s.target in have:
         cols.append(scale_target(F.col(s.target), s).alias(target_out or s.target))
     return df.select(*cols)
 

@@ -64,8 +64,10 @@ def build_sequences(df: DataFrame, feature_cols: Sequence[str], target_col: str,
             out["_end_ok"] = F.lead(F.lit(1), limit).over(w).isNotNull()
         return out
 
+    have = set(df.columns)
+    keep = [k for k in keep if k in have]
     needed = []
-    for c in [*series, *[k for k in keep if k in df.columns], RN, *feature_cols, target_col]:
+    for c in [*series, *keep, RN, *feature_cols, target_col]:
         if c not in needed:
             needed.append(c)
     base = df.select(*[F.col(f"`{c}`") for c in needed])
@@ -79,7 +81,7 @@ def build_sequences(df: DataFrame, feature_cols: Sequence[str], target_col: str,
         ok = ok & F.col(TARGET).isNotNull()
         tgt = [F.col(TARGET)]
     seq = F.flatten(F.col(SEQ)) if flatten else F.col(SEQ)
-    return out.where(ok).select(*series, *[k for k in keep if k in df.columns], RN, seq.alias(SEQ), *tgt)
+    return out.where(ok).select(*series, *keep, RN, seq.alias(SEQ), *tgt)
 
 
 def sequence_columns(seq_df: DataFrame, L: int, prefix: str = "x") -> DataFrame:
