@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourcast.functions.sqlexpr import q
+
 
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -56,11 +58,52 @@ def is_weekend_of(dow: Column) -> Column:
 DAY_HOUR_FLAG_HOURS = (8, 12, 17, 20)
 
 
-def calendar_columns(ts: Column | str, day_hour_flags: bool = True) -> dict[str, Column]:
-    """Ordered calendar features of a timestamp (FN-DT3, FN-FL1..8).
+def calendar_sql(ts: str, day_hour_flags: bool = True) -> dict[str, str]:
+    """Ordered calendar features of a timestamp column as SQL text
+    (FN-DT3, FN-FL1..8). Numeric parts stay null for a null timestamp; flags
+    become 0."""
+    t = q(ts)
+    h, w, m, d = f"hour({t})", f"weekday({t})", f"month({t})", f"dayofmonth({t})"
+
+    def fl(cond: str) -> str:
+        return f"coalesce(CAST(({cond}) AS INT), 0)"
+
+    cols = {
+        "hour_of_day": h,
+        "is_rush_hour_am": fl(f"{h} BETWEEN 7 AND 9"),
+        "is_rush_hour_pm": fl(f"{h} BETWEEN 16 AND 19"),
+        "is_business_hours": fl(f"{h} BETWEEN 9 AND 17"),
+        "is_night": fl(f"{h} >= 22 OR {h} <= 5"),
+        "day_of_week": w,
+        "is_weekday": fl(f"{w} < 5"),
+        "is_weekend": fl(f"{w} >= 5"),
+        "is_monday": fl(f"{w} = 0"),
+        "is_friday": fl(f"{w} = 4"),
+        "month": m,
+        "day": d,
+        "is_summer": fl(f"{m} BETWEEN 6 AND 8"),
+        "is_winter": fl(f"{m} = 12 OR {m} <= 2"),
+        "is_spring": fl(f"{m} BETWEEN 3 AND 5"),
+        "is_fall": fl(f"{m} BETWEEN 9 AND 11"),
+        "is_start_of_month": fl(f"{d} <= 5"),
+        "is_end_of_month": fl(f"{d} >= 25"),
+    }
+    if day_hour_flags:
+        for dw in range(7):
+            for hh in DAY_HOUR_FLAG_HOURS:
+                cols[f"is_day{dw}_hour{hh}"] = fl(f"{w} = {dw} AND {h} = {hh}")
+    return cols
 
-    Numeric parts stay null for a null timestamp; flags become 0.
-    """
+
+def cyclical_sql(src: str, period: float) -> tuple[str, str]:
+    a = f"({2 * math.pi!r} * {q(src)} / {float(period)!r})"
+    return f"sin({a})", f"cos({a})"
+
+
+def calendar_columns(ts: Column | str, day_hour_flags: bool = True) -> dict[str, Column]:
+    """Column-API form of ``calendar_sql`` (FN-DT3, FN-FL1..8)."""
+    if isinstance(ts, str):
+        return {k: F.expr(v) for k, v in calendar_sql(ts, day_hour_flags).items()}
     t = _c(ts)
     hour = F.hour(t)
     dow = weekday_mon0(t)

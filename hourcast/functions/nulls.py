@@ -23,9 +23,13 @@ def clean_float(c: Column) -> Column:
 
 def normalize_missing(df: DataFrame) -> DataFrame:
     """Turn NaN / ±inf of every float column into null, in one projection."""
-    repl = {f.name: clean_float(F.col(f"`{f.name}`")).cast(f.dataType)
-            for f in df.schema.fields if isinstance(f.dataType, FLOAT_TYPES)}
-    return df.withColumns(repl) if repl else df
+    from hourcast.functions.sqlexpr import project, q
+
+    fields = df.schema.fields
+    repl = {f.name: f"CASE WHEN isnan({q(f.name)}) OR abs({q(f.name)}) = CAST('Infinity' AS DOUBLE) "
+                    f"THEN NULL ELSE {q(f.name)} END"
+            for f in fields if isinstance(f.dataType, FLOAT_TYPES)}
+    return project(df, repl, columns=[f.name for f in fields]) if repl else df
 
 
 def null_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:

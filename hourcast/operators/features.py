@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourcast.functions.calendar import calendar_columns, cyclical, with_is_holiday
+from hourcast.functions.calendar import calendar_sql, cyclical_sql, with_is_holiday
+from hourcast.functions.sqlexpr import lit, project, q
 from hourcast.functions.nulls import fill_values, normalize_missing, null_counts, numeric_columns
 from hourcast.operators.quantiles import exact_medians, summarize
-from hourcast.operators.windows import RN, add_row_index, halo_window, lag_columns, window_reach
+from hourcast.operators.windows import RN, add_row_index, halo_window, lag_sql, window_reach
 from hourcast.sources.trips import as_timestamp
 
 
@@ -118,10 +119,9 @@ def impute_pass1(df: DataFrame, keys: Sequence[str], state: FeatureState | None,
         have = set(df.columns)
         medians = {c: v for c, v in state.medians_pre.items() if c in have}
         zero = [c for c in state.zero_cols if c in have]
-    out = fill_values(df, medians)
-    if zero:
-        out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in zero})
-    return out, medians, zero
+    fills = {c: f"coalesce(CAST({q(c)} AS DOUBLE), {lit(float(v))})" for c, v in medians.items()}
+    fills.update({c: f"coalesce(CAST({q(c)} AS DOUBLE), 0.0)" for c in zero})
+    return (project(df, fills) if fills else df), medians, zero
 
 
 def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Sequence[str] = (),
@@ -160,68 +160,60 @@ def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Seque
         data = add_row_index(data, "datetime", series)
     if add_lags and TARGET in data.columns and has_dt:
         data = halo_window(data, series,
-                           lambda w: lag_columns(TARGET, w, spec.lags, spec.ma, spec.std, spec.diff),
-                           back=spec.reach)
+                           lambda w: lag_sql(TARGET, w, spec.lags, spec.ma, spec.std, spec.diff),
+                           back=spec.reach, sql=True)
 
-    # 2-3. holiday and calendar features
+    # 2-3. holiday and calendar features (one projection)
     if has_dt:
         data = with_is_holiday(data, "datetime", date_col="date")
-        data = data.withColumns(calendar_columns("datetime", spec.day_hour_flags))
-
-    # 4. interactions
-    inter = {}
-    if "temp" in data.columns and "is_weekend" in data.columns:
-        inter["temp_weekend_interaction"] = F.col("temp") * F.col("is_weekend")
-    if "rain_1h" in data.columns and "is_rush_hour_am" in data.columns:
-        inter["rain_rush_hour_interaction"] = F.col("rain_1h") * F.col("is_rush_hour_am")
-
-    # 5. cyclical encodings
-    hour_src = "hour_of_day" if "hour_of_day" in data.columns else ("hour" if "hour" in data.columns else None)
+        data = project(data, calendar_sql("datetime", spec.day_hour_flags))
+    have = data.columns
+    hs = set(have)
+
+    # 4-6. interactions, cyclical encodings, one-hot weather, drops (one projection)
+    new: dict[str, str] = {}
+    if {"temp", "is_weekend"} <= hs:
+        new["temp_weekend_interaction"] = "`temp` * `is_weekend`"
+    if {"rain_1h", "is_rush_hour_am"} <= hs:
+        new["rain_rush_hour_interaction"] = "`rain_1h` * `is_rush_hour_am`"
+    hour_src = "hour_of_day" if "hour_of_day" in hs else ("hour" if "hour" in hs else None)
     for name, src, period in (("hour", hour_src, 24), ("day", "day", 31), ("month", "month", 12),
                               ("day_of_week", "day_of_week", 7)):
-        if src and src in data.columns:
-            s, c = cyclical(F.col(src), period)
-            inter[f"{name}_sin"], inter[f"{name}_cos"] = s, c
-    if inter:
-        data = data.withColumns(inter)
-
-    # 6. one-hot weather
-    if "weather_main" in data.columns:
+        if src and src in hs:
+            new[f"{name}_sin"], new[f"{name}_cos"] = cyclical_sql(src, period)
+    if "weather_main" in hs:
         if fit:
             counts = category_counts(data)
             st.weather_mode = mode_of(counts)
             # after the mode fill the category set is the same
             st.weather_categories = sorted(c for c, _ in counts)
-            cats = st.weather_categories
-        if st.weather_mode is not None:
-            data = data.withColumn("weather_main", F.coalesce(F.col("weather_main"), F.lit(st.weather_mode)))
+        wm = f"coalesce(`weather_main`, {lit(st.weather_mode)})" if st.weather_mode is not None else "`weather_main`"
         if not fit and spec.one_hot == "frame":
-            cats = distinct_categories(data)
-        if spec.one_hot == "training" or not fit:
+            cats = distinct_categories(data.selectExpr(f"{wm} AS weather_main"))
+        else:
             cats = st.weather_categories or []
-        data = data.withColumns(one_hot(cats))
+        for c in cats:
+            new[f"weather_{c}"] = f"coalesce(CAST(({wm} = {lit(c)}) AS INT), 0)"
     elif st.weather_categories:
-        data = data.withColumns({f"weather_{c}": F.lit(0) for c in st.weather_categories})
-
-    # 7. drop non-features (datetime stays as a key)
-    have = set(data.columns)
-    data = data.drop(*[c for c in NON_FEATURE_COLUMNS if c != "datetime" and c in have])
+        for c in st.weather_categories:
+            new[f"weather_{c}"] = "0"
+    drop = tuple(c for c in NON_FEATURE_COLUMNS if c != "datetime" and c in hs)
+    data = project(data, new, drop=drop, columns=have)
 
-    # 8. median fill of nulls left by the windows; all-null columns stay null
+    # 7. median fill of nulls left by the windows; all-null columns stay null
     feat_cols = [c for c in numeric_columns(data, exclude=keys)]
     if fit:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         summ = summarize(data, feat_cols, [0.5])
         st.medians_post = {c: summ.quantiles[c][0] for c in feat_cols if summ.nulls[c] > 0}
         st.feature_names = [c for c in feat_cols if c != TARGET]
-    have = set(data.columns)
-    data = fill_values(data, {c: v for c, v in st.medians_post.items() if c in have})
-
-    if not keep_keys:
-        data = data.drop(RN)
-    non_numeric = [f.name for f in data.schema.fields
-                   if f.name not in keys and not isinstance(f.dataType, _NUMERIC)]
-    return data.drop(*non_numeric), st
+    schema = data.schema
+    fills = {c: f"coalesce(CAST({q(c)} AS DOUBLE), {lit(float(v))})"
+             for c, v in st.medians_post.items() if v is not None and c in schema.fieldNames()}
+    non_numeric = tuple(f.name for f in schema.fields
+                        if f.name not in keys and not isinstance(f.dataType, _NUMERIC))
+    data = project(data, fills, drop=non_numeric + (() if keep_keys else (RN,)), columns=schema.fieldNames())
+    return data, st
 
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)

@@ -40,9 +40,10 @@ def sketch_accuracy(n_rows: int, max_accuracy: int = DEFAULT_ACCURACY) -> int:
 
 def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
     """``(k, v)``: column index and value as double, one row per column and row."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"`{c}`").cast("double").alias("v"))
-                      for i, c in enumerate(cols)])
-    return df.select(F.inline(pairs))
+    from hourcast.functions.sqlexpr import q
+
+    pairs = ", ".join(f"named_struct('k', {i}, 'v', CAST({q(c)} AS DOUBLE))" for i, c in enumerate(cols))
+    return df.selectExpr(f"inline(array({pairs}))")
 
 
 @dataclass

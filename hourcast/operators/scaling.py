@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourcast.functions.nulls import zero_if_null
+from hourcast.functions.sqlexpr import lit, q
 from hourcast.operators.quantiles import summarize
 
 
@@ -80,12 +81,20 @@ def unscale_target(c: Column, s: Scalers) -> Column:
 
 def transform(df: DataFrame, s: Scalers, keep: Sequence[str] = (), target_out: str | None = None) -> DataFrame:
     """Scaled features (nulls → 0 = the training median) and scaled target."""
-    have = set(df.columns)  # one schema round trip, not one per feature
-    cols = [F.col(k) for k in keep if k in have]
-    cols += [scale_feature(c, s).alias(c) if c in have else F.lit(0.0).alias(c) for c in s.features]
+    have = set(df.columns)  # one schema round trip, then one selectExpr
+    exprs = [q(k) for k in keep if k in have]
+    for c in s.features:
+        med = s.median.get(c)
+        if c not in have or med is None:
+            exprs.append(f"0.0D AS {q(c)}")
+            continue
+        x = f"((CAST({q(c)} AS DOUBLE) - {lit(float(med))}) / {lit(float(s.robust_scale(c)))})"
+        exprs.append(f"coalesce(nanvl({x}, NULL), 0.0D) AS {q(c)}")
     if s.target in have:
-        cols.append(scale_target(F.col(s.target), s).alias(target_out or s.target))
-    return df.select(*cols)
+        lo = s.min_value.get(s.target) or 0.0
+        exprs.append(f"((CAST({q(s.target)} AS DOUBLE) - {lit(float(lo))}) / {lit(float(s.target_range()))}) "
+                     f"AS {q(target_out or s.target)}")
+    return df.selectExpr(*exprs)
 
 
 def params_frame(spark: SparkSession, s: Scalers) -> DataFrame:

@@ -46,9 +46,10 @@ def build_sequences(df: DataFrame, feature_cols: Sequence[str], target_col: str,
     row-major ``array<double>`` a model consumes.
     """
     series = list(series_cols)
-    feats = [F.col(f"`{c}`").cast("double") for c in feature_cols]
+    from hourcast.functions.sqlexpr import q
+
     y = F.col(f"`{target_col}`").cast("double")
-    row = F.array(*feats)
+    row = F.expr("array(" + ", ".join(f"CAST({q(c)} AS DOUBLE)" for c in feature_cols) + ")")
     fwd = H + 1 if mode == "fixed" else H
 
     def cols(w: Window):

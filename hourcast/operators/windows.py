@@ -25,6 +25,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourcast.functions.sqlexpr import project, q
+
 RN = "_rn"
 BLOCK = "_blk"
 CORE = "_core"
@@ -60,13 +62,15 @@ def add_row_index(df: DataFrame, order_col: str = "datetime", series_cols: Seque
 
 
 def halo_window(df: DataFrame, series_cols: Sequence[str], columns: Callable[[Window], dict[str, Column]],
-                back: int, fwd: int = 0, rn: str = RN, block_rows: int | None = None) -> DataFrame:
+                back: int, fwd: int = 0, rn: str = RN, block_rows: int | None = None,
+                sql: bool = False) -> DataFrame:
     """Add window columns computed over row frames reaching ``back`` rows back
     and ``fwd`` rows ahead, without a single-partition exchange.
 
     ``columns(w)`` returns ``{name: expr}`` built on the given ``WindowSpec``
     (``partitionBy(series, block).orderBy(_rn)``); frames are set by the caller
-    with ``w.rowsBetween``.
+    with ``w.rowsBetween``. With ``sql=True`` the callback gets a ``SqlWindow``
+    and returns SQL text (one ``selectExpr`` for wide outputs).
     """
     series = list(series_cols)
     bsz = block_rows or max(DEFAULT_BLOCK_ROWS, 4 * max(back, fwd, 1))
@@ -83,11 +87,45 @@ def halo_window(df: DataFrame, series_cols: Sequence[str], columns: Callable[[Wi
                 .withColumn(BLOCK, F.col("_copy.b"))
                 .withColumn(CORE, F.col("_copy.c"))
                 .drop("_copy"))
-    w = Window.partitionBy(*series, BLOCK).orderBy(rn)
-    out = exploded.withColumns(columns(w))
+    if sql:
+        part = ", ".join([*[q(s) for s in series], BLOCK])
+        spec = SqlWindow(f"PARTITION BY {part} ORDER BY {q(rn)}")
+        out = project(exploded, columns(spec))
+    else:
+        w = Window.partitionBy(*series, BLOCK).orderBy(rn)
+        out = exploded.withColumns(columns(w))
     return out.where(F.col(CORE)).drop(BLOCK, CORE)
 
 
+class SqlWindow:
+    """Window clause text for SQL-mode ``halo_window`` callbacks."""
+
+    def __init__(self, spec: str):
+        self.spec = spec
+
+    def over(self, frame: tuple[int, int] | None = None) -> str:
+        if frame is None:
+            return f"OVER ({self.spec})"
+        lo, hi = frame
+        fmt = lambda x: "CURRENT ROW" if x == 0 else (f"{-x} PRECEDING" if x < 0 else f"{x} FOLLOWING")
+        return f"OVER ({self.spec} ROWS BETWEEN {fmt(lo)} AND {fmt(hi)})"
+
+
+def lag_sql(value: str, w: SqlWindow, lags: Sequence[int], ma: Sequence[int], std: Sequence[int],
+            diff: Sequence[int]) -> dict[str, str]:
+    """SQL-text form of ``lag_columns`` (WN-1..4)."""
+    v = q(value)
+    out: dict[str, str] = {}
+    for k in lags:
+        out[f"{value}_lag_{k}"] = f"lag({v}, {k}) {w.over()}"
+    for n, fn, tag in [*[(n, "avg", "ma") for n in ma], *[(n, "stddev_samp", "std") for n in std]]:
+        fr = w.over((-(n - 1), 0))
+        out[f"{value}_{tag}_{n}h"] = f"CASE WHEN count({v}) {fr} = {n} THEN {fn}({v}) {fr} END"
+    for k in diff:
+        out[f"{value}_diff_{k}"] = f"{v} - lag({v}, {k}) {w.over()}"
+    return out
+
+
 def full_frame(w: Window, n: int) -> Window:
     """Trailing frame of n rows including the current one."""
     return w.rowsBetween(-(n - 1), 0)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from hourcast.functions.calendar import add_hours
 from hourcast.functions.nulls import zero_if_null
+from hourcast.functions.sqlexpr import q
 from hourcast.operators import metrics as M
 from hourcast.operators import scaling as S
 from hourcast.operators.features import SPECS, FeatureState, preprocess
@@ -226,7 +227,7 @@ class Forecaster:
         feats, _ = preprocess(recent, spec, self.series, state=self.state)
         scaled = S.transform(feats, self.scalers, keep=[*self.series, "datetime", RN])
         L = cfg.seq_length
-        row = F.array(*[F.col(f"`{c}`") for c in self.state.feature_names])
+        row = F.expr("array(" + ", ".join(q(c) for c in self.state.feature_names) + ")")
         out = halo_window(scaled.select(*self.series, "datetime", RN, row.alias("_row")), self.series,
                           lambda w: {SEQ: F.collect_list("_row").over(w.rowsBetween(-(L - 1), 0)),
                                      "_next": F.lead(F.lit(1), 1).over(w)}, back=L - 1, fwd=1)
@@ -271,7 +272,7 @@ class Forecaster:
         union = recent.unionByName(fc, allowMissingColumns=True)
         feats, _ = preprocess(union, spec, self.series, state=self.state)
         scaled = S.transform(feats, self.scalers, keep=[*self.series, "datetime", RN])
-        row = F.array(*[F.col(f"`{c}`") for c in self.state.feature_names])
+        row = F.expr("array(" + ", ".join(q(c) for c in self.state.feature_names) + ")")
         seqs = halo_window(scaled.select(*self.series, "datetime", RN, row.alias("_row")), self.series,
                            lambda w: {SEQ: F.collect_list("_row").over(w.rowsBetween(-(L - 1), 0))},
                            back=L - 1)

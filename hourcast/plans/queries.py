@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourcast.functions.calendar import calendar_columns, cyclical, holiday_table, with_is_holiday
+from hourcast.functions.sqlexpr import q
 from hourcast.operators import analysis, metrics, scaling, sequences, topk
 from hourcast.operators.aggregate import daily_trips, hourly_trips, top_station
 from hourcast.operators.features import SPECS, preprocess
@@ -33,20 +34,20 @@ def presented(df: DataFrame, all_double: bool = False, keep: Sequence[str] = (),
     """Round doubles to 6 digits, show dates as timestamps; optionally cast
     every numeric column (except ``keep``) to double first. Nullable integer
     columns listed in ``doubles`` are shown as double (pandas has no null int)."""
-    cols = []
+    exprs = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = q(f.name)
         t = f.dataType
         numeric = isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                                  T.DoubleType, T.DecimalType))
         if numeric and ((all_double and f.name not in keep) or f.name in doubles):
-            c, t = c.cast("double"), T.DoubleType()
+            c, t = f"CAST({c} AS DOUBLE)", T.DoubleType()
         if isinstance(t, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+            c = f"round(CAST({c} AS DOUBLE), 6)"
         elif isinstance(t, T.DateType):
-            c = c.cast("timestamp_ntz")
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            c = f"CAST({c} AS TIMESTAMP_NTZ)"
+        exprs.append(f"{c} AS {q(f.name)}")
+    return df.selectExpr(*exprs)
 
 
 # ------------------------------------------------------------- ingest queries
