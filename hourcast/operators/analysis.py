@@ -99,6 +99,22 @@ def wide_to_long(wide: DataFrame, names: Sequence[str], value: str) -> DataFrame
     return long.select(m[F.col("__key")].alias("feature"), value)
 
 
+def corr_with(df: DataFrame, features: Sequence[str], y: str, value: str = "corr",
+              absolute: bool = False) -> DataFrame:
+    """``(feature, corr(feature, y))`` for many features, in long form:
+    ``(k, v, y)`` rows and one ``groupBy(k)`` (small generated code for any
+    number of features; no pairs of rows)."""
+    from hourcast.functions.sqlexpr import q
+
+    pairs = ", ".join(f"named_struct('k', {i}, 'v', CAST({q(c)} AS DOUBLE), 'y', CAST({q(y)} AS DOUBLE))"
+                      for i, c in enumerate(features))
+    lv = df.selectExpr(f"inline(array({pairs}))")
+    c = corr_expr(F.col("v"), F.col("y"))
+    agg = lv.groupBy("k").agg((F.abs(c) if absolute else c).alias(value))
+    name = F.array(*[F.lit(f) for f in features])
+    return agg.select(name[F.col("k")].alias("feature"), value)
+
+
 def linear_importance(df: DataFrame, features: Sequence[str], target: str = "trip_count", H: int = 2,
                       series_cols: Sequence[str] = ()) -> DataFrame:
     """Deterministic importance: |corr(feature_t, target_{t+H})| per feature.
@@ -112,9 +128,7 @@ def linear_importance(df: DataFrame, features: Sequence[str], target: str = "tri
     ahead = halo_window(base, series, lambda w: {"_y_ahead": F.lead(_q(target).cast("double"), H).over(w)},
                         back=0, fwd=H)
     ahead = ahead.where(F.col("_y_ahead").isNotNull())
-    y = F.col("_y_ahead")
-    wide = ahead.agg(*[F.abs(corr_expr(_q(c).cast("double"), y)).alias(f"__v{i}") for i, c in enumerate(features)])
-    return wide_to_long(wide, list(features), "importance")
+    return corr_with(ahead, list(features), "_y_ahead", "importance", absolute=True)
 
 
 def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -165,8 +179,7 @@ def unexpected_features(df: DataFrame, imp: DataFrame, target: str = "trip_count
 
     top = top_importance(imp, top_n)
     names = [r["feature"] for r in top.select("feature").collect()]
-    corr = wide_to_long(df.agg(*[corr_expr(_q(c).cast("double"), _q(target).cast("double")).alias(f"__v{i}")
-                                 for i, c in enumerate(names)]), names, "corr")
+    corr = corr_with(df, names, target, "corr")
     mean_imp = imp.agg(F.avg("importance")).first()[0]  # one fitted scalar
     if mean_imp is None:
         return top.select("feature", "importance", F.lit(None).cast("double").alias("abs_corr"), "rank").limit(0)

@@ -154,9 +154,10 @@ class Forecaster:
     def fit(self, df: DataFrame, features: tuple | None = None) -> FitResult:
         cfg = self.cfg
         feats, self.state = self._features(df, features)
-        # hourly-grain feature table written to the shared checkpoint folder:
-        # later plans start from it (small plans, survives executor loss)
-        feats = cut_lineage(feats)
+        if features is None:
+            # hourly-grain feature table written to the shared checkpoint folder:
+            # later plans start from it (small plans, survives executor loss)
+            feats = cut_lineage(feats)
 
         # split boundary in rows, so scalers can be fitted on training rows only
         fit_rows = feats
@@ -372,7 +373,8 @@ class MultiStepForecaster:
     def fit(self, df: DataFrame, features: tuple | None = None) -> DataFrame:
         cfg, inner = self.cfg, self.inner
         feats, inner.state = inner._features(df, features)
-        feats = cut_lineage(feats)
+        if features is None:
+            feats = cut_lineage(feats)
         inner.scalers = S.fit_scalers(feats, inner.state.feature_names, "trip_count")
         scaled = S.transform(feats, inner.scalers, keep=[*inner.series, "datetime", RN], target_out=Y)
         seqs = build_sequences(scaled, inner.state.feature_names, Y, cfg.seq_length, cfg.horizon,
@@ -416,13 +418,15 @@ class MultiStepForecaster:
 
 
 def run_experiments(df: DataFrame, param_sets: dict[str, dict] | None = None,
-                    base: ModelConfig | None = None) -> DataFrame:
+                    base: ModelConfig | None = None, features: tuple | None = None) -> DataFrame:
     """Named parameter sets → one metrics table (ML-16). Features are computed
     once and shared by every run; the split stays chronological."""
     param_sets = param_sets or PRESETS
     base = base or ModelConfig()
-    feats, state = preprocess(df, base.spec, list(base.series_cols))
-    feats = (cut_lineage(feats), state)
+    if features is None:
+        f, state = preprocess(df, base.spec, list(base.series_cols))
+        features = (cut_lineage(f), state)
+    feats = features
     rows = None
     for name, overrides in param_sets.items():
         f = Forecaster(base, **overrides)

@@ -17,17 +17,17 @@ from pyspark.sql import functions as F
 from hourcast.plans.ingest import driver_enriched, driver_forecast
 from hourcast.plans.model import (PRESETS, Forecaster, ModelConfig, MultiStepForecaster,
                                   run_experiments)
-from hourcast.plans.queries import presented
+from hourcast.plans.queries import features, presented
 from hourcast.session import checkpoint_dir
 
 _FITTED: dict = {}
 
 
 def _fitted(spark: SparkSession, sf: str, cfg: ModelConfig, cls=Forecaster):
-    key = (id(spark), sf, repr(cfg), cls.__name__)
+    key = (spark.sparkContext.applicationId, sf, repr(cfg), cls.__name__)
     if key not in _FITTED:
         m = cls(cfg)
-        m.fit(driver_enriched(spark, sf))
+        m.fit(driver_enriched(spark, sf), features=features(spark, sf, cfg.spec, cfg.series_cols))
         _FITTED[key] = m
     return _FITTED[key]
 
@@ -94,8 +94,8 @@ def q_model_forecast_scoring(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_model_experiments(spark: SparkSession, sf: str) -> DataFrame:
     """The named parameter sets, one metrics row each (ML-16)."""
-    return presented(run_experiments(driver_enriched(spark, sf), PRESETS,
-                                     ModelConfig(algorithm="linear")))
+    return presented(run_experiments(driver_enriched(spark, sf), PRESETS, ModelConfig(algorithm="linear"),
+                                     features=features(spark, sf, "h2")))
 
 
 def q_model_save_load(spark: SparkSession, sf: str) -> DataFrame:

@@ -22,6 +22,7 @@ from hourcast.operators.features import SPECS, preprocess
 from hourcast.operators.windows import RN, add_row_index, halo_window, lag_columns
 from hourcast.plans.ingest import driver_enriched, driver_forecast, driver_hourly, driver_weather
 from hourcast.sources.tables import read_table
+from hourcast.session import cut_lineage
 from hourcast.sources.trips import driver_trips
 
 SERIES = ["rideable_type"]  # event_type of the events table
@@ -119,8 +120,19 @@ def q_lag_features_series(spark: SparkSession, sf: str) -> DataFrame:
     return presented(out.drop(RN), all_double=True, keep=SERIES)
 
 
+_FEATURES: dict = {}
+
+
 def features(spark: SparkSession, sf: str, spec: str = "h2", series: Sequence[str] = ()):
-    return preprocess(driver_enriched(spark, sf, series), spec, series)
+    """Fitted feature table of the driver tables, materialised once per
+    (session, folder, spec) into the shared checkpoint folder and reused by
+    every query built on it (the feature table is the pipeline's shared
+    intermediate, as a written table would be in production)."""
+    key = (spark.sparkContext.applicationId, sf, spec, tuple(series))
+    if key not in _FEATURES:
+        df, st = preprocess(driver_enriched(spark, sf, series), spec, series)
+        _FEATURES[key] = (cut_lineage(df), st)
+    return _FEATURES[key]
 
 
 def q_features_h2(spark: SparkSession, sf: str) -> DataFrame:
