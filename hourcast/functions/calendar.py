@@ -159,46 +159,36 @@ def cyclical(c: Column, period: float) -> tuple[Column, Column]:
 # A fixed-date holiday on a Saturday is also observed on the Friday before,
 # one on a Sunday on the Monday after.
 
-def _nth_weekday(year: Column, month: int, dow: str, n: int) -> Column:
-    first = F.make_date(year, F.lit(month), F.lit(1))
-    return F.date_add(F.next_day(F.date_sub(first, 1), dow), 7 * (n - 1))
-
-
-def _last_weekday(year: Column, month: int, last_day: int, dow: str) -> Column:
-    return F.next_day(F.date_sub(F.make_date(year, F.lit(month), F.lit(last_day)), 7), dow)
+def _nth_weekday_sql(month: int, dow: str, n: int) -> str:
+    return f"date_add(next_day(date_sub(make_date(year, {month}, 1), 1), '{dow}'), {7 * (n - 1)})"
 
 
 def holiday_table(years: DataFrame, year_col: str = "year") -> DataFrame:
-    """Holiday dates for every year in ``years`` (and the Dec 31 observed date
-    of the following New Year). One row per distinct date: ``holiday_date``.
+    """Holiday dates for every year in ``years``, including the Dec 31 observed
+    date of the following New Year. One row per distinct date: ``holiday_date``.
 
     Size is bounded by 13 × number of distinct years, so it is safe to broadcast.
     """
-    y = F.col(year_col)
-    fixed = [(1, 1, None), (6, 19, 2021), (7, 4, None), (11, 11, None), (12, 25, None)]
     rules = []
-    for m, d, since in fixed:
-        date = F.make_date(y, F.lit(m), F.lit(d))
-        ok = F.lit(True) if since is None else (y >= since)
-        dow = F.weekday(date)
-        observed = (F.when(dow == 5, F.date_sub(date, 1))
-                    .when(dow == 6, F.date_add(date, 1)))
-        rules.append(F.when(ok, date))
-        rules.append(F.when(ok, observed))
+    for m, d, since in ((1, 1, None), (6, 19, 2021), (7, 4, None), (11, 11, None), (12, 25, None)):
+        date = f"make_date(year, {m}, {d})"
+        ok = "true" if since is None else f"year >= {since}"
+        rules.append(f"CASE WHEN {ok} THEN {date} END")
+        rules.append(f"CASE WHEN {ok} THEN CASE weekday({date}) WHEN 5 THEN date_sub({date}, 1) "
+                     f"WHEN 6 THEN date_add({date}, 1) END END")
     rules += [
-        F.when(y >= 1986, _nth_weekday(y, 1, "Mon", 3)),
-        _nth_weekday(y, 2, "Mon", 3),
-        _last_weekday(y, 5, 31, "Mon"),
-        _nth_weekday(y, 9, "Mon", 1),
-        _nth_weekday(y, 10, "Mon", 2),
-        _nth_weekday(y, 11, "Thu", 4),
+        f"CASE WHEN year >= 1986 THEN {_nth_weekday_sql(1, 'Mon', 3)} END",
+        _nth_weekday_sql(2, "Mon", 3),
+        "next_day(date_sub(make_date(year, 5, 31), 7), 'Mon')",
+        _nth_weekday_sql(9, "Mon", 1),
+        _nth_weekday_sql(10, "Mon", 2),
+        _nth_weekday_sql(11, "Thu", 4),
     ]
-    wanted = years.select(y.cast("int").alias(year_col)).where(y.isNotNull()).distinct()
-    yrs = wanted.union(wanted.select((F.col(year_col) + 1).alias(year_col))).distinct()
-    dates = (yrs.select(F.explode(F.array(*rules)).alias("holiday_date"))
-             .where(F.col("holiday_date").isNotNull()))
+    wanted = years.selectExpr(f"CAST({q(year_col)} AS INT) AS year").where("year IS NOT NULL").distinct()
+    yrs = wanted.union(wanted.selectExpr("year + 1 AS year")).distinct()
+    dates = yrs.selectExpr(f"explode(array({', '.join(rules)})) AS holiday_date").where("holiday_date IS NOT NULL")
     # keep the dates that fall in a requested year (Dec 31 observed comes from y + 1)
-    return (dates.join(F.broadcast(wanted), F.year("holiday_date") == F.col(year_col), "left_semi")
+    return (dates.join(F.broadcast(wanted), F.year("holiday_date") == F.col("year"), "left_semi")
             .distinct())
 
 

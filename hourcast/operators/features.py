@@ -124,16 +124,31 @@ def impute_pass1(df: DataFrame, keys: Sequence[str], state: FeatureState | None,
     return (project(df, fills) if fills else df), medians, zero
 
 
+def materialized_features(df: DataFrame, spec: FeatureSpec | str = "h2",
+                          series_cols: Sequence[str] = ()) -> tuple[DataFrame, FeatureState]:
+    """Fit and materialise the feature table in the shared checkpoint folder,
+    then release the caches used while fitting."""
+    from hourcast.session import cut_lineage
+
+    cached: list = []
+    out, st = preprocess(df, spec, series_cols, cached=cached)
+    out = cut_lineage(out)
+    for c in cached:
+        c.unpersist()
+    return out, st
+
+
 def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Sequence[str] = (),
                state: FeatureState | None = None, add_lags: bool = True,
-               keep_keys: bool = True) -> tuple[DataFrame, FeatureState]:
+               keep_keys: bool = True, cached: list | None = None) -> tuple[DataFrame, FeatureState]:
     """Feature table of an hourly (enriched) series.
 
     ``state=None`` fits the imputation medians, weather mode and categories on
     ``df``; passing a fitted state reuses them (serving). Output keeps
     ``datetime``, the series columns and ``_rn`` (row position) as keys next to
     ``trip_count`` and the numeric features; ``state.feature_names`` lists the
-    features in order.
+    features in order. Frames cached while fitting are appended to ``cached``
+    so a caller that materialises the result can release them.
     """
     spec = SPECS[spec] if isinstance(spec, str) else spec
     series = list(series_cols)
@@ -151,6 +166,8 @@ def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Seque
         # hourly grain (≤ one row per series and hour): cached once, scanned by
         # the fitted statistics below instead of recomputing the upstream plan
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        if cached is not None:
+            cached.append(data)
     data, med_pre, zero = impute_pass1(data, keys, st, fit)
     if fit:
         st.medians_pre, st.zero_cols = med_pre, zero
@@ -204,6 +221,8 @@ def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Seque
     feat_cols = [c for c in numeric_columns(data, exclude=keys)]
     if fit:
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        if cached is not None:
+            cached.append(data)
         summ = summarize(data, feat_cols, [0.5])
         st.medians_post = {c: summ.quantiles[c][0] for c in feat_cols if summ.nulls[c] > 0}
         st.feature_names = [c for c in feat_cols if c != TARGET]

@@ -34,7 +34,7 @@ from hourcast.functions.nulls import zero_if_null
 from hourcast.functions.sqlexpr import q
 from hourcast.operators import metrics as M
 from hourcast.operators import scaling as S
-from hourcast.operators.features import SPECS, FeatureState, preprocess
+from hourcast.operators.features import SPECS, FeatureState, materialized_features, preprocess
 from hourcast.operators.sequences import SEQ, TARGET, TARGETS, build_sequences, chronological_split
 from hourcast.operators.topk import last_n
 from hourcast.operators.windows import RN, add_row_index, halo_window
@@ -142,7 +142,7 @@ class Forecaster:
             raise ValueError("No data provided")
         if "trip_count" not in df.columns:
             raise ValueError("Dataset must contain 'trip_count' column")
-        return preprocess(df, self.cfg.spec, self.series)
+        return materialized_features(df, self.cfg.spec, self.series)
 
     def _sequences(self, scaled: DataFrame, with_target: bool = True) -> DataFrame:
         cfg = self.cfg
@@ -153,11 +153,9 @@ class Forecaster:
 
     def fit(self, df: DataFrame, features: tuple | None = None) -> FitResult:
         cfg = self.cfg
+        # hourly-grain feature table in the shared checkpoint folder: later plans
+        # start from it (small plans, survives executor loss)
         feats, self.state = self._features(df, features)
-        if features is None:
-            # hourly-grain feature table written to the shared checkpoint folder:
-            # later plans start from it (small plans, survives executor loss)
-            feats = cut_lineage(feats)
 
         # split boundary in rows, so scalers can be fitted on training rows only
         fit_rows = feats
@@ -373,8 +371,6 @@ class MultiStepForecaster:
     def fit(self, df: DataFrame, features: tuple | None = None) -> DataFrame:
         cfg, inner = self.cfg, self.inner
         feats, inner.state = inner._features(df, features)
-        if features is None:
-            feats = cut_lineage(feats)
         inner.scalers = S.fit_scalers(feats, inner.state.feature_names, "trip_count")
         scaled = S.transform(feats, inner.scalers, keep=[*inner.series, "datetime", RN], target_out=Y)
         seqs = build_sequences(scaled, inner.state.feature_names, Y, cfg.seq_length, cfg.horizon,
@@ -424,8 +420,7 @@ def run_experiments(df: DataFrame, param_sets: dict[str, dict] | None = None,
     param_sets = param_sets or PRESETS
     base = base or ModelConfig()
     if features is None:
-        f, state = preprocess(df, base.spec, list(base.series_cols))
-        features = (cut_lineage(f), state)
+        features = materialized_features(df, base.spec, list(base.series_cols))
     feats = features
     rows = None
     for name, overrides in param_sets.items():

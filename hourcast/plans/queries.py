@@ -18,7 +18,7 @@ from hourcast.functions.calendar import calendar_columns, cyclical, holiday_tabl
 from hourcast.functions.sqlexpr import q
 from hourcast.operators import analysis, metrics, scaling, sequences, topk
 from hourcast.operators.aggregate import daily_trips, hourly_trips, top_station
-from hourcast.operators.features import SPECS, preprocess
+from hourcast.operators.features import SPECS, materialized_features, preprocess
 from hourcast.operators.windows import RN, add_row_index, halo_window, lag_columns
 from hourcast.plans.ingest import driver_enriched, driver_forecast, driver_hourly, driver_weather
 from hourcast.sources.tables import read_table
@@ -130,8 +130,7 @@ def features(spark: SparkSession, sf: str, spec: str = "h2", series: Sequence[st
     intermediate, as a written table would be in production)."""
     key = (spark.sparkContext.applicationId, sf, spec, tuple(series))
     if key not in _FEATURES:
-        df, st = preprocess(driver_enriched(spark, sf, series), spec, series)
-        _FEATURES[key] = (cut_lineage(df), st)
+        _FEATURES[key] = materialized_features(driver_enriched(spark, sf, series), spec, series)
     return _FEATURES[key]
 
 
