@@ -348,6 +348,8 @@ SELECT rideable_type, datetime, {r('trip_count', 'trip_count')}, {", ".join(r(e,
 
     q["features_h2"] = features_query("h2")
     q["features_base"] = features_query("base")
+    q["features_h3"] = features_query("h3")
+    q["features_h24"] = features_query("h24")
 
     prof_cols = [*HOURLY_COLS, *HOURLY_COLS_D, *WEATHER_P, *WEATHER_D]
     q["null_profile"] = f"WITH {EV_TRIPS},{hourly_cte()},{WEATHER},{ENRICHED}\n" + "\nUNION ALL ".join(

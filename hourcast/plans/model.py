@@ -413,6 +413,23 @@ class MultiStepForecaster:
         return res
 
 
+def run_complete_pipeline(df: DataFrame, base_seq_length: int = 8, algorithm: str = "gbt") -> dict:
+    """The full comparison (ML-17): next-row base model → weekday/weekend
+    ensemble → importance analysis → direct multi-step model. Returns the
+    result tables by name; nothing is collected."""
+    out: dict = {}
+    base = Forecaster(ModelConfig(spec="base", mode="next", seq_length=base_seq_length, algorithm=algorithm))
+    out["base_metrics"] = base.fit(df).metrics
+    ens = Forecaster(ModelConfig(spec="h2", ensemble=True, algorithm=algorithm))
+    out["ensemble_metrics"] = ens.fit(df).metrics
+    if algorithm == "gbt":
+        out["importance"] = ens.permutation_importance()
+    ms = MultiStepForecaster(ModelConfig(spec="base", seq_length=base_seq_length, horizon=6, algorithm=algorithm))
+    out["multistep_metrics"] = ms.fit(df)
+    out["forecast_ahead"] = ms.predict_ahead(df, 6)
+    return out
+
+
 def run_experiments(df: DataFrame, param_sets: dict[str, dict] | None = None,
                     base: ModelConfig | None = None, features: tuple | None = None) -> DataFrame:
     """Named parameter sets → one metrics table (ML-16). Features are computed

@@ -107,7 +107,21 @@ def q_model_save_load(spark: SparkSession, sf: str) -> DataFrame:
     return presented(g.predict(driver_enriched(spark, sf)))
 
 
+def q_model_base_next(spark: SparkSession, sf: str) -> DataFrame:
+    """The base variant: 8-hour sequences, next-row target (WN-7), base feature set."""
+    cfg = ModelConfig(spec="base", mode="next", seq_length=8)
+    return presented(_fitted(spark, sf, cfg).result.metrics)
+
+
+def q_model_h24(spark: SparkSession, sf: str) -> DataFrame:
+    """The 24-hour variant: 24-hour sequences, target 24 rows ahead, h24 features."""
+    cfg = ModelConfig(spec="h24", seq_length=24, horizon=24, algorithm="linear", reg_type="l2")
+    return presented(_fitted(spark, sf, cfg).result.metrics)
+
+
 MODEL_REGISTRY = {
+    "model_base_next": q_model_base_next,
+    "model_h24": q_model_h24,
     "model_single": q_model_single,
     "model_ensemble": q_model_ensemble,
     "model_linear_l1": q_model_linear_l1,

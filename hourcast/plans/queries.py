@@ -144,6 +144,16 @@ def q_features_base(spark: SparkSession, sf: str) -> DataFrame:
     return presented(df.drop(RN), all_double=True)
 
 
+def q_features_h3(spark: SparkSession, sf: str) -> DataFrame:
+    df, _ = features(spark, sf, "h3")
+    return presented(df.drop(RN), all_double=True)
+
+
+def q_features_h24(spark: SparkSession, sf: str) -> DataFrame:
+    df, _ = features(spark, sf, "h24")
+    return presented(df.drop(RN), all_double=True)
+
+
 def q_null_profile(spark: SparkSession, sf: str) -> DataFrame:
     return presented(analysis.null_profile(driver_enriched(spark, sf)))
 
@@ -274,6 +284,8 @@ REGISTRY = {
     "lag_features_series": q_lag_features_series,
     "features_h2": q_features_h2,
     "features_base": q_features_base,
+    "features_h3": q_features_h3,
+    "features_h24": q_features_h24,
     "null_profile": q_null_profile,
     "target_profile": q_target_profile,
     "scaler_params": q_scaler_params,

@@ -72,3 +72,13 @@ def test_not_enough_rows_for_scoring(spark, hourly_fixture):
     f.fit(hist)
     with pytest.raises(ValueError):
         f.predict(hist.orderBy("datetime").limit(3))
+
+
+def test_complete_pipeline(spark, hourly_fixture):
+    from hourcast.plans.model import run_complete_pipeline
+
+    hist = _history(spark, hourly_fixture, days=14)
+    out = run_complete_pipeline(hist, base_seq_length=4, algorithm="linear")
+    assert set(out) == {"base_metrics", "ensemble_metrics", "multistep_metrics", "forecast_ahead"}
+    assert out["base_metrics"].first()["n"] > 0
+    assert out["multistep_metrics"].count() == 6 and out["forecast_ahead"].count() == 6
