@@ -18,13 +18,13 @@ from hourcast.plans.ingest import driver_enriched, driver_forecast
 from hourcast.plans.model import (PRESETS, Forecaster, ModelConfig, MultiStepForecaster,
                                   run_experiments)
 from hourcast.plans.queries import features, presented
-from hourcast.session import checkpoint_dir
+from hourcast.session import checkpoint_dir, session_key
 
 _FITTED: dict = {}
 
 
 def _fitted(spark: SparkSession, sf: str, cfg: ModelConfig, cls=Forecaster):
-    key = (spark.sparkContext.applicationId, sf, repr(cfg), cls.__name__)
+    key = (session_key(spark), sf, repr(cfg), cls.__name__)
     if key not in _FITTED:
         m = cls(cfg)
         m.fit(driver_enriched(spark, sf), features=features(spark, sf, cfg.spec, cfg.series_cols))
@@ -101,7 +101,8 @@ def q_model_experiments(spark: SparkSession, sf: str) -> DataFrame:
 def q_model_save_load(spark: SparkSession, sf: str) -> DataFrame:
     """Save an ensemble to the shared checkpoint folder, load it, score (SNK-4, SRC-8)."""
     f = _fitted(spark, sf, ModelConfig(ensemble=True))
-    path = os.path.join(checkpoint_dir(spark), f"model-{uuid.uuid4().hex}")
+    base = checkpoint_dir(spark) or os.path.join(os.getcwd(), "spark-warehouse")
+    path = os.path.join(base, f"model-{uuid.uuid4().hex}")
     f.save(path)
     g = Forecaster.load(path)
     return presented(g.predict(driver_enriched(spark, sf)))

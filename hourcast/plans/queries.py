@@ -22,7 +22,7 @@ from hourcast.operators.features import SPECS, materialized_features, preprocess
 from hourcast.operators.windows import RN, add_row_index, halo_window, lag_columns
 from hourcast.plans.ingest import driver_enriched, driver_forecast, driver_hourly, driver_weather
 from hourcast.sources.tables import read_table
-from hourcast.session import cut_lineage
+from hourcast.session import cut_lineage, session_key
 from hourcast.sources.trips import driver_trips
 
 SERIES = ["rideable_type"]  # event_type of the events table
@@ -128,7 +128,7 @@ def features(spark: SparkSession, sf: str, spec: str = "h2", series: Sequence[st
     (session, folder, spec) into the shared checkpoint folder and reused by
     every query built on it (the feature table is the pipeline's shared
     intermediate, as a written table would be in production)."""
-    key = (spark.sparkContext.applicationId, sf, spec, tuple(series))
+    key = (session_key(spark), sf, spec, tuple(series))
     if key not in _FEATURES:
         _FEATURES[key] = materialized_features(driver_enriched(spark, sf, series), spec, series)
     return _FEATURES[key]
