@@ -65,8 +65,9 @@ def hourly_trips(trips: DataFrame, series_cols: Sequence[str] = (), with_coords:
     """Hourly series with calendar columns and top-station coordinates
     (AG-2, PRJ-4, PRJ-10, AG-4, FLT-4, TK-5, JN-3).
 
-    The coordinate table has one row per series, so the left join is a
-    broadcast of a table bounded by the number of series.
+    The coordinate table has one row per series: with one system-wide series
+    it is a one-row broadcast; with many series AQE picks broadcast or
+    shuffle from its runtime size (the number of series is not bounded).
     """
     s = list(series_cols)
     hourly = hourly_counts(trips, s)
@@ -82,7 +83,7 @@ def hourly_trips(trips: DataFrame, series_cols: Sequence[str] = (), with_coords:
                                    "longitude": F.lit(None).cast("double")})
     coords = top_station(trips, s).select(*s, "latitude", "longitude")
     if s:
-        return hourly.join(F.broadcast(coords), on=s, how="left")
+        return hourly.join(coords, on=s, how="left")
     # one system-wide series: a one-row lookup, joined on a constant key
     coords = coords.withColumn("_one", F.lit(1))
     return (hourly.withColumn("_one", F.lit(1))
