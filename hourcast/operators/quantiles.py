@@ -60,18 +60,27 @@ def summarize(df: DataFrame, cols: list[str], probs: list[float],
     """Count, nulls, min, max and exact quantiles of every column (two passes)."""
     if not cols:
         return ColumnSummary({}, {}, {}, {}, {})
-    n_rows = df.count()
-    acc = sketch_accuracy(n_rows, accuracy)
-    delta = 3.0 / acc
-    bounds = []
-    for p in probs:
-        bounds += [max(0.0, p - delta), min(1.0, p + delta)]
     lv = long_values(df, cols)
-    aggs = [F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("z"),
-            F.min("v").alias("mn"), F.max("v").alias("mx")]
-    if probs:
-        aggs.append(F.percentile_approx("v", F.array(*[F.lit(b) for b in bounds]), acc).alias("b"))
-    first = {r["k"]: r for r in lv.groupBy("k").agg(*aggs).collect()}
+
+    def first_pass(acc: int) -> dict:
+        delta = 3.0 / acc
+        bounds = []
+        for p in probs:
+            bounds += [max(0.0, p - delta), min(1.0, p + delta)]
+        aggs = [F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("z"),
+                F.min("v").alias("mn"), F.max("v").alias("mx"), F.count(F.lit(1)).alias("rows")]
+        if probs:
+            aggs.append(F.percentile_approx("v", F.array(*[F.lit(b) for b in bounds]), acc).alias("b"))
+        return {r["k"]: r for r in lv.groupBy("k").agg(*aggs).collect()}
+
+    # start with the smallest sketch; the row count comes with it, and the pass
+    # is redone with a larger sketch only when the rows call for one
+    acc = MIN_ACCURACY
+    first = first_pass(acc)
+    n_rows = max((int(r["rows"]) for r in first.values()), default=0)
+    if probs and sketch_accuracy(n_rows, accuracy) > acc:
+        acc = sketch_accuracy(n_rows, accuracy)
+        first = first_pass(acc)
 
     out = ColumnSummary(
         {c: int(first[i]["n"]) if i in first else 0 for i, c in enumerate(cols)},

@@ -27,7 +27,8 @@ def _fitted(spark: SparkSession, sf: str, cfg: ModelConfig, cls=Forecaster):
     key = (session_key(spark), sf, repr(cfg), cls.__name__)
     if key not in _FITTED:
         m = cls(cfg)
-        m.fit(driver_enriched(spark, sf), features=features(spark, sf, cfg.spec, cfg.series_cols))
+        m.fit(driver_enriched(spark, sf, cfg.series_cols),
+              features=features(spark, sf, cfg.spec, cfg.series_cols))
         _FITTED[key] = m
     return _FITTED[key]
 
@@ -120,7 +121,17 @@ def q_model_h24(spark: SparkSession, sf: str) -> DataFrame:
     return presented(_fitted(spark, sf, cfg).result.metrics)
 
 
+def q_model_per_series(spark: SparkSession, sf: str) -> DataFrame:
+    """One pooled model over five series (event types); the latest forecast of
+    every series is scored in one job (ML-11 per series)."""
+    series = ("rideable_type",)
+    cfg = ModelConfig(algorithm="linear", reg_type="l2", series_cols=series)
+    f = _fitted(spark, sf, cfg)
+    return presented(f.predict(driver_enriched(spark, sf, series)))
+
+
 MODEL_REGISTRY = {
+    "model_per_series": q_model_per_series,
     "model_base_next": q_model_base_next,
     "model_h24": q_model_h24,
     "model_single": q_model_single,
