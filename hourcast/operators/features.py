@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from hourcast.functions.calendar import calendar_sql, cyclical_sql, with_is_holiday
 from hourcast.functions.sqlexpr import lit, project, q
-from hourcast.functions.nulls import fill_values, normalize_missing, null_counts, numeric_columns
-from hourcast.operators.quantiles import exact_medians, summarize
+from hourcast.functions.nulls import normalize_missing, numeric_columns
+from hourcast.operators.quantiles import summarize
 from hourcast.operators.windows import RN, add_row_index, halo_window, lag_sql, window_reach
 from hourcast.sources.trips import as_timestamp
 

@@ -8,8 +8,6 @@ rounded to 6 digits (``+ 0.0`` folds −0.0), dates as midnight timestamps.
 
 from __future__ import annotations
 
-import math
-
 from hourcast.operators.analysis import CATEGORY_PATTERNS
 from hourcast.operators.features import SPECS
 

@@ -18,12 +18,10 @@ Deliberate differences from the reference (documented in the README):
 from __future__ import annotations
 
 import json
-import math
-from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression,
                                    LinearRegressionModel)
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,7 +36,6 @@ from hourcast.operators.features import SPECS, FeatureState, materialized_featur
 from hourcast.operators.sequences import SEQ, TARGET, TARGETS, build_sequences, chronological_split
 from hourcast.operators.topk import last_n
 from hourcast.operators.windows import RN, add_row_index, halo_window
-from hourcast.session import cut_lineage
 
 Y = "_y"          # scaled target
 VEC = "features"  # ML vector column

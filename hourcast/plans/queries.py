@@ -10,19 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourcast.functions.calendar import calendar_columns, cyclical, holiday_table, with_is_holiday
 from hourcast.functions.sqlexpr import q
 from hourcast.operators import analysis, metrics, scaling, sequences, topk
-from hourcast.operators.aggregate import daily_trips, hourly_trips, top_station
-from hourcast.operators.features import SPECS, materialized_features, preprocess
+from hourcast.operators.aggregate import daily_trips, top_station
+from hourcast.operators.features import SPECS, materialized_features
 from hourcast.operators.windows import RN, add_row_index, halo_window, lag_columns
 from hourcast.plans.ingest import driver_enriched, driver_forecast, driver_hourly, driver_weather
-from hourcast.sources.tables import read_table
-from hourcast.session import cut_lineage, session_key
+from hourcast.session import session_key
 from hourcast.sources.trips import driver_trips
 
 SERIES = ["rideable_type"]  # event_type of the events table
