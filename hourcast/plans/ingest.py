@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hourcast.operators.aggregate import hourly_trips
 from hourcast.sources.tables import read_table
-from hourcast.sources.trips import driver_trips, load_trip_data, write_table
+from hourcast.sources.trips import driver_trips, load_trip_data, read_hourly_csv, write_table
 from hourcast.sources.weather import (add_weather, compose_forecast_payloads, compose_weather_payloads,
                                       events_hourly_weather, parse_forecast, parse_weather)
 
@@ -52,8 +52,9 @@ def run_ingest(spark: SparkSession, trips_dir: str, weather_payloads: DataFrame,
              "enriched": f"{out_dir}/hourly_trips_with_weather",
              "weather": f"{out_dir}/weather_data_summary"}
     write_table(hourly, paths["hourly"], fmt)
-    hourly_back = spark.read.format(fmt).option("header", True).load(paths["hourly"]) if fmt != "csv" \
-        else spark.read.option("header", True).option("inferSchema", True).csv(paths["hourly"])
+    # re-scan the written hourly table (SRC-5: ``datetime`` coerced to TIMESTAMP_NTZ)
+    hourly_back = (read_hourly_csv(spark, paths["hourly"]) if fmt == "csv"
+                   else spark.read.format(fmt).load(paths["hourly"]))
     write_table(add_weather(hourly_back, weather), paths["enriched"], fmt)
     write_table(weather, paths["weather"], fmt)
     return paths
