@@ -16,7 +16,7 @@ from hourcast.operators.aggregate import hourly_trips
 from hourcast.sources.tables import read_table
 from hourcast.sources.trips import driver_trips, load_trip_data, read_hourly_csv, write_table
 from hourcast.sources.weather import (add_weather, compose_forecast_payloads, compose_weather_payloads,
-                                      events_hourly_weather, parse_forecast, parse_weather)
+                                      dedupe_payloads, events_hourly_weather, parse_forecast, parse_weather)
 
 
 def driver_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def run_ingest(spark: SparkSession, trips_dir: str, weather_payloads: DataFrame,
     enriched and weather-summary tables (SNK-1..3)."""
     scan = load_trip_data(spark, trips_dir)
     hourly = hourly_trips(scan.trips, series_cols)
-    weather = parse_weather(weather_payloads)
+    weather = parse_weather(dedupe_payloads(weather_payloads))  # ST-4: one payload per hour
     paths = {"hourly": f"{out_dir}/hourly_trips_aggregated",
              "enriched": f"{out_dir}/hourly_trips_with_weather",
              "weather": f"{out_dir}/weather_data_summary"}

@@ -76,6 +76,14 @@ def q_model_predict_ahead(spark: SparkSession, sf: str) -> DataFrame:
     return presented(ms.predict_ahead(driver_enriched(spark, sf), 6))
 
 
+def q_model_multistep_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Actual vs predicted per step on the test split (AN-6, multi-step)."""
+    cfg = ModelConfig(seq_length=8, horizon=6, algorithm="linear", reg_type="l2")
+    ms = _fitted(spark, sf, cfg, MultiStepForecaster)
+    p = ms.test_predictions
+    return presented(p.withColumn("residual", F.col("actual") - F.col("predicted")))
+
+
 def q_model_permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
     """Permutation importance on the training sequences (AN-1, AN-2)."""
     f = _fitted(spark, sf, ModelConfig())
@@ -141,6 +149,7 @@ MODEL_REGISTRY = {
     "model_predict_latest": q_model_predict_latest,
     "model_multistep": q_model_multistep,
     "model_predict_ahead": q_model_predict_ahead,
+    "model_multistep_predictions": q_model_multistep_predictions,
     "model_permutation_importance": q_model_permutation_importance,
     "model_forecast_scoring": q_model_forecast_scoring,
     "model_experiments": q_model_experiments,

@@ -35,7 +35,8 @@ def test_file_ingest_round_trip(spark):
     _csv(trips, "t.csv", [("1", "e", "2024-01-01 08:10:00", "", "S1", "42.1", "-71.1"),
                           ("2", "e", "2024-01-01 09:20:00", "", "S1", "42.1", "-71.1")])
     payloads = spark.createDataFrame(
-        [(dt.datetime(2024, 1, 1, 8), '{"data": [{"temp": 3.0, "rain": {"1h": 0.5}}]}')],
+        [(dt.datetime(2024, 1, 1, 8), '{"data": [{"temp": 3.0, "rain": {"1h": 0.5}}]}'),
+         (dt.datetime(2024, 1, 1, 8), '{"data": [{"temp": 3.0, "rain": {"1h": 0.5}}]}')],  # repeated hour
         "datetime timestamp_ntz, payload string")
     paths = run_ingest(spark, trips, payloads, out, fmt="csv")
     enr = spark.read.option("header", True).option("inferSchema", True).csv(paths["enriched"])
