@@ -36,7 +36,13 @@ def test_linear_fit_predict_save_load(spark, hourly_fixture):
     assert m["all"]["n"] == m["weekday"]["n"] + m["weekend"]["n"]
     assert m["all"]["r2"] > 0.5  # daily cycle is learnable
     p = f.predict(hist).collect()
-    assert len(p) == 1 and p[0]["member"] in ("weekday", "weekend")
+    last = hist.agg(F.max("datetime")).first()[0]
+    target = last + pd.Timedelta(hours=2)
+    assert len(p) == 1 and p[0]["last_time"] == last and p[0]["target_time"] == target
+    assert p[0]["member"] == ("weekend" if target.weekday() >= 5 else "weekday")
+    # a history ending on a Saturday evening routes to the weekend member
+    sat = hist.where(F.col("datetime") <= F.lit("2023-01-14 20:00:00").cast("timestamp_ntz"))
+    assert f.predict(sat).first()["member"] == "weekend"
     d = os.path.join(tempfile.mkdtemp(), "m")
     f.save(d)
     g = Forecaster.load(d)
