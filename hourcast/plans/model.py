@@ -290,37 +290,45 @@ class Forecaster:
         feature, its whole L-step slice is permuted across samples; importance
         = mean |baseline prediction − perturbed prediction|.
 
-        One distributed pass: samples are replicated once per feature (explode),
-        each feature's permutation comes from ranking ``xxhash64(sample, f,
-        seed)`` (block ranks, no global sort), the donor slices arrive by one
-        equi-join, and a single ``transform`` scores every perturbed copy.
+        Shuffle volume stays a few times the training set (not F times):
+        * only ids are ranked — feature f's permutation orders the samples by
+          ``xxhash64(sample, f, seed)`` with block ranks (no global sort);
+        * each feature slice (L values) moves once, to the sample that
+          receives it, where the F donor slices are gathered into a map;
+        * the F perturbed copies of a sample are generated after the last
+          join (``explode``), scored by one ``transform`` and reduced by a
+          partial aggregate per feature.
         """
         if self.result is None:
             raise ValueError("Model must be trained first")
         names = self.state.feature_names
         nf, L = len(names), self.cfg.seq_length
         member = "all" if "all" in self.models else "weekday"
-        base = self.result.train_samples.where(F.col("member") == member)
         model = self.models[member]
-        base = (model.transform(base).select(F.col(RN).alias("_sid"), SEQ, F.col(PRED).alias("_base"))
+        train = self.result.train_samples.where(F.col("member") == member)
+        base = (model.transform(train).select(F.col(RN).alias("_sid"), SEQ, F.col(PRED).alias("_base"))
                 .persist(StorageLevel.MEMORY_AND_DISK))
-        # sample position i (0-based) per sample id, and its rank per feature
+        feats = F.explode(F.sequence(F.lit(0), F.lit(nf - 1))).alias("_f")
+        # position of every sample (0-based) and, per feature, its rank under the hash order
         idx = add_row_index(base.select("_sid"), "_sid", name="_i",
                             bucket=F.shiftright(F.col("_sid"), 12)).select("_sid", (F.col("_i") - 1).alias("_i"))
-        slices = base.select("_sid", F.explode(F.sequence(F.lit(0), F.lit(nf - 1))).alias("_f"), SEQ).select(
-            "_sid", "_f", F.transform(F.sequence(F.lit(0), F.lit(L - 1)),
-                                      lambda t: F.col(SEQ)[t * nf + F.col("_f")]).alias("_slice"))
-        keyed = slices.withColumn("_k", F.xxhash64("_sid", "_f", F.lit(seed)))
-        ranked = add_row_index(keyed, "_k", ["_f"], tiebreak=["_sid"], name="_r",
+        keys = idx.select("_sid", feats).withColumn("_k", F.xxhash64("_sid", "_f", F.lit(seed)))
+        ranked = add_row_index(keys, "_k", ["_f"], tiebreak=["_sid"], name="_r",
                                bucket=F.shiftright(F.col("_k"), 52))
-        donors = ranked.select("_f", (F.col("_r") - 1).alias("_i"), "_slice")
-        copies = (base.join(idx, "_sid")
-                  .select("_sid", "_i", SEQ, "_base", F.explode(F.sequence(F.lit(0), F.lit(nf - 1))).alias("_f")))
-        perturbed = copies.join(donors, ["_f", "_i"]).select(
+        # the sample at position r-1 receives feature f from sample _sid
+        mapping = ranked.select("_f", F.col("_sid").alias("_donor"), (F.col("_r") - 1).alias("_i"))
+        slices = base.select(F.col("_sid").alias("_donor"), feats, SEQ).select(
+            "_donor", "_f", F.transform(F.sequence(F.lit(0), F.lit(L - 1)),
+                                        lambda t: F.col(SEQ)[t * nf + F.col("_f")]).alias("_slice"))
+        received = (mapping.join(slices, ["_donor", "_f"])
+                    .groupBy("_i").agg(F.map_from_entries(F.collect_list(F.struct("_f", "_slice"))).alias("_don")))
+        copies = (base.join(idx, "_sid").join(received, "_i")
+                  .select("_base", SEQ, "_don", feats))
+        perturbed = copies.select(
             "_f", "_base",
-            array_to_vector(F.transform(SEQ, lambda x, k: F.when(k % nf == F.col("_f"),
-                                                                  F.col("_slice")[(k / nf).cast("int")])
-                                        .otherwise(x))).alias(VEC))
+            array_to_vector(F.transform(SEQ, lambda x, k: F.when(
+                k % nf == F.col("_f"), F.element_at(F.col("_don"), F.col("_f"))[(k / nf).cast("int")])
+                .otherwise(x))).alias(VEC))
         scored = model.transform(perturbed)
         imp = scored.groupBy("_f").agg(F.avg(F.abs(F.col(PRED) - F.col("_base"))).alias("importance"))
         name_arr = F.array(*[F.lit(n) for n in names])

@@ -63,6 +63,13 @@ def test_gbt_importance_and_multistep(spark, hourly_fixture):
     f.fit(hist)
     imp = f.permutation_importance().toPandas()
     assert len(imp) == len(f.state.feature_names) and (imp["importance"] >= 0).all()
+    # a feature no tree splits on (at any of its L positions) cannot move a prediction
+    names, L = f.state.feature_names, f.cfg.seq_length
+    fi = f.models["all"].featureImportances.toArray()
+    used = {n for j, n in enumerate(names) if any(fi[t * len(names) + j] > 0 for t in range(L))}
+    by_name = dict(zip(imp["feature"], imp["importance"]))
+    assert all(by_name[n] == 0.0 for n in names if n not in used)
+    assert any(by_name[n] > 0.0 for n in used)
     ms = MultiStepForecaster(ModelConfig(seq_length=4, horizon=3, spec="base", algorithm="linear"))
     met = ms.fit(hist).orderBy("hours_ahead").collect()
     assert [r["hours_ahead"] for r in met] == [1, 2, 3]
