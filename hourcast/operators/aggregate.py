@@ -90,6 +90,29 @@ def hourly_trips(trips: DataFrame, series_cols: Sequence[str] = (), with_coords:
             .join(F.broadcast(coords), on="_one", how="left").drop("_one"))
 
 
+def fill_hour_gaps(hourly: DataFrame, series_cols: Sequence[str] = (), value: str = "trip_count") -> DataFrame:
+    """Optional dense hourly grid (``fill_gaps``): every hour between each
+    series' first and last hour, missing hours counted as 0, calendar columns
+    recomputed, other columns null.
+
+    Hours with no trips have no row after aggregation, so positional lags are
+    "k rows back". On the dense grid they are "k hours back". The grid is
+    generated per series from its own min/max (a one-row-per-series
+    aggregate), and its size equals the dense hourly grain.
+    """
+    s = list(series_cols)
+    span = hourly.groupBy(*s).agg(F.min("datetime").alias("_lo"), F.max("datetime").alias("_hi"))
+    grid = span.select(*s, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 HOUR"))).alias("datetime"))
+    calendar = {"hour", "day", "day_of_week", "month", "is_weekend"}
+    rest = [c for c in hourly.columns if c not in {*s, "datetime", value, *calendar}]
+    dense = grid.join(hourly.select(*s, "datetime", value, *rest), on=[*s, "datetime"], how="left")
+    dow = weekday_mon0("datetime")
+    return dense.select(*s, "datetime", F.coalesce(F.col(value), F.lit(0)).alias(value),
+                        F.hour("datetime").alias("hour"), F.dayofmonth("datetime").alias("day"),
+                        dow.alias("day_of_week"), F.month("datetime").alias("month"),
+                        is_weekend_of(dow).alias("is_weekend"), *rest)
+
+
 def create_aggregations(trips: DataFrame, series_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Daily and hourly aggregates over one scan (AG-3). Cache ``trips`` first
     when both are materialised."""

@@ -291,6 +291,16 @@ FROM (SELECT CAST(st AS DATE) AS dte FROM trips WHERE st IS NOT NULL) GROUP BY d
     q["hourly_by_series"] = (f"WITH {EV_TRIPS},{hourly_cte(series=True)}\n" +
                              sel(["rideable_type", *HOURLY_COLS], HOURLY_COLS_D, "hourly"))
 
+    q["hourly_filled"] = f"""WITH {EV_TRIPS},
+hs AS (SELECT rideable_type, date_trunc('hour', st) AS datetime, count(*) AS trip_count FROM ev_trips GROUP BY ALL),
+span AS (SELECT rideable_type, min(datetime) AS lo, max(datetime) AS hi FROM hs GROUP BY ALL),
+grid AS (SELECT rideable_type, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS datetime FROM span)
+SELECT g.rideable_type, g.datetime, coalesce(h.trip_count, 0) AS trip_count,
+       CAST(hour(g.datetime) AS INTEGER) AS hour, CAST(day(g.datetime) AS INTEGER) AS day,
+       CAST(isodow(g.datetime) - 1 AS INTEGER) AS day_of_week, CAST(month(g.datetime) AS INTEGER) AS month,
+       CAST(isodow(g.datetime) >= 6 AS INTEGER) AS is_weekend
+FROM grid g LEFT JOIN hs h USING (rideable_type, datetime)"""
+
     q["top_station"] = f"""WITH {TRIPS},
 st AS (SELECT sid, count(*) AS n, arg_min(lat, (source_file, st, lat, lng)) AS lat,
               arg_min(lng, (source_file, st, lat, lng)) AS lng FROM trips WHERE sid IS NOT NULL GROUP BY sid)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from hourcast.functions.calendar import calendar_columns, cyclical, holiday_table, with_is_holiday
 from hourcast.functions.sqlexpr import q
 from hourcast.operators import analysis, metrics, scaling, sequences, topk
-from hourcast.operators.aggregate import daily_trips, top_station
+from hourcast.operators.aggregate import daily_trips, fill_hour_gaps, top_station
 from hourcast.operators.features import SPECS, materialized_features
 from hourcast.operators.windows import RN, add_row_index, halo_window, lag_columns
 from hourcast.plans.ingest import driver_enriched, driver_forecast, driver_hourly, driver_weather
@@ -72,6 +72,12 @@ def q_hourly_by_series(spark: SparkSession, sf: str) -> DataFrame:
     return presented(driver_hourly(spark, sf, SERIES))
 
 
+def q_hourly_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """Dense hourly grid per series with zero-count hours (fill_gaps option)."""
+    hourly = driver_hourly(spark, sf, SERIES).select(*SERIES, "datetime", "trip_count")
+    return presented(fill_hour_gaps(hourly, SERIES))
+
+
 def q_top_station(spark: SparkSession, sf: str) -> DataFrame:
     return presented(top_station(driver_trips(spark, sf, include_legacy=True)))
 
@@ -274,6 +280,7 @@ REGISTRY = {
     "hourly_trips": q_hourly_trips,
     "hourly_trips_union": q_hourly_trips_union,
     "hourly_by_series": q_hourly_by_series,
+    "hourly_filled": q_hourly_filled,
     "top_station": q_top_station,
     "weather_rows": q_weather_rows,
     "enriched_hourly": q_enriched_hourly,

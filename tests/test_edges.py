@@ -31,3 +31,14 @@ def test_unparseable_datetime_and_gaps(spark):
     assert got["trip_count_lag_1"].iloc[2] == 20
     # hour_of_day of the bad row was null and is filled with the median of the rest
     assert got["hour_of_day"].iloc[-1] == pd.Series([0, 1, 5, 6]).median()
+
+
+def test_fill_hour_gaps_dense_grid(spark):
+    from hourcast.operators.aggregate import fill_hour_gaps
+
+    rows = [("a", dt.datetime(2024, 1, 1, 0), 3), ("a", dt.datetime(2024, 1, 1, 3), 5),
+            ("b", dt.datetime(2024, 1, 6, 23), 1)]
+    hourly = spark.createDataFrame(rows, "s string, datetime timestamp_ntz, trip_count long")
+    got = sorted((r["s"], r["datetime"].hour, r["trip_count"], r["is_weekend"])
+                 for r in fill_hour_gaps(hourly, ["s"]).collect())
+    assert got == [("a", 0, 3, 0), ("a", 1, 0, 0), ("a", 2, 0, 0), ("a", 3, 5, 0), ("b", 23, 1, 1)]
