@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from hourcast.functions.calendar import calendar_sql, cyclical_sql, with_is_holiday
 from hourcast.functions.sqlexpr import lit, project, q
 from hourcast.functions.nulls import normalize_missing, numeric_columns
+from hourcast.operators.aggregate import fill_hour_gaps
 from hourcast.operators.quantiles import summarize
 from hourcast.operators.windows import RN, add_row_index, halo_window, lag_sql, window_reach
 from hourcast.sources.trips import as_timestamp
@@ -125,13 +126,13 @@ def impute_pass1(df: DataFrame, keys: Sequence[str], state: FeatureState | None,
 
 
 def materialized_features(df: DataFrame, spec: FeatureSpec | str = "h2",
-                          series_cols: Sequence[str] = ()) -> tuple[DataFrame, FeatureState]:
+                          series_cols: Sequence[str] = (), fill_gaps: bool = False) -> tuple[DataFrame, FeatureState]:
     """Fit and materialise the feature table in the shared checkpoint folder,
     then release the caches used while fitting."""
     from hourcast.session import cut_lineage
 
     cached: list = []
-    out, st = preprocess(df, spec, series_cols, cached=cached)
+    out, st = preprocess(df, spec, series_cols, cached=cached, fill_gaps=fill_gaps)
     out = cut_lineage(out)
     for c in cached:
         c.unpersist()
@@ -140,7 +141,8 @@ def materialized_features(df: DataFrame, spec: FeatureSpec | str = "h2",
 
 def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Sequence[str] = (),
                state: FeatureState | None = None, add_lags: bool = True,
-               keep_keys: bool = True, cached: list | None = None) -> tuple[DataFrame, FeatureState]:
+               keep_keys: bool = True, cached: list | None = None,
+               fill_gaps: bool = False) -> tuple[DataFrame, FeatureState]:
     """Feature table of an hourly (enriched) series.
 
     ``state=None`` fits the imputation medians, weather mode and categories on
@@ -148,7 +150,9 @@ def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Seque
     ``datetime``, the series columns and ``_rn`` (row position) as keys next to
     ``trip_count`` and the numeric features; ``state.feature_names`` lists the
     features in order. Frames cached while fitting are appended to ``cached``
-    so a caller that materialises the result can release them.
+    so a caller that materialises the result can release them. ``fill_gaps``
+    first puts the series on a dense hour grid (missing hours count 0, their
+    weather is imputed), so lags count hours instead of rows.
     """
     spec = SPECS[spec] if isinstance(spec, str) else spec
     series = list(series_cols)
@@ -159,6 +163,8 @@ def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Seque
     has_dt = "datetime" in data.columns
     if has_dt:
         data = data.withColumn("datetime", as_timestamp(data, "datetime"))
+    if fill_gaps and has_dt:
+        data = fill_hour_gaps(data, series)
     data = normalize_missing(data)
 
     keys = [*series, "datetime", RN]

@@ -42,3 +42,13 @@ def test_fill_hour_gaps_dense_grid(spark):
     got = sorted((r["s"], r["datetime"].hour, r["trip_count"], r["is_weekend"])
                  for r in fill_hour_gaps(hourly, ["s"]).collect())
     assert got == [("a", 0, 3, 0), ("a", 1, 0, 0), ("a", 2, 0, 0), ("a", 3, 5, 0), ("b", 23, 1, 1)]
+
+
+def test_preprocess_fill_gaps_makes_lags_hourly(spark):
+    pdf = pd.DataFrame({"datetime": pd.to_datetime(["2024-01-01 00:00", "2024-01-01 01:00", "2024-01-01 04:00"]),
+                        "trip_count": [10, 20, 40], "temp": [1.0, 2.0, 4.0]})
+    feats, st = preprocess(spark.createDataFrame(pdf), "base", fill_gaps=True)
+    got = feats.orderBy("datetime").toPandas()
+    assert got["trip_count"].tolist() == [10, 20, 0, 0, 40]
+    assert got["trip_count_lag_3"].iloc[4] == 20       # 3 hours back, not 3 rows back
+    assert got["temp"].iloc[2] == 2.0                  # filled hour: weather imputed by the median
