@@ -288,6 +288,7 @@ FROM (SELECT CAST(st AS DATE) AS dte FROM trips WHERE st IS NOT NULL) GROUP BY d
 
     q["hourly_trips"] = f"WITH {EV_TRIPS},{hourly_cte()}\n" + sel(HOURLY_COLS, HOURLY_COLS_D, "hourly")
     q["hourly_trips_union"] = f"WITH {TRIPS},{hourly_cte('trips')}\n" + sel(HOURLY_COLS, HOURLY_COLS_D, "hourly")
+    q["hourly_from_csv"] = q["hourly_trips_union"]
     q["hourly_by_series"] = (f"WITH {EV_TRIPS},{hourly_cte(series=True)}\n" +
                              sel(["rideable_type", *HOURLY_COLS], HOURLY_COLS_D, "hourly"))
 

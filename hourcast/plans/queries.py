@@ -17,11 +17,12 @@ from pyspark.sql import types as T
 from hourcast.functions.calendar import calendar_columns, cyclical, holiday_table, with_is_holiday
 from hourcast.functions.sqlexpr import q
 from hourcast.operators import analysis, metrics, scaling, sequences, topk
-from hourcast.operators.aggregate import daily_trips, fill_hour_gaps, top_station
+from hourcast.operators.aggregate import daily_trips, fill_hour_gaps, hourly_trips, top_station
 from hourcast.operators.features import SPECS, materialized_features
 from hourcast.operators.windows import RN, add_row_index, halo_window, lag_columns
 from hourcast.plans.ingest import driver_enriched, driver_forecast, driver_hourly, driver_weather
 from hourcast.session import session_key
+from hourcast.sources.tables import read_table as read_table_
 from hourcast.sources.trips import driver_trips
 
 SERIES = ["rideable_type"]  # event_type of the events table
@@ -68,6 +69,25 @@ def q_hourly_trips_union(spark: SparkSession, sf: str) -> DataFrame:
     return presented(driver_hourly(spark, sf, include_legacy=True))
 
 
+def q_hourly_from_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """File path end to end (SRC-1..4, ST-1): ``events`` and ``orders`` are
+    written as trip CSVs of the two header generations into the shared
+    checkpoint folder, scanned back with header dispatch, counted per hour."""
+    import os
+    import uuid
+
+    from hourcast.session import checkpoint_dir
+    from hourcast.sources.trips import events_as_new_header, load_trip_data, orders_as_legacy_header
+
+    folder = os.path.join(checkpoint_dir(spark) or os.path.join(os.getcwd(), "spark-warehouse"),
+                          f"trips-{uuid.uuid4().hex}")
+    fmt = {"header": True, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    events_as_new_header(read_table_(spark, sf, "events")).write.options(**fmt).csv(f"{folder}/new")
+    orders_as_legacy_header(read_table_(spark, sf, "orders")).write.options(**fmt).csv(f"{folder}/legacy")
+    parts = [load_trip_data(spark, f"{folder}/{g}").trips for g in ("new", "legacy")]
+    return presented(hourly_trips(parts[0].unionByName(parts[1], allowMissingColumns=True)))
+
+
 def q_hourly_by_series(spark: SparkSession, sf: str) -> DataFrame:
     return presented(driver_hourly(spark, sf, SERIES))
 
@@ -280,6 +300,7 @@ REGISTRY = {
     "hourly_trips": q_hourly_trips,
     "hourly_trips_union": q_hourly_trips_union,
     "hourly_by_series": q_hourly_by_series,
+    "hourly_from_csv": q_hourly_from_csv,
     "hourly_filled": q_hourly_filled,
     "top_station": q_top_station,
     "weather_rows": q_weather_rows,
