@@ -21,7 +21,7 @@ from hourcast.operators.aggregate import daily_trips, fill_hour_gaps, hourly_tri
 from hourcast.operators.features import SPECS, materialized_features
 from hourcast.operators.windows import RN, add_row_index, halo_window, lag_columns
 from hourcast.plans.ingest import driver_enriched, driver_forecast, driver_hourly, driver_weather
-from hourcast.session import session_key
+from hourcast.session import cut_lineage, session_key
 from hourcast.sources.tables import read_table as read_table_
 from hourcast.sources.trips import driver_trips
 
@@ -51,6 +51,20 @@ def presented(df: DataFrame, all_double: bool = False, keep: Sequence[str] = (),
     return df.selectExpr(*exprs)
 
 
+_HOURLY: dict = {}
+
+
+def hourly_table(spark: SparkSession, sf: str, series: Sequence[str] = (), include_legacy: bool = False) -> DataFrame:
+    """The hourly grain of the driver tables, aggregated once per (session,
+    folder, series) and written to the shared checkpoint folder. Window
+    operators branch over their input (row index counts, split counts);
+    reading the checkpoint keeps that from re-scanning the raw trips."""
+    key = (session_key(spark), sf, tuple(series), include_legacy)
+    if key not in _HOURLY:
+        _HOURLY[key] = cut_lineage(driver_hourly(spark, sf, series, include_legacy=include_legacy))
+    return _HOURLY[key]
+
+
 # ------------------------------------------------------------- ingest queries
 
 def q_trips_standardized(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +108,7 @@ def q_hourly_by_series(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_hourly_filled(spark: SparkSession, sf: str) -> DataFrame:
     """Dense hourly grid per series with zero-count hours (fill_gaps option)."""
-    hourly = driver_hourly(spark, sf, SERIES).select(*SERIES, "datetime", "trip_count")
+    hourly = hourly_table(spark, sf, SERIES).select(*SERIES, "datetime", "trip_count")
     return presented(fill_hour_gaps(hourly, SERIES))
 
 
@@ -127,7 +141,7 @@ def q_holiday_calendar(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------ feature queries
 
 def q_calendar_features(spark: SparkSession, sf: str) -> DataFrame:
-    hourly = driver_hourly(spark, sf).select("datetime", "trip_count")
+    hourly = hourly_table(spark, sf).select("datetime", "trip_count")
     out = with_is_holiday(hourly, "datetime").withColumns(calendar_columns("datetime"))
     cyc = {}
     for name, src, period in (("hour", "hour_of_day", 24), ("day", "day", 31), ("month", "month", 12),
@@ -138,7 +152,7 @@ def q_calendar_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_lag_features_series(spark: SparkSession, sf: str) -> DataFrame:
     spec = SPECS["h2"]
-    hourly = driver_hourly(spark, sf, SERIES).select(*SERIES, "datetime", "trip_count")
+    hourly = hourly_table(spark, sf, SERIES).select(*SERIES, "datetime", "trip_count")
     idx = add_row_index(hourly, "datetime", SERIES)
     out = halo_window(idx, SERIES, lambda w: lag_columns("trip_count", w, spec.lags, spec.ma, spec.std,
                                                           spec.diff), back=spec.reach)
@@ -207,20 +221,20 @@ def q_scaled_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_sequences(spark: SparkSession, sf: str) -> DataFrame:
-    hourly = add_row_index(driver_hourly(spark, sf).select("datetime", "trip_count"), "datetime")
+    hourly = add_row_index(hourly_table(spark, sf).select("datetime", "trip_count"), "datetime")
     seq = sequences.build_sequences(hourly, ["trip_count"], "trip_count", SEQ_LEN, HORIZON,
                                     flatten=False)
     return presented(sequences.sequence_columns(seq, SEQ_LEN).drop(RN), all_double=True)
 
 
 def q_multi_step_targets(spark: SparkSession, sf: str) -> DataFrame:
-    hourly = add_row_index(driver_hourly(spark, sf).select("datetime", "trip_count"), "datetime")
+    hourly = add_row_index(hourly_table(spark, sf).select("datetime", "trip_count"), "datetime")
     out = sequences.multi_step_targets(hourly, "trip_count", 6)
     return presented(out.drop(RN), all_double=True)
 
 
 def q_chrono_split(spark: SparkSession, sf: str) -> DataFrame:
-    hourly = add_row_index(driver_hourly(spark, sf, SERIES).select(*SERIES, "datetime", "trip_count"),
+    hourly = add_row_index(hourly_table(spark, sf, SERIES).select(*SERIES, "datetime", "trip_count"),
                            "datetime", SERIES)
     seq = sequences.build_sequences(hourly, ["trip_count"], "trip_count", SEQ_LEN, HORIZON, SERIES,
                                     flatten=False)
@@ -232,7 +246,7 @@ def q_chrono_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def _persistence(spark: SparkSession, sf: str, series: Sequence[str] = ()) -> DataFrame:
     """Actual vs a persistence forecast made HORIZON hours earlier."""
-    hourly = add_row_index(driver_hourly(spark, sf, series).select(*series, "datetime", "trip_count"),
+    hourly = add_row_index(hourly_table(spark, sf, series).select(*series, "datetime", "trip_count"),
                            "datetime", series)
     return metrics.persistence_forecast(hourly, "trip_count", HORIZON, series)
 
@@ -242,7 +256,7 @@ def q_metrics_persistence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_metrics_per_horizon(spark: SparkSession, sf: str) -> DataFrame:
-    hourly = add_row_index(driver_hourly(spark, sf).select("datetime", "trip_count"), "datetime")
+    hourly = add_row_index(hourly_table(spark, sf).select("datetime", "trip_count"), "datetime")
     long = metrics.persistence_by_horizon(hourly, "trip_count", 6)
     return presented(metrics.regression_metrics(long, group_cols=["hours_ahead"]))
 
@@ -285,12 +299,12 @@ def q_unexpected_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_last_hours(spark: SparkSession, sf: str) -> DataFrame:
-    hourly = driver_hourly(spark, sf, SERIES)
+    hourly = hourly_table(spark, sf, SERIES)
     return presented(topk.last_n(hourly, 24, SERIES))
 
 
 def q_first_rows(spark: SparkSession, sf: str) -> DataFrame:
-    hourly = driver_hourly(spark, sf)
+    hourly = hourly_table(spark, sf)
     return presented(topk.first_rows(hourly, 20))
 
 
