@@ -14,10 +14,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourcast.plans.ingest import driver_enriched, driver_forecast
+from hourcast.plans.ingest import driver_forecast
 from hourcast.plans.model import (PRESETS, Forecaster, ModelConfig, MultiStepForecaster,
                                   run_experiments)
-from hourcast.plans.queries import features, presented
+from hourcast.plans.queries import enriched_table, features, presented
 from hourcast.session import checkpoint_dir, session_key
 
 _FITTED: dict = {}
@@ -27,7 +27,7 @@ def _fitted(spark: SparkSession, sf: str, cfg: ModelConfig, cls=Forecaster):
     key = (session_key(spark), sf, repr(cfg), cls.__name__)
     if key not in _FITTED:
         m = cls(cfg)
-        m.fit(driver_enriched(spark, sf, cfg.series_cols),
+        m.fit(enriched_table(spark, sf, cfg.series_cols),
               features=features(spark, sf, cfg.spec, cfg.series_cols))
         _FITTED[key] = m
     return _FITTED[key]
@@ -60,7 +60,7 @@ def q_model_test_predictions(spark: SparkSession, sf: str) -> DataFrame:
 def q_model_predict_latest(spark: SparkSession, sf: str) -> DataFrame:
     """Forecast from the newest 12 hours, routed by day type (ML-10, ML-11)."""
     f = _fitted(spark, sf, ModelConfig(ensemble=True))
-    return presented(f.predict(driver_enriched(spark, sf)))
+    return presented(f.predict(enriched_table(spark, sf)))
 
 
 def q_model_multistep(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,7 +73,7 @@ def q_model_predict_ahead(spark: SparkSession, sf: str) -> DataFrame:
     """Next 1…6 hours after the newest row (ML-14)."""
     cfg = ModelConfig(seq_length=8, horizon=6, algorithm="linear", reg_type="l2")
     ms = _fitted(spark, sf, cfg, MultiStepForecaster)
-    return presented(ms.predict_ahead(driver_enriched(spark, sf), 6))
+    return presented(ms.predict_ahead(enriched_table(spark, sf), 6))
 
 
 def q_model_multistep_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,14 +96,14 @@ def q_model_forecast_scoring(spark: SparkSession, sf: str) -> DataFrame:
     The model is trained on the first 20 days; the forecast rows are the
     derived 3-hourly forecast after that point."""
     f = _fitted(spark, sf, ModelConfig())
-    hist = driver_enriched(spark, sf).where(F.col("datetime") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    hist = enriched_table(spark, sf).where(F.col("datetime") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
     fc = driver_forecast(spark, sf, "2024-01-20 00:00:00", 240)
     return presented(f.score_forecast(hist, fc))
 
 
 def q_model_experiments(spark: SparkSession, sf: str) -> DataFrame:
     """The named parameter sets, one metrics row each (ML-16)."""
-    return presented(run_experiments(driver_enriched(spark, sf), PRESETS, ModelConfig(algorithm="linear"),
+    return presented(run_experiments(enriched_table(spark, sf), PRESETS, ModelConfig(algorithm="linear"),
                                      features=features(spark, sf, "h2")))
 
 
@@ -114,7 +114,7 @@ def q_model_save_load(spark: SparkSession, sf: str) -> DataFrame:
     path = os.path.join(base, f"model-{uuid.uuid4().hex}")
     f.save(path)
     g = Forecaster.load(path)
-    return presented(g.predict(driver_enriched(spark, sf)))
+    return presented(g.predict(enriched_table(spark, sf)))
 
 
 def q_model_base_next(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,7 +135,7 @@ def q_model_per_series(spark: SparkSession, sf: str) -> DataFrame:
     series = ("rideable_type",)
     cfg = ModelConfig(algorithm="linear", reg_type="l2", series_cols=series)
     f = _fitted(spark, sf, cfg)
-    return presented(f.predict(driver_enriched(spark, sf, series)))
+    return presented(f.predict(enriched_table(spark, sf, series)))
 
 
 MODEL_REGISTRY = {

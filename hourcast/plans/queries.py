@@ -65,6 +65,18 @@ def hourly_table(spark: SparkSession, sf: str, series: Sequence[str] = (), inclu
     return _HOURLY[key]
 
 
+_ENRICHED: dict = {}
+
+
+def enriched_table(spark: SparkSession, sf: str, series: Sequence[str] = ()) -> DataFrame:
+    """Hourly trips ⟕ weather, built once per (session, folder, series) and
+    checkpointed; feature fitting and every scoring call read it."""
+    key = (session_key(spark), sf, tuple(series))
+    if key not in _ENRICHED:
+        _ENRICHED[key] = cut_lineage(driver_enriched(spark, sf, series))
+    return _ENRICHED[key]
+
+
 # ------------------------------------------------------------- ingest queries
 
 def q_trips_standardized(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,7 +181,7 @@ def features(spark: SparkSession, sf: str, spec: str = "h2", series: Sequence[st
     intermediate, as a written table would be in production)."""
     key = (session_key(spark), sf, spec, tuple(series))
     if key not in _FEATURES:
-        _FEATURES[key] = materialized_features(driver_enriched(spark, sf, series), spec, series)
+        _FEATURES[key] = materialized_features(enriched_table(spark, sf, series), spec, series)
     return _FEATURES[key]
 
 
