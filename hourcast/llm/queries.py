@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hourcast.llm import bpe
+from hourcast.llm import bpe, language, mixing, quality_rules, secret_scan, site_quality, topk, url_filter
 from hourcast.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,103 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return quality_rules.judged(docs, quality_rules.learn(docs, load(spark, sf_dir, "labels")))
+
+
 @query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(load(spark, sf_dir, "documents"), tokenizer_path())
+
+
+#: Sites by host and path, then globs that judge what no site rule names.
+URL_RULES = [
+    url_filter.site_rule("allow", "org", "/"),
+    url_filter.site_rule("block", "example.org", "/es/"),
+    url_filter.site_rule("block", "example.org", "/en/1"),
+    url_filter.site_rule("allow", "com", "/fr/"),
+    url_filter.site_rule("block", "com", "/de/"),
+    url_filter.Rule("*.spam-**", "block"),
+    url_filter.Rule("*.cheap-**", "block"),
+    url_filter.Rule("*.casino?*.**", "block"),
+]
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(load(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLES["op4_url_filter"] = r"""
+WITH parted AS (
+  SELECT page_id,
+         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), named AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parted
+), ruled AS (
+  SELECT *, CASE
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ('.' || host) LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/') THEN 'org/'
+  END AS rule
+  FROM named
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN contains('.' || host, '.spam-') OR contains('.' || host, '.cheap-')
+      OR regexp_matches('.' || host || path, '^[^/]*\\.casino[^/][^/]*\\.') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+@query
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+ORACLES["op5_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(load(spark, sf_dir, "documents"), cycle=(1, 2, 3), cap=3.0)
+
+
+@query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return secret_scan.digest_documents(docs, secret_scan.learn(docs))
+
+
+@query
+def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return site_quality.scored(docs, site_quality.learn(docs, load(spark, sf_dir, "labels")), host="source", path="lang")
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_documents(load(spark, sf_dir, "documents"))
