@@ -62,8 +62,9 @@ class Rule:
         return out
 
 
-def grow(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
-    """Add the threshold with the most information gain until no kept row is covered."""
+def grow(x: dict[str, np.ndarray], bad: np.ndarray, start: set[str]) -> list[Condition]:
+    """Add the threshold with the most information gain until no kept row is covered; the first one
+    is on a statistic of ``start``."""
     rule: list[Condition] = []
     inside = np.ones(len(bad), bool)
     while len(rule) < CONDITIONS:
@@ -72,6 +73,8 @@ def grow(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
             break
         before, best, found = np.log2(p / (p + n)), 1e-9, None
         for name, values in x.items():
+            if not rule and name not in start:
+                continue
             v, b = values[inside], bad[inside]
             order = np.argsort(v, kind="stable")
             v, below = v[order], np.cumsum(b[order])
@@ -109,13 +112,19 @@ def decision_list(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray) -
     """Rules that reject, in order; ``fold`` true marks the rows that rules are pruned on."""
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
-    while len(rules) < RULES and (left & bad & ~fold).any():
+    first = dict(x)  # statistics that a rule may begin with: one that led to an imprecise rule is set aside
+    while first and len(rules) < RULES and (left & bad & ~fold).any():
         part = lambda at: ({k: v[at] for k, v in x.items()}, bad[at])
-        rule, p, n = prune(grow(*part(left & ~fold)), *part(left & fold))
-        if not rule or p < COVER or p < PRECISION * (p + n):
+        grown = grow(*part(left & ~fold), start=set(first))
+        if not grown:
             break
+        rule, p, n = prune(grown, *part(left & fold))
+        if p < COVER or p < PRECISION * (p + n):
+            del first[grown[0].name]
+            continue
         rules.append(Rule(tuple(rule), False))
         left &= ~rules[-1].holds(x)
+        first = dict(x)
     return rules
 
 
