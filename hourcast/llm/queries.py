@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourcast.llm import bpe, language, mixing, quality_rules, secret_scan, site_quality, topk, url_filter
+from hourcast.llm import bpe, jaccard_join, language, mixing, quality_rules, secret_scan, site_quality, topk, url_filter
 from hourcast.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,38 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(load(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.join_documents(load(spark, sf_dir, "documents"), size=5, percent=75)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+ORACLES["op3_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)
+), e AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l
+), r AS (
+  SELECT doc_id, doc_id AS c FROM w
+  UNION
+  SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id
+)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id
+FROM w JOIN r ON r.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id
+"""
+
+
 #: Sites by host and path, then globs that judge what no site rule names.
 URL_RULES = [
     url_filter.site_rule("allow", "org", "/"),
