@@ -1,20 +1,59 @@
-"""The corpus pipeline: documents in, token ids out, one operator a stage."""
+"""The corpus pipeline: documents in, token ids of the mixed corpus out, one operator a stage.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
+all but the last return the columns of documents. Empty tables pass through;
+null texts count as empty; columns beyond those of documents are carried along.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hourcast.llm import bpe, common
+from hourcast.llm import bpe, common, jaccard_join, mixing, secret_scan, site_quality
 from hourcast.llm.queries import tokenizer_path
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    weights = site_quality.learn(docs, common.load(spark, sf_dir, "labels"))
+    scored = site_quality.scored(docs, weights, host="source", path="lang", carry=docs.columns)
+    return scored.where("kept").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the smallest id, and of rows that repeat an id
+    one. Rows without an id stay, for a group cannot name them."""
+    common.small_batches(spark)
+    groups = jaccard_join.join_documents(docs, size=5, percent=75)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is masked in its text."""
+    common.small_batches(spark)
+    masked = docs.withColumn("text", secret_scan.redactor(secret_scan.learn(docs))(F.col("text")))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of the sources takes it."""
+    common.small_batches(spark)
+    return mixing.copies_of(docs, cycle=(1, 2, 3), cap=3.0)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every text; the last stage, so it returns ids instead of texts."""
+    """(doc_id, n_tokens, token_ids) of every document of the mix."""
     common.small_batches(spark)
-    return bpe.encode_documents(docs.select("doc_id", "text"), tokenizer_path()).drop("text")
+    ids = bpe.encode_documents(docs.select("doc_id", "text"), tokenizer_path())
+    return ids.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
 
-STAGES = [("bpe", tokens)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("tokens", tokens)]
 
 #: The learned stages cannot be said in SQL; tests compare them with brute force.
 ORACLE_SQL = None
@@ -23,5 +62,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.load(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), name)
+        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

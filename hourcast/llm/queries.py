@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourcast.llm import bpe, jaccard_join, language, mixing, quality_rules, secret_scan, site_quality, topk, url_filter
+from hourcast.llm import bpe, jaccard_join, language, mixing, pii, quality_rules, secret_scan, site_quality, topk, url_filter
 from hourcast.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +148,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest_documents(docs, secret_scan.learn(docs))
 
 
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_documents(load(spark, sf_dir, "documents"))
+
+
 @query
 def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
