@@ -46,7 +46,7 @@ from hourcast.llm.common import stored
 #: Shingles in a fragment of the first cut, at most about; fewest fragments; fragments of a comparison.
 FRAGMENT, FRAGMENTS, PARTS = 4_000_000, 32, 16
 #: Shingles a task holds before it hands its fragments on.
-HELD = 2_000_000
+HELD = 1_000_000
 #: A shingle in more than this share of a batch is a candidate for the list of frequent ones; half of it of all documents counts.
 OFTEN = 1 / 128
 #: Members of an index list that all others are compared with in a round; rounds at most; a round that links a smaller share of its comparisons is the last.
@@ -59,7 +59,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -131,7 +131,7 @@ def cut(size: int, fragments: int, often: np.ndarray):
             # frequent shingles go by class, not by range: no group meets one of them as a whole
             at = np.minimum(np.searchsorted(often, x), len(often) - 1)
             frag = np.where(often[at] == x, -1 - keys[owner] % fragments, frag)
-        order = np.argsort(frag, kind="stable")
+        order = np.argsort(frag, kind="stable")  # a class's shingles stay together and in order
         frag, owner, x = frag[order], owner[order], x[order]
         names, edges = np.unique(frag, return_index=True)
         for f, lo, hi in zip(names.tolist(), edges, np.append(edges[1:], len(x))):
@@ -163,24 +163,27 @@ def cut(size: int, fragments: int, often: np.ndarray):
 
 def shared(table: pa.Table) -> pa.Table:
     """A fragment: for each class its shingles here that another class has too, with their frequency."""
-    parts = []
-    for keys, sizes, counts, hashes in zip(*(table.column(n).to_pylist() for n in ("keys", "sizes", "counts", "hashes"))):
-        parts.append((np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int32), np.frombuffer(counts, np.int32), np.frombuffer(hashes, np.uint64)))
-    keys, sizes, counts, x = (np.concatenate(p) for p in zip(*parts))
+    def read(name: str, kind: type) -> np.ndarray:
+        return np.concatenate([np.frombuffer(b.as_buffer(), kind) for b in table.column(name)])
+
+    keys, sizes, counts, x = read("keys", np.int64), read("sizes", np.int32), read("counts", np.int32), read("hashes", np.uint64)
     frag = table.column("frag")[0].as_py()
     _, first = np.unique(keys, return_index=True)
     if len(first) < len(keys):  # a class that several tasks have sent
         once = np.zeros(len(keys), bool)
         once[first] = True
         x, keys, sizes, counts = x[np.repeat(once, counts)], keys[once], sizes[once], counts[once]
+    times = np.full(len(x), LAST, np.uint16)
     if frag >= 0:
-        found, place, times = np.unique(x, return_inverse=True, return_counts=True)
-        times = np.minimum(times, LAST - 1)[place]
-    else:
-        times = np.full(len(x), LAST)
-    owner = np.repeat(np.arange(len(keys)), counts)
+        # some low bits at a time: what sorting needs stays small beside the fragment itself
+        low = (x & np.uint64(15)).astype(np.uint8)
+        for bits in range(16):
+            at = np.flatnonzero(low == bits)
+            _, place, n = np.unique(x[at], return_inverse=True, return_counts=True)
+            times[at] = np.minimum(n, LAST - 1).astype(np.uint16)[place]
+    owner = np.repeat(np.arange(len(keys), dtype=np.int32), counts)
     common = times >= 2
-    owner, x, times = owner[common], x[common], times[common].astype(np.uint16)
+    owner, x, times = owner[common], x[common], times[common]
     counts = np.bincount(owner, minlength=len(keys))
     ends = np.cumsum(counts)
     has = np.flatnonzero(counts)
