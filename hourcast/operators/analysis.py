@@ -69,7 +69,10 @@ def _q(c: str) -> Column:
 
 
 def corr_expr(x: Column, y: Column) -> Column:
-    """Pearson correlation; null when either side is constant."""
+    """Pearson correlation over the rows where both sides are known (pandas ``corr``); null when
+    either side is constant there."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 

@@ -93,34 +93,27 @@ def mode_of(counts: list[tuple[str, int]]) -> str | None:
     return min(counts, key=lambda kv: (-kv[1], kv[0]))[0] if counts else None
 
 
-def weather_mode(df: DataFrame, col: str = "weather_main") -> str | None:
-    return mode_of(category_counts(df, col))
-
-
 def distinct_categories(df: DataFrame, col: str = "weather_main") -> list[str]:
     """Distinct non-null categories, sorted (AG-9). Small by construction."""
     return [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).collect()]
 
 
-def one_hot(categories: Sequence[str], col: str = "weather_main", prefix: str = "weather") -> dict:
-    """0/1 column per category; unknown or null → all 0 (FN-CA1/2)."""
-    return {f"{prefix}_{c}": F.coalesce((F.col(col) == F.lit(c)).cast("int"), F.lit(0)) for c in categories}
-
-
 def impute_pass1(df: DataFrame, keys: Sequence[str], state: FeatureState | None,
                  fit: bool) -> tuple[DataFrame, dict[str, float | None], list[str]]:
     """Median fill of numeric columns; all-null columns become 0 (FN-NU2)."""
     cols = numeric_columns(df, exclude=keys)
     if fit:
         summ = summarize(df, cols, [0.5])
-        med = {c: summ.quantiles[c][0] for c in cols if summ.nulls[c] > 0}
-        medians = {c: v for c, v in med.items() if v is not None}
-        zero = [c for c, v in med.items() if v is None]
+        # every median is kept: a column without nulls here may have some when scoring
+        medians = {c: summ.quantiles[c][0] for c in cols if summ.quantiles[c][0] is not None}
+        zero = [c for c in cols if summ.nulls[c] > 0 and c not in medians]
+        needed = {c: v for c, v in medians.items() if summ.nulls[c] > 0}
     else:
         have = set(df.columns)
         medians = {c: v for c, v in state.medians_pre.items() if c in have}
         zero = [c for c in state.zero_cols if c in have]
-    fills = {c: f"coalesce(CAST({q(c)} AS DOUBLE), {lit(float(v))})" for c, v in medians.items()}
+        needed = medians
+    fills = {c: f"coalesce(CAST({q(c)} AS DOUBLE), {lit(float(v))})" for c, v in needed.items()}
     fills.update({c: f"coalesce(CAST({q(c)} AS DOUBLE), 0.0)" for c in zero})
     return (project(df, fills) if fills else df), medians, zero
 
@@ -230,7 +223,7 @@ def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Seque
         if cached is not None:
             cached.append(data)
         summ = summarize(data, feat_cols, [0.5])
-        st.medians_post = {c: summ.quantiles[c][0] for c in feat_cols if summ.nulls[c] > 0}
+        st.medians_post = {c: summ.quantiles[c][0] for c in feat_cols}
         st.feature_names = [c for c in feat_cols if c != TARGET]
     schema = data.schema
     fills = {c: f"coalesce(CAST({q(c)} AS DOUBLE), {lit(float(v))})"
@@ -242,13 +235,3 @@ def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Seque
 
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
-
-
-def align_features(df: DataFrame, feature_names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Serving alignment: missing training features become 0, unexpected ones
-    are dropped, training order is restored, the target is removed (PRJ-8)."""
-    have = set(df.columns)
-    cols = [F.col(k) for k in keys if k in have]
-    cols += [F.col(f"`{c}`").cast("double").alias(c) if c in have else F.lit(0.0).alias(c)
-             for c in feature_names]
-    return df.select(*cols)

@@ -11,14 +11,13 @@ single final task of a global aggregate. Instead:
 2. one pass computes count, nulls, min, max and a ``percentile_approx``
    bracket [p − 3ε, p + 3ε] per column and probability (mergeable sketches,
    rank error ≤ ε·n, so the bracket always holds the exact order statistics);
-3. a second pass counts the values below each bracket and gathers only the
-   values inside it (about 6ε·n per quantile; ε is sized to the row count so
-   that stays near 6,000 values up to 1e8 rows);
-4. the exact order statistics are picked from that band, interpolated
-   linearly as numpy / pandas / sklearn / DuckDB ``quantile_cont`` do.
-
-If a band ever misses (it should not), that column falls back to the exact
-built-in ``percentile``.
+   a bracket of one value is the answer;
+3. a second pass counts the distinct values inside the other brackets, with all
+   values below a bracket as one group, and sums the counts in order; equal
+   values cost one row, and about 6ε·n distinct values at most meet in a window;
+4. the two order statistics of each quantile are picked in the cluster — one row
+   per column and probability comes to the driver — and interpolated linearly as
+   numpy / pandas / sklearn / DuckDB ``quantile_cont`` do.
 """
 
 from __future__ import annotations
@@ -26,16 +25,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 100_000
-MIN_ACCURACY = 1_000
-
-
-def sketch_accuracy(n_rows: int, max_accuracy: int = DEFAULT_ACCURACY) -> int:
-    """Sketch size for n rows (band ≈ 6·n / accuracy values)."""
-    return int(min(max_accuracy, max(MIN_ACCURACY, n_rows // 1000)))
+#: 1 / ε of the sketches, the same for every row count.
+ACCURACY = 10_000
 
 
 def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -55,91 +49,53 @@ class ColumnSummary:
     quantiles: dict[str, list[float | None]]
 
 
-def summarize(df: DataFrame, cols: list[str], probs: list[float],
-              accuracy: int = DEFAULT_ACCURACY) -> ColumnSummary:
+def summarize(df: DataFrame, cols: list[str], probs: list[float]) -> ColumnSummary:
     """Count, nulls, min, max and exact quantiles of every column (two passes)."""
     if not cols:
         return ColumnSummary({}, {}, {}, {}, {})
     lv = long_values(df, cols)
-
-    def first_pass(acc: int) -> dict:
-        delta = 3.0 / acc
-        bounds = []
-        for p in probs:
-            bounds += [max(0.0, p - delta), min(1.0, p + delta)]
-        aggs = [F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("z"),
-                F.min("v").alias("mn"), F.max("v").alias("mx"), F.count(F.lit(1)).alias("rows")]
-        if probs:
-            aggs.append(F.percentile_approx("v", F.array(*[F.lit(b) for b in bounds]), acc).alias("b"))
-        return {r["k"]: r for r in lv.groupBy("k").agg(*aggs).collect()}
-
-    # start with the smallest sketch; the row count comes with it, and the pass
-    # is redone with a larger sketch only when the rows call for one
-    acc = MIN_ACCURACY
-    first = first_pass(acc)
-    n_rows = max((int(r["rows"]) for r in first.values()), default=0)
-    if probs and sketch_accuracy(n_rows, accuracy) > acc:
-        acc = sketch_accuracy(n_rows, accuracy)
-        first = first_pass(acc)
-
+    v = F.col("v")
+    aggs = [F.count("v").alias("n"), F.count_if(v.isNull()).alias("z"), F.min("v").alias("mn"), F.max("v").alias("mx")]
+    if probs:
+        delta = 3.0 / ACCURACY
+        bounds = [b for p in probs for b in (max(0.0, p - delta), min(1.0, p + delta))]
+        aggs.append(F.percentile_approx("v", F.array(*[F.lit(b) for b in bounds]), ACCURACY).alias("b"))
+    first = {r["k"]: r for r in lv.groupBy("k").agg(*aggs).collect()}
+
+    # an empty table has no row in ``first`` at all
     out = ColumnSummary(
-        {c: int(first[i]["n"]) if i in first else 0 for i, c in enumerate(cols)},
-        {c: int(first[i]["z"]) if i in first else n_rows for i, c in enumerate(cols)},
-        {c: first[i]["mn"] if i in first else None for i, c in enumerate(cols)},
-        {c: first[i]["mx"] if i in first else None for i, c in enumerate(cols)},
+        {c: int(first[i]["n"]) if first else 0 for i, c in enumerate(cols)},
+        {c: int(first[i]["z"]) if first else 0 for i, c in enumerate(cols)},
+        {c: first[i]["mn"] if first else None for i, c in enumerate(cols)},
+        {c: first[i]["mx"] if first else None for i, c in enumerate(cols)},
         {c: [None] * len(probs) for c in cols})
-    if not probs:
-        return out
-
-    brackets = [(i, j, first[i]["b"][2 * j], first[i]["b"][2 * j + 1])
-                for i in first if first[i]["n"] > 0 and first[i]["b"] is not None
-                for j in range(len(probs))]
+    brackets = []
+    for i, r in first.items():
+        for j, p in enumerate(probs if r["n"] else ()):
+            lo, hi, rank = r["b"][2 * j], r["b"][2 * j + 1], p * (r["n"] - 1)
+            if lo == hi:
+                out.quantiles[cols[i]][j] = lo
+            else:
+                brackets.append((i, j, lo, hi, math.floor(rank), math.ceil(rank), rank - math.floor(rank)))
     if not brackets:
         return out
-    br = df.sparkSession.createDataFrame(brackets, "k int, j int, lo double, hi double")
-    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
     # bracket table: ≤ columns × probabilities rows, broadcast by construction
-    second = {(r["k"], r["j"]): r for r in
-              lv.where(v.isNotNull()).join(F.broadcast(br), "k").groupBy("k", "j").agg(
-                  F.count_if(v < lo).alias("below"),
-                  F.sort_array(F.collect_list(F.when((v >= lo) & (v <= hi), v))).alias("band")).collect()}
-
-    fallback = set()
-    for i, c in enumerate(cols):
-        if i not in first or first[i]["n"] == 0:
-            continue
-        n = int(first[i]["n"])
-        vals = []
-        for j, p in enumerate(probs):
-            r = second.get((i, j))
-            if r is None:
-                fallback.add(i)
-                vals.append(None)
-                continue
-            k = p * (n - 1)
-            kl, ku = math.floor(k), math.ceil(k)
-            a, b = kl - int(r["below"]), ku - int(r["below"])
-            band = r["band"]
-            if a < 0 or b >= len(band):
-                fallback.add(i)
-                vals.append(None)
-                continue
-            vals.append(band[a] if kl == ku else band[a] + (k - kl) * (band[b] - band[a]))
-        out.quantiles[c] = vals
-    if fallback:  # never expected; exact built-in percentile for those columns
-        fb = sorted(fallback)
-        rows = lv.where(F.col("k").isin(fb)).groupBy("k").agg(
-            F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()
-        for r in rows:
-            out.quantiles[cols[r["k"]]] = list(r["q"])
+    br = df.sparkSession.createDataFrame(brackets, "k int, j int, lo double, hi double, r0 long, r1 long, part double")
+    inside = lv.join(F.broadcast(br), "k").where(v <= F.col("hi"))
+    counts = inside.groupBy("k", "j", "r0", "r1", "part", (v < F.col("lo")).alias("under"),
+                            F.when(v >= F.col("lo"), v).alias("v")).count()
+    upto = F.sum("count").over(Window.partitionBy("k", "j").orderBy(F.desc("under"), "v"))
+    picked = (counts.withColumn("upto", upto).where(~F.col("under")).groupBy("k", "j", "part")
+              .agg(F.min(F.when(F.col("upto") > F.col("r0"), v)).alias("a"), F.min(F.when(F.col("upto") > F.col("r1"), v)).alias("b")))
+    for r in picked.collect():
+        out.quantiles[cols[r["k"]]][r["j"]] = r["a"] + r["part"] * (r["b"] - r["a"])
     return out
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                    accuracy: int = DEFAULT_ACCURACY) -> dict[str, list[float | None]]:
-    return summarize(df, cols, probs, accuracy).quantiles
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    return summarize(df, cols, probs).quantiles
 
 
-def exact_medians(df: DataFrame, cols: list[str], accuracy: int = DEFAULT_ACCURACY) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
     """Column medians ignoring nulls (pandas ``median`` after NaN → null)."""
-    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5], accuracy).items()}
+    return {c: v[0] for c, v in exact_quantiles(df, cols, [0.5]).items()}

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourcast.functions.nulls import zero_if_null
 from hourcast.functions.sqlexpr import lit, q
 from hourcast.operators.quantiles import summarize
 
@@ -61,33 +60,25 @@ def fit_scalers(df: DataFrame, features: Sequence[str], target: str) -> Scalers:
     return s
 
 
-def scale_feature(c: str, s: Scalers) -> Column:
-    med = s.median.get(c)
-    x = F.col(f"`{c}`").cast("double")
-    if med is None:
-        return zero_if_null(F.lit(None).cast("double"))
-    return zero_if_null((x - F.lit(med)) / F.lit(s.robust_scale(c)))
-
-
-def scale_target(c: Column, s: Scalers) -> Column:
-    lo = s.min_value.get(s.target) or 0.0
-    return (c.cast("double") - F.lit(lo)) / F.lit(s.target_range())
-
-
 def unscale_target(c: Column, s: Scalers) -> Column:
     lo = s.min_value.get(s.target) or 0.0
     return c * F.lit(s.target_range()) + F.lit(lo)
 
 
 def transform(df: DataFrame, s: Scalers, keep: Sequence[str] = (), target_out: str | None = None) -> DataFrame:
-    """Scaled features (nulls → 0 = the training median) and scaled target."""
+    """Scaled features in training order (nulls → 0 = the training median) and scaled target. A training
+    feature that ``df`` lacks counts as raw 0 and is scaled like any other value (PRJ-8); columns that
+    training did not see are left out."""
     have = set(df.columns)  # one schema round trip, then one selectExpr
     exprs = [q(k) for k in keep if k in have]
     for c in s.features:
         med = s.median.get(c)
-        if c not in have or med is None:
+        if med is None:
             exprs.append(f"0.0D AS {q(c)}")
             continue
+        if c not in have:
+            exprs.append(f"{lit(float((0.0 - med) / s.robust_scale(c)))} AS {q(c)}")
+            continue
         x = f"((CAST({q(c)} AS DOUBLE) - {lit(float(med))}) / {lit(float(s.robust_scale(c)))})"
         exprs.append(f"coalesce(nanvl({x}, NULL), 0.0D) AS {q(c)}")
     if s.target in have:

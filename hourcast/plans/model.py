@@ -24,12 +24,13 @@ from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression,
                                    LinearRegressionModel)
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourcast.functions.calendar import add_hours
 from hourcast.functions.nulls import zero_if_null
 from hourcast.functions.sqlexpr import q
+from hourcast.operators import analysis
 from hourcast.operators import metrics as M
 from hourcast.operators import scaling as S
 from hourcast.operators.features import SPECS, FeatureState, materialized_features, preprocess
@@ -49,8 +50,8 @@ class ModelConfig:
     horizon: int = 2
     mode: str = "fixed"          # fixed (target H rows ahead) | next (next row)
     algorithm: str = "gbt"       # gbt | linear
-    loss: str = "mse"            # mse | mae | huber | smape (smape: metric only)
-    reg_type: str | None = "l2"  # l2 | l1 | l1_l2 | None   (linear only)
+    loss: str = "mse"            # gbt: mse | mae; linear: mse | huber
+    reg_type: str | None = None  # l2 | l1 | l1_l2 | None   (linear only)
     reg_value: float = 0.001
     step_size: float = 0.1       # GBT learning rate
     max_iter: int = 20           # boosting rounds / solver iterations ("epochs")
@@ -60,22 +61,40 @@ class ModelConfig:
     ensemble: bool = False
     test_size: float = 0.2
     val_size: float = 0.25
-    fit_scalers_on: str = "all"  # all (reference parity) | train
+    fit_scalers_on: str = "train"  # train (rows up to the last training sequence) | all
     series_cols: tuple[str, ...] = ()
     fill_gaps: bool = False      # dense hour grid before features (lags in hours, not rows)
     seed: int = 42
 
 
-# Named parameter sets of the reference's experiment runner,
-# reduced to the knobs that keep a meaning for Spark ML regressors.
+# Named parameter sets of the experiment runner, reduced to the knobs that keep a
+# meaning for Spark ML regressors. Sets that differ only in the optimiser or in a loss that no
+# Spark regressor trains (smape, reported as a metric for every run) would be the same model twice.
 PRESETS: dict[str, dict] = {
     "default": {"reg_type": "l2", "reg_value": 0.001, "loss": "mse", "max_iter": 20, "ensemble": False},
-    "rmsprop": {"reg_type": "l2", "reg_value": 0.001, "loss": "mse", "max_iter": 20, "ensemble": False},
     "l1": {"reg_type": "l1", "reg_value": 0.0005, "loss": "mse", "max_iter": 20, "ensemble": False},
     "huber": {"reg_type": "l2", "reg_value": 0.001, "loss": "huber", "max_iter": 20, "ensemble": False},
-    "smape": {"reg_type": "l2", "reg_value": 0.001, "loss": "smape", "max_iter": 20, "ensemble": False},
+    "ensemble": {"reg_type": "l2", "reg_value": 0.001, "loss": "mse", "max_iter": 20, "ensemble": True},
 }
 
+#: What each algorithm can train; anything else is refused, not replaced.
+LOSSES = {"linear": ("mse", "huber"), "gbt": ("mse", "mae")}
+
+
+def checked(cfg: ModelConfig) -> ModelConfig:
+    """The configuration, if its algorithm, loss and penalty go together."""
+    if cfg.algorithm not in LOSSES:
+        raise ValueError(f"algorithm {cfg.algorithm!r} is none of {sorted(LOSSES)}")
+    if cfg.loss not in LOSSES[cfg.algorithm]:
+        raise ValueError(f"{cfg.algorithm} cannot train loss {cfg.loss!r}; it trains {LOSSES[cfg.algorithm]}")
+    if cfg.reg_type not in (None, "l2", "l1", "l1_l2"):
+        raise ValueError(f"unknown penalty {cfg.reg_type!r}")
+    if cfg.algorithm == "gbt" and cfg.reg_type is not None:
+        raise ValueError("gbt takes no weight penalty; set reg_type=None")
+    if cfg.loss == "huber" and cfg.reg_type in ("l1", "l1_l2"):
+        raise ValueError("the huber loss takes an l2 penalty or none")
+    return cfg
+
 
 def elastic_net(reg_type: str | None, r: float) -> tuple[float, float]:
     """Keras penalty r·Σ|w| / r·Σw² mapped onto Spark's λ(α‖w‖₁ + (1−α)/2‖w‖²)
@@ -95,8 +114,8 @@ def make_estimator(cfg: ModelConfig, with_validation: bool):
         reg, alpha = elastic_net(cfg.reg_type, cfg.reg_value)
         kw = dict(featuresCol=VEC, labelCol=TARGET, predictionCol=PRED, maxIter=max(cfg.max_iter, 1),
                   regParam=reg, elasticNetParam=alpha, standardization=False)
-        if cfg.loss == "huber":  # Spark's huber needs a pure L2 penalty
-            kw.update(loss="huber", elasticNetParam=0.0)
+        if cfg.loss == "huber":
+            kw.update(loss="huber")
         return LinearRegression(**kw)
     kw = dict(featuresCol=VEC, labelCol=TARGET, predictionCol=PRED, maxIter=cfg.max_iter,
               stepSize=cfg.step_size, maxDepth=cfg.max_depth, seed=cfg.seed,
@@ -111,6 +130,23 @@ def _member_of(target_time: Column) -> Column:
     return F.when(F.weekday(target_time) >= 5, F.lit("weekend")).otherwise(F.lit("weekday"))
 
 
+def route_member(rows: DataFrame, hours: int = 0) -> Column:
+    """Ensemble routing of frames that may lack a time (ML-10): by the time ``hours`` ahead, else by
+    ``day_of_week`` (one day on when ``hours`` is a whole day), else by ``is_weekend``."""
+    have = set(rows.columns)
+    if "target_time" in have:
+        return _member_of(F.col("target_time"))
+    if "datetime" in have:
+        return _member_of(add_hours("datetime", hours))
+    if "day_of_week" in have:
+        weekend = (F.col("day_of_week") + (1 if hours >= 24 else 0)) % 7 >= 5
+    elif "is_weekend" in have:
+        weekend = F.col("is_weekend") == 1
+    else:
+        raise ValueError("no time, day_of_week or is_weekend to route by")
+    return F.when(weekend, F.lit("weekend")).otherwise(F.lit("weekday"))
+
+
 @dataclass
 class FitResult:
     metrics: DataFrame            # per member + pooled ("all"), or one row
@@ -122,11 +158,12 @@ class Forecaster:
     """Single or weekday/weekend ensemble forecaster H hours ahead."""
 
     def __init__(self, config: ModelConfig | None = None, **overrides):
-        self.cfg = replace(config or ModelConfig(), **overrides)
+        self.cfg = checked(replace(config or ModelConfig(), **overrides))
         self.state: FeatureState | None = None
         self.scalers: S.Scalers | None = None
         self.models: dict[str, object] = {}
         self.result: FitResult | None = None
+        self._held: DataFrame | None = None
 
     # ---------------------------------------------------------------- fitting
     @property
@@ -137,9 +174,9 @@ class Forecaster:
         if features is not None:
             return features
         if df.isEmpty():
-            raise ValueError("No data provided")
+            raise ValueError("the training table is empty")
         if "trip_count" not in df.columns:
-            raise ValueError("Dataset must contain 'trip_count' column")
+            raise ValueError("the training table has no trip_count")
         return materialized_features(df, self.cfg.spec, self.series, self.cfg.fill_gaps)
 
     def _sequences(self, scaled: DataFrame, with_target: bool = True) -> DataFrame:
@@ -149,23 +186,29 @@ class Forecaster:
         h = 1 if cfg.mode == "next" else cfg.horizon
         return seqs.withColumn("target_time", add_hours("datetime", h))
 
+    def training_rows(self, feats: DataFrame) -> DataFrame:
+        """Rows that training sequences read: scalers see no validation or test row."""
+        cfg = self.cfg
+        if cfg.fit_scalers_on == "all":
+            return feats
+        n = feats.groupBy(*self.series).agg(F.max(RN).alias("_n"))
+        n_seq = F.greatest(F.col("_n") - cfg.seq_length - cfg.horizon, F.lit(1))
+        n_test = F.ceil(n_seq * F.lit(cfg.test_size))
+        n_train = n_seq - n_test - F.ceil((n_seq - n_test) * F.lit(cfg.val_size))
+        bound = n.select(*self.series, (n_train + cfg.seq_length - 1).alias("_last"))
+        if self.series:
+            rows = feats.join(bound, self.series)
+        else:
+            rows = feats.withColumn("_last", F.lit(bound.first()["_last"]))
+        return rows.where(F.col(RN) <= F.col("_last")).drop("_last")
+
     def fit(self, df: DataFrame, features: tuple | None = None) -> FitResult:
         cfg = self.cfg
         # hourly-grain feature table in the shared checkpoint folder: later plans
         # start from it (small plans, survives executor loss)
         feats, self.state = self._features(df, features)
 
-        # split boundary in rows, so scalers can be fitted on training rows only
-        fit_rows = feats
-        if cfg.fit_scalers_on == "train":
-            n = feats.groupBy(*self.series).agg(F.max(RN).alias("_n"))
-            n_seq = F.col("_n") - cfg.seq_length - cfg.horizon
-            n_test = F.ceil(n_seq * F.lit(cfg.test_size))
-            n_train = n_seq - n_test - F.ceil((n_seq - n_test) * F.lit(cfg.val_size))
-            bound = n.select(*self.series, (n_train + cfg.seq_length - 1).alias("_last"))
-            fit_rows = (feats.join(bound, self.series) if self.series else
-                        feats.withColumn("_last", F.lit(bound.first()["_last"])))
-            fit_rows = fit_rows.where(F.col(RN) <= F.col("_last")).drop("_last")
+        fit_rows = self.training_rows(feats)
         self.scalers = S.fit_scalers(fit_rows, self.state.feature_names, "trip_count")
         scaled = S.transform(feats, self.scalers, keep=[*self.series, "datetime", RN], target_out=Y)
 
@@ -186,7 +229,7 @@ class Forecaster:
                  .withColumn("_is_val", F.col("split") == "val")
                  .persist(StorageLevel.MEMORY_AND_DISK))
         if split.isEmpty():
-            raise ValueError("No valid sequences could be created")
+            raise ValueError("no complete sequence fits into the training rows")
 
         preds = []
         for m in members:
@@ -202,8 +245,15 @@ class Forecaster:
                    else M.regression_metrics(test).withColumn("member", F.lit("all")))
         train_samples = split.where(F.col("split") == "train")
         self.result = FitResult(metrics, test, train_samples)
+        self._held = split
         return self.result
 
+    def release(self) -> None:
+        """Free the cached sequences; results are computed anew when they are read after that."""
+        if self._held is not None:
+            self._held.unpersist()
+            self._held = None
+
     def _score(self, rows: DataFrame, member: str) -> DataFrame:
         """Model output → trips: null/NaN → 0 (FN-NU7), then inverse min-max."""
         out = self.models[member].transform(rows)
@@ -218,10 +268,10 @@ class Forecaster:
         """Sequences ending at the newest row of every series (ML-11, TK-3)."""
         cfg = self.cfg
         if history.isEmpty():
-            raise ValueError("No data provided for prediction")
+            raise ValueError("there is no history to predict from")
         spec = SPECS[cfg.spec]
         recent = last_n(history, spec.reach + cfg.seq_length, self.series)
-        feats, _ = preprocess(recent, spec, self.series, state=self.state)
+        feats, _ = preprocess(recent, spec, self.series, state=self.state, fill_gaps=cfg.fill_gaps)
         scaled = S.transform(feats, self.scalers, keep=[*self.series, "datetime", RN])
         L = cfg.seq_length
         row = F.expr("array(" + ", ".join(q(c) for c in self.state.feature_names) + ")")
@@ -230,7 +280,7 @@ class Forecaster:
                                      "_next": F.lead(F.lit(1), 1).over(w)}, back=L - 1, fwd=1)
         short = out.where(F.col("_next").isNull() & (F.size(SEQ) < L)).limit(1).count()
         if short:
-            raise ValueError(f"Not enough data for a sequence. Need at least {L} rows.")
+            raise ValueError(f"a series is shorter than one sequence of {L} rows")
         h = 1 if cfg.mode == "next" else cfg.horizon
         return (out.where(F.col("_next").isNull() & (F.size(SEQ) == L))
                 .select(*self.series, "datetime", RN, F.flatten(SEQ).alias(SEQ))
@@ -249,47 +299,59 @@ class Forecaster:
     def _route_and_score(self, seqs: DataFrame) -> DataFrame:
         if set(self.models) == {"all"}:
             return self._score(seqs, "all")
-        routed = seqs.withColumn("_m", _member_of(F.col("target_time")))
+        routed = seqs.withColumn("_m", route_member(seqs))
         parts = [self._score(routed.where(F.col("_m") == m), m) for m in self.models]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
-    def score_forecast(self, history: DataFrame, forecast: DataFrame) -> DataFrame:
-        """Forecast-driven scoring (ML-15, ST-2, WN-9): history rows ∪ forecast
-        rows; one sequence ends at every forecast hour; output with the
-        forecast's temp / weather_main / is_weekend."""
-        cfg = self.cfg
-        L = cfg.seq_length
+    def forecast_rows(self, history: DataFrame, forecast: DataFrame) -> DataFrame:
+        """Forecast rows after each series' newest history row, once per series (ST-2). A forecast
+        without the series columns holds for every series: the result is that product."""
+        last = history.groupBy(*self.series).agg(F.max("datetime").alias("_last")) if self.series else history.agg(F.max("datetime").alias("_last"))
+        if self.series and set(self.series) <= set(forecast.columns):
+            rows = forecast.join(last, self.series)
+        elif self.series:
+            # the forecast is some days of hours: the small side, whatever the number of series
+            rows = last.join(F.broadcast(forecast.drop(*self.series)), F.col("datetime") > F.col("_last"))
+        else:
+            rows = forecast.withColumn("_last", F.lit(last.first()["_last"]))
+        return rows.where(F.col("_last").isNull() | (F.col("datetime") > F.col("_last"))).drop("_last")
+
+    def forecast_sequences(self, history: DataFrame, forecast: DataFrame) -> DataFrame:
+        """The scaled window before every forecast row, history and earlier forecast rows in it:
+        ``(series…, datetime, _rn, seq, target_time, features)`` with the forecast's own time as target
+        (WN-9)."""
+        cfg, L = self.cfg, self.cfg.seq_length
         spec = SPECS[cfg.spec]
-        last_hist = history.agg(F.max("datetime")).first()[0]
-        fc = forecast.where(F.col("datetime") > F.lit(last_hist)) if last_hist is not None else forecast
+        fc = self.forecast_rows(history, forecast).withColumn("_fc", F.lit(True))
         recent = last_n(history, spec.reach + L, self.series)
-        union = recent.unionByName(fc, allowMissingColumns=True)
-        feats, _ = preprocess(union, spec, self.series, state=self.state)
+        union = recent.unionByName(fc.drop("_fc"), allowMissingColumns=True)
+        feats, _ = preprocess(union, spec, self.series, state=self.state, fill_gaps=cfg.fill_gaps)
         scaled = S.transform(feats, self.scalers, keep=[*self.series, "datetime", RN])
         row = F.expr("array(" + ", ".join(q(c) for c in self.state.feature_names) + ")")
         seqs = halo_window(scaled.select(*self.series, "datetime", RN, row.alias("_row")), self.series,
-                           lambda w: {SEQ: F.collect_list("_row").over(w.rowsBetween(-(L - 1), 0))},
-                           back=L - 1)
-        h = 1 if cfg.mode == "next" else cfg.horizon
-        seqs = (seqs.where(F.size(SEQ) == L)
-                .join(fc.select("datetime").distinct(), "datetime", "left_semi")
-                .select(*self.series, "datetime", RN, F.flatten(SEQ).alias(SEQ))
-                .withColumn("target_time", add_hours("datetime", h))
+                           lambda w: {SEQ: F.collect_list("_row").over(w.rowsBetween(-L, -1))}, back=L)
+        keys = [*self.series, "datetime"]
+        seqs = seqs.where(F.size(SEQ) == L).join(fc.select(*keys).distinct(), keys, "left_semi")
+        return (seqs.select(*self.series, "datetime", RN, F.flatten(SEQ).alias(SEQ), F.col("datetime").alias("target_time"))
                 .withColumn(VEC, array_to_vector(SEQ)))
-        scored = self._route_and_score(seqs)
-        extra = fc.select("datetime", *[c for c in ("temp", "weather_main", "is_weekend") if c in fc.columns])
-        return (scored.join(extra, "datetime", "left")
-                .select(*self.series, "datetime", "target_time", F.col("predicted").alias("predicted_trips"),
-                        *[c for c in ("temp", "weather_main", "is_weekend") if c in extra.columns]))
+
+    def score_forecast(self, history: DataFrame, forecast: DataFrame) -> DataFrame:
+        """Forecast-driven scoring (ML-15): every forecast hour of every series is predicted from the
+        window before it; output with the forecast's temp / weather_main / is_weekend."""
+        keys = [*self.series, "datetime"]
+        scored = self._route_and_score(self.forecast_sequences(history, forecast))
+        told = [c for c in ("temp", "weather_main", "is_weekend") if c in forecast.columns]
+        extra = self.forecast_rows(history, forecast).select(*keys, *told).dropDuplicates(keys)
+        return scored.join(extra, keys, "left").select(*keys, "target_time", F.col("predicted").alias("predicted_trips"), *told)
 
     # -------------------------------------------------------------- importance
     def permutation_importance(self, n_top: int | None = None, seed: int = 42) -> DataFrame:
         """Permutation importance on the training sequences (AN-1): for each
         feature, its whole L-step slice is permuted across samples; importance
-        = mean |baseline prediction − perturbed prediction|.
+        = mean |baseline prediction − perturbed prediction|. One row per member and feature.
 
         Shuffle volume stays a few times the training set (not F times):
         * only ids are ranked — feature f's permutation orders the samples by
@@ -301,18 +363,28 @@ class Forecaster:
           partial aggregate per feature.
         """
         if self.result is None:
-            raise ValueError("Model must be trained first")
+            raise ValueError("fit the model before asking for its importance")
+        rows = None
+        for member in self.models:
+            one = self._member_importance(member, seed)
+            rows = one if rows is None else rows.unionByName(one)
+        if n_top:
+            rank = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("importance"), "feature"))
+            rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= n_top).drop("_rank")
+        return rows
+
+    def _member_importance(self, member: str, seed: int) -> DataFrame:
         names = self.state.feature_names
         nf, L = len(names), self.cfg.seq_length
-        member = "all" if "all" in self.models else "weekday"
         model = self.models[member]
         train = self.result.train_samples.where(F.col("member") == member)
-        base = (model.transform(train).select(F.col(RN).alias("_sid"), SEQ, F.col(PRED).alias("_base"))
+        # a sample is known by its series and its row there
+        base = (model.transform(train).select(F.xxhash64(*self.series, RN).alias("_sid"), SEQ, F.col(PRED).alias("_base"))
                 .persist(StorageLevel.MEMORY_AND_DISK))
         feats = F.explode(F.sequence(F.lit(0), F.lit(nf - 1))).alias("_f")
         # position of every sample (0-based) and, per feature, its rank under the hash order
         idx = add_row_index(base.select("_sid"), "_sid", name="_i",
-                            bucket=F.shiftright(F.col("_sid"), 12)).select("_sid", (F.col("_i") - 1).alias("_i"))
+                            bucket=F.shiftright(F.col("_sid"), 52)).select("_sid", (F.col("_i") - 1).alias("_i"))
         keys = idx.select("_sid", feats).withColumn("_k", F.xxhash64("_sid", "_f", F.lit(seed)))
         ranked = add_row_index(keys, "_k", ["_f"], tiebreak=["_sid"], name="_r",
                                bucket=F.shiftright(F.col("_k"), 52))
@@ -333,37 +405,40 @@ class Forecaster:
         scored = model.transform(perturbed)
         imp = scored.groupBy("_f").agg(F.avg(F.abs(F.col(PRED) - F.col("_base"))).alias("importance"))
         name_arr = F.array(*[F.lit(n) for n in names])
-        out = imp.select(name_arr[F.col("_f")].alias("feature"), "importance")
-        if n_top:
-            out = out.orderBy(F.desc("importance"), "feature").limit(n_top)
-        return out
+        return imp.select(F.lit(member).alias("member"), name_arr[F.col("_f")].alias("feature"), "importance")
 
     # ------------------------------------------------------------ persistence
     def save(self, path: str) -> None:
         """Models (one folder per member) + config / features / scalers (SNK-4)."""
-        spark = SparkSession.getActiveSession()
-        for m, model in self.models.items():
-            model.write().overwrite().save(f"{path}/{m}")
-        meta = {"config": asdict(self.cfg), "state": self.state.to_dict(), "scalers": self.scalers.to_dict(),
-                "members": list(self.models)}
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
-            .write.mode("overwrite").text(f"{path}/meta")
+        save_models(path, self.models, self.cfg, self)
 
     @classmethod
     def load(cls, path: str) -> "Forecaster":
         """Single or ensemble model, by the member list in the saved metadata (SRC-8)."""
-        spark = SparkSession.getActiveSession()
-        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        cfg = meta["config"]
-        cfg["series_cols"] = tuple(cfg.get("series_cols") or ())
-        f = cls(ModelConfig(**cfg))
-        f.state = FeatureState.from_dict(meta["state"])
-        f.scalers = S.Scalers.from_dict(meta["scalers"])
-        loader = LinearRegressionModel if f.cfg.algorithm == "linear" else GBTRegressionModel
-        f.models = {m: loader.load(f"{path}/{m}") for m in meta["members"]}
+        cfg, state, scalers, models = load_models(path)
+        f = cls(cfg)
+        f.state, f.scalers, f.models = state, scalers, models
         return f
 
 
+def save_models(path: str, models: dict, cfg: ModelConfig, fitted: Forecaster) -> None:
+    spark = SparkSession.getActiveSession()
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path}/{name}")
+    meta = {"config": asdict(cfg), "state": fitted.state.to_dict(), "scalers": fitted.scalers.to_dict(),
+            "members": [str(name) for name in models]}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def load_models(path: str) -> tuple[ModelConfig, FeatureState, S.Scalers, dict]:
+    spark = SparkSession.getActiveSession()
+    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+    cfg = ModelConfig(**{**meta["config"], "series_cols": tuple(meta["config"].get("series_cols") or ())})
+    loader = LinearRegressionModel if cfg.algorithm == "linear" else GBTRegressionModel
+    models = {m: loader.load(f"{path}/{m}") for m in meta["members"]}
+    return cfg, FeatureState.from_dict(meta["state"]), S.Scalers.from_dict(meta["scalers"]), models
+
+
 class MultiStepForecaster:
     """Direct multi-step forecaster: one model per step 1…H (ML-13, ML-14, AG-17)."""
 
@@ -373,17 +448,21 @@ class MultiStepForecaster:
         self.inner = Forecaster(replace(self.cfg, mode="fixed"))
         self.models: dict[int, object] = {}
         self.metrics: DataFrame | None = None
+        self._held: DataFrame | None = None
 
     def fit(self, df: DataFrame, features: tuple | None = None) -> DataFrame:
         cfg, inner = self.cfg, self.inner
         feats, inner.state = inner._features(df, features)
-        inner.scalers = S.fit_scalers(feats, inner.state.feature_names, "trip_count")
+        inner.scalers = S.fit_scalers(inner.training_rows(feats), inner.state.feature_names, "trip_count")
         scaled = S.transform(feats, inner.scalers, keep=[*inner.series, "datetime", RN], target_out=Y)
         seqs = build_sequences(scaled, inner.state.feature_names, Y, cfg.seq_length, cfg.horizon,
                                inner.series, mode="multi", keep=("datetime",))
         split = chronological_split(seqs, inner.series, cfg.test_size, cfg.val_size)
         split = (split.withColumn(VEC, array_to_vector(SEQ)).withColumn("_is_val", F.col("split") == "val")
                  .persist(StorageLevel.MEMORY_AND_DISK))
+        if split.isEmpty():
+            raise ValueError("no complete sequence fits into the training rows")
+        self._held = split
         use_val = cfg.algorithm == "gbt" and cfg.early_stopping
         preds = []
         for h in range(1, cfg.horizon + 1):
@@ -402,6 +481,25 @@ class MultiStepForecaster:
         self.metrics = M.regression_metrics(test, group_cols=["hours_ahead"])
         return self.metrics
 
+    def release(self) -> None:
+        """Free the cached sequences."""
+        if self._held is not None:
+            self._held.unpersist()
+            self._held = None
+
+    def save(self, path: str) -> None:
+        """One model folder per step, and the metadata (SNK-4)."""
+        save_models(path, self.models, self.cfg, self.inner)
+
+    @classmethod
+    def load(cls, path: str) -> "MultiStepForecaster":
+        """The forecaster that ``save`` has written (SRC-8)."""
+        cfg, state, scalers, models = load_models(path)
+        f = cls(cfg)
+        f.inner.state, f.inner.scalers = state, scalers
+        f.models = {int(h): m for h, m in models.items()}
+        return f
+
     def predict_ahead(self, history: DataFrame, steps_to_show: int | None = None) -> DataFrame:
         """Forecasts for steps 1 … min(steps, H) after the newest row (ML-14)."""
         steps = min(steps_to_show or self.cfg.horizon, self.cfg.horizon)
@@ -419,23 +517,38 @@ class MultiStepForecaster:
         return res
 
 
-def run_complete_pipeline(df: DataFrame, base_seq_length: int = 8, algorithm: str = "gbt") -> dict:
-    """The full comparison (ML-17): next-row base model → weekday/weekend
-    ensemble → importance analysis → direct multi-step model. Returns the
-    result tables by name; nothing is collected."""
+def run_complete_pipeline(df: DataFrame, base_seq_length: int = 8, algorithm: str = "gbt",
+                          save_to: str | None = None) -> dict:
+    """The full comparison (ML-17): next-row base model with its importance, category, correlation and
+    unexpected-feature tables → weekday/weekend ensemble of the same features → direct multi-step model.
+    Returns the result tables by name; with ``save_to`` every model is written below that folder."""
     out: dict = {}
-    base = Forecaster(ModelConfig(spec="base", mode="next", seq_length=base_seq_length, algorithm=algorithm))
-    out["base_metrics"] = base.fit(df).metrics
-    ens = Forecaster(ModelConfig(spec="h2", ensemble=True, algorithm=algorithm))
-    out["ensemble_metrics"] = ens.fit(df).metrics
-    if algorithm == "gbt":
-        out["importance"] = ens.permutation_importance()
-    ms = MultiStepForecaster(ModelConfig(spec="base", seq_length=base_seq_length, horizon=6, algorithm=algorithm))
-    out["multistep_metrics"] = ms.fit(df)
+    spec = "base"
+    features = materialized_features(df, spec)
+    base = Forecaster(ModelConfig(spec=spec, mode="next", seq_length=base_seq_length, algorithm=algorithm))
+    out["base_metrics"] = base.fit(df, features).metrics
+    imp = out["importance"] = base.permutation_importance()
+    one = imp.select("feature", "importance")
+    out["categories"] = analysis.category_importance(one, spec)
+    out["correlations"] = correlation_top(features[0], one)
+    out["unexpected"] = analysis.unexpected_features(features[0], one)
+    ens = Forecaster(ModelConfig(spec=spec, seq_length=base_seq_length, ensemble=True, algorithm=algorithm))
+    out["ensemble_metrics"] = ens.fit(df, features).metrics
+    ms = MultiStepForecaster(ModelConfig(spec=spec, seq_length=base_seq_length, horizon=6, algorithm=algorithm))
+    out["multistep_metrics"] = ms.fit(df, features)
     out["forecast_ahead"] = ms.predict_ahead(df, 6)
+    if save_to:
+        for name, model in (("base", base), ("ensemble", ens), ("multistep", ms)):
+            model.save(f"{save_to}/{name}")
     return out
 
 
+def correlation_top(feats: DataFrame, importance: DataFrame, n: int = 15) -> DataFrame:
+    """Correlations among the target and the ``n`` most important features (AN-4)."""
+    names = [r["feature"] for r in importance.orderBy(F.desc("importance"), "feature").limit(n).collect()]
+    return analysis.correlation_long(feats, ["trip_count", *names])
+
+
 def run_experiments(df: DataFrame, param_sets: dict[str, dict] | None = None,
                     base: ModelConfig | None = None, features: tuple | None = None) -> DataFrame:
     """Named parameter sets → one metrics table (ML-16). Features are computed

@@ -39,8 +39,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local runs, tests) a scratch folder is created and registered.
+    ``spark.checkpoint.dir`` is read from the session; only when it is unset and
+    the master is local (tests) a scratch folder is created and registered. On a
+    cluster an unset folder is an error: executors cannot reach a local one.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -50,6 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="hourcast-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

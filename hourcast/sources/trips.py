@@ -12,6 +12,7 @@ from __future__ import annotations
 import csv
 import io
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,7 +130,7 @@ def standardize_trips(raw: DataFrame, source_file: Column | str | None = None,
 def union_trips(parts: list[DataFrame]) -> DataFrame:
     """Vertical union of trip frames with differing columns (ST-1)."""
     if not parts:
-        raise ValueError("No valid CSV files were found or processed")
+        raise ValueError("there is no trip file with a known header")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -141,7 +142,10 @@ def union_trips(parts: list[DataFrame]) -> DataFrame:
 @dataclass
 class TripScan:
     trips: DataFrame
+    #: (source_file, rows, malformed_rows) of every file that was scanned
+    report: DataFrame
     headers: dict[tuple, list[str]] = field(default_factory=dict)
+    #: files left out as a whole: unknown headers, and bad files with ``on_bad_file="skip"``
     skipped: list[str] = field(default_factory=list)
 
 
@@ -174,38 +178,69 @@ def _header_line(spark: SparkSession, path: str) -> list[str] | None:
     return next(csv.reader(io.StringIO(line)))
 
 
-def load_trip_data(spark: SparkSession, directory: str) -> TripScan:
+def _reads_whole(spark: SparkSession, path: str) -> bool:
+    """Whether every line of a file can be read."""
+    try:
+        spark.read.text(path).write.format("noop").mode("overwrite").save()
+    except Exception as exc:  # whatever the codec or the file system throws
+        warnings.warn(f"{path} cannot be read to its end: {exc}")
+        return False
+    return True
+
+
+CORRUPT = "_corrupt_record"
+#: Threads that read header lines; each holds one open file.
+HEADER_READERS = 16
+
+
+def load_trip_data(spark: SparkSession, directory: str, on_bad_file: str = "fail") -> TripScan:
     """Scan every trip CSV of a directory (SRC-1..4).
 
     Files are grouped by their exact header; each group is one CSV scan with
     an explicit all-string schema. Malformed rows are kept with nulls
-    (PERMISSIVE); unreadable files are ignored by the scan.
+    (PERMISSIVE) and counted per file in ``TripScan.report``. A file that cannot
+    be read fails the scan; with ``on_bad_file="skip"`` every file is read once
+    beforehand, and one that fails is left out as a whole and listed in
+    ``TripScan.skipped``.
     """
+    if on_bad_file not in ("fail", "skip"):
+        raise ValueError("on_bad_file is fail or skip")
     paths = _list_csv(spark, directory)
+    if on_bad_file == "skip":
+        good = {p for p in paths if _reads_whole(spark, p)}
+    else:
+        good = set(paths)
+    skipped = [p for p in paths if p not in good]
+    paths = [p for p in paths if p in good]
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        headers = list(pool.map(lambda p: _header_line(spark, p), paths))
     groups: dict[tuple, list[str]] = {}
-    skipped: list[str] = []
-    for p in paths:
-        try:
-            header = _header_line(spark, p)
-        except Exception as exc:  # unreadable file: skip, as the reference does
-            warnings.warn(f"Error reading {p}: {exc}")
-            skipped.append(p)
-            continue
+    for p, header in zip(paths, headers):
         if not header or generation_of(header) is None:
-            warnings.warn(f"Warning: {p} has unknown format, skipping")
+            warnings.warn(f"{p} has neither of the known headers and is left out")
             skipped.append(p)
             continue
         groups.setdefault(tuple(header), []).append(p)
-    parts = []
+    parts, reports = [], []
     for header, files in groups.items():
-        schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
-        raw = (spark.read.schema(schema)
-               .option("header", True)
-               .option("mode", "PERMISSIVE")
-               .option("ignoreCorruptFiles", True)
-               .csv(files))
-        parts.append(standardize_trips(raw, F.col("_metadata.file_name")))
-    return TripScan(union_trips(parts), groups, skipped)
+        schema = T.StructType([T.StructField(h, T.StringType()) for h in (*header, CORRUPT)])
+        reader = (spark.read.schema(schema)
+                  .option("header", True)
+                  .option("mode", "PERMISSIVE")
+                  .option("columnNameOfCorruptRecord", CORRUPT))
+        raw = reader.csv(files)
+        parts.append(standardize_trips(raw.drop(CORRUPT), F.col("_metadata.file_name")))
+        # whole lines, for a scan of some columns does not see that others are missing; it may not read
+        # the malformed text alone, so rows are counted by the first column
+        raw = reader.option("columnPruning", False).csv(files)
+        first = F.col(f"`{header[0]}`")
+        reports.append(raw.groupBy(F.col("_metadata.file_name").alias("source_file")).agg(
+            (F.count(first) + F.count_if(first.isNull())).alias("rows"), F.count(CORRUPT).alias("malformed_rows")))
+    trips = union_trips(parts)
+    report = reports[0]
+    for r in reports[1:]:
+        report = report.unionByName(r)
+    return TripScan(trips, report, groups, skipped)
 
 
 # ---------------------------------------------- driver tables as trip files

@@ -62,7 +62,7 @@ def test_gbt_importance_and_multistep(spark, hourly_fixture):
     f = Forecaster(ModelConfig(seq_length=4, spec="base", max_iter=5, max_depth=3))
     f.fit(hist)
     imp = f.permutation_importance().toPandas()
-    assert len(imp) == len(f.state.feature_names) and (imp["importance"] >= 0).all()
+    assert set(imp["member"]) == {"all"} and len(imp) == len(f.state.feature_names) and (imp["importance"] >= 0).all()
     # a feature no tree splits on (at any of its L positions) cannot move a prediction
     names, L = f.state.feature_names, f.cfg.seq_length
     fi = f.models["all"].featureImportances.toArray()
@@ -92,6 +92,102 @@ def test_complete_pipeline(spark, hourly_fixture):
 
     hist = _history(spark, hourly_fixture, days=14)
     out = run_complete_pipeline(hist, base_seq_length=4, algorithm="linear")
-    assert set(out) == {"base_metrics", "ensemble_metrics", "multistep_metrics", "forecast_ahead"}
+    assert set(out) == {"base_metrics", "ensemble_metrics", "multistep_metrics", "forecast_ahead",
+                        "importance", "categories", "correlations", "unexpected"}
+    assert out["categories"].count() == 4 and out["correlations"].count() == 16 * 16
     assert out["base_metrics"].first()["n"] > 0
     assert out["multistep_metrics"].count() == 6 and out["forecast_ahead"].count() == 6
+
+
+def test_unsupported_settings_are_refused():
+    import pytest
+
+    for bad in ({"algorithm": "linear", "loss": "mae"}, {"loss": "huber"}, {"loss": "smape"}, {"reg_type": "l2"},
+                {"algorithm": "forest"}, {"algorithm": "linear", "loss": "huber", "reg_type": "l1"},
+                {"algorithm": "linear", "reg_type": "l3"}):
+        with pytest.raises(ValueError):
+            Forecaster(ModelConfig(), **bad)
+    assert Forecaster(ModelConfig(algorithm="linear", reg_type="l1_l2")).cfg.reg_type == "l1_l2"
+
+
+def _two_series(spark, hourly_fixture, days=10):
+    hist = _history(spark, hourly_fixture, days)
+    return (hist.withColumn("line", F.lit("a"))
+            .unionByName(hist.withColumn("line", F.lit("b")).withColumn("trip_count", F.col("trip_count") * 2))
+            .where("not (line = 'b' and datetime >= timestamp_ntz'2023-01-11 21:00:00')"))
+
+
+def test_forecast_scoring_per_series(spark, hourly_fixture):
+    """Every forecast hour after a series' own newest row, from the window before it."""
+    hist = _two_series(spark, hourly_fixture)
+    f = Forecaster(ModelConfig(algorithm="linear", spec="base", seq_length=4, series_cols=("line",)))
+    f.fit(hist)
+    last = pd.Timestamp("2023-01-11 23:00:00")
+    fc = spark.createDataFrame(pd.DataFrame({"datetime": [last + pd.Timedelta(hours=h) for h in range(-1, 7)], "temp": 10.0,
+                                             "rain_1h": 0.0, "weather_main": "Clear"}))
+    got = f.score_forecast(hist, fc).toPandas()
+    a, b = got[got.line == "a"], got[got.line == "b"]
+    assert len(a) == 6 and len(b) == 8 and got.predicted_trips.notna().all()
+    assert (got.target_time == got.datetime).all() and a.datetime.min() == last + pd.Timedelta(hours=1)
+    # the first forecast hour needs history only: it is the window that ends at the newest row
+    first = f.forecast_sequences(hist, fc).where("line = 'a'").orderBy("datetime").first()["seq"]
+    newest = f.latest_sequences(hist).where("line = 'a'").first()["seq"]
+    assert all(abs(x - y) < 1e-9 for x, y in zip(first, newest))
+
+
+def test_importance_samples_are_unique_per_series(spark, hourly_fixture):
+    hist = _two_series(spark, hourly_fixture)
+    f = Forecaster(ModelConfig(algorithm="linear", spec="base", seq_length=3, series_cols=("line",), ensemble=True))
+    f.fit(hist)
+    train = f.result.train_samples
+    ids = train.select("member", F.xxhash64("line", "_rn").alias("i"))
+    assert ids.distinct().count() == ids.count() == train.count()
+    imp = f.permutation_importance().toPandas()
+    assert imp.groupby("member").size().to_dict() == {m: len(f.state.feature_names) for m in ("weekday", "weekend")}
+    assert f.permutation_importance(n_top=2).groupBy("member").count().where("count = 2").count() == 2
+
+
+def test_serving_uses_the_training_medians(spark, hourly_fixture):
+    """A null that training never saw is filled with the stored median; an absent feature counts as raw 0."""
+    hist = _history(spark, hourly_fixture, 8)
+    f = Forecaster(ModelConfig(algorithm="linear", spec="base", seq_length=3))
+    f.fit(hist)
+    holes = hist.withColumn("temp", F.lit(None).cast("double"))
+    filled = hist.withColumn("temp", F.lit(float(f.state.medians_pre["temp"])))
+    a, b = (f.predict(x).first()["predicted_trips"] for x in (holes, filled))
+    assert abs(a - b) < 1e-9
+    assert len(f.state.medians_post) >= len(f.state.feature_names)
+
+
+def test_scalers_see_training_rows_only(spark, hourly_fixture):
+    hist = _history(spark, hourly_fixture, 10)
+    late = hist.withColumn("temp", F.when(F.col("datetime") > F.lit("2023-01-10").cast("timestamp_ntz"), 1e6).otherwise(F.col("temp")))
+    f, g = (Forecaster(ModelConfig(algorithm="linear", spec="base", seq_length=3)) for _ in range(2))
+    f.fit(hist)
+    g.fit(late)
+    assert f.scalers.median["temp"] == g.scalers.median["temp"]
+
+
+def test_multistep_save_load(spark, hourly_fixture):
+    hist = _history(spark, hourly_fixture, 8)
+    f = MultiStepForecaster(ModelConfig(seq_length=4, horizon=2, spec="base", algorithm="linear"))
+    f.fit(hist)
+    d = os.path.join(tempfile.mkdtemp(), "m")
+    f.save(d)
+    want = [tuple(r) for r in f.predict_ahead(hist).orderBy("hours_ahead").collect()]
+    assert [tuple(r) for r in MultiStepForecaster.load(d).predict_ahead(hist).orderBy("hours_ahead").collect()] == want
+
+
+def test_routing_fallbacks(spark):
+    import pytest
+    from hourcast.plans.model import route_member
+
+    days = spark.range(7).select(F.col("id").cast("int").alias("day_of_week"))
+    got = [r[0] for r in days.orderBy("day_of_week").select(route_member(days)).collect()]
+    assert got == ["weekday"] * 5 + ["weekend"] * 2
+    got = [r[0] for r in days.orderBy("day_of_week").select(route_member(days, 24)).collect()]
+    assert got == ["weekday"] * 4 + ["weekend"] * 2 + ["weekday"]
+    flags = spark.createDataFrame([(0,), (1,)], "is_weekend int")
+    assert [r[0] for r in flags.select(route_member(flags)).collect()] == ["weekday", "weekend"]
+    with pytest.raises(ValueError):
+        route_member(spark.range(1))

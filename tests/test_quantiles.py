@@ -12,7 +12,7 @@ def test_exact_quantiles_match_numpy(spark):
     rows = [(float(x), None if np.isnan(y) else float(y), 5.0) for x, y in zip(a, b)]
     df = spark.createDataFrame(rows, "a double, b double, c double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    got = exact_quantiles(df, ["a", "b", "c"], probs, accuracy=1000)
+    got = exact_quantiles(df, ["a", "b", "c"], probs)
     np.testing.assert_allclose(got["a"], np.percentile(a, [p * 100 for p in probs]), rtol=1e-12)
     np.testing.assert_allclose(got["b"], np.nanpercentile(b, [p * 100 for p in probs]), rtol=1e-12)
     assert got["c"] == [5.0] * 5
@@ -24,3 +24,20 @@ def test_summary_counts_and_all_null(spark):
     assert s.nulls == {"x": 1, "y": 3} and s.count["x"] == 2
     assert s.quantiles["x"] == [2.0] and s.quantiles["y"] == [None]
     assert s.min["x"] == 1.0 and s.max["x"] == 3.0
+
+
+def test_tied_values_are_not_gathered(spark, monkeypatch):
+    """A flag that is mostly zero: one bracket value, or one row per quantile, comes to the driver."""
+    from pyspark.sql import DataFrame
+
+    df = spark.range(40000).selectExpr("if(id % 20 = 0, 1.0D, 0.0D) AS flag", "if(id % 4 = 0, id % 7, 0) AS rain",
+                                       "cast(id AS double) AS id")
+    sizes = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: (lambda rows: (sizes.append(len(rows)), rows)[1])(collect(self)))
+    probs = [0.25, 0.5, 0.75, 0.95]
+    got = exact_quantiles(df, ["flag", "rain", "id"], probs)
+    assert isinstance(df, DataFrame) and len(sizes) == 2 and max(sizes) <= 3 * len(probs)
+    pdf = df.toPandas()
+    for c in got:
+        np.testing.assert_allclose(got[c], np.quantile(pdf[c], probs))

@@ -18,3 +18,11 @@ def test_robust_and_minmax_edges(spark):
     c = spark.createDataFrame([(1.0, 4.0), (2.0, 4.0)], "x double, y double")
     sc = fit_scalers(c, ["x"], "y")
     assert {r["y"] for r in transform(c, sc).collect()} == {0.0}
+
+
+def test_absent_feature_is_raw_zero(spark):
+    from hourcast.operators.scaling import Scalers, transform
+
+    s = Scalers(["x", "gone"], "y", {"x": 1.0, "gone": 14.0}, {"x": 0.0, "gone": 12.0}, {"x": 2.0, "gone": 16.0})
+    row = transform(spark.createDataFrame([(3.0, 9.0)], "x double, extra double"), s).first()
+    assert row.asDict() == {"x": 1.0, "gone": -3.5}

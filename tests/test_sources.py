@@ -72,3 +72,17 @@ def test_forecast_rows_and_window(spark):
     r = rows[0]
     assert r["datetime"] == dt.datetime(2024, 1, 1, 10) and r["dew_point"] == 5.0 - 20 / 5
     assert r["snow_1h"] == 0.4 and r["rain_1h"] == 0.0 and r["uvi"] == 0.0 and r["day_of_week"] == 0
+
+
+def test_bad_and_malformed_files(spark, tmp_path):
+    import pytest
+    from hourcast.sources.trips import load_trip_data
+
+    (tmp_path / "a.csv").write_text("started_at,ended_at,start_station_id\n2023-01-01 00:00:00,2023-01-01 00:10:00,1\nbroken,line\n")
+    (tmp_path / "b.csv").write_text("starttime,stoptime,start station id\n2023-01-02 00:00:00,2023-01-02 00:10:00,2\n")
+    (tmp_path / "c.csv").write_text("who,knows\n1,2\n")
+    with pytest.warns(UserWarning):
+        scan = load_trip_data(spark, str(tmp_path))
+    assert [s.rsplit("/", 1)[1] for s in scan.skipped] == ["c.csv"]
+    assert {r["source_file"]: (r["rows"], r["malformed_rows"]) for r in scan.report.collect()} == {"a.csv": (2, 1), "b.csv": (1, 0)}
+    assert {r["source_file"] for r in scan.trips.select("source_file").collect()} == {"a.csv", "b.csv"}
