@@ -163,12 +163,8 @@ def _nth_weekday_sql(month: int, dow: str, n: int) -> str:
     return f"date_add(next_day(date_sub(make_date(year, {month}, 1), 1), '{dow}'), {7 * (n - 1)})"
 
 
-def holiday_table(years: DataFrame, year_col: str = "year") -> DataFrame:
-    """Holiday dates for every year in ``years``, including the Dec 31 observed
-    date of the following New Year. One row per distinct date: ``holiday_date``.
-
-    Size is bounded by 13 × number of distinct years, so it is safe to broadcast.
-    """
+def holiday_rules() -> list[str]:
+    """SQL of every holiday date of ``year``; null where the holiday does not exist that year."""
     rules = []
     for m, d, since in ((1, 1, None), (6, 19, 2021), (7, 4, None), (11, 11, None), (12, 25, None)):
         date = f"make_date(year, {m}, {d})"
@@ -176,7 +172,7 @@ def holiday_table(years: DataFrame, year_col: str = "year") -> DataFrame:
         rules.append(f"CASE WHEN {ok} THEN {date} END")
         rules.append(f"CASE WHEN {ok} THEN CASE weekday({date}) WHEN 5 THEN date_sub({date}, 1) "
                      f"WHEN 6 THEN date_add({date}, 1) END END")
-    rules += [
+    return rules + [
         f"CASE WHEN year >= 1986 THEN {_nth_weekday_sql(1, 'Mon', 3)} END",
         _nth_weekday_sql(2, "Mon", 3),
         "next_day(date_sub(make_date(year, 5, 31), 7), 'Mon')",
@@ -184,9 +180,17 @@ def holiday_table(years: DataFrame, year_col: str = "year") -> DataFrame:
         _nth_weekday_sql(10, "Mon", 2),
         _nth_weekday_sql(11, "Thu", 4),
     ]
+
+
+def holiday_table(years: DataFrame, year_col: str = "year") -> DataFrame:
+    """Holiday dates for every year in ``years``, including the Dec 31 observed
+    date of the following New Year. One row per distinct date: ``holiday_date``.
+
+    Size is bounded by 13 × number of distinct years, so it is safe to broadcast.
+    """
     wanted = years.selectExpr(f"CAST({q(year_col)} AS INT) AS year").where("year IS NOT NULL").distinct()
     yrs = wanted.union(wanted.selectExpr("year + 1 AS year")).distinct()
-    dates = yrs.selectExpr(f"explode(array({', '.join(rules)})) AS holiday_date").where("holiday_date IS NOT NULL")
+    dates = yrs.selectExpr(f"explode(array({', '.join(holiday_rules())})) AS holiday_date").where("holiday_date IS NOT NULL")
     # keep the dates that fall in a requested year (Dec 31 observed comes from y + 1)
     return (dates.join(F.broadcast(wanted), F.year("holiday_date") == F.col("year"), "left_semi")
             .distinct())
@@ -194,15 +198,13 @@ def holiday_table(years: DataFrame, year_col: str = "year") -> DataFrame:
 
 def with_is_holiday(df: DataFrame, ts_col: str = "datetime", out: str = "is_holiday",
                     date_col: str | None = None) -> DataFrame:
-    """Add 0/1 ``is_holiday`` by a broadcast left join to the holiday table (JN-2, FN-FL9)."""
-    d = F.to_date(F.col(ts_col))
-    years = df.select(F.year(d).alias("year")).distinct()
-    hol = holiday_table(years).withColumnRenamed("holiday_date", "_hol_date")
-    tmp = "_hol_key"
-    out_df = (df.withColumn(tmp, d)
-              .join(F.broadcast(hol), F.col(tmp) == F.col("_hol_date"), "left")
-              .withColumn(out, flag(F.col("_hol_date").isNotNull()))
-              .drop("_hol_date"))
-    if date_col:
-        return out_df.withColumnRenamed(tmp, date_col)
-    return out_df.drop(tmp)
+    """Add 0/1 ``is_holiday`` (JN-2, FN-FL9) by date arithmetic on the row's own date: the rules of its
+    year, and the New Year of the year after, which may be observed on Dec 31. No list of years, no join."""
+    d = f"CAST({q(ts_col)} AS DATE)"
+    year = f"year({d})"
+    dates = [r.replace("year", year) for r in holiday_rules()]
+    dates.append(f"CASE weekday(make_date({year} + 1, 1, 1)) WHEN 5 THEN make_date({year}, 12, 31) END")
+    # array_contains is null where a rule is null and none holds
+    hit = f"coalesce(array_contains(filter(array({', '.join(dates)}), x -> x IS NOT NULL), {d}), false)"
+    new = df.withColumn(out, flag(F.expr(hit)))
+    return new.withColumn(date_col, F.expr(d)) if date_col else new

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourcast.functions.calendar import floor_hour, is_weekend_of, weekday_mon0
+from hourcast.session import cut_lineage
 
 START = "standardized_start_time"
 
@@ -30,6 +31,14 @@ def daily_trips(trips: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
                         is_weekend_of(dow).alias("is_weekend"))
 
 
+def hour_station_counts(trips: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
+    """One pass over the trips: ``(series…, datetime, start_station_id, n, first)`` with the smallest
+    (source_file, start time, lat, lng) of each group. Hourly counts and top stations follow from it."""
+    s = list(series_cols)
+    first = F.min(F.struct("source_file", START, "start_lat", "start_lng")).alias("first")
+    return trips.groupBy(*s, floor_hour(START).alias("datetime"), "start_station_id").agg(F.count(F.lit(1)).alias("n"), first)
+
+
 def hourly_counts(trips: DataFrame, series_cols: Sequence[str] = (), ts_col: str = START) -> DataFrame:
     """Trips per hour (AG-2): ``(series…, datetime, trip_count)``."""
     s = list(series_cols)
@@ -38,39 +47,50 @@ def hourly_counts(trips: DataFrame, series_cols: Sequence[str] = (), ts_col: str
             .agg(F.count(F.lit(1)).alias("trip_count")))
 
 
+def top_of(groups: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
+    """Top station from ``hour_station_counts`` (or any finer split of it)."""
+    s = list(series_cols)
+    per_station = (groups.where(F.col("start_station_id").isNotNull()).groupBy(*s, "start_station_id")
+                   .agg(F.sum("n").alias("station_trips"), F.min("first").alias("first")))
+    best = per_station.groupBy(*s).agg(
+        F.min_by(F.struct("start_station_id", "station_trips", "first"),
+                 F.struct(-F.col("station_trips"), F.col("start_station_id"))).alias("_top"))
+    return best.select(*s,
+                       F.col("_top.start_station_id").alias("start_station_id"),
+                       F.col("_top.station_trips").alias("station_trips"),
+                       F.col("_top.first.start_lat").alias("latitude"),
+                       F.col("_top.first.start_lng").alias("longitude"))
+
+
 def top_station(trips: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
     """Most used start station and the coordinates of its first trip (AG-4, TK-5).
 
     Ties on the count go to the lowest station id; "first trip" is the
     smallest (source_file, start time, lat, lng), a deterministic stand-in for
-    file order. Both steps are mergeable aggregates (no global sort).
+    file order. All steps are mergeable aggregates (no global sort).
     """
     s = list(series_cols)
-    per_station = (trips.where(F.col("start_station_id").isNotNull())
-                   .groupBy(*s, "start_station_id")
-                   .agg(F.count(F.lit(1)).alias("station_trips"),
-                        F.min_by(F.struct("start_lat", "start_lng"),
-                                 F.struct("source_file", START, "start_lat", "start_lng")).alias("_first")))
-    best = per_station.groupBy(*s).agg(
-        F.min_by(F.struct("start_station_id", "station_trips", "_first"),
-                 F.struct(-F.col("station_trips"), F.col("start_station_id"))).alias("_top"))
-    return best.select(*s,
-                       F.col("_top.start_station_id").alias("start_station_id"),
-                       F.col("_top.station_trips").alias("station_trips"),
-                       F.col("_top._first.start_lat").alias("latitude"),
-                       F.col("_top._first.start_lng").alias("longitude"))
+    first = F.min(F.struct("source_file", START, "start_lat", "start_lng")).alias("first")
+    return top_of(trips.groupBy(*s, "start_station_id").agg(F.count(F.lit(1)).alias("n"), first), s)
 
 
 def hourly_trips(trips: DataFrame, series_cols: Sequence[str] = (), with_coords: bool = True) -> DataFrame:
     """Hourly series with calendar columns and top-station coordinates
     (AG-2, PRJ-4, PRJ-10, AG-4, FLT-4, TK-5, JN-3).
 
-    The coordinate table has one row per series: with one system-wide series
-    it is a one-row broadcast; with many series AQE picks broadcast or
+    The trips are read once: counts per hour and station are written to the shared
+    folder, and both the hourly counts and the top station are sums over them.
+    The coordinate table has one row per series: with one system-wide series its
+    two values are literals; with many series AQE picks broadcast or
     shuffle from its runtime size (the number of series is not bounded).
     """
     s = list(series_cols)
-    hourly = hourly_counts(trips, s)
+    coords = with_coords and "start_station_id" in trips.columns
+    if coords:
+        groups = cut_lineage(hour_station_counts(trips, s))
+        hourly = groups.where(F.col("datetime").isNotNull()).groupBy(*s, "datetime").agg(F.sum("n").alias("trip_count"))
+    else:
+        hourly = hourly_counts(trips, s)
     dow = weekday_mon0("datetime")
     hourly = hourly.select(*s, "datetime", "trip_count",
                            F.hour("datetime").alias("hour"),
@@ -78,16 +98,11 @@ def hourly_trips(trips: DataFrame, series_cols: Sequence[str] = (), with_coords:
                            dow.alias("day_of_week"),
                            F.month("datetime").alias("month"),
                            is_weekend_of(dow).alias("is_weekend"))
-    if not with_coords or "start_station_id" not in trips.columns:
-        return hourly.withColumns({"latitude": F.lit(None).cast("double"),
-                                   "longitude": F.lit(None).cast("double")})
-    coords = top_station(trips, s).select(*s, "latitude", "longitude")
-    if s:
-        return hourly.join(coords, on=s, how="left")
-    # one system-wide series: a one-row lookup, joined on a constant key
-    coords = coords.withColumn("_one", F.lit(1))
-    return (hourly.withColumn("_one", F.lit(1))
-            .join(F.broadcast(coords), on="_one", how="left").drop("_one"))
+    if coords and s:
+        return hourly.join(top_of(groups, s).select(*s, "latitude", "longitude"), on=s, how="left")
+    top = top_of(groups).first() if coords else None
+    at = {c: F.lit(top[c] if top else None).cast("double") for c in ("latitude", "longitude")}
+    return hourly.withColumns(at)
 
 
 def fill_hour_gaps(hourly: DataFrame, series_cols: Sequence[str] = (), value: str = "trip_count") -> DataFrame:
@@ -113,10 +128,14 @@ def fill_hour_gaps(hourly: DataFrame, series_cols: Sequence[str] = (), value: st
                         is_weekend_of(dow).alias("is_weekend"), *rest)
 
 
-def create_aggregations(trips: DataFrame, series_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Daily and hourly aggregates over one scan (AG-3). Cache ``trips`` first
-    when both are materialised."""
-    return daily_trips(trips, series_cols), hourly_trips(trips, series_cols)
+def daily_and_hourly(trips: DataFrame, series_cols: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Daily and hourly aggregates from one scan (AG-3): days are sums over the hourly counts."""
+    s = list(series_cols)
+    hourly = cut_lineage(hourly_trips(trips, s))
+    daily = hourly.groupBy(*s, F.to_date("datetime").alias("date")).agg(F.sum("trip_count").alias("trip_count"))
+    dow = weekday_mon0("date")
+    return daily.select(*s, "date", "trip_count", dow.alias("day_of_week"), F.month("date").alias("month"),
+                        is_weekend_of(dow).alias("is_weekend")), hourly
 
 
 def distinct_hours(df: DataFrame, ts_col: str = "datetime") -> DataFrame:

@@ -272,6 +272,26 @@ top AS (SELECT *, row_number() OVER (ORDER BY importance DESC NULLS LAST, featur
         ORDER BY importance DESC NULLS LAST, feature LIMIT 15)"""
 
 
+def _ols_ctes(member: str, h: int = H, after: int = H + 1, part: str = "test") -> str:
+    """Least squares of the count ``h`` rows ahead on the count, fitted per member on the first rows;
+    a row needs ``after`` rows behind it."""
+    return f"""{EV_TRIPS},
+h AS (SELECT date_trunc('hour', st) AS datetime, CAST(count(*) AS DOUBLE) AS y FROM ev_trips WHERE st IS NOT NULL GROUP BY ALL),
+s AS (SELECT datetime, datetime + INTERVAL {h} HOUR AS target_time, y AS x, lead(y, {h}) OVER (ORDER BY datetime) AS t,
+             row_number() OVER (ORDER BY datetime) AS rn, count(*) OVER () AS n FROM h),
+e AS (SELECT *, {member} AS member FROM s WHERE rn <= n - {after}),
+o AS (SELECT *, row_number() OVER (PARTITION BY member ORDER BY datetime) AS i, count(*) OVER (PARTITION BY member) AS m FROM e),
+l AS (SELECT *, CASE WHEN i <= (m - ceil(m * 0.2)) - ceil((m - ceil(m * 0.2)) * 0.25) THEN 'train'
+                     WHEN i <= m - ceil(m * 0.2) THEN 'val' ELSE 'test' END AS split FROM o),
+f AS (SELECT member, regr_slope(t, x) AS b, regr_intercept(t, x) AS a FROM l WHERE split = 'train' GROUP BY member),
+pred AS (SELECT member, datetime, target_time, t AS actual, a + b * x AS predicted FROM l JOIN f USING (member) WHERE split = '{part}')"""
+
+
+def _ols(member: str, h: int = H, after: int = H + 1, part: str = "test", actual: bool = True) -> str:
+    told = r("actual", "actual") + ", " if actual else ""
+    return f"WITH {_ols_ctes(member, h, after, part)}\nSELECT member, datetime, target_time, {told}{r('predicted', 'predicted')} FROM pred"
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     std_cols = """source_file, st AS standardized_start_time, et AS standardized_end_time,
@@ -286,6 +306,9 @@ SELECT CAST(dte AS TIMESTAMP) AS date, count(*) AS trip_count, CAST(isodow(dte)
        CAST(month(dte) AS INTEGER) AS month, CAST(isodow(dte) >= 6 AS INTEGER) AS is_weekend
 FROM (SELECT CAST(st AS DATE) AS dte FROM trips WHERE st IS NOT NULL) GROUP BY dte"""
 
+    q["daily_from_hourly"] = q["daily_trips"]
+    q["distinct_hours"] = f"WITH {EV_TRIPS} SELECT DISTINCT date_trunc('hour', st) AS datetime FROM ev_trips WHERE st IS NOT NULL"
+
     q["hourly_trips"] = f"WITH {EV_TRIPS},{hourly_cte()}\n" + sel(HOURLY_COLS, HOURLY_COLS_D, "hourly")
     q["hourly_trips_union"] = f"WITH {TRIPS},{hourly_cte('trips')}\n" + sel(HOURLY_COLS, HOURLY_COLS_D, "hourly")
     q["hourly_from_csv"] = q["hourly_trips_union"]
@@ -439,6 +462,23 @@ SELECT rn AS _rn, target_time, {r('actual', 'actual')}, {r('predicted', 'predict
        {r('actual - predicted', 'residual')}, {r('abs(actual - predicted)', 'abs_error')}
 FROM pred ORDER BY rn LIMIT 200"""
 
+    names = ["trip_count", "temp", "rain_1h", "humidity"]
+    q["correlation_nulls"] = f"WITH {EV_TRIPS},{hourly_cte()},{WEATHER},{ENRICHED}\n" + " UNION ALL ".join(
+        f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, {r(f'CASE WHEN isnan(corr({d(a)}, {d(b)})) THEN NULL ELSE corr({d(a)}, {d(b)}) END', 'corr')} FROM enriched"
+        for a in names for b in names)
+
+    member = "CASE WHEN isodow(target_time) >= 6 THEN 'weekend' ELSE 'weekday' END"
+    q["model_ols_predictions"] = _ols("'all'")
+    q["model_ols_ensemble"] = _ols(member)
+    q["model_ols_next"] = _ols("'all'", h=1, after=1)
+    q["model_ols_saved"] = _ols(member, part="train", actual=False)
+    q["model_ols_metrics"] = f"WITH {_ols_ctes(chr(39) + 'all' + chr(39))}\nSELECT 'all' AS member, {_metrics_select()} FROM pred"
+    steps = []
+    for h in range(1, 7):
+        steps.append(f"(WITH {_ols_ctes(chr(39) + 'all' + chr(39), h=h, after=6)}\nSELECT CAST({h} AS INTEGER) AS hours_ahead, datetime, "
+                     f"{r('actual', 'actual')}, {r('predicted', 'predicted')} FROM pred)")
+    q["model_ols_multistep"] = "\nUNION ALL\n".join(steps)
+
     imp = importance_ctes()
     q["importance_top"] = f"WITH {imp}\nSELECT feature, {r('importance', 'importance')}, CAST(rank AS INTEGER) AS rank FROM top"
 

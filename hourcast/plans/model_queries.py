@@ -1,5 +1,7 @@
-"""Registered model queries (Spark ML). Their outputs depend on a trained
-model, so they have no SQL oracle: the driver records a rows-only check and
+"""Registered model queries (Spark ML). The ``model_ols_*`` queries run the whole
+model path — scaling, sequences, split, fit, routing, scoring, saving — with a
+least-squares model of one lag, which SQL can restate (``regr_slope``). The
+others depend on trained trees or penalised fits and have no SQL oracle;
 ``tests/test_model.py`` checks them against hand-computed expectations.
 
 Fitted forecasters are memoised per (session, table folder, config) so that
@@ -8,16 +10,18 @@ queries sharing a model do not retrain it.
 
 from __future__ import annotations
 
-import os
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourcast.operators.features import FeatureState
+from hourcast.operators.windows import add_row_index
 from hourcast.plans.ingest import driver_forecast
 from hourcast.plans.model import (PRESETS, Forecaster, ModelConfig, MultiStepForecaster,
                                   run_experiments)
-from hourcast.plans.queries import enriched_table, features, presented
+from hourcast.plans.queries import enriched_table, features, hourly_table, presented
 from hourcast.session import checkpoint_dir, session_key
 
 _FITTED: dict = {}
@@ -93,12 +97,69 @@ def q_model_permutation_importance(spark: SparkSession, sf: str) -> DataFrame:
 def q_model_forecast_scoring(spark: SparkSession, sf: str) -> DataFrame:
     """History ∪ forecast rows scored hour by hour (ML-15, ST-2, WN-9).
 
-    The model is trained on the first 20 days; the forecast rows are the
-    derived 3-hourly forecast after that point."""
-    f = _fitted(spark, sf, ModelConfig())
-    hist = enriched_table(spark, sf).where(F.col("datetime") < F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
-    fc = driver_forecast(spark, sf, "2024-01-20 00:00:00", 240)
-    return presented(f.score_forecast(hist, fc))
+    History ends ten days before the newest hour; the model sees nothing after it,
+    and the forecast rows are the derived 3-hourly forecast from there on."""
+    whole = enriched_table(spark, sf)
+    newest = whole.agg(F.max("datetime")).first()[0]
+    cut = newest - timedelta(days=10) if newest is not None else datetime(2000, 1, 1)
+    hist = whole.where(F.col("datetime") <= F.lit(cut).cast("timestamp_ntz"))
+    f = Forecaster(ModelConfig())
+    f.fit(hist)
+    return presented(f.score_forecast(hist, driver_forecast(spark, sf, f"{cut:%Y-%m-%d %H:%M:%S}", 240)))
+
+
+# ------------------------------------------------- least squares on one lag
+
+def _one_lag(spark: SparkSession, sf: str):
+    """The hourly series with one feature, the count itself: (table, state)."""
+    hourly = hourly_table(spark, sf).select("datetime", "trip_count", "is_weekend", F.col("trip_count").cast("double").alias("level"))
+    return add_row_index(hourly, "datetime"), FeatureState("base", [], feature_names=["level"])
+
+
+OLS = ModelConfig(spec="base", algorithm="linear", seq_length=1, horizon=2)
+
+
+def _ols(spark: SparkSession, sf: str, **overrides) -> Forecaster:
+    f = Forecaster(OLS, **overrides)
+    f.fit(hourly_table(spark, sf), features=_one_lag(spark, sf))
+    return f
+
+
+def q_model_ols_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Test predictions of the single model (ML-3, ML-4, ML-12, FN-NU7)."""
+    return presented(_ols(spark, sf).result.test_predictions.drop("_rn"))
+
+
+def q_model_ols_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Test metrics of the single model (ML-12, AG-14..16)."""
+    return presented(_ols(spark, sf).result.metrics)
+
+
+def q_model_ols_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    """Test predictions of the weekday / weekend members (ML-9, ML-10, FLT-1)."""
+    return presented(_ols(spark, sf, ensemble=True).result.test_predictions.drop("_rn"))
+
+
+def q_model_ols_next(spark: SparkSession, sf: str) -> DataFrame:
+    """Test predictions with the next row as target (WN-7)."""
+    return presented(_ols(spark, sf, mode="next").result.test_predictions.drop("_rn"))
+
+
+def q_model_ols_multistep(spark: SparkSession, sf: str) -> DataFrame:
+    """Test predictions of the direct models for steps 1…6 (ML-13)."""
+    m = MultiStepForecaster(OLS, horizon=6)
+    m.fit(hourly_table(spark, sf), features=_one_lag(spark, sf))
+    return presented(m.test_predictions)
+
+
+def q_model_ols_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """Ensemble saved, loaded, and scoring every sequence of the series (SNK-4, SRC-8, ST-3)."""
+    f = _ols(spark, sf, ensemble=True)
+    path = f"{checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    f.save(path)
+    g = Forecaster.load(path)
+    seqs = f.result.train_samples.select("datetime", "target_time", "_rn", "seq", "features")
+    return presented(g._route_and_score(seqs).drop("_rn"))
 
 
 def q_model_experiments(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,8 +171,7 @@ def q_model_experiments(spark: SparkSession, sf: str) -> DataFrame:
 def q_model_save_load(spark: SparkSession, sf: str) -> DataFrame:
     """Save an ensemble to the shared checkpoint folder, load it, score (SNK-4, SRC-8)."""
     f = _fitted(spark, sf, ModelConfig(ensemble=True))
-    base = checkpoint_dir(spark) or os.path.join(os.getcwd(), "spark-warehouse")
-    path = os.path.join(base, f"model-{uuid.uuid4().hex}")
+    path = f"{checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
     f.save(path)
     g = Forecaster.load(path)
     return presented(g.predict(enriched_table(spark, sf)))
@@ -139,6 +199,12 @@ def q_model_per_series(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MODEL_REGISTRY = {
+    "model_ols_predictions": q_model_ols_predictions,
+    "model_ols_metrics": q_model_ols_metrics,
+    "model_ols_ensemble": q_model_ols_ensemble,
+    "model_ols_next": q_model_ols_next,
+    "model_ols_multistep": q_model_ols_multistep,
+    "model_ols_saved": q_model_ols_saved,
     "model_per_series": q_model_per_series,
     "model_base_next": q_model_base_next,
     "model_h24": q_model_h24,

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from hourcast.functions.calendar import calendar_columns, cyclical, holiday_table, with_is_holiday
 from hourcast.functions.sqlexpr import q
 from hourcast.operators import analysis, metrics, scaling, sequences, topk
-from hourcast.operators.aggregate import daily_trips, fill_hour_gaps, hourly_trips, top_station
+from hourcast.operators.aggregate import daily_and_hourly, daily_trips, distinct_hours, fill_hour_gaps, hourly_trips, top_station
 from hourcast.operators.features import SPECS, materialized_features
 from hourcast.operators.windows import RN, add_row_index, halo_window, lag_columns
 from hourcast.plans.ingest import driver_enriched, driver_forecast, driver_hourly, driver_weather
@@ -99,19 +99,33 @@ def q_hourly_from_csv(spark: SparkSession, sf: str) -> DataFrame:
     """File path end to end (SRC-1..4, ST-1): ``events`` and ``orders`` are
     written as trip CSVs of the two header generations into the shared
     checkpoint folder, scanned back with header dispatch, counted per hour."""
-    import os
     import uuid
 
     from hourcast.session import checkpoint_dir
     from hourcast.sources.trips import events_as_new_header, load_trip_data, orders_as_legacy_header
 
-    folder = os.path.join(checkpoint_dir(spark) or os.path.join(os.getcwd(), "spark-warehouse"),
-                          f"trips-{uuid.uuid4().hex}")
+    folder = f"{checkpoint_dir(spark)}/trips-{uuid.uuid4().hex}"
     fmt = {"header": True, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
-    events_as_new_header(read_table_(spark, sf, "events")).write.options(**fmt).csv(f"{folder}/new")
-    orders_as_legacy_header(read_table_(spark, sf, "orders")).write.options(**fmt).csv(f"{folder}/legacy")
-    parts = [load_trip_data(spark, f"{folder}/{g}").trips for g in ("new", "legacy")]
-    return presented(hourly_trips(parts[0].unionByName(parts[1], allowMissingColumns=True)))
+    # one folder with files of both generations
+    events_as_new_header(read_table_(spark, sf, "events")).write.options(**fmt).csv(folder)
+    orders_as_legacy_header(read_table_(spark, sf, "orders")).write.mode("append").options(**fmt).csv(folder)
+    return presented(hourly_trips(load_trip_data(spark, folder).trips))
+
+
+def q_daily_from_hourly(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily totals that share the hourly aggregate's scan (AG-3)."""
+    daily, _ = daily_and_hourly(driver_trips(spark, sf, include_legacy=True))
+    return presented(daily)
+
+
+def q_distinct_hours(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours that weather is asked for (AG-8)."""
+    return distinct_hours(driver_hourly(spark, sf, SERIES))
+
+
+def q_correlation_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlation over pairwise complete rows of a table with nulls (AG-19)."""
+    return presented(analysis.correlation_long(enriched_table(spark, sf), ["trip_count", "temp", "rain_1h", "humidity"]))
 
 
 def q_hourly_by_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -327,6 +341,9 @@ REGISTRY = {
     "hourly_trips_union": q_hourly_trips_union,
     "hourly_by_series": q_hourly_by_series,
     "hourly_from_csv": q_hourly_from_csv,
+    "daily_from_hourly": q_daily_from_hourly,
+    "distinct_hours": q_distinct_hours,
+    "correlation_nulls": q_correlation_nulls,
     "hourly_filled": q_hourly_filled,
     "top_station": q_top_station,
     "weather_rows": q_weather_rows,
