@@ -204,7 +204,6 @@ def with_is_holiday(df: DataFrame, ts_col: str = "datetime", out: str = "is_holi
     year = f"year({d})"
     dates = [r.replace("year", year) for r in holiday_rules()]
     dates.append(f"CASE weekday(make_date({year} + 1, 1, 1)) WHEN 5 THEN make_date({year}, 12, 31) END")
-    # array_contains is null where a rule is null and none holds
-    hit = f"coalesce(array_contains(filter(array({', '.join(dates)}), x -> x IS NOT NULL), {d}), false)"
+    hit = f"{d} IS NOT NULL AND ({' OR '.join(f'({d} <=> ({x}))' for x in dates)})"
     new = df.withColumn(out, flag(F.expr(hit)))
     return new.withColumn(date_col, F.expr(d)) if date_col else new
