@@ -52,3 +52,15 @@ def test_preprocess_fill_gaps_makes_lags_hourly(spark):
     assert got["trip_count"].tolist() == [10, 20, 0, 0, 40]
     assert got["trip_count_lag_3"].iloc[4] == 20       # 3 hours back, not 3 rows back
     assert got["temp"].iloc[2] == 2.0                  # filled hour: weather imputed by the median
+
+
+def test_cluster_without_a_shared_folder_is_an_error():
+    import types
+
+    import pytest
+    from hourcast.session import checkpoint_dir
+
+    context = types.SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d: None), sparkContext=context)
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(session)
