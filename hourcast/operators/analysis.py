@@ -163,15 +163,16 @@ def feature_categories(imp: DataFrame, variant: str = "h2", feature: str = "feat
 
 
 def category_importance(imp: DataFrame, variant: str = "h2") -> DataFrame:
-    """Summed importance per category and its share of the category total (AN-3, AG-13).
-    Categories without a matching feature report 0."""
+    """Summed importance per category, its share of the category total (AN-3, AG-13), and its rank by
+    importance, ties by name (TK-7). Categories without a matching feature report 0."""
     pats = CATEGORY_PATTERNS[variant]
     cats = imp.sparkSession.createDataFrame([(c,) for c in pats], "category string")
     sums = feature_categories(imp, variant).groupBy("category").agg(F.sum("importance").alias("importance"))
     # ≤ 4 rows: the share window over all categories is a one-partition step on a tiny table
     out = cats.join(sums, "category", "left").withColumn("importance", F.coalesce("importance", F.lit(0.0)))
     total = F.sum("importance").over(Window.partitionBy())
-    return out.withColumn("share", F.try_divide(F.col("importance"), total))
+    rank = F.row_number().over(Window.orderBy(F.desc("importance"), "category"))
+    return out.withColumn("share", F.try_divide(F.col("importance"), total)).withColumn("rank", rank)
 
 
 def unexpected_features(df: DataFrame, imp: DataFrame, target: str = "trip_count", top_n: int = 15,

@@ -8,8 +8,7 @@ rounded to 6 digits (``+ 0.0`` folds −0.0), dates as midnight timestamps.
 
 from __future__ import annotations
 
-from hourcast.operators.analysis import CATEGORY_PATTERNS
-from hourcast.operators.features import SPECS
+from types import SimpleNamespace
 
 L, H = 12, 2
 FORECAST_NOW = "2024-01-10 00:00:00"
@@ -19,6 +18,25 @@ FORECAST_HOURS = 168
 WEATHER_CATEGORIES = ["click", "error", "purchase", "signup", "view"]
 
 
+# Fixed values, written here once more so that a wrong list in the engine shows: lags, rolling
+# windows and differences of the feature sets.
+SPECS = {
+    "h2": SimpleNamespace(lags=(1, 2, 3, 6, 9, 12, 24), ma=(2, 3, 6, 12, 24), std=(2, 3, 6, 12, 24), diff=(1, 2, 3, 6, 12, 24), day_hour_flags=True),
+    "h2_frame": SimpleNamespace(lags=(1, 2, 3, 6, 9, 12, 24), ma=(2, 3, 6, 12, 24), std=(2, 3, 6, 12, 24), diff=(1, 2, 3, 6, 12, 24), day_hour_flags=True),
+    "h3": SimpleNamespace(lags=(1, 2, 3, 6, 9, 12, 24), ma=(3, 6, 12, 24), std=(3, 6, 12, 24), diff=(1, 3, 6, 12, 24), day_hour_flags=True),
+    "h24": SimpleNamespace(lags=(1, 2, 3, 6, 12, 24, 48), ma=(3, 6, 12, 24, 48), std=(24, 48), diff=(1, 24, 48), day_hour_flags=True),
+    "base": SimpleNamespace(lags=(1, 2, 3, 6, 12, 24), ma=(3, 6, 12, 24), std=(24,), diff=(1, 24), day_hour_flags=False),
+}
+# Name patterns of the feature categories (h2).
+CATEGORIES = {
+    "Weather": ["temp", "feels_like", "humidity", "rain_1h", "snow_1h", "wind_speed", "clouds"],
+    "Time": ["hour_sin", "hour_cos", "day_sin", "day_cos", "month_sin", "month_cos", "day_of_week_sin", "day_of_week_cos"],
+    "Special Periods": ["is_weekend", "is_holiday", "is_rush_hour_am", "is_rush_hour_pm", "is_business_hours", "is_night"],
+    "Historical": ["trip_count_lag_1", "trip_count_lag_2", "trip_count_lag_3", "trip_count_ma_2h", "trip_count_ma_3h", "trip_count_ma_6h",
+                   "trip_count_std_2h", "trip_count_std_3h", "trip_count_std_6h", "trip_count_diff_1", "trip_count_diff_2", "trip_count_diff_3"],
+}
+
+
 def r(expr: str, name: str) -> str:
     return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS \"{name}\""
 
@@ -482,8 +500,8 @@ FROM pred ORDER BY rn LIMIT 200"""
     imp = importance_ctes()
     q["importance_top"] = f"WITH {imp}\nSELECT feature, {r('importance', 'importance')}, CAST(rank AS INTEGER) AS rank FROM top"
 
-    cat_rows = ", ".join(f"('{c}', '{p}')" for c, ps in CATEGORY_PATTERNS["h2"].items() for p in ps)
-    cat_names = ", ".join(f"('{c}')" for c in CATEGORY_PATTERNS["h2"])
+    cat_rows = ", ".join(f"('{c}', '{p}')" for c, ps in CATEGORIES.items() for p in ps)
+    cat_names = ", ".join(f"('{c}')" for c in CATEGORIES)
     q["category_importance"] = f"""WITH {imp},
 pats AS (SELECT * FROM (VALUES {cat_rows}) AS t(category, pattern)),
 cats AS (SELECT * FROM (VALUES {cat_names}) AS t(category)),
@@ -491,7 +509,8 @@ hit AS (SELECT DISTINCT p.category, i.feature, i.importance FROM imp i JOIN pats
 s AS (SELECT c.category, coalesce(sum(h.importance), 0.0) AS importance FROM cats c LEFT JOIN hit h USING (category)
       GROUP BY c.category)
 SELECT category, {r('importance', 'importance')},
-       {r('CASE WHEN sum(importance) OVER () = 0 THEN NULL ELSE importance / sum(importance) OVER () END', 'share')}
+       {r('CASE WHEN sum(importance) OVER () = 0 THEN NULL ELSE importance / sum(importance) OVER () END', 'share')},
+       CAST(row_number() OVER (ORDER BY importance DESC, category) AS INTEGER) AS rank
 FROM s"""
 
     q["correlation_top"] = f"""WITH {imp},
