@@ -1,6 +1,6 @@
 import pytest
+from llm_brute import SF
 
-SF = "/root/testdata/sf0.001"
 LONG = 60_000
 
 
@@ -47,6 +47,3 @@ def small(spark):
 def labels(spark):
     return spark.read.parquet(f"{SF}/labels.parquet")
 
-
-def rows_of(df, *columns):
-    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)

@@ -7,10 +7,9 @@ import struct
 
 import numpy as np
 import pytest
-from conftest import SF, rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_brute import WORD, groups, shingles, water
+from llm_brute import SF, WORD, groups, rows_of, shingles, water
 from pyspark.sql import functions as F
 
 import corpus_pipeline
