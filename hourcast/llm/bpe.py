@@ -18,7 +18,6 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,11 +32,13 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: Words up to this many bytes use the array scan.
 SHORT = 96
 #: Words remembered in a task; beyond it the memory is emptied and fills again.
-MEMORY = 500_000
+MEMORY = 300_000
 #: Characters of text whose new words are encoded together.
-TOGETHER = 1_000_000
+TOGETHER = 500_000
 
 NO_RANK = 1 << 62
+#: How ids are stored in the memory of words.
+ID = np.dtype("<i4")
 
 
 def byte_letters() -> dict[str, int]:
@@ -76,7 +77,7 @@ class Codec:
         self.number = [str(i) for i in range(len(self.piece))]
         self.word = regex.compile(WORD)
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.seen: dict[str, bytes] = {}  # word to its ids, four bytes each
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 24 | right
@@ -128,7 +129,8 @@ class Codec:
         for size, group in sized.items():
             parts = self.byte_id[np.frombuffer(b"".join(raw for _, raw in group), np.uint8)].reshape(len(group), size)
             for rows, done in self.scan(parts):
-                self.seen.update((group[r][0], tuple(ids)) for r, ids in zip(rows.tolist(), done.tolist()))
+                ids, width = done.astype(ID).tobytes(), ID.itemsize * done.shape[1]
+                self.seen.update((group[r][0], ids[i * width : (i + 1) * width]) for i, r in enumerate(rows.tolist()))
 
     def long(self, parts: list[int]) -> list[int]:
         look, n = self.pairs.get, len(parts)
@@ -161,12 +163,12 @@ class Codec:
             at = m.end()
         return parts + self.word.findall(text[at:] if at else text)
 
-    def known(self, part: str | int) -> tuple[int, ...]:
+    def known(self, part: str | int) -> bytes:
         if isinstance(part, int):
-            return (part,)
-        return self.seen.get(part) or tuple(self.long([int(self.byte_id[b]) for b in part.encode("utf-8")]))
+            return ID.type(part).tobytes()
+        return self.seen.get(part) or np.array(self.long([int(self.byte_id[b]) for b in part.encode("utf-8")]), ID).tobytes()
 
-    def encode_many(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text, in order; texts are taken together until they reach ``TOGETHER`` characters."""
         held, size = [], 0
         for t in texts:
@@ -177,7 +179,7 @@ class Codec:
                 held, size = [], 0
         yield from self.flushed(held)
 
-    def flushed(self, held: list[list[str | int]]) -> Iterator[list[int]]:
+    def flushed(self, held: list[list[str | int]]) -> Iterator[np.ndarray]:
         words = set().union(*held).difference(self.special.values())
         new = words - self.seen.keys()
         if len(self.seen) + len(new) > MEMORY:
@@ -187,12 +189,13 @@ class Codec:
         look = self.seen.__getitem__
         for parts in held:
             try:
-                yield list(chain.from_iterable(map(look, parts)))
+                ids = b"".join(map(look, parts))
             except KeyError:  # special tokens and long words are not in the memory
-                yield list(chain.from_iterable(map(self.known, parts)))
+                ids = b"".join(map(self.known, parts))
+            yield np.frombuffer(ids, ID)
 
     def encode(self, text: str | None) -> list[int]:
-        return next(self.encode_many([text]))
+        return next(self.encode_many([text])).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.piece.__getitem__, ids)).decode("utf-8", "replace")
@@ -240,7 +243,7 @@ def digest(source: str):
         codec = Codec(source)
         for part in texts:
             rows = [(len(ids), sha256_hex(codec.listed(ids).encode()), sha256_hex(codec.decode(ids).encode("utf-8")))
-                    for ids in codec.encode_many(part)]
+                    for ids in map(np.ndarray.tolist, codec.encode_many(part))]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests
