@@ -8,8 +8,10 @@ code length under a language is the sum over all of its bytes.
 
 Frozen costs are looked up, not walked: the byte triples seen in training are
 numbered, an array over all triples holds the number (bounded: 2^24 entries of 4
-bytes a worker), and the costs of all languages lie in one row. A triple that
-training has not seen costs its escape plus the cost of its pair.
+bytes a worker), and the costs of all languages of a table lie in one row. A triple that
+training has not seen costs its escape plus the cost of its pair. All languages and
+all their triples count; where their costs are too many for one table, the languages
+are parted, every text is scored part by part, and the shortest code of all wins.
 
 Cases: null text, or a text without a letter, is ``und`` with score 0; texts are
 read whole; rows with null text, lang or doc_id teach nothing; equal code lengths
@@ -35,8 +37,9 @@ from hourcast.llm.common import stored
 BLOCK = 1 << 20
 TRIPLES = 1 << 24
 ASCII_LETTER = re.compile("[A-Za-z]")
-#: Bound of the table that goes to every task: languages times contexts of the most frequent triples.
-LANGUAGES, CONTEXTS = 16, 100_000
+#: Costs (triples times languages) of the languages that are scored together; a language with more is
+#: scored alone and has at most ``TRIPLES``.
+TABLE = 1 << 23
 #: Bytes of text whose triples a task holds before it sums them.
 HELD = 24 << 20
 
@@ -118,23 +121,43 @@ def frozen(languages: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]
     return Model(languages, keys, costs, escape, pair_keys, pairs)
 
 
-def learn(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lang") -> Model:
-    """Context counts over all rows of ``docs`` that ``learnable`` says teach.
-
-    Only sums leave the executors: per language at most ``CONTEXTS`` triples, the most frequent,
-    get costs of their own, and the ``LANGUAGES`` most frequent languages are told apart.
-    """
+def counted(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, triple, n) over all rows of ``docs`` that ``learnable`` says teach."""
     taught = docs.where(learnable & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     sums = taught.mapInArrow(count, "lang string, triple int, n long").groupBy("lang", "triple").agg(F.sum("n").alias("n"))
-    sums = stored(sums, "language-counts")
-    languages = sorted(r["lang"] for r in sums.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    return stored(sums, "language-counts")
+
+
+def together(sums: DataFrame) -> list[list[str]]:
+    """All languages in order, parted so that each part's costs stay within ``TABLE``, a single language's aside."""
+    parts: list[list[str]] = []
+    held = 0
+    for r in sorted(sums.groupBy("lang").count().collect(), key=lambda r: r["lang"]):
+        held += r["count"]
+        if not parts or held * (len(parts[-1]) + 1) > TABLE:
+            parts.append([])
+            held = r["count"]
+        parts[-1].append(r["lang"])
+    return parts
+
+
+def model_of(sums: DataFrame, languages: list[str]) -> Model:
+    """The frozen costs of ``languages`` from every triple counted in them."""
     counts = {}
     for name in languages:
-        top = sums.where(F.col("lang") == name).select("triple", "n").orderBy(F.desc("n"), "triple").limit(CONTEXTS).toPandas().sort_values("triple")
-        counts[name] = (top["triple"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
+        mine = sums.where(F.col("lang") == name).select("triple", "n").toArrow()
+        triple, n = (mine.column(c).to_numpy() for c in ("triple", "n"))
+        order = np.argsort(triple)
+        counts[name] = (triple[order].astype(np.int64), n[order])
     return frozen(languages, counts)
 
 
+def learn(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lang") -> Model:
+    """One model of all languages; ``predict_documents`` parts them instead if their costs are many."""
+    sums = counted(docs, learnable, text, lang)
+    return model_of(sums, [name for part in together(sums) for name in part])
+
+
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
@@ -157,12 +180,17 @@ class Scorer:
             total += m.costs[at].sum(0, dtype=float)
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def best(self, text: str | None) -> tuple[str, float, float]:
+        """The language of the shortest code, its length, and the likelihood of all languages as a multiple of its own."""
         if not self.model.languages or not has_letter(text):
-            return "und", 0.0
+            return "und", 0.0, 0.0
         bits = self.bits(text.encode("utf-8"))
         best = int(bits.argmin())
-        return self.model.languages[best], float(1 / np.exp2(np.minimum(0, bits[best] - bits)).sum())
+        return self.model.languages[best], float(bits[best]), float(np.exp2(np.minimum(0, bits[best] - bits)).sum())
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        lang, _, times = self.best(text)
+        return lang, 1 / times if times else 0.0
 
 
 def predictor(model: Model):
@@ -177,6 +205,18 @@ def predictor(model: Model):
     return predict
 
 
+def finder(model: Model):
+    """Column function: text to (lang, bits, times) of the best of the model's languages."""
+
+    @F.pandas_udf("lang string, bits double, times double")
+    def find(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model)
+        for part in texts:
+            yield pd.DataFrame([scorer.best(t) for t in part], columns=["lang", "bits", "times"])
+
+    return find
+
+
 def held_out(key: Column) -> Column:
     """The fold that is never learned from: crc32 of the id as text, modulo 3, is 1. A null id is in it."""
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(True))
@@ -184,5 +224,19 @@ def held_out(key: Column) -> Column:
 
 def predict_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, learned from the rows that are not held out."""
-    model = learn(docs, ~held_out(F.col("doc_id")))
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predictor(model)(F.col("text")).alias("x")).select("doc_id", "held_out", "x.*")
+    sums = counted(docs, ~held_out(F.col("doc_id")))
+    parts = together(sums)
+    if len(parts) < 2:
+        model = model_of(sums, parts[0] if parts else [])
+        return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predictor(model)(F.col("text")).alias("x")).select("doc_id", "held_out", "x.*")
+    rows = stored(docs.select("doc_id", F.monotonically_increasing_id().alias("row_no"), "text"), "language-texts")
+    found = None
+    for part in parts:  # one table after the other is in memory
+        x = stored(rows.select("row_no", finder(model_of(sums, part))(F.col("text")).alias("x")), "language-bits")
+        found = x if found is None else found.unionByName(x)
+    best = found.groupBy("row_no").agg(F.min(F.struct("x.bits", "x.lang")).alias("b"), F.collect_list("x").alias("all"))
+    times = F.aggregate("all", F.lit(0.0), lambda s, x: s + x["times"] * F.pow(F.lit(2.0), F.col("b.bits") - x["bits"]))
+    best = best.select("row_no", F.col("b.lang").alias("lang_pred"), times.alias("times"))
+    score = F.when(F.col("times") > 0, 1 / F.col("times")).otherwise(0.0)
+    out = rows.select("doc_id", "row_no").join(best, "row_no")
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", score.alias("score"))

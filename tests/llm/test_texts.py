@@ -218,5 +218,29 @@ def test_code_length_is_the_context_trees(spark):
         assert abs(scorer.bits(text.encode())[0] - bits(text)) < 1e-3 * (1 + bits(text))
 
 
+def test_language_keeps_all_languages_and_triples(spark, monkeypatch):
+    """More than 16 languages, more than 100,000 triples in one, and languages in parts as in one table."""
+    rng = np.random.default_rng(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(100 * i + j, f"l{i:02}", " ".join("".join(rng.choice(list(letters[i : i + 5]), 6)) for _ in range(30))) for i in range(20) for j in range(12 - i % 5)]
+    rows += [(5000 + j, "noise", "".join(map(chr, rng.integers(0x80, 0x7FF, 100_000)))) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.learn(docs, F.lit(True))
+    assert len(model.languages) == 21
+    noise = {bytes(t) for _, lang, text in rows if lang == "noise" for d in [b"  " + text.encode()] for t in zip(d, d[1:], d[2:])}
+    got = {bytes([k >> 16, (k >> 8) & 255, k & 255]) for k in model.keys.tolist()}
+    assert len(noise) > 100_000 and noise <= got
+    whole = language.predict_documents(docs).collect()
+    right = {i: lang for i, lang, _ in rows}
+    assert all(r["lang_pred"] == right[r["doc_id"]] for r in whole)
+    monkeypatch.setattr(language, "TABLE", 50_000)
+    assert len(language.together(language.counted(docs, F.lit(True)))) > 2
+    odd = docs.unionByName(spark.createDataFrame([(None, None, None), (7001, None, "123"), (7001, None, "123")], docs.schema))
+    parted = language.predict_documents(odd).collect()
+    key = lambda r: (r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 9))
+    assert sorted(map(key, whole)) == sorted(key(r) for r in parted if r["doc_id"] in right)
+    assert sorted((r["lang_pred"], r["score"]) for r in parted if r["doc_id"] not in right) == [("und", 0.0)] * 3
+
+
 def test_hash_is_of_utf8():
     assert sha("é") == hashlib.sha256(b"\xc3\xa9").hexdigest()
