@@ -1,16 +1,17 @@
 """Operator 8: PII by information-theoretic sanitisation, in DataFrame functions alone.
 
 Plain patterns find the protected entities: emails, IPs, cards, phones. What else
-reveals an entity c is estimated from the corpus: a term t near an occurrence of c
+reveals an entity c is estimated from the corpus: a term t in the documents of c
 discloses it as far as their pointwise mutual information reaches the entity's
 information content,
 
     PMI(c, t) = ln(N n_ct / (n_c n_t)),  IC(c) = ln(N / n_c),
 
-with n_t, n_c the documents that hold t and c, n_ct those that hold t near c, N all
-documents. Terms from ``disclose`` * IC on are generalised, from ``remove`` * IC on
-removed, if at least ``support`` documents say so. A term near an entity that
-occurs as often without it stays; a document without an entity is left alone.
+with n_t, n_c the documents that hold t and c, n_ct those that hold both, wherever
+in the text, N all documents. Terms from ``disclose`` * IC on are generalised, from
+``remove`` * IC on removed, if at least ``support`` documents say so: every
+occurrence outside of entities in every text, with or without the entity. A term
+that occurs as often without the entity stays.
 
 Spans are (start, kind, end) in code points, end exclusive. Kinds in order: email,
 ip, card, phone, then term for what the estimate adds.
@@ -37,8 +38,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: What a text must hold before its runs are looked at.
 HINT = (r"@", r"[0-9]\.[0-9]", r"[0-9](?:[\x20-]?[0-9]){11}", r"\+[0-9]")
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Terms, and how many code points on either side of an entity are near it.
-TERM, NEAR = r"\p{L}{3,}", 64
+#: Terms, and the pieces that a text is read in: no piece ends within a run of letters.
+TERM, PIECE = r"\p{L}{3,}", r"[\s\S]{1,1000}+\p{L}*+"
 
 
 def placed(text: Column, pattern: str) -> Column:
@@ -88,42 +89,51 @@ def plain(text: Column) -> Column:
     return F.array_sort(F.concat(*(of(k, p) for k, p in enumerate((EMAIL, IP, CARD, PHONE)))))
 
 
-def near(text: Column, base: Column) -> Column:
-    """(entity, term, start, end) of the terms near each entity, outside of all entities."""
-    terms = "array<struct<entity:string,term:string,start:int,end:int>>"
-
-    def around(s: Column) -> Column:
-        entity = F.concat_ws(":", s["kind"].cast("string"), s["value"])
-        low = F.greatest(s["start"] - NEAR, F.lit(0))
-        left = placed(F.substring(text, low + 1, s["start"] - low), TERM)
-        right = placed(F.substring(text, s["end"] + 1, F.lit(NEAR)), TERM)
-        # a term that the window may have cut is not a term
-        left = F.filter(left, lambda t: (t["start"] > 0) | (low == 0))
-        right = F.filter(right, lambda t: (t["end"] < NEAR) & (t["start"] > 0))
-        left = F.filter(left, lambda t: t["end"] < s["start"] - low)
-        named = lambda at: lambda t: F.struct(entity.alias("entity"), F.lower(t["value"]).alias("term"), (at + t["start"]).alias("start"), (at + t["end"]).alias("end"))
-        return F.concat(F.transform(left, named(low)), F.transform(right, named(s["end"])))
-
-    found = F.flatten(F.transform(base, around))
-    free = F.filter(found, lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return F.when(F.size(base) > 0, free).otherwise(F.array().cast(terms))
-
-
-def disclosing(rows: DataFrame, docs: DataFrame, text: str, disclose: float, remove: float, support: int) -> DataFrame:
-    """(entity, term, removed) of the terms that reveal an entity."""
-    said = rows.where(F.size("near") > 0)
-    pairs = said.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")).select("p.*")
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
-    named = F.transform("base", lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"]))
-    entities = said.select(F.explode(F.array_distinct(named)).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_t"))
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
+    """(row_no, term, start, end) of every occurrence of a term. Texts are read in pieces, for offsets
+    are carried along a list that is copied as it grows."""
+    def walked(parts: Column, kind: str, size, put) -> Column:
+        state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{kind}>>").alias("out"))
+        step = lambda s, x: F.struct((s["at"] + size(x)).alias("at"), put(s, x).alias("out"))
+        return F.aggregate(parts, state, step, lambda s: s["out"])
+
+    pieces = walked(F.regexp_extract_all("_text", F.lit(PIECE), F.lit(0)), "at:int,piece:string", F.length, lambda s, x: F.array_append(s["out"], F.struct(s["at"].alias("at"), x.alias("piece"))))
+    cut = rows.select("row_no", F.explode(pieces).alias("p")).select("row_no", "p.*")
+    # the gap before each term, then the term; the last gap has none
+    both = F.zip_with(F.split("piece", TERM, -1), F.regexp_extract_all("piece", F.lit(TERM), F.lit(0)), lambda g, t: F.struct(F.length(g).alias("gap"), t.alias("t"), F.coalesce(F.length(t), F.lit(0)).alias("n")))
+
+    def put(s: Column, x: Column) -> Column:
+        start = s["at"] + x["gap"]
+        return F.when(x["t"].isNull(), s["out"]).otherwise(F.array_append(s["out"], F.struct(F.lower(x["t"]).alias("term"), start.alias("start"), (start + x["n"]).alias("end"))))
+
+    found = walked(both, "term:string,start:int,end:int", lambda x: x["gap"] + x["n"], put)
+    return cut.select("row_no", "at", F.explode(found).alias("t")).select("row_no", "t.term", (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"))
+
+
+def disclosing(rows: DataFrame, disclose: float, remove: float, support: int) -> DataFrame:
+    """(term, removed) of the terms that reveal an entity.
+
+    Entities of the same documents are one class: whatever reveals one reveals all."""
+    named = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])))
+    said = rows.where((F.size("base") > 0) & F.col("_text").rlike(TERM))
+    held = said.select("row_no", F.explode(named).alias("entity"))
+    same = [F.bit_xor(F.xxhash64(F.lit(seed), "row_no")).alias(f"h{seed}") for seed in (1, 2)]
+    entities = held.groupBy("entity").agg(F.count("*").alias("n_c"), *same).where(F.col("n_c") >= support)
+    classes = held.join(entities, "entity").groupBy("row_no").agg(F.collect_set(F.struct("n_c", "h1", "h2")).alias("classes"))
+    words = said.select("row_no", terms_of(F.col("_text")).alias("terms")).join(classes, "row_no")
+    pairs = words.select("terms", F.explode("classes").alias("c")).select("c", F.explode("terms").alias("term"))
+    both = pairs.groupBy("c", "term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= support)
+    counts = rows.select(F.explode(terms_of(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support)
     n = float(rows.count())
-    held = both.join(counts, "term").join(entities, "entity")
-    pmi = F.ln(F.lit(n) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    content = F.ln(F.lit(n) / F.col("n_c"))
-    held = held.select("entity", "term", pmi.alias("pmi"), content.alias("ic")).where(F.col("ic") > 0)
-    return held.where(F.col("pmi") >= disclose * F.col("ic")).select("entity", "term", (F.col("pmi") >= remove * F.col("ic")).alias("removed"))
+    pmi = F.ln(F.lit(n) * F.col("n_ct") / (F.col("c.n_c") * F.col("n_t")))
+    content = F.ln(F.lit(n) / F.col("c.n_c"))
+    told = both.join(counts, "term").select("term", pmi.alias("pmi"), content.alias("ic")).where((F.col("ic") > 0) & (F.col("pmi") >= disclose * F.col("ic")))
+    return told.groupBy("term").agg(F.max(F.col("pmi") >= remove * F.col("ic")).alias("removed"))
 
 
 def found(docs: DataFrame, text: str = "text", disclose: float = 0.9, remove: float = 0.999, support: int = 2, carry: list[str] | None = None) -> DataFrame:
@@ -132,18 +142,20 @@ def found(docs: DataFrame, text: str = "text", disclose: float = 0.9, remove: fl
     more = [F.struct(*(F.col(c) for c in carry)).alias("row")] if carry else []
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row_no"), whole.alias("_text"), *more)
-    rows = rows.withColumn("base", plain(F.col("_text")))
-    rows = rows.withColumn("near", near(F.col("_text"), F.col("base"))).drop("_text")
-    rows = stored(rows, "pii-entities")
-
-    reveal = disclosing(rows, docs, text, disclose, remove, support)
-    told = rows.where(F.size("near") > 0).select("row_no", F.explode("near").alias("t")).select("row_no", "t.*")
-    told = told.join(reveal, ["entity", "term"]).groupBy("row_no", "start", "end").agg(F.max("removed").alias("removed"))
+    rows = stored(rows.withColumn("base", plain(F.col("_text"))), "pii-entities")
+
+    # stored, so that its size is known: a small list is broadcast, a large one joined by term
+    reveal = stored(disclosing(rows, disclose, remove, support), "pii-terms")
+    # only texts that hold such a term are read for its places
+    held = rows.select("row_no", F.explode(terms_of(F.col("_text"))).alias("term")).join(reveal.select("term"), "term", "left_semi")
+    held = stored(held.select("row_no").distinct(), "pii-rows")
+    told = occurrences(rows.join(held, "row_no", "left_semi").select("row_no", "_text")).join(reveal, "term")
     terms = told.groupBy("row_no").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "removed")).alias("terms"))
-    both = rows.join(terms, "row_no", "left")
+    both = rows.drop("_text").join(terms, "row_no", "left")
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,removed:boolean>>")
-    terms = F.coalesce("terms", none)
+    free = F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    terms = F.coalesce(free, none)
     extra = F.transform(terms, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     gone = F.transform(F.filter(terms, lambda s: s["removed"]), lambda s: s["start"])
     return both.select("doc_id", base.alias("base"), F.array_sort(F.concat(base, extra)).alias("spans"), gone.alias("removed"), *(["row"] if carry else []))

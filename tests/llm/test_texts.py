@@ -166,6 +166,24 @@ def test_pii_terms_that_reveal(spark):
     assert "zarathustra" not in clean[60] and "z@x.org" not in clean[60] and "[EMAIL]" in clean[60] and clean[0] == rows[0][1]
 
 
+def test_pii_terms_far_from_the_entity_and_without_it(spark):
+    common = "the report was sent and the answer came back to the office late in the day "
+    rows = [(i, f"{common} number {i}") for i in range(60)]
+    rows += [(60 + i, "Zarathustra wrote: " + common * 40 + "ZARATHUSTRA mail z@x.org") for i in range(30)]
+    rows.append((90, common * 30 + "x🙂zarathustra, again zarathustra"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest_documents(docs).collect()}
+    for i in (60, 89, 90):  # every occurrence, in pieces beyond the first, and where the entity is not
+        places = [m.start() for m in regex.finditer("zarathustra", rows[i][1].lower())]
+        assert [s for s in got[i].split(",") if s.endswith(tuple(f":{p}:{p + 11}" for p in places))] == [f"term:{p}:{p + 11}" for p in places]
+    assert all(got[i] == "" for i in range(60))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert not any("zarathustra" in t.lower() for t in clean.values())
+    text = "ab 🙂 naïve" + "y" * 2500 + " x1y22zzz " + "word " * 900
+    at = pii.occurrences(spark.createDataFrame([(1, text)], "row_no long, _text string")).collect()
+    assert sorted((r["start"], r["end"], r["term"]) for r in at) == [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(r"\p{L}{3,}", text)]
+
+
 def test_pii_plan_is_native(small):
     plan = pii.digest_documents(small)._jdf.queryExecution().toString()
     assert not regex.search("Python|Arrow|Pandas", plan)
