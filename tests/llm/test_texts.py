@@ -142,6 +142,16 @@ def test_secrets_format_spans(spark):
     assert masked[200] == prose + "[SECRET] end" and masked[0] == prose + "[SECRET] " and masked[100] == rows[100][1]
 
 
+def test_secrets_all_candidates_are_scored():
+    """Short runs, runs of one kind of character, and what a plain span leaves of a run."""
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEYzz"
+    text = f"AKIAABCDEFGHIJKL/{key} pre.{'0123456789abcdef' * 2}.{key}/x abcdefgh 12345678 short12"
+    got = [(text[s:e], s, e) for s, e, _ in secret_scan.candidates(text, secret_scan.plain_spans(text))]
+    assert [t for t, _, _ in got] == ["/" + key, "." + key + "/x", "abcdefgh", "12345678"]
+    g = secret_scan.Grammar([b"\x01" * 100] * 50)  # all go on beyond what is folded: none stops
+    assert all(stop == np.log2(secret_scan.FLOOR) for _, stop in g.table)
+
+
 def test_pii_plain_spans(tricky, empty, small):
     for docs in (tricky, small):
         texts = {(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()}
