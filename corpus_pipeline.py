@@ -22,13 +22,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id, and of rows that repeat an id
-    one. Rows without an id stay, for a group cannot name them."""
+    """One row of each group of near-duplicates: of the class with the smallest id, ids before none, its
+    smallest row. Different documents under one id are different rows. Texts without words are no
+    duplicates of others; of those, equal (id, text) count once where there is an id."""
     common.small_batches(spark)
-    groups = jaccard_join.join_documents(docs, size=5, percent=75)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    groups = jaccard_join.join_documents(docs, size=5, percent=75).where(F.col("class_key").isNotNull())
+    classes = groups.groupBy("component_key", "class_key").agg(F.min("doc_id").alias("id"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "class_key")).alias("b")
+    first = classes.groupBy("component_key").agg(best).select(F.col("b.class_key").alias("_key"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text").alias("text"), whole.alias("row"))
+    rows = docs.select(jaccard_join.keyed(F.col("text")).alias("_key"), order.alias("_o"))
+    one = rows.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_o").alias("_o")).join(first, "_key", "left_semi")
+    blank = rows.where(F.col("_key").isNull())
+    named = blank.where("not _o.none").groupBy("_o.id", "_o.text").agg(F.min("_o").alias("_o"))
+    out = one.select("_o").unionByName(named.select("_o")).unionByName(blank.where("_o.none").select("_o"))
+    return out.select("_o.row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -330,8 +330,20 @@ def components(index: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
         turn = turn + 1 if n_links > WORTH * n_tests else ROUNDS
 
 
+def keyed(text: Column) -> Column:
+    """The class key of each text, null for one without words."""
+
+    @F.pandas_udf("long")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield pd.Series([class_key(words) if (words := words_of(t)) else None for t in part], dtype="Int64")
+
+    return run(text)
+
+
 def join_documents(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class_key, component_id) of every row."""
+    """(doc_id, n_shingles, class_key, component_id, component_key) of every row. The key is of one
+    component alone; the id, its smallest, may be that of several where documents share an id."""
     seen = stored(docs.select(F.col(key).alias("doc_id"), described(F.col(text), size).alias("x")).select("doc_id", "x.*"), "jaccard-classes")
     total = seen.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     fragments = max(FRAGMENTS, -(-(total["n"] or 0) // FRAGMENT))
@@ -353,6 +365,7 @@ def join_documents(docs: DataFrame, size: int = 5, percent: int = 75, key: str =
     classes = seen.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("first_id"))
     linked_ = comp.join(classes, "key")
     roots = linked_.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(linked_.join(roots, "comp").select("key", "component_id"), "key", "left").select(F.col("key").alias("class_key"), F.coalesce("component_id", "first_id").alias("component_id"))
+    named = classes.join(linked_.join(roots, "comp").select("key", "component_id", "comp"), "key", "left")
+    named = named.select(F.col("key").alias("class_key"), F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("comp", "key").alias("component_key"))
     out = seen.join(named, seen.key == named.class_key, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), F.coalesce("component_id", "doc_id").alias("component_id"), "component_key")

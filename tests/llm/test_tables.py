@@ -246,6 +246,19 @@ def test_pipeline(spark, small):
         docs = out
 
 
+def test_near_duplicates_go_by_row(spark):
+    rng = random.Random(9)
+    base = {n: [f"{n}{rng.randrange(10**6)}" for _ in range(60)] for n in "abcd"}
+    text = lambda n, last="": " ".join(base[n][:-1] + [last or base[n][-1]])
+    rows = [(1, text("a")), (5, text("a", "near")), (5, text("b")), (7, text("c")), (7, text("d")), (7, text("d"))]
+    rows += [(None, "no id " + text("b", "x")[::-1])] * 50 + [(None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit("clash"))
+    for parts in (1, 5):
+        out = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), SF)
+        want = [(1, text("a")), (5, text("b")), (7, text("c")), (7, text("d")), (None, rows[6][1]), (None, ""), (None, "")]
+        assert out.columns == docs.columns and rows_of(out, "doc_id", "text") == sorted(want, key=repr)
+
+
 def test_pipeline_cases(spark, tricky, empty, tmp_path):
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     for docs in (tricky, empty):
