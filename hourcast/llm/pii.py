@@ -120,7 +120,7 @@ def disclosing(rows: DataFrame, disclose: float, remove: float, support: int) ->
 
     Entities of the same documents are one class: whatever reveals one reveals all."""
     named = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])))
-    said = rows.where((F.size("base") > 0) & F.col("_text").rlike(TERM))
+    said = rows.where(F.size("base") > 0)
     held = said.select("row_no", F.explode(named).alias("entity"))
     same = [F.bit_xor(F.xxhash64(F.lit(seed), "row_no")).alias(f"h{seed}") for seed in (1, 2)]
     entities = held.groupBy("entity").agg(F.count("*").alias("n_c"), *same).where(F.col("n_c") >= support)

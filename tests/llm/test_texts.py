@@ -194,6 +194,14 @@ def test_pii_terms_far_from_the_entity_and_without_it(spark):
     assert sorted((r["start"], r["end"], r["term"]) for r in at) == [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(r"\p{L}{3,}", text)]
 
 
+def test_pii_entities_count_in_documents_without_terms(spark):
+    rows = [(i, f"no. {i}") for i in range(56)] + [(56 + i, "zarathustra +1 (234) 555-0199") for i in range(3)] + [(59, "zarathustra")]
+    rows += [(60 + i, "+1 (234) 555-0199") for i in range(40)]
+    got = pii.digest_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # 3 of 4 is above (3 / 100) ** 0.1, but the entity is in 43 documents
+    assert not any("term" in r["spans"] for r in got) and sum(r["n_phone"] for r in got) == 43
+
+
 def test_pii_plan_is_native(small):
     plan = pii.digest_documents(small)._jdf.queryExecution().toString()
     assert not regex.search("Python|Arrow|Pandas", plan)
