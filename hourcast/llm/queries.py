@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourcast.llm import bpe, jaccard_join, language, mixing, pii, quality_rules, secret_scan, site_quality, topk, url_filter
+from hourcast.llm import bpe, jaccard_join, language, mixing, pii, quality_rules, secret_scan, site_quality, topk, url_filter, vector_codes
 from hourcast.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,46 @@ def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_documents(load(spark, sf_dir, "documents"))
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_vectors(load(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
+def _codes_sql(rounds: int) -> str:
+    """Assignment and means written out a round after the other."""
+    sql = """
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), w AS (SELECT ceil(max(len(x)) / 16)::BIGINT AS w FROM k
+), v AS (
+  SELECT r, p, list_transform(range(p * w + 1, p * w + w + 1), lambda i: coalesce(x[i], 0)) AS x
+  FROM k, w, range(16) AS parts(p)
+), c0 AS (SELECT p, r - 1 AS e, x FROM v WHERE r <= 64"""
+    near = """SELECT p, r, min({{'d': d, 'e': e}}) AS m FROM (
+    SELECT v.p, v.r, c.e, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) ** 2))::BIGINT AS d
+    FROM v JOIN c{0} c ON c.p = v.p) GROUP BY p, r"""
+    for t in range(rounds):
+        sql += f"""
+), n{t} AS ({near.format(t)}
+), s{t} AS (
+  SELECT p, e, list(floor(s / n)::BIGINT ORDER BY i) AS x FROM (
+    SELECT v.p, m.e AS e, i, sum(v.x[i]) AS s, count(*) AS n
+    FROM v JOIN n{t} USING (p, r), w, range(1, w + 1) AS places(i) GROUP BY ALL) GROUP BY p, e
+), c{t + 1} AS (SELECT p, e, coalesce(s{t}.x, c{t}.x) AS x FROM c{t} LEFT JOIN s{t} USING (p, e)"""
+    return sql + f"""
+), last AS ({near.format(rounds)}
+), coded AS (
+  SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM last GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
+FROM k JOIN coded USING (r)
+"""
+
+
+ORACLES["op11_vector_codes"] = _codes_sql(2)
