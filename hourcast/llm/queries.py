@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourcast.llm import bpe, jaccard_join, language, mixing, pii, quality_rules, secret_scan, site_quality, topk, url_filter, vector_codes
+from hourcast.llm import bpe, collocations, jaccard_join, language, mixing, pii, quality_rules, secret_scan, site_quality, topk, url_filter, vector_codes
 from hourcast.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,41 @@ FROM k JOIN coded USING (r)
 
 
 ORACLES["op11_vector_codes"] = _codes_sql(2)
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(load(spark, sf_dir, "documents"), least=100, top=2000, longest=5)
+
+
+ORACLES["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \x09]+') AS w FROM pieces
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM w, range(1, 6) AS ks(k)
+), f AS (
+  SELECT lang, k, p, count(*) AS f FROM g GROUP BY ALL
+), t AS (
+  SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, p, f AS a FROM f WHERE k > 1 AND f >= 100
+), cuts AS (
+  SELECT c.lang, c.k, c.p, c.a, j, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM c JOIN range(1, 5) AS js(j) ON j < c.k JOIN t USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:j] JOIN f y ON y.lang = c.lang AND y.p = c.p[j + 1:c.k]
+), worst AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1
+), named AS (
+  SELECT *, array_to_string(p, ' ') AS phrase FROM worst
+), stay AS (
+  SELECT * FROM named s WHERE NOT EXISTS (
+    SELECT 1 FROM named d WHERE d.lang = s.lang AND d.k > s.k AND 100 * d.a >= 100 * s.a AND contains(' ' || d.phrase || ' ', ' ' || s.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM stay QUALIFY rank <= 2000
+"""
