@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourcast.llm import bpe, collocations, jaccard_join, language, mixing, pii, quality_rules, secret_scan, site_quality, topk, url_filter, vector_codes
+from hourcast.llm import bpe, collocations, jaccard_join, language, mixing, pii, quality_rules, secret_scan, site_quality, suffix_dedup, topk, url_filter, vector_codes
 from hourcast.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +243,8 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
        a, l, r, n::BIGINT AS n, score::BIGINT AS score
 FROM stay QUALIFY rank <= 2000
 """
+
+
+@query
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest_documents(load(spark, sf_dir, "documents"), length=200)

@@ -108,3 +108,64 @@ def water(sizes, cycle=(1, 2, 3), cap=3.0):
 
 def rows_of(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def without_repeats(texts, length=200):
+    """(bytes, removed, spans, kept) of every text: bytes under a string of ``length`` that starts twice or more go."""
+    raw = [(t or "").encode("utf-8") for t in texts]
+    times = Counter(r[i : i + length] for r in raw for i in range(len(r) - length + 1))
+    out = []
+    for r in raw:
+        gone = bytearray(len(r))
+        for i in range(len(r) - length + 1):
+            if times[r[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        out.append((len(r), sum(gone), len(re.findall(b"\1+", gone)), bytes(c for c, g in zip(r, gone) if not g)))
+    return out
+
+
+def codes(rows, parts=16, entries=64, rounds=2, scale=256):
+    """{(id, vector): (code, error)} and the codebooks of (id, vector) rows, by trying every entry."""
+    import math
+
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0], r[1]))
+    width = -(-max((len(v) for _, v in rows), default=1) // parts) or 1
+    whole = [[math.floor(scale * x) for x in v] + [0] * (width * parts - len(v)) for _, v in rows]
+    cut = [[tuple(v[p * width : (p + 1) * width]) for p in range(parts)] for v in whole]
+    books = [[c[p] for c in cut[:entries]] for p in range(parts)]
+
+    def near(part, book):
+        return min((sum((a - b) ** 2 for a, b in zip(part, e)), i) for i, e in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            held = {}
+            for c in cut:
+                held.setdefault(near(c[p], books[p])[1], []).append(c[p])
+            books[p] = [tuple(sum(x) // len(held[i]) for x in zip(*held[i])) if i in held else e for i, e in enumerate(books[p])]
+    found = [[near(c[p], books[p]) for p in range(parts)] for c in cut]
+    return [(r[0], "".join(f"{i:02x}" for _, i in f), sum(d for d, _ in f)) for r, f in zip(rows, found)], books
+
+
+def phrases(rows, least, top, longest=5):
+    """(lang, rank, phrase, a, l, r, n, score) by counting every phrase of (text, lang) rows."""
+    count, n = {}, Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower(text or "")):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                count.setdefault(lang, Counter()).update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in count.items():
+        found = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        whole = {p[i:j] for p in found for i in range(len(p)) for j in range(i + 2, len(p) + 1) if j - i < len(p) and found[p] >= found[p[i:j]]}
+        stay = []
+        for p, a in found.items():
+            score, k = min((1000 * a * n[lang] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            if p not in whole:
+                stay.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for i, (score, a, p, left, right) in enumerate(sorted(stay)[:top]):
+            out.append((lang, i + 1, p.decode(), -a, left, right, n[lang], -score))
+    return out
