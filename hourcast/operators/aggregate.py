@@ -31,12 +31,15 @@ def daily_trips(trips: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
                         is_weekend_of(dow).alias("is_weekend"))
 
 
-def hour_station_counts(trips: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
-    """One pass over the trips: ``(series…, datetime, start_station_id, n, first)`` with the smallest
-    (source_file, start time, lat, lng) of each group. Hourly counts and top stations follow from it."""
+def hour_and_station_counts(trips: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
+    """Counts per hour and counts per station from one scan: ``(series…, datetime, start_station_id, n, first,
+    by_hour)``, rows of hours and rows of stations. A task sends as many rows as it has seen hours and
+    stations, not their combinations. ``first`` is the smallest (source_file, start time, lat, lng)."""
     s = list(series_cols)
-    first = F.min(F.struct("source_file", START, "start_lat", "start_lng")).alias("first")
-    return trips.groupBy(*s, floor_hour(START).alias("datetime"), "start_station_id").agg(F.count(F.lit(1)).alias("n"), first)
+    told = trips.select(*s, floor_hour(START).alias("datetime"), "start_station_id",
+                        F.struct("source_file", START, "start_lat", "start_lng").alias("_first"))
+    sets = told.groupingSets([[*s, "datetime"], [*s, "start_station_id"]], *s, "datetime", "start_station_id")
+    return sets.agg(F.count(F.lit(1)).alias("n"), F.min("_first").alias("first"), (F.grouping("start_station_id") == 1).alias("by_hour"))
 
 
 def hourly_counts(trips: DataFrame, series_cols: Sequence[str] = (), ts_col: str = START) -> DataFrame:
@@ -48,7 +51,7 @@ def hourly_counts(trips: DataFrame, series_cols: Sequence[str] = (), ts_col: str
 
 
 def top_of(groups: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
-    """Top station from ``hour_station_counts`` (or any finer split of it)."""
+    """Top station from counts per station, or any finer split of them."""
     s = list(series_cols)
     per_station = (groups.where(F.col("start_station_id").isNotNull()).groupBy(*s, "start_station_id")
                    .agg(F.sum("n").alias("station_trips"), F.min("first").alias("first")))
@@ -78,8 +81,8 @@ def hourly_trips(trips: DataFrame, series_cols: Sequence[str] = (), with_coords:
     """Hourly series with calendar columns and top-station coordinates
     (AG-2, PRJ-4, PRJ-10, AG-4, FLT-4, TK-5, JN-3).
 
-    The trips are read once: counts per hour and station are written to the shared
-    folder, and both the hourly counts and the top station are sums over them.
+    The trips are read once: counts per hour and counts per station are written to the
+    shared folder, a row per hour and a row per station.
     The coordinate table has one row per series: with one system-wide series its
     two values are literals; with many series AQE picks broadcast or
     shuffle from its runtime size (the number of series is not bounded).
@@ -87,8 +90,9 @@ def hourly_trips(trips: DataFrame, series_cols: Sequence[str] = (), with_coords:
     s = list(series_cols)
     coords = with_coords and "start_station_id" in trips.columns
     if coords:
-        groups = cut_lineage(hour_station_counts(trips, s))
-        hourly = groups.where(F.col("datetime").isNotNull()).groupBy(*s, "datetime").agg(F.sum("n").alias("trip_count"))
+        groups = cut_lineage(hour_and_station_counts(trips, s))
+        hourly = groups.where("by_hour and datetime is not null").select(*s, "datetime", F.col("n").alias("trip_count"))
+        stations = groups.where("not by_hour")
     else:
         hourly = hourly_counts(trips, s)
     dow = weekday_mon0("datetime")
@@ -99,8 +103,8 @@ def hourly_trips(trips: DataFrame, series_cols: Sequence[str] = (), with_coords:
                            F.month("datetime").alias("month"),
                            is_weekend_of(dow).alias("is_weekend"))
     if coords and s:
-        return hourly.join(top_of(groups, s).select(*s, "latitude", "longitude"), on=s, how="left")
-    top = top_of(groups).first() if coords else None
+        return hourly.join(top_of(stations, s).select(*s, "latitude", "longitude"), on=s, how="left")
+    top = top_of(stations).first() if coords else None
     at = {c: F.lit(top[c] if top else None).cast("double") for c in ("latitude", "longitude")}
     return hourly.withColumns(at)
 

@@ -11,7 +11,7 @@ list) are one-row aggregates collected as fitted parameters.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -22,7 +22,7 @@ from hourcast.functions.calendar import calendar_sql, cyclical_sql, with_is_holi
 from hourcast.functions.sqlexpr import lit, project, q
 from hourcast.functions.nulls import normalize_missing, numeric_columns
 from hourcast.operators.aggregate import fill_hour_gaps
-from hourcast.operators.quantiles import summarize
+from hourcast.operators.quantiles import summarize, summarize_by
 from hourcast.operators.windows import RN, add_row_index, halo_window, lag_sql, window_reach
 from hourcast.sources.trips import as_timestamp
 
@@ -73,9 +73,13 @@ class FeatureState:
     weather_categories: list[str] | None = None
     medians_post: dict[str, float | None] = field(default_factory=dict)
     feature_names: list[str] = field(default_factory=list)
+    #: with series: the columns that each of ``tables`` holds medians of, in order
+    median_columns: dict[str, list[str]] = field(default_factory=dict)
+    #: with series: medians per series as stored tables ``(series…, medians)``
+    tables: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
     def to_dict(self) -> dict:
-        return asdict(self)
+        return asdict(replace(self, tables={}))
 
     @classmethod
     def from_dict(cls, d: dict) -> "FeatureState":
@@ -118,6 +122,29 @@ def impute_pass1(df: DataFrame, keys: Sequence[str], state: FeatureState | None,
     return (project(df, fills) if fills else df), medians, zero
 
 
+def series_medians(df: DataFrame, cols: list[str], series: list[str]) -> tuple[DataFrame, list[str]]:
+    """(medians of every series as a stored table ``(series…, medians)``, the columns with nulls)."""
+    from hourcast.session import cut_lineage
+
+    stats = cut_lineage(summarize_by(df, cols, [0.5], series))
+    some = {r["k"] for r in stats.groupBy("k").agg(F.sum("nulls").alias("n")).where("n > 0").collect()}
+    ordered = F.array_sort(F.collect_list(F.struct("k", F.col("q")[0].alias("m"))))
+    table = stats.groupBy(*(q(c) for c in series)).agg(ordered["m"].alias("medians"))
+    return cut_lineage(table), [c for i, c in enumerate(cols) if i in some]
+
+
+def fill_by_series(df: DataFrame, table: DataFrame, cols: list[str], which: Sequence[str], series: list[str], rest: str) -> DataFrame:
+    """Nulls of the columns ``which`` become the median of their series, or ``rest`` where it has none."""
+    told = table.select(*(F.col(q(c)).alias(f"_s{i}") for i, c in enumerate(series)), F.col("medians").alias("_medians"))
+    on = F.lit(True)
+    for i, c in enumerate(series):
+        on = on & F.col(q(c)).eqNullSafe(F.col(f"_s{i}"))
+    at = {c: i for i, c in enumerate(cols)}
+    have = df.columns
+    fills = {c: f"coalesce(CAST({q(c)} AS DOUBLE), _medians[{at[c]}], {rest})" for c in which if c in have and c in at}
+    return project(df.join(told, on, "left"), fills, columns=have) if fills else df
+
+
 def materialized_features(df: DataFrame, spec: FeatureSpec | str = "h2",
                           series_cols: Sequence[str] = (), fill_gaps: bool = False) -> tuple[DataFrame, FeatureState]:
     """Fit and materialise the feature table in the shared checkpoint folder,
@@ -167,9 +194,17 @@ def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Seque
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         if cached is not None:
             cached.append(data)
-    data, med_pre, zero = impute_pass1(data, keys, st, fit)
-    if fit:
-        st.medians_pre, st.zero_cols = med_pre, zero
+    if series:
+        if fit:
+            cols = numeric_columns(data, exclude=keys)
+            st.median_columns["medians_pre"] = cols
+            st.tables["medians_pre"], some = series_medians(data, cols, series)
+        cols = st.median_columns["medians_pre"]
+        data = fill_by_series(data, st.tables["medians_pre"], cols, some if fit else cols, series, "0.0D")
+    else:
+        data, med_pre, zero = impute_pass1(data, keys, st, fit)
+        if fit:
+            st.medians_pre, st.zero_cols = med_pre, zero
 
     # 1. positional lags / rolling / differences, one shared window ordering
     if has_dt:
@@ -222,9 +257,16 @@ def preprocess(df: DataFrame, spec: FeatureSpec | str = "h2", series_cols: Seque
         data = data.persist(StorageLevel.MEMORY_AND_DISK)
         if cached is not None:
             cached.append(data)
-        summ = summarize(data, feat_cols, [0.5])
-        st.medians_post = {c: summ.quantiles[c][0] for c in feat_cols}
+        if series:
+            st.median_columns["medians_post"] = feat_cols
+            st.tables["medians_post"], _ = series_medians(data, feat_cols, series)
+        else:
+            summ = summarize(data, feat_cols, [0.5])
+            st.medians_post = {c: summ.quantiles[c][0] for c in feat_cols}
         st.feature_names = [c for c in feat_cols if c != TARGET]
+    if series:
+        cols = st.median_columns["medians_post"]
+        data = fill_by_series(data, st.tables["medians_post"], cols, cols, series, "CAST(NULL AS DOUBLE)")
     schema = data.schema
     fills = {c: f"coalesce(CAST({q(c)} AS DOUBLE), {lit(float(v))})"
              for c, v in st.medians_post.items() if v is not None and c in schema.fieldNames()}

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourcast.functions.sqlexpr import lit, q
-from hourcast.operators.quantiles import summarize
+from hourcast.operators.quantiles import summarize, summarize_by
+from hourcast.session import cut_lineage
 
 
 @dataclass
@@ -60,15 +61,83 @@ def fit_scalers(df: DataFrame, features: Sequence[str], target: str) -> Scalers:
     return s
 
 
-def unscale_target(c: Column, s: Scalers) -> Column:
+#: Columns that rows scaled per series carry, so that a scaled target can be turned back.
+LOW, RANGE = "_low", "_range"
+
+
+@dataclass
+class SeriesScalers:
+    """Scalers fitted per series: a table ``(by…, median, scale, low, range)`` with a row per series, the
+    first two arrays in the order of ``features``. A series without values of a column has a null there."""
+    features: list[str]
+    target: str
+    by: list[str]
+    table: DataFrame
+
+    def to_dict(self) -> dict:
+        return {"features": self.features, "target": self.target, "by": self.by}
+
+
+def series_statistics(df: DataFrame, features: Sequence[str], target: str, by: Sequence[str]) -> DataFrame:
+    """``(by…, feature, median, q1, q3, robust_scale, min_value, max_value)``, a row per series and column."""
+    cols = [*features, target]
+    stats = summarize_by(df, cols, [0.25, 0.5, 0.75], list(by))
+    iqr = F.col("q")[2] - F.col("q")[0]
+    names = F.array(*[F.lit(c) for c in cols])
+    return stats.select(*(q(c) for c in by), names[F.col("k")].alias("feature"), F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"),
+                        F.col("q")[2].alias("q3"), F.when(iqr != 0, iqr).otherwise(F.lit(1.0)).alias("robust_scale"),
+                        F.col("min").alias("min_value"), F.col("max").alias("max_value"), "k")
+
+
+def fit_series_scalers(df: DataFrame, features: Sequence[str], target: str, by: Sequence[str]) -> SeriesScalers:
+    """Medians, quartile ranges and target ranges of every series, written to the shared folder."""
+    keys = [q(c) for c in by]
+    stats = series_statistics(df, features, target, by)
+    n = len(features)
+    ordered = F.array_sort(F.collect_list(F.when(F.col("k") < n, F.struct("k", "median", "robust_scale"))))
+    span = F.col("max_value") - F.col("min_value")
+    is_target = F.col("k") == n
+    table = stats.groupBy(*keys).agg(
+        ordered.alias("_f"), F.max(F.when(is_target, F.coalesce("min_value", F.lit(0.0)))).alias("low"),
+        F.max(F.when(is_target, F.when(span != 0, span).otherwise(F.lit(1.0)))).alias("range"))
+    table = table.select(*keys, F.col("_f.median").alias("median"), F.col("_f.robust_scale").alias("scale"), "low", "range")
+    return SeriesScalers(list(features), target, list(by), cut_lineage(table))
+
+
+def transform_series(df: DataFrame, s: SeriesScalers, keep: Sequence[str] = (), target_out: str | None = None) -> DataFrame:
+    """``transform`` with the row's own series' parameters, and the columns ``LOW`` and ``RANGE``. Rows of a
+    series that was not fitted have features 0 and an unscaled target."""
+    have = set(df.columns)
+    told = s.table.select(*(F.col(q(c)).alias(f"_s{i}") for i, c in enumerate(s.by)), F.col("median").alias("_median"),
+                          F.col("scale").alias("_scale"), F.col("low").alias(LOW), F.col("range").alias(RANGE))
+    on = F.lit(True)
+    for i, c in enumerate(s.by):
+        on = on & F.col(q(c)).eqNullSafe(F.col(f"_s{i}"))
+    joined = df.join(told, on, "left")
+    exprs = [q(k) for k in keep if k in have]
+    for i, c in enumerate(s.features):
+        x = f"CAST({q(c)} AS DOUBLE)" if c in have else "0.0D"
+        exprs.append(f"coalesce(nanvl(({x} - _median[{i}]) / _scale[{i}], NULL), 0.0D) AS {q(c)}")
+    exprs += [f"coalesce({LOW}, 0.0D) AS {LOW}", f"coalesce({RANGE}, 1.0D) AS {RANGE}"]
+    if s.target in have:
+        exprs.append(f"(CAST({q(s.target)} AS DOUBLE) - coalesce({LOW}, 0.0D)) / coalesce({RANGE}, 1.0D) AS {q(target_out or s.target)}")
+    return joined.selectExpr(*exprs)
+
+
+def unscale_target(c: Column, s: Scalers | SeriesScalers) -> Column:
+    """A scaled target as trips; rows scaled per series bring their range along."""
+    if isinstance(s, SeriesScalers):
+        return c * F.col(RANGE) + F.col(LOW)
     lo = s.min_value.get(s.target) or 0.0
     return c * F.lit(s.target_range()) + F.lit(lo)
 
 
-def transform(df: DataFrame, s: Scalers, keep: Sequence[str] = (), target_out: str | None = None) -> DataFrame:
+def transform(df: DataFrame, s: Scalers | SeriesScalers, keep: Sequence[str] = (), target_out: str | None = None) -> DataFrame:
     """Scaled features in training order (nulls → 0 = the training median) and scaled target. A training
     feature that ``df`` lacks counts as raw 0 and is scaled like any other value (PRJ-8); columns that
     training did not see are left out."""
+    if isinstance(s, SeriesScalers):
+        return transform_series(df, s, keep, target_out)
     have = set(df.columns)  # one schema round trip, then one selectExpr
     exprs = [q(k) for k in keep if k in have]
     for c in s.features:

@@ -310,6 +310,34 @@ def _ols(member: str, h: int = H, after: int = H + 1, part: str = "test", actual
     return f"WITH {_ols_ctes(member, h, after, part)}\nSELECT member, datetime, target_time, {told}{r('predicted', 'predicted')} FROM pred"
 
 
+def _series_ctes(n_seq: str, steps: int, last: str) -> str:
+    """Two features per series and hour, ``x1`` the count and ``x2`` its hour, scaled by the series' median and
+    quartile range over the rows its training sequences read, and scaled targets ``t1…``. ``n_seq`` is the number
+    of sequences that the scalers count, ``last`` the last row with a sequence."""
+    leads = ", ".join(f"lead(y, {h}) OVER w AS y{h}" for h in range(1, steps + 1))
+    targets = ", ".join(f"(y{h} - lo) / rng AS t{h}" for h in range(1, steps + 1))
+    iqr = "CASE WHEN quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25) = 0 THEN 1.0 ELSE quantile_cont({0}, 0.75) - quantile_cont({0}, 0.25) END"
+    train = "({m} - ceil({m} * 0.2)) - ceil(({m} - ceil({m} * 0.2)) * 0.25)"
+    return f"""{EV_TRIPS},
+h AS (SELECT rideable_type, date_trunc('hour', st) AS datetime, CAST(count(*) AS DOUBLE) AS y FROM ev_trips WHERE st IS NOT NULL GROUP BY ALL),
+s AS (SELECT *, CAST(hour(datetime) AS DOUBLE) AS c, row_number() OVER w AS rn, count(*) OVER (PARTITION BY rideable_type) AS n, {leads}
+      FROM h WINDOW w AS (PARTITION BY rideable_type ORDER BY datetime)),
+p AS (SELECT rideable_type, quantile_cont(y, 0.5) AS m1, quantile_cont(c, 0.5) AS m2, {iqr.format('y')} AS s1, {iqr.format('c')} AS s2,
+             min(y) AS lo, CASE WHEN max(y) = min(y) THEN 1.0 ELSE max(y) - min(y) END AS rng
+      FROM (SELECT *, greatest({n_seq}, 1) AS q FROM s) WHERE rn <= {train.format(m='q')} GROUP BY rideable_type),
+e AS (SELECT rideable_type, datetime, rn, lo, rng, (y - m1) / s1 AS x1, (c - m2) / s2 AS x2, {targets} FROM s JOIN p USING (rideable_type) WHERE rn <= {last}),
+o AS (SELECT *, row_number() OVER (PARTITION BY rideable_type ORDER BY datetime) AS i, count(*) OVER (PARTITION BY rideable_type) AS m FROM e),
+l AS (SELECT *, CASE WHEN i <= {train.format(m='m')} THEN 'train' WHEN i <= m - ceil(m * 0.2) THEN 'val' ELSE 'test' END AS split FROM o)"""
+
+
+def _two_slopes(t: str, reg: float) -> str:
+    """Slopes and intercept of a ridge of ``t`` on x1 and x2 over the training rows."""
+    a, b, c = f"(covar_pop(x1, x1) + {reg})", "covar_pop(x1, x2)", f"(covar_pop(x2, x2) + {reg})"
+    g1, g2 = f"covar_pop(x1, {t})", f"covar_pop(x2, {t})"
+    det = f"({a} * {c} - {b} * {b})"
+    return f"({c} * {g1} - {b} * {g2}) / {det} AS b1, ({a} * {g2} - {b} * {g1}) / {det} AS b2, avg(x1) AS u1, avg(x2) AS u2, avg({t}) AS v"
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     std_cols = """source_file, st AS standardized_start_time, et AS standardized_end_time,
@@ -497,6 +525,40 @@ FROM pred ORDER BY rn LIMIT 200"""
                      f"{r('actual', 'actual')}, {r('predicted', 'predicted')} FROM pred)")
     q["model_ols_multistep"] = "\nUNION ALL\n".join(steps)
 
+    stat = "SELECT rideable_type, '{0}' AS feature, {1} FROM s GROUP BY rideable_type"
+    told = lambda e: ", ".join([
+        r(f"quantile_cont({e}, 0.5)", "median"), r(f"quantile_cont({e}, 0.25)", "q1"), r(f"quantile_cont({e}, 0.75)", "q3"),
+        r(f"CASE WHEN quantile_cont({e}, 0.75) = quantile_cont({e}, 0.25) THEN 1.0 ELSE quantile_cont({e}, 0.75) - quantile_cont({e}, 0.25) END", "robust_scale"),
+        r(f"min({e})", "min_value"), r(f"max({e})", "max_value")])
+    two = _series_ctes("n - 3", 2, "n - 3")
+    q["scaler_params_series"] = f"WITH {two}\n" + " UNION ALL ".join(stat.format(f, told(e)) for f, e in (("level", "y"), ("clock", "c"), ("trip_count", "y")))
+
+    q["model_importance_linear"] = f"""WITH {two},
+f AS (SELECT {_two_slopes('t2', 0.0)} FROM l WHERE split = 'train'),
+k AS (SELECT feature, CASE feature WHEN 'level' THEN b1 * x1 ELSE b2 * x2 END AS s,
+             md5('42|' || feature || '|' || rideable_type || '|' || rn) AS k
+      FROM l, f, (VALUES ('level'), ('clock')) AS names(feature) WHERE split = 'train'),
+d AS (SELECT feature, s, coalesce(lag(s) OVER w, last_value(s) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS donor
+      FROM k WINDOW w AS (PARTITION BY feature ORDER BY k))
+SELECT 'all' AS member, feature, {r('avg(abs(donor - s))', 'importance')} FROM d GROUP BY feature"""
+
+    six = _series_ctes("n - 7", 6, "n - 6")
+    q["model_ridge_multistep"] = f"WITH {six}\n" + " UNION ALL ".join(
+        f"""SELECT rideable_type, CAST({h} AS INTEGER) AS hours_ahead, datetime, {r(f't{h} * rng + lo', 'actual')},
+       {r('(v + b1 * (x1 - u1) + b2 * (x2 - u2)) * rng + lo', 'predicted')}
+FROM l, (SELECT {_two_slopes(f't{h}', 0.1)} FROM l WHERE split = 'train') WHERE split = 'test'""" for h in range(1, 7))
+
+    # name: (λ, α) of λ(α|w| + (1 − α)/2·w²); with one input the weight has a closed form
+    paths = {"none": (0.0, 0.0), "l2_small": (0.001, 0.0), "l2_large": (0.5, 0.0), "l1_small": (0.00025, 1.0), "l1_large": (0.025, 1.0), "l1_l2": (0.015, 1 / 3)}
+    parts = []
+    for name, (lam, alpha) in paths.items():
+        for h in range(1, 7):
+            g = f"covar_pop(x1, t{h})"
+            w = f"sign({g}) * greatest(abs({g}) - {lam * alpha!r}, 0) / (covar_pop(x1, x1) + {lam * (1 - alpha)!r})"
+            parts.append(f"SELECT '{name}' AS penalty, CAST({h} AS INTEGER) AS hours_ahead, t{h} * rng + lo AS actual, (v + w * (x1 - u)) * rng + lo AS predicted "
+                         f"FROM l, (SELECT {w} AS w, avg(x1) AS u, avg(t{h}) AS v FROM l WHERE split = 'train') WHERE split = 'test'")
+    q["model_penalty_path"] = f"WITH {six},\npred AS ({' UNION ALL '.join(parts)})\nSELECT penalty, hours_ahead, {_metrics_select()} FROM pred GROUP BY penalty, hours_ahead"
+
     imp = importance_ctes()
     q["importance_top"] = f"WITH {imp}\nSELECT feature, {r('importance', 'importance')}, CAST(rank AS INTEGER) AS rank FROM top"
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, replace
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression,
@@ -30,9 +31,10 @@ from pyspark.sql import functions as F
 from hourcast.functions.calendar import add_hours
 from hourcast.functions.nulls import zero_if_null
 from hourcast.functions.sqlexpr import q
-from hourcast.operators import analysis
+from hourcast.operators import analysis, gram
 from hourcast.operators import metrics as M
 from hourcast.operators import scaling as S
+from hourcast.operators.importance import linear_importance
 from hourcast.operators.features import SPECS, FeatureState, materialized_features, preprocess
 from hourcast.operators.sequences import SEQ, TARGET, TARGETS, build_sequences, chronological_split
 from hourcast.operators.topk import last_n
@@ -49,9 +51,9 @@ class ModelConfig:
     seq_length: int = 12
     horizon: int = 2
     mode: str = "fixed"          # fixed (target H rows ahead) | next (next row)
-    algorithm: str = "gbt"       # gbt | linear
+    algorithm: str = "gbt"       # gbt | linear | ridge (linear, every step and penalty from one pass)
     loss: str = "mse"            # gbt: mse | mae; linear: mse | huber
-    reg_type: str | None = None  # l2 | l1 | l1_l2 | None   (linear only)
+    reg_type: str | None = None  # l2 | l1 | l1_l2 | None   (linear and ridge)
     reg_value: float = 0.001
     step_size: float = 0.1       # GBT learning rate
     max_iter: int = 20           # boosting rounds / solver iterations ("epochs")
@@ -78,7 +80,7 @@ PRESETS: dict[str, dict] = {
 }
 
 #: What each algorithm can train; anything else is refused, not replaced.
-LOSSES = {"linear": ("mse", "huber"), "gbt": ("mse", "mae")}
+LOSSES = {"linear": ("mse", "huber"), "gbt": ("mse", "mae"), "ridge": ("mse",)}
 
 
 def checked(cfg: ModelConfig) -> ModelConfig:
@@ -125,6 +127,15 @@ def make_estimator(cfg: ModelConfig, with_validation: bool):
     return GBTRegressor(**kw)
 
 
+def fitted_model(cfg: ModelConfig, train: DataFrame, with_validation: bool):
+    if cfg.algorithm != "ridge":
+        return make_estimator(cfg, with_validation).fit(train)
+    sums = gram.gram_of(train, SEQ, F.array(F.col(TARGET)))
+    if sums is None:
+        raise ValueError("there is no training sequence")
+    return gram.solve(sums, *elastic_net(cfg.reg_type, cfg.reg_value))
+
+
 def _member_of(target_time: Column) -> Column:
     """Ensemble routing: the day type of the target time (ML-10)."""
     return F.when(F.weekday(target_time) >= 5, F.lit("weekend")).otherwise(F.lit("weekday"))
@@ -182,7 +193,7 @@ class Forecaster:
     def _sequences(self, scaled: DataFrame, with_target: bool = True) -> DataFrame:
         cfg = self.cfg
         seqs = build_sequences(scaled, self.state.feature_names, Y, cfg.seq_length, cfg.horizon,
-                               self.series, mode=cfg.mode, keep=("datetime",))
+                               self.series, mode=cfg.mode, keep=("datetime", S.LOW, S.RANGE))
         h = 1 if cfg.mode == "next" else cfg.horizon
         return seqs.withColumn("target_time", add_hours("datetime", h))
 
@@ -202,14 +213,25 @@ class Forecaster:
             rows = feats.withColumn("_last", F.lit(bound.first()["_last"]))
         return rows.where(F.col(RN) <= F.col("_last")).drop("_last")
 
+    def fit_scalers(self, feats: DataFrame) -> S.Scalers | S.SeriesScalers:
+        """Scalers of the training rows: one set, or one per series where there are series columns."""
+        rows = self.training_rows(feats)
+        if self.series:
+            return S.fit_series_scalers(rows, self.state.feature_names, "trip_count", self.series)
+        return S.fit_scalers(rows, self.state.feature_names, "trip_count")
+
+    @property
+    def carried(self) -> list[str]:
+        """Columns that scaled rows bring along besides their keys."""
+        return [S.LOW, S.RANGE] if isinstance(self.scalers, S.SeriesScalers) else []
+
     def fit(self, df: DataFrame, features: tuple | None = None) -> FitResult:
         cfg = self.cfg
         # hourly-grain feature table in the shared checkpoint folder: later plans
         # start from it (small plans, survives executor loss)
         feats, self.state = self._features(df, features)
 
-        fit_rows = self.training_rows(feats)
-        self.scalers = S.fit_scalers(fit_rows, self.state.feature_names, "trip_count")
+        self.scalers = self.fit_scalers(feats)
         scaled = S.transform(feats, self.scalers, keep=[*self.series, "datetime", RN], target_out=Y)
 
         seqs = self._sequences(scaled)
@@ -236,7 +258,7 @@ class Forecaster:
             part = split.where(F.col("member") == m)
             use_val = cfg.algorithm == "gbt" and cfg.early_stopping
             train = part.where(F.col("split").isin("train", "val") if use_val else F.col("split") == "train")
-            self.models[m] = make_estimator(cfg, use_val).fit(train)
+            self.models[m] = fitted_model(cfg, train, use_val)
             preds.append(self._score(part.where(F.col("split") == "test"), m))
         test = preds[0]
         for p in preds[1:]:
@@ -275,7 +297,7 @@ class Forecaster:
         scaled = S.transform(feats, self.scalers, keep=[*self.series, "datetime", RN])
         L = cfg.seq_length
         row = F.expr("array(" + ", ".join(q(c) for c in self.state.feature_names) + ")")
-        out = halo_window(scaled.select(*self.series, "datetime", RN, row.alias("_row")), self.series,
+        out = halo_window(scaled.select(*self.series, "datetime", RN, *self.carried, row.alias("_row")), self.series,
                           lambda w: {SEQ: F.collect_list("_row").over(w.rowsBetween(-(L - 1), 0)),
                                      "_next": F.lead(F.lit(1), 1).over(w)}, back=L - 1, fwd=1)
         short = out.where(F.col("_next").isNull() & (F.size(SEQ) < L)).limit(1).count()
@@ -283,7 +305,7 @@ class Forecaster:
             raise ValueError(f"a series is shorter than one sequence of {L} rows")
         h = 1 if cfg.mode == "next" else cfg.horizon
         return (out.where(F.col("_next").isNull() & (F.size(SEQ) == L))
-                .select(*self.series, "datetime", RN, F.flatten(SEQ).alias(SEQ))
+                .select(*self.series, "datetime", RN, *self.carried, F.flatten(SEQ).alias(SEQ))
                 .withColumn("target_time", add_hours("datetime", h))
                 .withColumn(VEC, array_to_vector(SEQ)))
 
@@ -331,11 +353,11 @@ class Forecaster:
         feats, _ = preprocess(union, spec, self.series, state=self.state, fill_gaps=cfg.fill_gaps)
         scaled = S.transform(feats, self.scalers, keep=[*self.series, "datetime", RN])
         row = F.expr("array(" + ", ".join(q(c) for c in self.state.feature_names) + ")")
-        seqs = halo_window(scaled.select(*self.series, "datetime", RN, row.alias("_row")), self.series,
+        seqs = halo_window(scaled.select(*self.series, "datetime", RN, *self.carried, row.alias("_row")), self.series,
                            lambda w: {SEQ: F.collect_list("_row").over(w.rowsBetween(-L, -1))}, back=L)
         keys = [*self.series, "datetime"]
         seqs = seqs.where(F.size(SEQ) == L).join(fc.select(*keys).distinct(), keys, "left_semi")
-        return (seqs.select(*self.series, "datetime", RN, F.flatten(SEQ).alias(SEQ), F.col("datetime").alias("target_time"))
+        return (seqs.select(*self.series, "datetime", RN, *self.carried, F.flatten(SEQ).alias(SEQ), F.col("datetime").alias("target_time"))
                 .withColumn(VEC, array_to_vector(SEQ)))
 
     def score_forecast(self, history: DataFrame, forecast: DataFrame) -> DataFrame:
@@ -353,6 +375,7 @@ class Forecaster:
         feature, its whole L-step slice is permuted across samples; importance
         = mean |baseline prediction − perturbed prediction|. One row per member and feature.
 
+        Trees are scored on perturbed copies; a linear model needs none, see ``linear_importance``.
         Shuffle volume stays a few times the training set (not F times):
         * only ids are ranked — feature f's permutation orders the samples by
           ``xxhash64(sample, f, seed)`` with block ranks (no global sort);
@@ -366,13 +389,22 @@ class Forecaster:
             raise ValueError("fit the model before asking for its importance")
         rows = None
         for member in self.models:
-            one = self._member_importance(member, seed)
+            linear = hasattr(self.models[member], "coefficients") or isinstance(self.models[member], gram.LinearSteps)
+            one = self._linear_importance(member, seed) if linear else self._member_importance(member, seed)
             rows = one if rows is None else rows.unionByName(one)
         if n_top:
             rank = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("importance"), "feature"))
             rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= n_top).drop("_rank")
         return rows
 
+    def _linear_importance(self, member: str, seed: int) -> DataFrame:
+        model = self.models[member]
+        weights = model.weights[0] if isinstance(model, gram.LinearSteps) else model.coefficients.toArray()
+        train = self.result.train_samples.where(F.col("member") == member)
+        ids = [*self.series, RN]
+        return linear_importance(train, SEQ, weights.tolist(), self.state.feature_names, ids, seed).select(
+            F.lit(member).alias("member"), "feature", "importance")
+
     def _member_importance(self, member: str, seed: int) -> DataFrame:
         names = self.state.feature_names
         nf, L = len(names), self.cfg.seq_length
@@ -424,9 +456,16 @@ class Forecaster:
 def save_models(path: str, models: dict, cfg: ModelConfig, fitted: Forecaster) -> None:
     spark = SparkSession.getActiveSession()
     for name, model in models.items():
-        model.write().overwrite().save(f"{path}/{name}")
+        if isinstance(model, gram.LinearSteps):
+            spark.createDataFrame([(model.to_json(),)], "model string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+        else:
+            model.write().overwrite().save(f"{path}/{name}")
+    if isinstance(fitted.scalers, S.SeriesScalers):
+        fitted.scalers.table.write.mode("overwrite").parquet(f"{path}/scalers")
+    for name, table in fitted.state.tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
     meta = {"config": asdict(cfg), "state": fitted.state.to_dict(), "scalers": fitted.scalers.to_dict(),
-            "members": [str(name) for name in models]}
+            "members": [str(name) for name in models], "tables": list(fitted.state.tables)}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
@@ -434,9 +473,18 @@ def load_models(path: str) -> tuple[ModelConfig, FeatureState, S.Scalers, dict]:
     spark = SparkSession.getActiveSession()
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     cfg = ModelConfig(**{**meta["config"], "series_cols": tuple(meta["config"].get("series_cols") or ())})
-    loader = LinearRegressionModel if cfg.algorithm == "linear" else GBTRegressionModel
-    models = {m: loader.load(f"{path}/{m}") for m in meta["members"]}
-    return cfg, FeatureState.from_dict(meta["state"]), S.Scalers.from_dict(meta["scalers"]), models
+    if cfg.algorithm == "ridge":
+        models = {m: gram.LinearSteps.from_json(spark.read.text(f"{path}/{m}").first()[0]) for m in meta["members"]}
+    else:
+        loader = LinearRegressionModel if cfg.algorithm == "linear" else GBTRegressionModel
+        models = {m: loader.load(f"{path}/{m}") for m in meta["members"]}
+    state = FeatureState.from_dict(meta["state"])
+    state.tables = {name: spark.read.parquet(f"{path}/{name}") for name in meta.get("tables", [])}
+    if "by" in meta["scalers"]:
+        scalers = S.SeriesScalers(**meta["scalers"], table=spark.read.parquet(f"{path}/scalers"))
+    else:
+        scalers = S.Scalers.from_dict(meta["scalers"])
+    return cfg, state, scalers, models
 
 
 class MultiStepForecaster:
@@ -453,11 +501,13 @@ class MultiStepForecaster:
     def fit(self, df: DataFrame, features: tuple | None = None) -> DataFrame:
         cfg, inner = self.cfg, self.inner
         feats, inner.state = inner._features(df, features)
-        inner.scalers = S.fit_scalers(inner.training_rows(feats), inner.state.feature_names, "trip_count")
+        inner.scalers = inner.fit_scalers(feats)
         scaled = S.transform(feats, inner.scalers, keep=[*inner.series, "datetime", RN], target_out=Y)
         seqs = build_sequences(scaled, inner.state.feature_names, Y, cfg.seq_length, cfg.horizon,
-                               inner.series, mode="multi", keep=("datetime",))
+                               inner.series, mode="multi", keep=("datetime", S.LOW, S.RANGE))
         split = chronological_split(seqs, inner.series, cfg.test_size, cfg.val_size)
+        if cfg.algorithm == "ridge":
+            return self._fit_ridge(split)
         split = (split.withColumn(VEC, array_to_vector(SEQ)).withColumn("_is_val", F.col("split") == "val")
                  .persist(StorageLevel.MEMORY_AND_DISK))
         if split.isEmpty():
@@ -481,6 +531,52 @@ class MultiStepForecaster:
         self.metrics = M.regression_metrics(test, group_cols=["hours_ahead"])
         return self.metrics
 
+    def _fit_ridge(self, split: DataFrame) -> DataFrame:
+        """All steps from one pass over the training sequences, their test rows from another."""
+        sums = gram.gram_of(split.where(F.col("split") == "train"), SEQ, TARGETS)
+        if sums is None:
+            raise ValueError("no complete sequence fits into the training rows")
+        self.sums = sums
+        model = gram.solve(sums, *elastic_net(self.cfg.reg_type, self.cfg.reg_value))
+        self.models = {h: gram.LinearSteps(model.weights[h - 1 : h], model.intercepts[h - 1 : h]) for h in range(1, self.cfg.horizon + 1)}
+        self.test_predictions = self._step_rows(split.where(F.col("split") == "test"), model)
+        self.metrics = M.regression_metrics(self.test_predictions, group_cols=["hours_ahead"])
+        return self.metrics
+
+    def _step_rows(self, rows: DataFrame, model: gram.LinearSteps, *keep: Column) -> DataFrame:
+        """(series…, hours_ahead, datetime, actual, predicted): the H rows of every sequence in one projection."""
+        inner = self.inner
+        pairs = F.arrays_zip(F.col(TARGETS).alias("t"), model.predictions(SEQ).alias("p"))
+        told = rows.select("*", F.posexplode(pairs).alias("_step", "_pair"))
+        return told.select(*keep, *inner.series, (F.col("_step") + 1).alias("hours_ahead"), "datetime",
+                           S.unscale_target(F.col("_pair.t"), inner.scalers).alias("actual"),
+                           S.unscale_target(zero_if_null(F.col("_pair.p")), inner.scalers).alias("predicted"))
+
+    def fit_penalties(self, df: DataFrame, penalties: dict[str, tuple[str | None, float]], features: tuple | None = None) -> DataFrame:
+        """Test metrics of every penalty ``name: (reg_type, reg_value)`` and step (ML-6, ML-16): the penalties
+        share one Gram matrix, and all their predictions one pass over the test sequences."""
+        if self.cfg.algorithm != "ridge":
+            raise ValueError("penalties share one pass with algorithm='ridge'")
+        cfg, inner = self.cfg, self.inner
+        feats, inner.state = inner._features(df, features)
+        inner.scalers = inner.fit_scalers(feats)
+        scaled = S.transform(feats, inner.scalers, keep=[*inner.series, "datetime", RN], target_out=Y)
+        seqs = build_sequences(scaled, inner.state.feature_names, Y, cfg.seq_length, cfg.horizon,
+                               inner.series, mode="multi", keep=("datetime", S.LOW, S.RANGE))
+        split = chronological_split(seqs, inner.series, cfg.test_size, cfg.val_size)
+        sums = gram.gram_of(split.where(F.col("split") == "train"), SEQ, TARGETS)
+        if sums is None:
+            raise ValueError("no complete sequence fits into the training rows")
+        models = [gram.solve(sums, *elastic_net(*p)) for p in penalties.values()]
+        both = gram.LinearSteps(np.concatenate([m.weights for m in models]), np.concatenate([m.intercepts for m in models]))
+        rows = split.where(F.col("split") == "test").withColumn(TARGETS, F.flatten(F.array_repeat(TARGETS, len(models))))
+        H = cfg.horizon
+        rows = self._step_rows(rows, both)
+        names = F.array(*[F.lit(n) for n in penalties])
+        rows = rows.withColumn("penalty", names[((F.col("hours_ahead") - 1) / H).cast("int")])
+        rows = rows.withColumn("hours_ahead", ((F.col("hours_ahead") - 1) % H + 1).cast("int"))
+        return M.regression_metrics(rows, group_cols=["penalty", "hours_ahead"])
+
     def release(self) -> None:
         """Free the cached sequences."""
         if self._held is not None:

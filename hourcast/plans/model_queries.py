@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourcast.operators.features import FeatureState
+from hourcast.operators.scaling import series_statistics
 from hourcast.operators.windows import add_row_index
 from hourcast.plans.ingest import driver_forecast
 from hourcast.plans.model import (PRESETS, Forecaster, ModelConfig, MultiStepForecaster,
                                   run_experiments)
-from hourcast.plans.queries import enriched_table, features, hourly_table, presented
+from hourcast.plans.queries import SERIES, enriched_table, features, hourly_table, presented
 from hourcast.session import checkpoint_dir, session_key
 
 _FITTED: dict = {}
@@ -162,6 +163,47 @@ def q_model_ols_saved(spark: SparkSession, sf: str) -> DataFrame:
     return presented(g._route_and_score(seqs).drop("_rn"))
 
 
+# --------------------------------------------- two features over five series
+
+def _two_features(spark: SparkSession, sf: str):
+    """The hourly series of every event type with two features, the count and its hour: (table, state)."""
+    hourly = hourly_table(spark, sf, SERIES).select(*SERIES, "datetime", "trip_count", "is_weekend", F.col("trip_count").cast("double").alias("level"),
+                                                    F.col("hour").cast("double").alias("clock"))
+    return add_row_index(hourly, "datetime", SERIES), FeatureState("base", SERIES, feature_names=["level", "clock"])
+
+
+RIDGE = ModelConfig(spec="base", algorithm="ridge", seq_length=1, horizon=2, series_cols=tuple(SERIES))
+#: name: (penalty, strength); small and large ones of every kind
+PENALTIES = {"none": (None, 0.0), "l2_small": ("l2", 0.001), "l2_large": ("l2", 0.5), "l1_small": ("l1", 0.0005), "l1_large": ("l1", 0.05), "l1_l2": ("l1_l2", 0.01)}
+
+
+def q_scaler_params_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Medians, quartiles and ranges of every series (AG-12, ML-1, ML-2 per series)."""
+    rows = _two_features(spark, sf)[0]
+    return presented(series_statistics(rows, ["level", "clock"], "trip_count", SERIES).drop("k"))
+
+
+def q_model_importance_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """Permutation importance of a least-squares model over all series (AN-1)."""
+    f = Forecaster(RIDGE)
+    f.fit(hourly_table(spark, sf, SERIES), features=_two_features(spark, sf))
+    return presented(f.permutation_importance())
+
+
+def q_model_ridge_multistep(spark: SparkSession, sf: str) -> DataFrame:
+    """Test predictions of the ridge models of steps 1…6 over all series, from one pass (ML-5, ML-6, ML-13)."""
+    m = MultiStepForecaster(RIDGE, horizon=6, reg_type="l2", reg_value=0.1)
+    m.fit(hourly_table(spark, sf, SERIES), features=_two_features(spark, sf))
+    return presented(m.test_predictions)
+
+
+def q_model_penalty_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Test metrics of six penalties at steps 1…6, all from one pass (ML-6, ML-16)."""
+    m = MultiStepForecaster(RIDGE, horizon=6)
+    feats, _ = _two_features(spark, sf)
+    return presented(m.fit_penalties(hourly_table(spark, sf, SERIES), PENALTIES, (feats, FeatureState("base", SERIES, feature_names=["level"]))))
+
+
 def q_model_experiments(spark: SparkSession, sf: str) -> DataFrame:
     """The named parameter sets, one metrics row each (ML-16)."""
     return presented(run_experiments(enriched_table(spark, sf), PRESETS, ModelConfig(algorithm="linear"),
@@ -199,6 +241,10 @@ def q_model_per_series(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MODEL_REGISTRY = {
+    "scaler_params_series": q_scaler_params_series,
+    "model_importance_linear": q_model_importance_linear,
+    "model_ridge_multistep": q_model_ridge_multistep,
+    "model_penalty_path": q_model_penalty_path,
     "model_ols_predictions": q_model_ols_predictions,
     "model_ols_metrics": q_model_ols_metrics,
     "model_ols_ensemble": q_model_ols_ensemble,

@@ -14,10 +14,10 @@ def _plan(df) -> str:
 
 
 def test_hourly_count_prunes_and_pre_aggregates(spark):
-    from hourcast.operators.aggregate import hour_station_counts
+    from hourcast.operators.aggregate import hour_and_station_counts
     from hourcast.sources.trips import driver_trips
 
-    plan = _plan(hour_station_counts(driver_trips(spark, SF, include_legacy=False)))
+    plan = _plan(hour_and_station_counts(driver_trips(spark, SF, include_legacy=False)))
     scans = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)
     assert scans == ["struct<ts:timestamp_ntz,user_id:bigint>"]  # the columns of the one pass
     assert "partial_count" in plan                                # map-side combine before the shuffle
@@ -39,13 +39,13 @@ def test_positional_windows_shuffle_by_block_not_single_partition(spark):
 def test_raw_trips_are_read_once(spark):
     """Hourly counts, top station and days come from one aggregate; its plan scans ``events`` once, and
     what is derived from it not at all."""
-    from hourcast.operators.aggregate import daily_and_hourly, hour_station_counts, hourly_trips
+    from hourcast.operators.aggregate import daily_and_hourly, hour_and_station_counts, hourly_trips
     from hourcast.sources.trips import driver_trips
 
     sf = "/root/testdata/sf0.001"
     trips = driver_trips(spark, sf, include_legacy=False)
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    assert plan(hour_station_counts(trips)).count("FileScan parquet") == 1
+    assert plan(hour_and_station_counts(trips)).count("FileScan parquet") == 1
     for df in (hourly_trips(trips), hourly_trips(trips, ["rideable_type"]), daily_and_hourly(trips)[0]):
         assert "events.parquet" not in plan(df)
 

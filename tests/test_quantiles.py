@@ -41,3 +41,53 @@ def test_tied_values_are_not_gathered(spark, monkeypatch):
     pdf = df.toPandas()
     for c in got:
         np.testing.assert_allclose(got[c], np.quantile(pdf[c], probs))
+
+
+def test_quantiles_between_two_ranks(spark):
+    """674 values, two neighbours around the third quartile: interpolated, not the upper one."""
+    values = [17.0] * 505 + [18.0] * 169
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert exact_quantiles(df, ["x"], [0.75])["x"] == [np.quantile(values, 0.75)] == [17.75]
+
+
+def grouped(rows, by):
+    out = {}
+    for r in rows:
+        out.setdefault(tuple(r[c] for c in by), []).append(r)
+    return out
+
+
+def test_quantiles_of_groups(spark):
+    from hourcast.operators.quantiles import summarize_by
+
+    rng = np.random.default_rng(8)
+    rows = [("big", i % 2, float(np.round(x, 2)), None if i % 9 == 0 else float(i % 13)) for i, x in enumerate(rng.normal(size=30_000))]
+    rows += [(None, 1, float(i), None) for i in range(7)] + [("one", None, 2.5, 4.0), ("none", 0, None, None)]
+    df = spark.createDataFrame(rows, "a string, b int, x double, y double").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {(r["a"], r["b"], r["k"]): r for r in summarize_by(df, ["x", "y"], probs, ["a", "b"]).collect()}
+    groups = grouped([dict(zip(("a", "b", "x", "y"), r)) for r in rows], ["a", "b"])
+    assert len(got) == 2 * len(groups)
+    for key, members in groups.items():
+        for k, c in enumerate(("x", "y")):
+            values = [m[c] for m in members if m[c] is not None]
+            r = got[(*key, k)]
+            assert (r["n"], r["nulls"]) == (len(values), len(members) - len(values))
+            if values:
+                assert (r["min"], r["max"]) == (min(values), max(values))
+                np.testing.assert_allclose(r["q"], np.quantile(values, probs), rtol=1e-12)
+            else:
+                assert r["q"] is None and r["min"] is None
+
+
+def test_group_brackets_are_not_broadcast(spark):
+    """The brackets grow with the number of groups: the plan holds no forced broadcast and no nested loop."""
+    from hourcast.operators.quantiles import summarize_by
+
+    df = spark.range(1000).selectExpr("id % 7 AS g", "id * 1.0D AS x")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = summarize_by(df, ["x"], [0.5], ["g"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Broadcast" not in plan and "CartesianProduct" not in plan
