@@ -15,8 +15,8 @@ pass, never too little, and counts are exact. A phrase is inside of a longer one
 often as it occurs if all its places have the same word before it, or after it; so
 every count carries the smallest and largest neighbour.
 
-Words have 64-bit numbers, which are checked: if two words share one, all words are
-numbered anew.
+Texts are read once and kept as codes of their words. Words have 64-bit numbers, which
+are checked: if two words share one, all words are numbered anew.
 
 Cases: null and empty texts have no words; null languages are ``und``; repeated
 rows, ids included, count each; long texts are read whole; equal scores are ordered
@@ -27,7 +27,6 @@ rows; columns beyond text and language are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -39,8 +38,10 @@ from hourcast.llm.common import stored
 
 #: Bits of a filter at most (8 MB).
 BITS = 1 << 26
-#: Words remembered in a task, and grams held before they are sent on.
-MEMORY, HELD = 1_000_000, 4_000_000
+#: Words and piece ends in a row of numbered text, different words in it at most, and places worked on together.
+CHUNK, MEMORY, SLICE = 4_000_000, 1_000_000, 500_000
+#: Pairs held before they are sent on.
+HELD = 2_000_000
 #: The first step expands the best words that hold one in so many of a language's frequent words.
 FIRST = 4
 LONGEST = 5
@@ -55,66 +56,103 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Reader:
-    """Turns batches of (text, language) into word numbers; 0 ends a piece."""
-
-    def __init__(self, seed: int):
-        self.seed, self.known, self.size = seed, {}, 0
-
-    def words(self, lang: str, texts: list[str]) -> list[bytes]:
-        joined = "\n".join(texts).encode("utf-8", "surrogatepass").translate(FOLD)
-        return joined.replace(b"\n", b" . ").split()  # no word is a full stop
-
-    def numbers(self, lang: str, words: list[bytes]) -> np.ndarray:
-        if self.size > MEMORY:
-            self.known, self.size = {}, 0
-        memo, table = self.known.get(lang) or (Memo(), np.zeros(0, np.uint64))
-        at = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-        if len(memo) > len(table):
-            new = list(islice(memo, len(table), None))
-            table = np.append(table, word_numbers(lang, new, self.seed))
-            self.size += len(new)
-        self.known[lang] = memo, table
-        return table[at]
-
-    def read(self, batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
-        by: dict[str, list[str]] = {}
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if text:
-                by.setdefault("und" if lang is None else lang, []).append(text)
-        for lang, texts in by.items():
-            yield lang, self.words(lang, texts)
-
-    def batch(self, batch: pa.RecordBatch) -> np.ndarray:
-        """All pieces of a batch one after the other, 0 around and between them."""
-        parts = [np.zeros(1, np.uint64)]
-        for lang, words in self.read(batch):
-            parts += [self.numbers(lang, words), np.zeros(1, np.uint64)]
-        return np.concatenate([*parts, np.zeros(LONGEST, np.uint64)])
+class Memo(dict):
+    """Words of a language in a chunk and their codes; codes of a chunk are counted through, 0 ends a piece."""
 
+    def __init__(self, size: list[int]):
+        super().__init__({b".": 0})  # no word is a full stop
+        self.size = size
 
-class Memo(dict):
     def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
+        self.size[0] += 1
+        self[word] = code = self.size[0]
+        return code
 
 
 def word_numbers(lang: str, words: list[bytes], seed: int) -> np.ndarray:
-    key = f"{seed:016x}".encode()[:16].decode()
+    key = f"{seed:016x}"
     raw = pd.util.hash_array(np.array([f"{lang}\0".encode() + w for w in words], dtype=object), hash_key=key, categorize=False)
-    out = np.where(raw == 0, np.uint64(1), raw)
-    out[[w == b"." for w in words]] = 0
-    return out
+    return np.where(raw == 0, np.uint64(1), raw)
 
 
-def grams(t: np.ndarray, longest: int) -> list[np.ndarray]:
-    """Numbers of the 1..longest-word phrases that begin at every place, 0 where a piece ends before."""
-    n = len(t) - LONGEST
-    out, whole = [t[:n].copy()], t[:n] != 0
-    for k in range(1, longest):
-        whole = whole & (t[k : n + k] != 0)
-        out.append(np.where(whole, mixed(out[-1] * NEXT + t[k : n + k]) | np.uint64(1), np.uint64(0)))
-    return out
+NUMBERED = "codes binary, size long, words array<struct<lang:string,word:string,t:long,f:long>>"
+WORD = pa.struct([("lang", pa.string()), ("word", pa.string()), ("t", pa.int64()), ("f", pa.int64())])
+
+
+def number_texts(seed: int):
+    """Texts as codes of their words, a row of about ``CHUNK`` of them, with what the codes stand for."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, memos, parts = [0], {}, []
+
+        def chunk():
+            codes = np.concatenate(parts)
+            times = np.bincount(codes, minlength=size[0] + 1)
+            rows: list[tuple] = [()] * size[0]
+            for lang, memo in memos.items():
+                words = [w for w in memo if w != b"."]
+                t = word_numbers(lang, words, seed).view(np.int64).tolist() if words else []
+                for w, n in zip(words, t):
+                    code = memo[w]
+                    rows[code - 1] = (lang, w.decode("utf-8", "surrogatepass"), n, int(times[code]))
+            words = pa.StructArray.from_arrays([pa.array([r[j] for r in rows], WORD.field(j).type) for j in range(4)], fields=list(WORD))
+            body = pa.Codec("zstd", 3).compress(codes.astype("<i4").tobytes(), asbytes=True)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), words)
+            out = pa.RecordBatch.from_arrays([pa.array([body], pa.binary()), pa.array([len(codes)]), listed], ["codes", "size", "words"])
+            size[0] = 0
+            memos.clear()
+            parts.clear()
+            return out
+
+        for batch in batches:
+            by: dict[str, list[str]] = {}
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text:
+                    by.setdefault("und" if lang is None else lang, []).append(text)
+            for lang, texts in by.items():
+                joined = "\n".join(texts).encode("utf-8", "surrogatepass").translate(FOLD)
+                words = joined.replace(b"\n", b" . ").split()
+                memo = memos.get(lang)
+                if memo is None:
+                    memo = memos[lang] = Memo(size)
+                parts += [np.fromiter(map(memo.__getitem__, words), np.int32, len(words)), np.zeros(1, np.int32)]
+            if sum(map(len, parts)) >= CHUNK or size[0] >= MEMORY:
+                yield chunk()
+        if parts:
+            yield chunk()
+
+    return run
+
+
+class Slice:
+    """A stretch of numbered text: its places, one before them and ``LONGEST`` + 1 behind them."""
+
+    def __init__(self, codes: np.ndarray, table: np.ndarray):
+        self.codes, self.table = codes, table
+        self.n = len(codes) - LONGEST - 1
+
+    def places(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Places of word pairs by flags of the first and the second word's code."""
+        return np.flatnonzero(first[self.codes[1 : self.n]] & second[self.codes[2 : self.n + 1]]) + 1
+
+    def number(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Numbers of the k-word phrases at places that have so many words in their piece."""
+        out = self.table[self.codes[at]]
+        for j in range(1, k):
+            out = self.longer(out, at, j)
+        return out
+
+    def longer(self, number: np.ndarray, at: np.ndarray, j: int) -> np.ndarray:
+        return mixed(number * NEXT + self.table[self.codes[at + j]]) | np.uint64(1)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Iterator[Slice]]]:
+    """(word numbers by code, slices) of every chunk; number 0 is that of piece ends."""
+    for i in range(batch.num_rows):
+        size = batch.column(1)[i].as_py()
+        codes = np.frombuffer(pa.Codec("zstd").decompress(batch.column(0)[i].as_buffer(), size * 4, asbytes=True), "<i4")
+        codes = np.concatenate([np.zeros(1, np.int32), codes, np.zeros(LONGEST + 1, np.int32)])
+        table = np.append(np.uint64(0), batch.column(2)[i].values.to_numpy().astype(np.int64).view(np.uint64))
+        yield table, (Slice(codes[at : at + SLICE + LONGEST + 2], table) for at in range(0, size, SLICE))
 
 
 class Filter:
@@ -148,17 +186,17 @@ def filter_of(numbers: DataFrame) -> Filter:
 
 
 def phrase_numbers(phrases: DataFrame) -> DataFrame:
-    """Column ``g``: the numbers of the phrases in column ``p``, as ``grams`` makes them."""
+    """Column ``g``: the numbers of the phrases in column ``p``, as ``Slice.number`` makes them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.frombuffer(p, ">u8").astype(np.uint64) for p in batch.column(0).to_pylist()]
-            out = np.zeros(len(lists), np.uint64)
-            for i, words in enumerate(lists):
+            out = []
+            for p in batch.column(0).to_pylist():
+                words = np.frombuffer(p, ">u8").astype(np.uint64)
                 g = words[:1]
-                for w in words[1:]:
-                    g = mixed(g * NEXT + w) | np.uint64(1)
-                out[i] = g[0]
-            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], ["g"])
+                for j in range(1, len(words)):
+                    g = mixed(g * NEXT + words[j : j + 1]) | np.uint64(1)
+                out.append(int(g.view(np.int64)[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["g"])
 
     return phrases.select("p").mapInArrow(run, "g long")
 
@@ -170,38 +208,10 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[begin], np.add.reduceat(counts, begin) if len(begin) else counts
 
 
-def count_words(seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, held = Reader(seed), {}
-
-        def flush():
-            for lang, (memo, total) in held.items():
-                words, total = list(memo), total[: len(memo)]
-                t = word_numbers(lang, words, seed).view(np.int64)
-                dot = np.array([w == b"." for w in words])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(words)), pa.array([None if d else w.decode("utf-8", "surrogatepass") for w, d in zip(words, dot)], pa.string()),
-                    pa.array(t), pa.array(np.where(dot, total[~dot].sum(), total))], ["lang", "word", "t", "f"])
-            held.clear()
-
-        for batch in batches:
-            for lang, words in reader.read(batch):
-                memo, total = held.get(lang) or (Memo(), np.zeros(0, np.int64))
-                memo[b"."]
-                at = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-                total = np.append(total, np.zeros(len(memo) - len(total), np.int64)) + np.bincount(at, minlength=len(memo))
-                held[lang] = memo, total
-            if sum(len(m) for m, _ in held.values()) > MEMORY:
-                yield from flush()
-        yield from flush()
-
-    return run
-
-
-def count_numbers(seed: int, first: Filter, frequent: Filter):
+def count_numbers(first: Filter, frequent: Filter):
     """(g, n): numbers of word pairs whose first word is expanded and whose second is frequent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, held = Reader(seed), []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
             g, n = summed(*(np.concatenate(x) for x in zip(*held)))
@@ -209,12 +219,13 @@ def count_numbers(seed: int, first: Filter, frequent: Filter):
             return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
 
         for batch in batches:
-            t = reader.batch(batch)
-            g = grams(t, 2)
-            pair = g[1][first.has(g[0]) & frequent.has(t[1 : len(g[0]) + 1]) & (g[1] != 0)]
-            held.append(summed(pair, np.ones(len(pair), np.int64)))
-            if sum(len(k) for k, _ in held) > HELD:
-                yield flush()
+            for table, parts in slices(batch):
+                starts, follows = first.has(table), frequent.has(table)
+                for part in parts:
+                    pair = part.number(part.places(starts, follows), 2)
+                    held.append(summed(pair, np.ones(len(pair), np.int64)))
+                    if sum(len(k) for k, _ in held) > HELD:
+                        yield flush()
         if held:
             yield flush()
 
@@ -224,30 +235,29 @@ def count_numbers(seed: int, first: Filter, frequent: Filter):
 PHRASES = "p binary, f long, before_least long, before_most long, after_least long, after_most long"
 
 
-def count_phrases(seed: int, takes):
-    """Counts and neighbours of the phrases that ``takes(grams, words)`` names: (length, places) pairs."""
+def count_phrases(takes):
+    """Counts and neighbours of the phrases that ``takes(table)(slice)`` names: (length, places) pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(seed)
         for batch in batches:
-            t = reader.batch(batch)
-            for k, at in takes(t):
-                if len(at):
-                    yield counted(t, at, k)
+            for table, parts in slices(batch):
+                of = takes(table)
+                for part in parts:
+                    for k, at in of(part):
+                        if len(at):
+                            yield counted(part.table[part.codes[at[:, None] + np.arange(-1, k + 1)]])
 
     return run
 
 
-def counted(t: np.ndarray, at: np.ndarray, k: int) -> pa.RecordBatch:
-    columns = [t[at + j] for j in range(k)]
-    order = np.lexsort(columns)
-    at, columns = at[order], [c[order] for c in columns]
-    new = np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))
-    begin = np.flatnonzero(new)
-    p = np.stack([c[begin] for c in columns], axis=1).astype(">u8").tobytes()
-    before, after = t[at - 1].view(np.int64), t[at + k].view(np.int64)
-    sizes = np.diff(np.append(begin, len(at)))
+def counted(t: np.ndarray) -> pa.RecordBatch:
+    """Rows of word numbers, a neighbour at both ends, as phrases with their counts."""
+    k = t.shape[1] - 2
+    t = t[np.lexsort(t[:, 1:-1].T)]
+    begin = np.flatnonzero(np.append(True, np.any(t[1:, 1:-1] != t[:-1, 1:-1], axis=1)))
+    p = t[begin, 1:-1].astype(">u8").tobytes()
+    before, after = t[:, 0].view(np.int64), t[:, -1].view(np.int64)
     return pa.RecordBatch.from_arrays([
-        pa.array([p[i : i + 8 * k] for i in range(0, len(p), 8 * k)], pa.binary()), pa.array(sizes),
+        pa.array([p[i : i + 8 * k] for i in range(0, len(p), 8 * k)], pa.binary()), pa.array(np.diff(np.append(begin, len(t)))),
         *(pa.array(how.reduceat(x, begin)) for x in (before, after) for how in (np.minimum, np.maximum))],
         ["p", "f", "before_least", "before_most", "after_least", "after_most"])
 
@@ -256,26 +266,27 @@ class Growth:
     """Phrases counted so far, and the passes that count more."""
 
     def __init__(self, docs: DataFrame, least: int, longest: int):
-        self.docs, self.least, self.longest, self.spark = docs, least, longest, docs.sparkSession
-        self.seed, words = 0, None
+        self.least, self.longest, self.spark = least, longest, docs.sparkSession
+        seed, words = 0, None
         while words is None:
-            raw = docs.mapInArrow(count_words(self.seed), "lang string, word string, t long, f long")
-            one = raw.groupBy("lang", "word", "t").agg(F.sum("f").alias("f"))
-            words = stored(one, "collocation-words")
-            shared = words.where("t != 0").groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+            # numbered once, read by every pass
+            texts = stored(docs.mapInArrow(number_texts(seed), NUMBERED), "collocation-texts")
+            words = texts.selectExpr("inline(words)").groupBy("lang", "word", "t").agg(F.sum("f").alias("f"))
+            words = stored(words, "collocation-words")
+            shared = words.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
             if shared.limit(1).count():
-                self.seed, words = self.seed + 1, None
-        # t = 0 holds a row per language with the number of its words
-        self.totals = words.where("t = 0").select("lang", F.col("f").alias("n"))
+                seed, words = seed + 1, None
+        self.texts = texts.select("codes", "size", F.col("words.t").alias("t"))
+        self.totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
         # phrases are rows of 8 bytes a word; one word is a phrase of length 1
-        often = words.where((F.col("t") != 0) & (F.col("f") >= least))
+        often = words.where(F.col("f") >= least)
         self.words = stored(often.join(self.totals, "lang").select(word_key(F.col("t")).alias("p"), "t", "lang", "f", "word", "n"), "collocation-frequent")
         self.frequent = filter_of(self.words.select(F.col("t").alias("g")))
         self.phrases: list[DataFrame] = []
         self.pairs: list[DataFrame] = []
 
     def passed(self, takes) -> DataFrame:
-        raw = self.docs.mapInArrow(count_phrases(self.seed, takes), PHRASES)
+        raw = self.texts.mapInArrow(count_phrases(takes), PHRASES)
         aggs = [F.min(c).alias(c) if c.endswith("least") else F.max(c).alias(c) for c in ("before_least", "before_most", "after_least", "after_most")]
         out = raw.groupBy("p").agg(F.sum("f").alias("f"), *aggs).where(F.col("f") >= self.least)
         return stored(out, "collocation-phrases")
@@ -284,32 +295,50 @@ class Growth:
         """Count all frequent phrases that grow from the words of ``batch``; ``waiting`` words are not expanded yet."""
         first, frequent = filter_of(batch.select(F.col("t").alias("g"))), self.frequent
         later = filter_of(waiting.select(F.col("t").alias("g")))
-        numbers = self.docs.mapInArrow(count_numbers(self.seed, first, frequent), "g long, n long")
+        numbers = self.texts.mapInArrow(count_numbers(first, frequent), "g long, n long")
         numbers = numbers.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= self.least).select("g")
         self.pairs.append(stored(numbers, "collocation-pairs"))
         pair = filter_of(self.pairs[-1])
         every = pair if len(self.pairs) == 1 else filter_of(union(self.pairs))
         longest = self.longest
 
-        def short(t: np.ndarray):
-            g = grams(t, min(3, longest))
-            n = len(g[0])
-            two = first.has(g[0]) & pair.has(g[1])
-            yield 2, np.flatnonzero(two)
-            if longest > 2:
-                # the last two words are frequent, as far as that is known
-                rest = np.append(g[1][1:], np.uint64(0))
-                tail = every.has(rest) | later.has(t[1 : n + 1])
-                yield 3, np.flatnonzero(two & (g[2] != 0) & frequent.has(t[2 : n + 2]) & tail)
+        def short(table: np.ndarray):
+            starts, follows, waits = first.has(table), frequent.has(table), later.has(table)
+
+            def of(part: Slice):
+                at = part.places(starts, follows)
+                at = at[pair.has(part.number(at, 2))]
+                yield 2, at
+                if longest > 2:
+                    # the last word is frequent, the last two are, as far as that is known
+                    at = at[follows[part.codes[at + 2]]]
+                    yield 3, at[waits[part.codes[at + 1]] | every.has(part.number(at + 1, 2))]
+
+            return of
 
         grown = self.passed(short)
         self.phrases.append(grown)
         for k in range(4, longest + 1):
             prefix = filter_of(phrase_numbers(grown.where(F.length("p") == 8 * (k - 1))))
 
-            def longer(t: np.ndarray, k=k, prefix=prefix):
-                g = grams(t, k)
-                yield k, np.flatnonzero(prefix.has(g[k - 2]) & (g[k - 1] != 0) & frequent.has(t[k - 1 : len(g[0]) + k - 1]))
+            def longer(table: np.ndarray, k=k, prefix=prefix):
+                starts, follows = first.has(table), frequent.has(table)
+
+                def of(part: Slice):
+                    at = part.places(starts, follows)
+                    g = part.number(at, 2)
+                    on = pair.has(g)
+                    at, g = at[on], g[on]
+                    for j in range(2, k):
+                        if j == k - 1:
+                            on = prefix.has(g)
+                            at, g = at[on], g[on]
+                        on = follows[part.codes[at + j]]
+                        at, g = at[on], g[on]
+                        g = part.longer(g, at, j)
+                    yield k, at
+
+                return of
 
             grown = self.passed(longer)
             self.phrases.append(grown)
@@ -332,12 +361,24 @@ class Growth:
         missing = cuts.select(F.col("right").alias("p")).distinct().join(known, "p", "left_anti")
         missing = stored(missing, "collocation-missing")
         if missing.limit(1).count():
-            wanted, longest = filter_of(phrase_numbers(missing)), self.longest
-
-            def ends(t: np.ndarray):
-                g = grams(t, longest - 1)
-                for k in range(2, longest):
-                    yield k, np.flatnonzero(wanted.has(g[k - 1]))
+            wanted, longest, frequent = filter_of(phrase_numbers(missing)), self.longest, self.frequent
+            begins = filter_of(phrase_numbers(missing.select(F.expr("substring(p, 1, 16)").alias("p")).distinct()))
+
+            def ends(table: np.ndarray):
+                follows = frequent.has(table)
+
+                def of(part: Slice):
+                    at = part.places(follows, follows)
+                    g = part.number(at, 2)
+                    on = begins.has(g)
+                    at, g = at[on], g[on]
+                    for k in range(2, longest):
+                        yield k, at[wanted.has(g)]
+                        on = follows[part.codes[at + k]]
+                        at, g = at[on], g[on]
+                        g = part.longer(g, at, k)
+
+                return of
 
             known = known.unionByName(self.passed(ends).join(missing, "p", "left_semi").select("p", "f"))
         left = known.select(F.col("p").alias("left"), F.col("f").alias("l"))

@@ -100,6 +100,19 @@ def test_collocation_ties_and_neighbours(spark):
     assert found(docs, least=2, top=3) == sorted(brute.phrases(texts, 2, 3), key=lambda r: (r[0], r[1]))
 
 
+def test_collocations_over_small_slices(small, monkeypatch):
+    """Phrases that cross the stretches worked on together, and chunks, count as others."""
+    want = found(small, least=10, top=300)
+    for name, value in (("SLICE", 7), ("HELD", 50)):
+        monkeypatch.setattr(collocations, name, value)
+    few = small.limit(60)
+    rows = [(r["text"], r["lang"]) for r in few.select("text", "lang").collect()]
+    assert found(few, least=4, top=300) == sorted(brute.phrases(rows, 4, 300), key=lambda r: (r[0], r[1]))
+    monkeypatch.setattr(collocations, "SLICE", 1000)
+    monkeypatch.setattr(collocations, "CHUNK", 2000)
+    assert found(small, least=10, top=300) == want
+
+
 def test_filter_lets_all_through(spark):
     numbers = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500)
     kept = collocations.filter_of(spark.createDataFrame([(int(x),) for x in numbers], "g long"))
