@@ -11,7 +11,9 @@ objective is 1/(2n)·Σ(y − w·x − b)² + λ(α‖w‖₁ + (1 − α)/2·
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -66,12 +68,13 @@ def ridge(gram: Gram, reg: float) -> "LinearSteps":
     return LinearSteps(w.T, my - mx @ w)
 
 
-def elastic_net(gram: Gram, reg: float, alpha: float, tol: float = 1e-9, sweeps: int = 10_000) -> "LinearSteps":
-    """Coordinate descent on the covariances, all targets at once."""
+def sweeps_of(gram: Gram, reg: float, alpha: float) -> Iterator[tuple["LinearSteps", float]]:
+    """(state, largest move) after every sweep of coordinate descent on the covariances, from weights of
+    zero; all targets at once, without end."""
     xx, xy, mx, my = gram.centred()
     w, at = np.zeros_like(xy), np.zeros_like(xy)  # at = xx @ w
     scale = np.diag(xx) + reg * (1 - alpha)
-    for _ in range(sweeps):
+    while True:
         moved = 0.0
         for j in np.flatnonzero(scale > 0):
             pull = xy[j] - at[j] + xx[j, j] * w[j]
@@ -81,9 +84,20 @@ def elastic_net(gram: Gram, reg: float, alpha: float, tol: float = 1e-9, sweeps:
                 at += np.outer(xx[:, j], step)
                 w[j] = new
                 moved = max(moved, float(np.abs(step).max() * np.sqrt(max(xx[j, j], 0))))
+        yield LinearSteps(w.T.copy(), my - mx @ w), moved
+
+
+def elastic_net(gram: Gram, reg: float, alpha: float, tol: float = 1e-9, most: int = 10_000) -> "LinearSteps":
+    """Coordinate descent until a sweep moves no prediction by more than ``tol`` deviations."""
+    for state, moved in islice(sweeps_of(gram, reg, alpha), most):
         if moved <= tol:
             break
-    return LinearSteps(w.T, my - mx @ w)
+    return state
+
+
+def descent(gram: Gram, reg: float, alpha: float, sweeps: int) -> list["LinearSteps"]:
+    """The states after 1, 2, … sweeps, for early stopping."""
+    return [state for state, _ in islice(sweeps_of(gram, reg, alpha), sweeps)]
 
 
 def solve(gram: Gram, reg: float, alpha: float = 0.0) -> "LinearSteps":
@@ -96,6 +110,16 @@ class LinearSteps:
     weights: np.ndarray
     intercepts: np.ndarray
 
+    def loss(self, gram: Gram) -> float:
+        """Mean squared error over the rows that a Gram matrix sums, all steps together."""
+        xx, xy, mx, my = gram.centred()
+        d = gram.n_x
+        mean = gram.matrix[0, 1:] / gram.n
+        yy = np.diag(gram.matrix[1 + d :, 1 + d :]) / gram.n - mean[d:] ** 2
+        off = my - self.weights @ mx - self.intercepts
+        spread = yy - 2 * np.einsum("hd,dh->h", self.weights, xy) + np.einsum("hd,de,he->h", self.weights, xx, self.weights)
+        return float((spread + off**2).mean())
+
     def predictions(self, x: str) -> Column:
         """Array of all steps' predictions from the array column ``x``."""
         number = lambda v: f"{float(v)!r}D" if np.isfinite(v) else "CAST('NaN' AS DOUBLE)"

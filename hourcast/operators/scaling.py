@@ -157,6 +157,32 @@ def transform(df: DataFrame, s: Scalers | SeriesScalers, keep: Sequence[str] = (
     return df.selectExpr(*exprs)
 
 
+VERSION = "model_version"
+
+
+def serving_table(spark: SparkSession, versions: dict[str, Scalers]) -> DataFrame:
+    """``(model_version, feature, position, median, scale)`` of several fitted models, written to the shared
+    folder: the state that ``serve`` joins. A feature without a median has a null there."""
+    rows = [(v, c, i, s.median.get(c), float(s.robust_scale(c))) for v, s in versions.items() for i, c in enumerate(s.features)]
+    return cut_lineage(spark.createDataFrame(rows, f"{VERSION} string, feature string, position int, median double, scale double"))
+
+
+def serve(df: DataFrame, table: DataFrame, keys: Sequence[str], ignore: Sequence[str] = ()) -> DataFrame:
+    """``(model_version, keys…, features)``: every row's inputs for the model version it names, in that model's
+    training order, in one plan for all versions (ML-11, PRJ-8).
+
+    A training feature that ``df`` lacks counts as raw 0 and is scaled; a null is the training median, so 0;
+    columns that the version was not trained on are left out, and rows of unknown versions too. One row per
+    version meets the data by a join on the version."""
+    values = [f for f in df.schema.fields if f.name not in {*keys, *ignore, VERSION} and isinstance(f.dataType, T.NumericType)]
+    told = ", ".join(f"{lit(f.name)}, CAST({q(f.name)} AS DOUBLE)" for f in values)
+    rows = df.selectExpr(VERSION, *map(q, keys), f"map({told}) AS _values" if told else "CAST(map() AS map<string,double>) AS _values")
+    state = table.groupBy(VERSION).agg(F.array_sort(F.collect_list(F.struct("position", "feature", "median", "scale"))).alias("_state"))
+    raw = "if(map_contains_key(_values, s.feature), _values[s.feature], 0.0D)"
+    scaled = f"transform(_state, s -> coalesce(nanvl(({raw} - s.median) / s.scale, NULL), 0.0D))"
+    return rows.join(state, VERSION).selectExpr(VERSION, *map(q, keys), f"{scaled} AS features")
+
+
 def params_frame(spark: SparkSession, s: Scalers) -> DataFrame:
     """Fitted scaler parameters as a table (one row per column)."""
     schema = T.StructType([T.StructField(n, t) for n, t in (

@@ -85,6 +85,18 @@ def build_sequences(df: DataFrame, feature_cols: Sequence[str], target_col: str,
     return out.where(ok).select(*series, *keep, RN, seq.alias(SEQ), *tgt)
 
 
+def windows_before(df: DataFrame, value_cols: Sequence[str], L: int, series_cols: Sequence[str] = (),
+                   keep: Sequence[str] = ("datetime",)) -> DataFrame:
+    """``(series…, keep…, _rn, seq)``: the L rows before every row that has so many (WN-9). Over history and
+    forecast rows together, a forecast row's window holds the newest history and the forecast before it."""
+    from hourcast.functions.sqlexpr import q
+
+    row = F.expr("array(" + ", ".join(f"CAST({q(c)} AS DOUBLE)" for c in value_cols) + ")")
+    base = df.select(*series_cols, *keep, RN, row.alias("_row"))
+    out = halo_window(base, list(series_cols), lambda w: {SEQ: F.collect_list("_row").over(w.rowsBetween(-L, -1))}, back=L)
+    return out.where(F.size(SEQ) == L).drop("_row")
+
+
 def sequence_columns(seq_df: DataFrame, L: int, prefix: str = "x") -> DataFrame:
     """Single-feature sequences as columns x_0 … x_{L−1} (oldest first)."""
     inner = F.col(SEQ)

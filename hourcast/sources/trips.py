@@ -12,7 +12,6 @@ from __future__ import annotations
 import csv
 import io
 import warnings
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -144,6 +143,8 @@ class TripScan:
     trips: DataFrame
     #: (source_file, rows, malformed_rows) of every file that was scanned
     report: DataFrame
+    #: (source_file, line, reason) of the records that hold no trip: ``malformed`` or ``start_time``
+    quarantine: DataFrame
     headers: dict[tuple, list[str]] = field(default_factory=dict)
     #: files left out as a whole: unknown headers, and bad files with ``on_bad_file="skip"``
     skipped: list[str] = field(default_factory=list)
@@ -160,37 +161,37 @@ def _list_csv(spark: SparkSession, directory: str) -> list[str]:
     return sorted(str(s.getPath().toString()) for s in statuses if s.isFile())
 
 
-def _header_line(spark: SparkSession, path: str) -> list[str] | None:
-    """First line of a file (driver side, header bytes only)."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    stream = fs.open(p)
-    try:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
-    finally:
-        stream.close()
-    if line is None:
-        return None
-    line = line.lstrip("﻿")
-    return next(csv.reader(io.StringIO(line)))
-
-
-def _reads_whole(spark: SparkSession, path: str) -> bool:
-    """Whether every line of a file can be read."""
+def header_lines(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """File name to the fields of its first line; one job for all files, empty files are left out.
+
+    A file's first block lies in one task, in order, so its first line is the one with the smallest row
+    number there; later blocks are filtered out by the scan's metadata, and lines are reduced before
+    they leave a task."""
+    if not paths:
+        return {}
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("i"))
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "i").alias("line"))
+    return {r["file"]: next(csv.reader(io.StringIO(r["line"].lstrip("\ufeff"))), []) for r in first.collect()}
+
+
+def unreadable(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files that cannot be read to their end. All are read in one job; only where it fails are the halves
+    read on their own, so a bad file costs as many jobs as the list can be halved."""
+    if not paths:
+        return []
     try:
-        spark.read.text(path).write.format("noop").mode("overwrite").save()
+        spark.read.text(paths).write.format("noop").mode("overwrite").save()
+        return []
     except Exception as exc:  # whatever the codec or the file system throws
-        warnings.warn(f"{path} cannot be read to its end: {exc}")
-        return False
-    return True
+        if len(paths) == 1:
+            warnings.warn(f"{paths[0]} cannot be read to its end: {exc}")
+            return paths
+    half = len(paths) // 2
+    return unreadable(spark, paths[:half]) + unreadable(spark, paths[half:])
 
 
 CORRUPT = "_corrupt_record"
-#: Threads that read header lines; each holds one open file.
-HEADER_READERS = 16
 
 
 def load_trip_data(spark: SparkSession, directory: str, on_bad_file: str = "fail") -> TripScan:
@@ -198,22 +199,19 @@ def load_trip_data(spark: SparkSession, directory: str, on_bad_file: str = "fail
 
     Files are grouped by their exact header; each group is one CSV scan with
     an explicit all-string schema. Malformed rows are kept with nulls
-    (PERMISSIVE) and counted per file in ``TripScan.report``. A file that cannot
-    be read fails the scan; with ``on_bad_file="skip"`` every file is read once
-    beforehand, and one that fails is left out as a whole and listed in
+    (PERMISSIVE) and counted per file in ``TripScan.report``; they, and rows whose
+    start time cannot be read, are listed in ``TripScan.quarantine``. A file that
+    cannot be read fails the scan; with ``on_bad_file="skip"`` all files are read
+    once beforehand, and one that fails is left out as a whole and listed in
     ``TripScan.skipped``.
     """
     if on_bad_file not in ("fail", "skip"):
         raise ValueError("on_bad_file is fail or skip")
     paths = _list_csv(spark, directory)
-    if on_bad_file == "skip":
-        good = {p for p in paths if _reads_whole(spark, p)}
-    else:
-        good = set(paths)
-    skipped = [p for p in paths if p not in good]
-    paths = [p for p in paths if p in good]
-    with ThreadPoolExecutor(HEADER_READERS) as pool:
-        headers = list(pool.map(lambda p: _header_line(spark, p), paths))
+    skipped = unreadable(spark, paths) if on_bad_file == "skip" else []
+    paths = [p for p in paths if p not in set(skipped)]
+    told = header_lines(spark, paths)
+    headers = [told.get(p.rsplit("/", 1)[-1]) for p in paths]
     groups: dict[tuple, list[str]] = {}
     for p, header in zip(paths, headers):
         if not header or generation_of(header) is None:
@@ -221,7 +219,7 @@ def load_trip_data(spark: SparkSession, directory: str, on_bad_file: str = "fail
             skipped.append(p)
             continue
         groups.setdefault(tuple(header), []).append(p)
-    parts, reports = [], []
+    parts, reports, bad = [], [], []
     for header, files in groups.items():
         schema = T.StructType([T.StructField(h, T.StringType()) for h in (*header, CORRUPT)])
         reader = (spark.read.schema(schema)
@@ -233,14 +231,24 @@ def load_trip_data(spark: SparkSession, directory: str, on_bad_file: str = "fail
         # whole lines, for a scan of some columns does not see that others are missing; it may not read
         # the malformed text alone, so rows are counted by the first column
         raw = reader.option("columnPruning", False).csv(files)
+        bad.append(_without_trip(raw, list(header)))
         first = F.col(f"`{header[0]}`")
         reports.append(raw.groupBy(F.col("_metadata.file_name").alias("source_file")).agg(
             (F.count(first) + F.count_if(first.isNull())).alias("rows"), F.count(CORRUPT).alias("malformed_rows")))
     trips = union_trips(parts)
-    report = reports[0]
-    for r in reports[1:]:
-        report = report.unionByName(r)
-    return TripScan(trips, report, groups, skipped)
+    report, quarantine = reports[0], bad[0]
+    for r, b in zip(reports[1:], bad[1:]):
+        report, quarantine = report.unionByName(r), quarantine.unionByName(b)
+    return TripScan(trips, report, quarantine, groups, skipped)
+
+
+def _without_trip(raw: DataFrame, header: list[str]) -> DataFrame:
+    """(source_file, line, reason) of malformed records, and of records without a readable start time."""
+    start = generation_of(header)["start"]
+    rows = raw.select(F.col("_metadata.file_name").alias("source_file"), F.col(CORRUPT).alias("_bad"), parse_timestamp(f"`{start}`").alias("_start"),
+                      F.to_csv(F.struct(*(F.col(f"`{h}`") for h in header))).alias("_line"))
+    reason = F.when(F.col("_bad").isNotNull(), "malformed").when(F.col("_start").isNull(), "start_time")
+    return rows.select("source_file", F.coalesce("_bad", "_line").alias("line"), reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
 # ---------------------------------------------- driver tables as trip files

@@ -78,9 +78,15 @@ def to_celsius(c: Column, unit: str) -> Column:
     return c
 
 
-def dedupe_payloads(payloads: DataFrame, ts_col: str = "datetime") -> DataFrame:
-    """One payload per timestamp (ST-4); the smallest text wins, deterministically."""
-    return payloads.groupBy(ts_col).agg(F.min("payload").alias("payload"))
+def dedupe_payloads(payloads: DataFrame, ts_col: str = "datetime", order: str | None = None) -> DataFrame:
+    """One payload per timestamp (ST-4): the one with the largest ``order`` (a time of receipt, a file number;
+    nulls before all others), of equal ones and without an order the smallest text."""
+    if order is None:
+        return payloads.groupBy(ts_col).agg(F.min("payload").alias("payload"))
+    # the newest first, then the smallest text of that order: two partial aggregates of fixed width
+    newest = payloads.groupBy(ts_col, order).agg(F.min("payload").alias("payload"))
+    rank = F.struct(F.col(order).isNotNull(), F.col(order))
+    return newest.groupBy(ts_col).agg(F.max_by("payload", rank).alias("payload"))
 
 
 def parse_weather(payloads: DataFrame, ts_col: str = "datetime", temp_unit: str | None = None) -> DataFrame:

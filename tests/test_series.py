@@ -164,3 +164,106 @@ def test_linear_importance_by_hand(spark):
             moved[i, f::2] = x[donor[i], f::2]
         assert got[name] == pytest.approx(np.abs(moved @ w - x @ w).mean(), rel=1e-9)
         assert got[name] == pytest.approx(np.mean([abs(s[donor[i]] - s[i]) for i in range(n)]), rel=1e-9)
+
+
+def hand_loop(losses, patience):
+    """Early stopping as an epoch loop: (state kept, epochs run)."""
+    best, kept, waited = float("inf"), 0, 0
+    for i, loss in enumerate(losses):
+        if loss < best:
+            best, kept, waited = loss, i, 0
+        else:
+            waited += 1
+            if waited >= patience:
+                return kept
+    return kept
+
+
+def test_patience_is_the_hand_run_loop():
+    from hourcast.plans.model import patient_step
+
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        losses = np.round(rng.normal(size=rng.integers(1, 40)).cumsum() * 0.1 + rng.random(), 1).tolist()
+        for patience in (1, 3, 15):
+            assert patient_step(losses, patience) == hand_loop(losses, patience)
+
+
+def test_boosting_stops_by_patience_and_keeps_the_best(spark):
+    hist = history(spark, ("small",), days=10)
+    cfg = ModelConfig(spec="base", seq_length=3, max_iter=14, max_depth=4, step_size=0.9, patience=3)
+    f = Forecaster(cfg)
+    f.fit(hist)
+    val = f._held.where("split = 'val'")
+    from hourcast.plans.model import make_estimator
+
+    whole = make_estimator(cfg, False).fit(f._held.where("split = 'train'"))
+    losses = []
+    for n in range(1, 15):  # a model of its own for every number of rounds
+        one = make_estimator(ModelConfig(**{**cfg.__dict__, "max_iter": n}), False).fit(f._held.where("split = 'train'"))
+        losses.append(one.transform(val).select(F.avg((F.col("prediction") - F.col("target")) ** 2)).first()[0])
+    kept = hand_loop(losses, 3)
+    model = f.models["all"]
+    assert model.getNumTrees == kept + 1 < whole.getNumTrees
+    got = model.transform(val).select(F.avg((F.col("prediction") - F.col("target")) ** 2)).first()[0]
+    assert got == pytest.approx(losses[kept], rel=1e-9)
+
+
+def test_ridge_stops_by_patience(spark):
+    hist = history(spark, ("small",), days=10)
+    f = Forecaster(ModelConfig(spec="base", algorithm="ridge", seq_length=3, max_iter=60, patience=4))
+    f.fit(hist)
+    rows = {s: f._held.where(F.col("split") == s) for s in ("train", "val")}
+    sums = gram.gram_of(rows["train"], "seq", F.array("target"))
+    losses = []
+    for state in gram.descent(sums, 0.0, 0.0, 60):
+        x = rows["val"].select("target", state.predictions("seq")[0].alias("p"))
+        losses.append(x.select(F.avg((F.col("p") - F.col("target")) ** 2)).first()[0] if len(losses) < 12 else state.loss(gram.gram_of(rows["val"], "seq", F.array("target"))))
+        if len(losses) == 12:
+            held = gram.gram_of(rows["val"], "seq", F.array("target"))
+            assert losses == pytest.approx([s.loss(held) for s in gram.descent(sums, 0.0, 0.0, 12)], rel=1e-6)
+            break
+    held = gram.gram_of(rows["val"], "seq", F.array("target"))
+    states = gram.descent(sums, 0.0, 0.0, 60)
+    kept = hand_loop([s.loss(held) for s in states], 4)
+    assert f.models["all"].weights.tolist() == states[kept].weights.tolist()
+    with pytest.raises(ValueError):
+        Forecaster(ModelConfig(algorithm="linear", patience=3))
+
+
+def test_serving_several_versions(spark):
+    from hourcast.operators.scaling import Scalers, serve, serving_table
+
+    a = Scalers(["x", "gone", "flat"], "y", {"x": 1.0, "gone": 14.0, "flat": None}, {"x": 0.0, "gone": 12.0, "flat": None}, {"x": 2.0, "gone": 16.0, "flat": None})
+    b = Scalers(["extra", "x"], "y", {"extra": 9.0, "x": 3.0}, {"extra": 9.0, "x": 1.0}, {"extra": 9.0, "x": 2.0})
+    table = serving_table(spark, {"a": a, "b": b})
+    rows = [("a", 1, 3.0, 9), ("a", 2, None, 9), ("b", 3, 5.0, 10), ("b", 4, float("nan"), None), ("c", 5, 1.0, 1), (None, 6, 1.0, 1)]
+    df = spark.createDataFrame(rows, "model_version string, id int, x double, extra int")
+    got = {r["id"]: (r["model_version"], r["features"]) for r in serve(df, table, ["id"]).collect()}
+    assert got == {1: ("a", [1.0, -3.5, 0.0]), 2: ("a", [0.0, -3.5, 0.0]), 3: ("b", [1.0, 2.0]), 4: ("b", [0.0, 0.0])}
+    # one row per version, as transform would make it
+    one = transform(df.where("id = 1"), a).first()
+    assert [one["x"], one["gone"], one["flat"]] == got[1][1]
+
+
+def test_forecast_meets_days_not_all_pairs(spark):
+    f = Forecaster(ModelConfig(spec="base", algorithm="ridge", series_cols=("line",)))
+    hist = spark.createDataFrame([("a", "2024-01-01 05:00:00"), ("a", "2024-01-02 23:00:00"), ("b", "2024-01-03 12:00:00"), ("late", "2024-02-01 00:00:00"), ("none", None)],
+                                 "line string, t string").select("line", F.col("t").cast("timestamp_ntz").alias("datetime"))
+    ahead = spark.sql("SELECT explode(sequence(TIMESTAMP_NTZ'2024-01-02 22:00:00', TIMESTAMP_NTZ'2024-01-04 00:00:00', INTERVAL 1 HOUR)) AS datetime")
+    rows = f.forecast_rows(hist, ahead)
+    assert "NestedLoop" not in rows._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r["line"], r["datetime"]) for r in rows.collect()}
+    last = {"a": pd.Timestamp("2024-01-02 23:00"), "b": pd.Timestamp("2024-01-03 12:00")}
+    hours = [r[0] for r in ahead.collect()]
+    assert got == {(s, h) for s in last for h in hours if h > last[s]} and len(got) == 25 + 12
+    assert f.forecast_rows(hist, ahead.limit(0)).count() == 0
+
+
+def test_base_variant_goes_by_its_last_row(spark):
+    """Sunday 23:00: the next hour is a Monday, but the next-row variant asks the weekend member."""
+    hist = history(spark, ("small",), days=20).where("datetime <= '2023-01-15 23:00:00'")
+    kw = dict(spec="base", algorithm="ridge", seq_length=3, ensemble=True)
+    by_row, by_target = Forecaster(ModelConfig(mode="next", **kw)), Forecaster(ModelConfig(horizon=1, **kw))
+    assert {m.predict(hist).first()["member"] for m in (by_row,) if m.fit(hist)} == {"weekend"}
+    assert {m.predict(hist).first()["member"] for m in (by_target,) if m.fit(hist)} == {"weekday"}

@@ -86,3 +86,49 @@ def test_bad_and_malformed_files(spark, tmp_path):
     assert [s.rsplit("/", 1)[1] for s in scan.skipped] == ["c.csv"]
     assert {r["source_file"]: (r["rows"], r["malformed_rows"]) for r in scan.report.collect()} == {"a.csv": (2, 1), "b.csv": (1, 0)}
     assert {r["source_file"] for r in scan.trips.select("source_file").collect()} == {"a.csv", "b.csv"}
+
+
+def test_headers_of_many_files_come_from_one_job(spark, tmp_path):
+    """2,000 files, both generations, an empty one, a byte order mark and a quoted header: one job, no file opened by the driver."""
+    from hourcast.sources import trips as source
+
+    new, old = "started_at,ended_at,start_station_id", 'starttime,stoptime,"start station id"'
+    for i in range(2000):
+        (tmp_path / f"f{i:04}.csv").write_text(("﻿" if i == 7 else "") + (new if i % 3 else old) + f"\n2023-01-01 00:{i % 60:02}:00,,{i}\n")
+    (tmp_path / "empty.csv").write_text("")
+    paths = source._list_csv(spark, str(tmp_path))
+    sc = spark.sparkContext
+    sc.setJobGroup("headers", "headers")
+    try:
+        told = source.header_lines(spark, paths)
+        jobs = sc.statusTracker().getJobIdsForGroup("headers")
+    finally:
+        sc._jsc.clearJobGroup()
+    assert len(jobs) <= 3  # the listing of so many paths, the scan and the reduced lines
+    assert len(told) == 2000 and told["f0007.csv"] == new.split(",") and told["f0000.csv"] == ["starttime", "stoptime", "start station id"]
+
+
+def test_one_bad_file_among_many_costs_few_jobs(spark, tmp_path, monkeypatch):
+    import gzip
+
+    from hourcast.sources import trips as source
+
+    for i in range(40):
+        (tmp_path / f"f{i:02}.csv").write_text("started_at,ended_at\n2023-01-01 00:00:00,\n")
+    whole = gzip.compress(b"started_at,ended_at\n" + b"2023-01-01 00:00:00,2023-01-01 00:10:00\n" * 5000)
+    (tmp_path / "f99.csv.gz").write_bytes(whole[: len(whole) // 2])
+    paths = [*source._list_csv(spark, str(tmp_path)), f"file:{tmp_path}/f99.csv.gz"]
+    read, calls = source.unreadable, []
+    monkeypatch.setattr(source, "unreadable", lambda s, p: (calls.append(len(p)), read(s, p))[1])
+    with pytest.warns(UserWarning):
+        assert source.unreadable(spark, paths) == paths[-1:]
+    assert len(calls) <= 2 * 6 + 1 and source.unreadable(spark, paths[:-1]) == []
+
+
+def test_quarantine_lists_what_holds_no_trip(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("started_at,ended_at,start_station_id\n2023-01-01 00:00:00,x,1\nbroken,line\nnever,2023-01-01 00:00:00,\"a,b\"\n,,\n")
+    (tmp_path / "b.csv").write_text("starttime,stoptime,start station id\n1/2/2023 3:04,y,2\n1,2,3,4\n")
+    scan = load_trip_data(spark, str(tmp_path))
+    got = sorted((r["source_file"], r["reason"], r["line"]) for r in scan.quarantine.collect())
+    assert got == [("a.csv", "malformed", "broken,line"), ("a.csv", "start_time", ",,"), ("a.csv", "start_time", 'never,2023-01-01 00:00:00,"a,b"'), ("b.csv", "malformed", "1,2,3,4")]
+    assert scan.trips.count() == 6
