@@ -114,74 +114,85 @@ def packed_symbols(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     ends = np.repeat(begins + sizes, sizes + WIDE)
     place = np.arange(len(text))
     symbols = np.where(place < ends, text.astype(np.uint64) + np.uint64(1), np.uint64(0))
-    keys, more = np.zeros(len(text), np.uint64), np.append(symbols, np.zeros(WIDE, np.uint64))
-    for j in range(WIDE):
-        keys = keys << np.uint64(9) | more[j : j + len(text)]
+    one = np.append(symbols, np.zeros(WIDE, np.uint64))
+    two = one[:-1] << np.uint64(9) | one[1:]
+    four = two[:-2] << np.uint64(18) | two[2:]
+    n = len(text)
+    keys = (four[:n] << np.uint64(9) | one[4 : n + 4]) << np.uint64(18) | two[5 : n + 5]
     return keys, ends, begins
 
 
 def suffix_array(keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Places in the order of their suffixes; equal suffixes by place."""
-    places = np.flatnonzero(np.arange(len(keys)) < ends)
-    order = places[np.argsort(keys[places])]
-    rank = np.zeros(len(keys), np.int64)
-    slots, idx, key, h = np.arange(len(order)), order, keys[order], WIDE
-    longest = int((ends - np.arange(len(keys))).max(initial=0))
+    n = len(keys)
+    left = (ends - np.arange(n)).astype(np.int32)
+    places = np.flatnonzero(left > 0).astype(np.int32)
+    by = np.argsort(keys[places])
+    order = places[by]
+    rank = np.zeros(n, np.int32)
+    slots, idx, key, h = np.arange(len(order), dtype=np.int32), order, keys[order], WIDE
+    equal = []
     while len(idx):
         new = np.append(True, key[1:] != key[:-1])
-        rank[idx] = np.maximum.accumulate(np.where(new, slots, 0))
-        tied = ~(new & np.append(new[1:], True))
-        slots, idx = slots[tied], idx[tied]
-        if h >= longest:
-            break
-        on = idx + h
-        second = np.where(on < ends[idx], rank[np.minimum(on, len(keys) - 1)] + 1, 0)
-        key = rank[idx].astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
+        now = np.maximum.accumulate(np.where(new, slots, 0)) + 1
+        rank[idx] = now
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        slots, idx, now = slots[tied], idx[tied], now[tied]
+        # suffixes that have ended before and are still tied are the same
+        on = left[idx] >= h
+        done = np.flatnonzero(~on)
+        equal.append((slots[done], idx[done], now[done]))
+        on = np.flatnonzero(on)
+        slots, idx, now = slots[on], idx[on], now[on]
+        key = now.astype(np.int64) << 32 | rank[idx + h]
         by = np.argsort(key)
         idx, key = idx[by], key[by]
         order[slots] = idx
         h *= 2
-    if len(idx):
-        order[slots] = idx[np.lexsort((idx, rank[idx]))]
+    for slots, idx, now in equal:
+        order[slots] = idx[np.argsort(now.astype(np.int64) << 32 | idx)]
     return order
 
 
-def common_prefixes(keys: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Length of the prefix that each suffix shares with the one before it in ``order``: Kasai's walk,
-    by as many stretches of text at a time as a stretch has places."""
+def common_prefixes(keys: np.ndarray, ends: np.ndarray, order: np.ndarray, begins: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Length of the prefix that each suffix shares with the one before it in ``order``: Kasai's walk along
+    all segments together, over the first ``count`` places of each; elsewhere 0."""
     n = len(keys)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
+    left = (ends - np.arange(n)).astype(np.int32)
     out = np.zeros(n, np.int32)
-    steps = int(np.sqrt(n)) + 1
-    base = np.arange(0, n, steps)
+    by = np.argsort(-count, kind="stable")  # segments that are at their end leave from behind
+    base, count = begins[by], count[by]
     h = np.zeros(len(base), np.int64)
-    limits = np.uint64(1) << np.arange(9, 9 * WIDE, 9, dtype=np.uint64)
-    for t in range(steps):
-        lane = np.flatnonzero(base + t < n)
-        p = base[lane] + t
+    for t in range(int(count.max(initial=0))):
+        live = int(np.searchsorted(-count, -t, "left"))
+        p = base[:live] + t
         q = before[p]
         there = q >= 0
-        h[lane[~there]] = 0
-        lane, p, q = lane[there], p[there], q[there]
-        most = np.minimum(ends[p] - p, ends[q] - q)
+        h[:live][~there] = 0
+        lane = np.flatnonzero(there)
+        p, q = p[lane], q[lane]
+        most = np.minimum(left[p], left[q])
         now = np.minimum(np.maximum(h[lane] - 1, 0), most)
         go = np.flatnonzero(now < most)
         while len(go):
             x = keys[p[go] + now[go]] ^ keys[q[go] + now[go]]
-            same = WIDE - 1 - np.searchsorted(limits, x, "right")
-            now[go] = np.minimum(now[go] + np.where(x == 0, WIDE, same), most[go])
+            # equal symbols before the first bit that differs
+            bits = np.frexp((x >> np.uint64(9)).astype(float))[1]
+            now[go] = np.minimum(now[go] + np.where(x == 0, WIDE, WIDE - 1 - (bits + 8) // 9), most[go])
             go = go[(x == 0) & (now[go] < most[go])]
         out[p] = now
         h[lane] = now
     return out[order]
 
 
-def repeated(segments: list[bytes], copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(segments: list[bytes], copies: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(segment, offset, group) of every window in the order of suffixes, and how many copies each group has."""
     keys, ends, begins = packed_symbols(segments)
     order = suffix_array(keys, ends)
-    prefix = common_prefixes(keys, ends, order)
+    # shorter suffixes than a window share less than one
+    prefix = common_prefixes(keys, ends, order, begins, np.maximum(ends[begins] - begins - length + 1, 0))
     group = np.cumsum(prefix < length)
     window = ends[order] - order >= length
     place, group = order[window], group[window]

@@ -133,7 +133,11 @@ def test_suffix_array_and_common_prefixes(segments, letters):
     suffixes = [segments[s][p - begins[s] :] for s, p in zip(at, order)]
     assert suffixes == sorted(suffixes) and len(suffixes) == sum(map(len, segments))
     shared = [next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y))) for x, y in zip(suffixes, suffixes[1:])]
-    assert suffix_dedup.common_prefixes(keys, ends, order).tolist() == [0, *shared]
+    sizes = ends[begins] - begins
+    assert suffix_dedup.common_prefixes(keys, ends, order, begins, sizes).tolist() == [0, *shared]
+    # a walk over the first places alone finds the same there
+    part = suffix_dedup.common_prefixes(keys, ends, order, begins, sizes // 2)
+    assert [x for x, p, s in zip(part, order, at) if p - begins[s] < sizes[s] // 2] == [x for x, p, s in zip([0, *shared], order, at) if p - begins[s] < sizes[s] // 2]
 
 
 def test_equal_windows_have_equal_names():
