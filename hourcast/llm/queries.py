@@ -110,7 +110,7 @@ SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
     WHEN contains('.' || host, '.spam-') OR contains('.' || host, '.cheap-')
-      OR regexp_matches('.' || host || path, '^[^/]*\\.casino[^/][^/]*\\.') THEN 'block'
+      OR regexp_matches('.' || host || path, '^[^/]*\.casino[^/][^/]*\.') THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled
 """

@@ -45,11 +45,13 @@ class Automaton:
     def __init__(self, globs: list[str]):
         accept: list[list[tuple[int, int]]] = []  # per state the byte ranges that lead into it
         stay: list[str] = []  # per state "", "*" or "**"
+        more: list[bool] = []  # per state whether bytes that continue a character stay in it
         self.first, self.last = [], []
         for g in globs:
             self.first.append(len(accept))
             accept.append([])
             stay.append("")
+            more.append(False)
             i = 0
             while i < len(g):
                 if g[i] == "*":
@@ -59,24 +61,26 @@ class Automaton:
                 elif g[i] == "?":
                     # one character: an ASCII byte, or a lead byte with the run of bytes that continue it
                     accept.append([(0, ord("/") - 1), (ord("/") + 1, 0x7F), (0xC0, 0xFF)])
-                    stay.append("more")
+                    stay.append("")
+                    more.append(True)
                     i += 1
                 else:
                     for b in g[i].encode():
                         accept.append([(b, b)])
                         stay.append("")
+                        more.append(False)
                     i += 1
             self.last.append(len(accept) - 1)
         self.words = len(accept) // 64 + 1
         self.step = np.zeros((256, self.words), np.uint64)
         self.loop = np.zeros((256, self.words), np.uint64)
-        for s, (ranges, run) in enumerate(zip(accept, stay)):
+        for s, (ranges, run, goes_on) in enumerate(zip(accept, stay, more)):
             word, bit = s // 64, np.uint64(1 << (s % 64))
             for lo, hi in ranges:
                 self.step[lo : hi + 1, word] |= bit
-            if run == "more":
+            if goes_on:
                 self.loop[0x80:0xC0, word] |= bit
-            elif run:
+            if run:
                 self.loop[:, word] |= bit
                 if run == "*":
                     self.loop[ord("/"), word] &= ~bit
