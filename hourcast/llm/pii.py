@@ -38,23 +38,46 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: What a text must hold before its runs are looked at.
 HINT = (r"@", r"[0-9]\.[0-9]", r"[0-9](?:[\x20-]?[0-9]){11}", r"\+[0-9]")
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: Matches whose offsets are summed together.
+BLOCK = 128
 #: Terms, and the pieces that a text is read in: no piece ends within a run of letters.
 TERM, PIECE = r"\p{L}{3,}", r"[\s\S]{1,1000}+\p{L}*+"
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def placed(text: Column, pattern: str) -> Column:
-    """(start, end, value) of every match: the matches and the gaps between them add up to the text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    """(start, end, value) of every match: the matches and the gaps between them add up to the text.
+
+    Offsets are summed per block of matches and inside of a block, so a text of very many matches costs
+    little more than its length."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # the gap before each match, then the match; the last gap has none
+    both = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value"), F.coalesce(F.length(m), F.lit(0)).alias("n")))
+
+    def total(rows: Column) -> Column:
+        return F.aggregate(rows, F.lit(0), lambda at, x: at + x["gap"] + x["n"])
+
+    def starts(blocks: Column) -> Column:
+        state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda s, b: F.struct((s["at"] + total(b)).alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+        return F.aggregate(blocks, state, step, lambda s: s["out"])
+
+    def block(rows: Column, at: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            start = at + total(F.slice(rows, F.lit(1), i)) + x["gap"]
+            return F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["value"].alias("value"))
 
-    def length(parts: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda total, x: total + F.length(x))
+        return F.transform(rows, span)
 
-    def span(value: Column, i: Column) -> Column:
-        start = length(gaps, i + 1) + length(found, i)
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+    def body(rows: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int")), lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)))
+        return bound(blocks, lambda cut: F.flatten(F.zip_with(cut, starts(cut), block)))
 
-    return F.transform(found, span)
+    return F.filter(bound(both, body), lambda s: s["value"].isNotNull())
 
 
 def digits(value: Column) -> Column:
@@ -139,7 +162,7 @@ def disclosing(rows: DataFrame, disclose: float, remove: float, support: int) ->
 def found(docs: DataFrame, text: str = "text", disclose: float = 0.9, remove: float = 0.999, support: int = 2, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, base, spans, removed) of every row: the entities; all spans; the starts of the terms to
     remove. With ``carry``, those columns of ``docs`` as one struct column ``row``."""
-    more = [F.struct(*(F.col(c) for c in carry)).alias("row")] if carry else []
+    more = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row_no"), whole.alias("_text"), *more)
     rows = stored(rows.withColumn("base", plain(F.col("_text"))), "pii-entities")
