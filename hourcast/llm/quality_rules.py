@@ -140,10 +140,16 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id")
 
 
+def bounded(rows: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` rows of (doc_id, bad, rates), whatever number one id has; equal rows of an id count once."""
+    rows = rows.select("doc_id", "bad", *RATES).distinct()
+    return rows.orderBy(F.xxhash64("doc_id", *RATES), "doc_id", "bad", *RATES).limit(sample)
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     rows = labelled(docs, labels, sample)
     rows = with_rates(rows.select("doc_id", "bad", measured(F.col("text")).alias("x")).select("doc_id", "bad", "x.*"))
-    rows = rows.select(*RATES, "bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("fold")).toPandas()
+    rows = bounded(rows, sample).select(*RATES, "bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("fold")).toPandas()
     # toPandas has no order: sort, so that equal inputs give equal rules
     rows = rows.sort_values([*RATES, "bad", "fold"], ignore_index=True)
     return decision_list({n: rows[n].to_numpy(float) for n in RATES}, rows["bad"].to_numpy(bool), rows["fold"].to_numpy(bool))

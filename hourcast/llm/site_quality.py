@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hourcast.llm.common import stored
 from hourcast.llm.features import RATES, measured, with_rates
-from hourcast.llm.quality_rules import labelled
+from hourcast.llm.quality_rules import bounded, labelled
 
 SAMPLE = 20_000
 #: Documents stay from this probability on; below the base rate, so that doubt keeps.
@@ -73,7 +73,8 @@ def fit(x: np.ndarray, good: np.ndarray, ridge: float = 1.0, steps: int = 40) ->
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights | None:
     rows = labelled(docs, labels, sample)
-    rows = with_rates(rows.select("bad", measured(F.col("text")).alias("x")).select("bad", "x.*")).select(*RATES, "bad").toPandas()
+    rows = with_rates(rows.select("doc_id", "bad", measured(F.col("text")).alias("x")).select("doc_id", "bad", "x.*"))
+    rows = bounded(rows, sample).select(*RATES, "bad").toPandas()
     rows = rows.sort_values([*RATES, "bad"], ignore_index=True)
     good = ~rows["bad"].to_numpy(bool)
     return fit(rows[list(RATES)].to_numpy(float), good) if good.any() and not good.all() else None
@@ -117,7 +118,7 @@ def site_posteriors(evidence: DataFrame, host: str = "host", path: str = "path")
 def scored(docs: DataFrame, weights: Weights | None, host: str = "source", path: str = "lang", carry: list[str] | None = None) -> DataFrame:
     """(doc_id, host, path, p_doc, p_host, p_path, score, kept) of every row; with ``carry``, those
     columns of ``docs`` as one struct column ``row``."""
-    more = [F.struct(*(F.col(c) for c in carry)).alias("row")] if carry else []
+    more = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
     rows = docs.select("doc_id", F.col(host).alias("host"), F.col(path).alias("path"), measured(F.col("text")).alias("x"), *more)
     rows = with_rates(rows.select("doc_id", "host", "path", "x.*", *(["row"] if carry else [])))
     own = F.lit(20.0) if weights is None else F.when(F.col("n_words") > 0, weights.logit()).otherwise(F.lit(-20.0))
