@@ -12,9 +12,11 @@ limited to k rows per query merges the shards. Memory per task is one shard and
 one block, whatever the table's size.
 
 Cases: vectors that are null, or hold null, NaN or infinite components, and rows
-without an id take no part; rows that repeat an id count once (the smallest
-vector); vectors of other lengths are padded with zeros; ties go to the smaller
-id; an empty table, or one without queries, gives no rows.
+without an id take no part; rows that repeat an id are queries and candidates each,
+and only a query's own row is left out; vectors of other lengths are padded with
+zeros; ties go to the smaller id; an empty table, or one without queries, gives no
+rows; columns beyond id and vector are not looked at. A component whose products
+could leave 64 bits raises an error.
 """
 
 from __future__ import annotations
@@ -29,8 +31,6 @@ from pyspark.sql import functions as F
 from hourcast.llm.common import stored
 
 SHARD, BLOCK, PIVOTS = 8192, 1024, 32
-#: Shard-and-block pairs in an Arrow batch: some megabytes each.
-PAIRS = 16
 
 
 def usable(vector: Column) -> Column:
@@ -43,32 +43,32 @@ def scaled(vector: Column, scale: int) -> Column:
 
 
 def packed(rows: DataFrame, group: str, pivots: list[list[int]]) -> DataFrame:
-    """One row per group: ids, vectors and pivot distances as arrays and bytes."""
+    """One row per group: ids, row numbers, vectors and pivot distances as bytes."""
     dim = max((len(p) for p in pivots), default=1)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids = batch.column(1)[i].as_py()
-                lists = batch.column(2)[i].as_py()
-                width = max([dim, *map(len, lists)])
-                v = np.zeros((len(ids), width), np.int64)
-                for r, x in enumerate(lists):
-                    v[r, : len(x)] = x
-                p = np.zeros((len(pivots), width))
-                for r, x in enumerate(pivots):
-                    p[r, : len(x)] = x
-                f = v.astype(float)
-                square = (f * f).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * f @ p.T
-                far = np.sqrt(np.maximum(square, 0))
-                yield pa.RecordBatch.from_pydict({"grp": [batch.column(0)[i].as_py()], "ids": [np.array(ids, np.int64).tobytes()], "vectors": [v.tobytes()], "far": [far.tobytes()]})
-
-    lists = rows.groupBy(group).agg(F.collect_list(F.struct("vec_id", "v")).alias("x")).select(group, "x.vec_id", "x.v")
-    return lists.mapInArrow(pack, "grp long, ids binary, vectors binary, far binary")
-
-
-def best(k: int, q: np.ndarray, v: np.ndarray, q_far: np.ndarray, v_far: np.ndarray, q_ids: np.ndarray, v_ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(query, candidate, score) of the k best candidates of every query."""
+    def pack(table: pa.Table) -> pa.Table:
+        lists = table["v"].to_pylist()
+        width = max([dim, *map(len, lists)])
+        v = np.zeros((len(lists), width), np.int64)
+        for r, x in enumerate(lists):
+            v[r, : len(x)] = x
+        limit = int(np.sqrt(2.0**61 / max(1, width)))
+        if len(v) and max(int(v.max(initial=0)), -int(v.min(initial=0))) > limit:
+            raise ValueError(f"a component beyond {limit} after scaling: products would leave 64 bits")
+        p = np.zeros((len(pivots), width))
+        for r, x in enumerate(pivots):
+            p[r, : len(x)] = x
+        f = v.astype(float)
+        square = (f * f).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * f @ p.T
+        far = np.sqrt(np.maximum(square, 0))
+        numbers = [table[c].to_numpy().astype(np.int64).tobytes() for c in ("vec_id", "row_no")]
+        return pa.table({"grp": [table[group][0].as_py()], "ids": [numbers[0]], "rows": [numbers[1]], "vectors": [v.tobytes()], "far": [far.tobytes()]})
+
+    return rows.select(group, "vec_id", "row_no", "v").groupBy(group).applyInArrow(pack, "grp long, ids binary, rows binary, vectors binary, far binary")
+
+
+def best(k: int, q: np.ndarray, v: np.ndarray, q_far: np.ndarray, v_far: np.ndarray, v_ids: np.ndarray, q_rows: np.ndarray, v_rows: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(query, candidate, score) of the k best candidates of every query, as places in the arrays."""
     qf, vf = q.astype(float), v.astype(float)
     limit = np.abs(qf).max(initial=0) * np.abs(vf).max(initial=0) * max(1, q.shape[1])
     exact_in_float = limit < 2**52
@@ -81,50 +81,53 @@ def best(k: int, q: np.ndarray, v: np.ndarray, q_far: np.ndarray, v_far: np.ndar
         slack = 1e-6 * (q_sq[i] + v_sq) + 1e-6
         bound = (q_sq[i] + v_sq - np.maximum(gap - 1e-6 * (1 + gap), 0) ** 2) / 2 + slack
         order = np.argsort(-bound, kind="stable")
-        order = order[v_ids[order] != q_ids[i]]
-        kept_score, kept_id, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 256
+        order = order[v_rows[order] != q_rows[i]]
+        kept_score, kept, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 256
         while at < len(order) and (len(kept_score) < k or bound[order[at]] >= kept_score[-1]):
             part = order[at : at + step]
             score = np.rint(vf[part] @ qf[i]).astype(np.int64) if exact_in_float else v[part] @ q[i]
-            kept_score, kept_id = np.append(kept_score, score), np.append(kept_id, v_ids[part])
-            top = np.lexsort((kept_id, -kept_score))[:k]
-            kept_score, kept_id = kept_score[top], kept_id[top]
+            kept_score, kept = np.append(kept_score, score), np.append(kept, part)
+            top = np.lexsort((v_rows[kept], v_ids[kept], -kept_score))[:k]
+            kept_score, kept = kept_score[top], kept[top]
             at, step = at + step, step * 2
-        for c, s in zip(kept_id.tolist(), kept_score.tolist()):
-            yield int(q_ids[i]), c, s
+        for c, s in zip(kept.tolist(), kept_score.tolist()):
+            yield i, c, s
+
+
+FOUND = ("query_id", "query_row", "vec_id", "vec_row", "score")
 
 
 def meet(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x = {name: batch.column(j)[i].as_buffer() for j, name in enumerate(batch.schema.names)}
-                q_ids, v_ids = np.frombuffer(x["q_ids"], np.int64), np.frombuffer(x["ids"], np.int64)
-                q = np.frombuffer(x["q_vectors"], np.int64).reshape(len(q_ids), -1)
-                v = np.frombuffer(x["vectors"], np.int64).reshape(len(v_ids), -1)
-                width = max(q.shape[1], v.shape[1])
-                q, v = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, v))
-                far = [np.frombuffer(x[n], np.float64).reshape(len(ids), -1) for n, ids in (("q_far", q_ids), ("far", v_ids))]
-                found = list(best(k, q, v, *far, q_ids, v_ids))
-                yield pa.RecordBatch.from_pydict({n: pa.array([f[c] for f in found], pa.int64()) for c, n in enumerate(("query_id", "vec_id", "score"))})
+    """A block of queries and a shard: the k best of the shard for every query."""
+    def run(table: pa.Table) -> pa.Table:
+        x = {name: table[name][0].as_buffer() for name in table.schema.names if name not in ("grp", "block")}
+        q_ids, q_rows, ids, rows = (np.frombuffer(x[n], np.int64) for n in ("q_ids", "q_rows", "ids", "rows"))
+        q, v = np.frombuffer(x["q_vectors"], np.int64).reshape(len(q_ids), -1), np.frombuffer(x["vectors"], np.int64).reshape(len(ids), -1)
+        width = max(q.shape[1], v.shape[1])
+        q, v = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, v))
+        far = [np.frombuffer(x[n], np.float64).reshape(n_rows, -1) for n, n_rows in (("q_far", len(q_ids)), ("far", len(ids)))]
+        found = list(best(k, q, v, *far, ids, q_rows, rows))
+        of, to = (np.array([f[j] for f in found], np.int64) for j in (0, 1))
+        told = (q_ids[of], q_rows[of], ids[to], rows[to], np.array([f[2] for f in found], np.int64))
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in told], list(FOUND))
 
     return run
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows of every query row; ``is_query`` is said of ``vec_id``."""
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIRS))
     rows = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("vec_id"), scaled(F.col(vector), scale).alias("v"))
-    rows = stored(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "topk-rows")
+    # the row number is stored with the row: it tells rows of one id apart from here on
+    rows = stored(rows.withColumn("row_no", F.monotonically_increasing_id()), "topk-rows")
     count = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     shards, blocks = -(-count["n"] // SHARD) or 1, -(-count["q"] // BLOCK) or 1
     # PIVOTS rows by hash order: a bounded table that goes to every task
-    pivots = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()]
-    sharded = packed(rows.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(shards))), "s", pivots)
-    asked = packed(rows.where(is_query).withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks))), "b", pivots)
-    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "far")), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("grp"))
-    pairs = asked.join(sharded, "grp").drop("grp").repartition(max(1, min(shards * blocks, 4096)))
-    near = pairs.mapInArrow(meet(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    pivots = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOTS).collect()]
+    sharded = packed(rows.withColumn("s", F.pmod(F.xxhash64("vec_id", "row_no"), F.lit(shards))), "s", pivots)
+    asked = packed(rows.where(is_query).withColumn("b", F.pmod(F.xxhash64("vec_id", "row_no", F.lit(7)), F.lit(blocks))), "b", pivots)
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))
+    asked = asked.select(F.col("grp").alias("block"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "vectors", "far")), every.alias("grp"))
+    # a group is one block and one shard: what a task holds at a time does not depend on how many there are
+    near = asked.join(sharded, "grp").groupBy("grp", "block").applyInArrow(meet(k), ", ".join(f"{c} long" for c in FOUND))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id", "vec_row"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

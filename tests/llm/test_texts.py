@@ -280,3 +280,38 @@ def test_language_keeps_all_languages_and_triples(spark, monkeypatch):
 
 def test_hash_is_of_utf8():
     assert sha("é") == hashlib.sha256(b"\xc3\xa9").hexdigest()
+
+
+def test_pii_of_many_numbers_is_linear(spark):
+    """50,000 separate numbers in one text, some of them entities, in seconds and at the right places."""
+    import time
+
+    text = " ".join(f"{i % 97} x" if i % 500 else f"10.0.{i // 500}.7 x" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = pii.digest_documents(docs).first()
+    assert time.time() - began < 10
+    want = plain_pii(text)
+    assert got["n_ip"] == 100 and got["base_sha256"] == sha(spans(want, pii.KINDS))
+
+
+def test_labelled_rows_are_bounded(spark):
+    """One labelled id on most rows: no more than ``sample`` rows come to the driver, equal ones once."""
+    from hourcast.llm import quality_rules
+    from hourcast.llm.features import RATES, measured, with_rates
+
+    docs = spark.createDataFrame([(1, f"text number {i} of one id") for i in range(900)] + [(1, "same text")] * 50 + [(i, "other words") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    rows = quality_rules.labelled(docs, labels, 20)
+    rows = with_rates(rows.select("doc_id", "bad", measured(F.col("text")).alias("x")).select("doc_id", "bad", "x.*"))
+    kept = quality_rules.bounded(rows, 20).collect()
+    assert len(kept) <= 20 and len({(r["doc_id"], *(r[c] for c in RATES)) for r in kept}) == len(kept)
+    assert quality_rules.learn(docs, labels, sample=20) is not None
+
+
+def test_column_names_with_a_dot(small, spark):
+    from hourcast.llm import mixing, site_quality
+
+    docs = small.limit(30).withColumn("a.b", F.lit("x")).withColumn("row", F.lit(1))
+    for out in (mixing.copies_of(docs), pii.sanitised(docs), site_quality.scored(docs, None, carry=docs.columns).select("row.*")):
+        assert set(docs.columns) <= set(out.columns) and out.where("`a.b` <> 'x'").count() == 0
