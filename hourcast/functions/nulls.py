@@ -16,13 +16,8 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, NUMERIC_TYPES) and f.name not in exclude]
 
 
-def clean_float(c: Column) -> Column:
-    """NaN and ±inf → null (FN-NU1)."""
-    return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None)).otherwise(c)
-
-
 def normalize_missing(df: DataFrame) -> DataFrame:
-    """Turn NaN / ±inf of every float column into null, in one projection."""
+    """Turn NaN / ±inf of every float column into null, in one projection (FN-NU1)."""
     from hourcast.functions.sqlexpr import project, q
 
     fields = df.schema.fields
@@ -32,23 +27,6 @@ def normalize_missing(df: DataFrame) -> DataFrame:
     return project(df, repl, columns=[f.name for f in fields]) if repl else df
 
 
-def null_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    """Nulls per column (AG-10 helper), computed in long form."""
-    from hourcast.operators.quantiles import summarize
-
-    return summarize(df, cols, []).nulls
-
-
-def fill_values(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
-    """coalesce(col, value) for every column with a fitted fill value."""
-    repl = {}
-    for c, v in values.items():
-        if v is None:
-            continue
-        repl[c] = F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(v)))
-    return df.withColumns(repl) if repl else df
-
-
 def zero_if_null(c: Column) -> Column:
     """null / NaN → 0.0 (FN-NU5, FN-NU7)."""
     return F.coalesce(F.nanvl(c.cast("double"), F.lit(None).cast("double")), F.lit(0.0))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hourcast.operators.windows import RN, add_row_index, halo_window
 
@@ -87,6 +88,21 @@ def null_profile(df: DataFrame) -> DataFrame:
                        F.col("__rows").alias("total_rows"))
 
 
+def column_types(df: DataFrame) -> DataFrame:
+    """``(column_name, dtype, null_count)``, kinds named as a data frame library shows them (AG-11): whole numbers
+    with nulls are ``float64`` there."""
+    kinds = {}
+    for f in df.schema.fields:
+        t = f.dataType
+        kinds[f.name] = ("int64" if isinstance(t, T.IntegralType) else "float64" if isinstance(t, T.NumericType)
+                         else "datetime64[ns]" if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType))
+                         else "bool" if isinstance(t, T.BooleanType) else "object")
+    kind = F.create_map(*[x for c, k in kinds.items() for x in (F.lit(c), F.lit(k))])[F.col("column_name")]
+    nulls = null_profile(df)
+    dtype = F.when((kind == "int64") & (F.col("null_count") > 0), "float64").when((kind == "bool") & (F.col("null_count") > 0), "object").otherwise(kind)
+    return nulls.select("column_name", dtype.alias("dtype"), "null_count")
+
+
 def target_profile(df: DataFrame, target: str = "trip_count") -> DataFrame:
     """Row / column counts and min, max, mean, zeros, nulls of the target (AG-11)."""
     t = _q(target).cast("double")

@@ -11,8 +11,7 @@ from __future__ import annotations
 from types import SimpleNamespace
 
 L, H = 12, 2
-FORECAST_NOW = "2024-01-10 00:00:00"
-FORECAST_HOURS = 168
+FORECAST_DAYS, FORECAST_HOURS = 9, 168
 # The event types of the driver's ``events`` table, which are
 # the weather categories of the derived weather rows.
 WEATHER_CATEGORIES = ["click", "error", "purchase", "signup", "view"]
@@ -400,8 +399,8 @@ fc AS (
          CAST(isodow(datetime) >= 6 AS INTEGER) AS is_weekend, {d(0.0)} AS uvi, {d(0.0)} AS visibility,
          CAST(0 AS INTEGER) AS weather_id, CAST(0 AS INTEGER) AS timezone_offset
   FROM hw WHERE hour(datetime) % 3 = 0
-    AND datetime >= TIMESTAMP '{FORECAST_NOW}'
-    AND datetime <= TIMESTAMP '{FORECAST_NOW}' + INTERVAL {FORECAST_HOURS} HOUR)
+    AND datetime >= (SELECT date_trunc('day', min(ts)) FROM events) + INTERVAL {FORECAST_DAYS} DAY
+    AND datetime <= (SELECT date_trunc('day', min(ts)) FROM events) + INTERVAL {FORECAST_DAYS} DAY + INTERVAL {FORECAST_HOURS} HOUR)
 """ + sel(["datetime", "weather_main", "weather_description", "weather_icon", "hour", "day", "day_of_week",
            "month", "is_weekend"],
           ["weather_id", "timezone_offset", "temp", "feels_like", "pressure", "humidity", "dew_point", "clouds", "wind_speed", "wind_deg",
@@ -448,6 +447,11 @@ SELECT count(*) AS n_rows, CAST({len(prof_cols)} AS INTEGER) AS n_columns,
        count(*) FILTER (WHERE trip_count IS NULL) AS null_count
 FROM enriched"""
 
+    base = f"WITH {EV_TRIPS},{hourly_cte()},{WEATHER},{ENRICHED}\n"
+    kind = "CASE WHEN any_value(typeof(\"{0}\")) IN ('BIGINT', 'INTEGER') THEN CASE WHEN count(*) > count(\"{0}\") THEN 'float64' ELSE 'int64' END WHEN any_value(typeof(\"{0}\")) = 'DOUBLE' THEN 'float64' WHEN any_value(typeof(\"{0}\")) = 'TIMESTAMP' THEN 'datetime64[ns]' ELSE 'object' END"
+    q["column_types"] = base + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {kind.format(c)} AS dtype, count(*) - count(\"{c}\") AS null_count FROM enriched" for c in prof_cols)
+    q["means_filled"] = base + "SELECT datetime, " + ", ".join(r(f"coalesce({c}, avg({c}) OVER ())", c) for c in ("temp", "humidity", "wind_speed", "rain_1h")) + " FROM enriched"
+
     ctes, feats = features_ctes("h2")
     allc = [*feats, "trip_count"]
     q["scaler_params"] = f"WITH {ctes}\n" + "\nUNION ALL ".join(

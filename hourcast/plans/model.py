@@ -240,11 +240,29 @@ class Forecaster:
         h = 1 if cfg.mode == "next" else cfg.horizon
         return seqs.withColumn("target_time", add_hours("datetime", h))
 
-    def training_rows(self, feats: DataFrame) -> DataFrame:
+    def ends_of_training(self, feats: DataFrame) -> DataFrame:
+        """``(series…, _last)`` of an ensemble: the last row that a training sequence of every member reads. Members
+        are split on their own, so the member whose training part ends first decides."""
+        cfg, keys = self.cfg, [*self.series, "member"]
+        h, after = (1, 1) if cfg.mode == "next" else (cfg.horizon, cfg.horizon + 1)
+        n = feats.groupBy(*self.series).agg(F.max(RN).alias("_n"))
+        rows = feats.select(*self.series, "datetime", RN, _member_of(add_hours("datetime", h)).alias("member"))
+        rows = rows.join(n, self.series) if self.series else rows.withColumn("_n", F.lit(n.first()["_n"]))
+        rows = rows.where((F.col(RN) >= cfg.seq_length) & (F.col(RN) <= F.col("_n") - after)).drop("_n")
+        split = chronological_split(rows, keys, cfg.test_size, cfg.val_size)
+        last = split.where(F.col("split") == "train").groupBy(*keys).agg(F.max(RN).alias("_last"))
+        return last.groupBy(*self.series).agg(F.min("_last").alias("_last"))
+
+    def training_rows(self, feats: DataFrame, members: bool = False) -> DataFrame:
         """Rows that training sequences read: scalers see no validation or test row."""
         cfg = self.cfg
         if cfg.fit_scalers_on == "all":
             return feats
+        if members:
+            bound = self.ends_of_training(feats)
+            if self.series:
+                return feats.join(bound, self.series).where(F.col(RN) <= F.col("_last")).drop("_last")
+            return feats.where(F.col(RN) <= F.lit(bound.first()["_last"]))
         n = feats.groupBy(*self.series).agg(F.max(RN).alias("_n"))
         n_seq = F.greatest(F.col("_n") - cfg.seq_length - cfg.horizon, F.lit(1))
         n_test = F.ceil(n_seq * F.lit(cfg.test_size))
@@ -256,9 +274,9 @@ class Forecaster:
             rows = feats.withColumn("_last", F.lit(bound.first()["_last"]))
         return rows.where(F.col(RN) <= F.col("_last")).drop("_last")
 
-    def fit_scalers(self, feats: DataFrame) -> S.Scalers | S.SeriesScalers:
+    def fit_scalers(self, feats: DataFrame, members: bool = False) -> S.Scalers | S.SeriesScalers:
         """Scalers of the training rows: one set, or one per series where there are series columns."""
-        rows = self.training_rows(feats)
+        rows = self.training_rows(feats, members)
         if self.series:
             return S.fit_series_scalers(rows, self.state.feature_names, "trip_count", self.series)
         return S.fit_scalers(rows, self.state.feature_names, "trip_count")
@@ -274,10 +292,6 @@ class Forecaster:
         # start from it (small plans, survives executor loss)
         feats, self.state = self._features(df, features)
 
-        self.scalers = self.fit_scalers(feats)
-        scaled = S.transform(feats, self.scalers, keep=[*self.series, "datetime", RN], target_out=Y)
-
-        seqs = self._sequences(scaled)
         members = ["all"]
         if cfg.ensemble:
             counts = {r["m"]: r["n"] for r in feats.groupBy(
@@ -287,6 +301,9 @@ class Forecaster:
             if counts.get("weekday", 0) >= need and counts.get("weekend", 0) >= need:
                 members = ["weekday", "weekend"]
             # else: not enough rows for both members → the single model (ML-9 fallback)
+        self.scalers = self.fit_scalers(feats, members != ["all"])
+        scaled = S.transform(feats, self.scalers, keep=[*self.series, "datetime", RN], target_out=Y)
+        seqs = self._sequences(scaled)
         seqs = seqs.withColumn("member", _member_of(F.col("target_time")) if members != ["all"]
                                else F.lit("all"))
         split = chronological_split(seqs, [*self.series, "member"], cfg.test_size, cfg.val_size)

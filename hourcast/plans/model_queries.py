@@ -23,14 +23,14 @@ from hourcast.operators.windows import add_row_index, halo_window
 from hourcast.plans.ingest import driver_forecast
 from hourcast.plans.model import (PRESETS, Forecaster, ModelConfig, MultiStepForecaster,
                                   run_experiments)
-from hourcast.plans.queries import SERIES, enriched_table, features, hourly_table, presented
-from hourcast.session import checkpoint_dir, session_key
+from hourcast.plans.queries import SERIES, enriched_table, features, hourly_table, memo_key, presented
+from hourcast.session import checkpoint_dir
 
 _FITTED: dict = {}
 
 
 def _fitted(spark: SparkSession, sf: str, cfg: ModelConfig, cls=Forecaster):
-    key = (session_key(spark), sf, repr(cfg), cls.__name__)
+    key = (memo_key(spark, sf), repr(cfg), cls.__name__)
     if key not in _FITTED:
         m = cls(cfg)
         m.fit(enriched_table(spark, sf, cfg.series_cols),

@@ -9,6 +9,7 @@ TIMESTAMP_NTZ, columns aliased to the oracle names.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from hourcast.operators.aggregate import daily_and_hourly, daily_trips, distinct
 from hourcast.operators.features import SPECS, materialized_features
 from hourcast.operators.windows import RN, add_row_index, halo_window, lag_columns
 from hourcast.plans.ingest import DAY, driver_enriched, driver_forecast, driver_hourly, driver_weather, landed, payload_versions, run_increment
-from hourcast.session import cut_lineage, session_key
+from hourcast.session import cut_lineage, files_key, session_key
 from hourcast.sources.tables import read_table as read_table_
 from hourcast.sources.trips import driver_trips
 from hourcast.sources.weather import dedupe_payloads, parse_weather
@@ -52,6 +53,11 @@ def presented(df: DataFrame, all_double: bool = False, keep: Sequence[str] = (),
     return df.selectExpr(*exprs)
 
 
+def memo_key(spark: SparkSession, sf: str) -> tuple:
+    """What the tables below are kept by: session, folder, and the files the folder holds."""
+    return session_key(spark), sf, files_key(spark, sf, ("events", "orders"))
+
+
 _HOURLY: dict = {}
 
 
@@ -60,7 +66,7 @@ def hourly_table(spark: SparkSession, sf: str, series: Sequence[str] = (), inclu
     folder, series) and written to the shared checkpoint folder. Window
     operators branch over their input (row index counts, split counts);
     reading the checkpoint keeps that from re-scanning the raw trips."""
-    key = (session_key(spark), sf, tuple(series), include_legacy)
+    key = (memo_key(spark, sf), tuple(series), include_legacy)
     if key not in _HOURLY:
         _HOURLY[key] = cut_lineage(driver_hourly(spark, sf, series, include_legacy=include_legacy))
     return _HOURLY[key]
@@ -72,7 +78,7 @@ _ENRICHED: dict = {}
 def enriched_table(spark: SparkSession, sf: str, series: Sequence[str] = ()) -> DataFrame:
     """Hourly trips ⟕ weather, built once per (session, folder, series) and
     checkpointed; feature fitting and every scoring call read it."""
-    key = (session_key(spark), sf, tuple(series))
+    key = (memo_key(spark, sf), tuple(series))
     if key not in _ENRICHED:
         _ENRICHED[key] = cut_lineage(driver_enriched(spark, sf, series))
     return _ENRICHED[key]
@@ -194,12 +200,25 @@ def q_enriched_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return presented(driver_enriched(spark, sf))
 
 
-FORECAST_NOW = "2024-01-10 00:00:00"
-FORECAST_HOURS = 168
+#: The forecast is asked for at midnight so many days after the first event, for so many hours.
+FORECAST_DAYS, FORECAST_HOURS = 9, 168
 
 
 def q_forecast_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return presented(driver_forecast(spark, sf, FORECAST_NOW, FORECAST_HOURS))
+    first = read_table_(spark, sf, "events").agg(F.to_date(F.min("ts")).alias("d")).first()["d"]
+    now = f"{first + timedelta(days=FORECAST_DAYS)} 00:00:00" if first is not None else "2000-01-01 00:00:00"
+    return presented(driver_forecast(spark, sf, now, FORECAST_HOURS))
+
+
+def q_means_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """Nulls of the weather columns as the column's mean (AG-7, FN-NU6)."""
+    cols = ["temp", "humidity", "wind_speed", "rain_1h"]
+    return presented(sequences.fill_with_means(enriched_table(spark, sf).select("datetime", *cols), cols))
+
+
+def q_column_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Kind and nulls of every column of the enriched table (AG-10, AG-11)."""
+    return analysis.column_types(enriched_table(spark, sf))
 
 
 def q_holiday_calendar(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,7 +256,7 @@ def features(spark: SparkSession, sf: str, spec: str = "h2", series: Sequence[st
     (session, folder, spec) into the shared checkpoint folder and reused by
     every query built on it (the feature table is the pipeline's shared
     intermediate, as a written table would be in production)."""
-    key = (session_key(spark), sf, spec, tuple(series))
+    key = (memo_key(spark, sf), spec, tuple(series))
     if key not in _FEATURES:
         _FEATURES[key] = materialized_features(enriched_table(spark, sf, series), spec, series)
     return _FEATURES[key]
@@ -387,6 +406,8 @@ REGISTRY = {
     "hourly_from_csv": q_hourly_from_csv,
     "daily_from_hourly": q_daily_from_hourly,
     "trips_quarantine": q_trips_quarantine,
+    "means_filled": q_means_filled,
+    "column_types": q_column_types,
     "weather_dedup": q_weather_dedup,
     "ingest_round_trip": q_ingest_round_trip,
     "distinct_hours": q_distinct_hours,

@@ -71,6 +71,17 @@ def session_key(spark: SparkSession) -> str:
         return spark.conf.get("spark.app.id", None) or str(id(spark))
 
 
+def files_key(spark: SparkSession, folder: str, names: tuple[str, ...]) -> tuple:
+    """Names, sizes and times of the files of some tables: what a memo of a folder depends on."""
+    jvm, out = spark._jvm, []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(table_path(folder, name))
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            out += [(name, s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)]
+    return tuple(sorted(out))
+
+
 def cut_lineage(df, spark: SparkSession | None = None):
     """Write ``df`` as Parquet into the shared folder and read it back: the plan starts anew, columns
     can be pruned, and every executor sees the files."""
