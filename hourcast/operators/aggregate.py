@@ -109,6 +109,21 @@ def hourly_trips(trips: DataFrame, series_cols: Sequence[str] = (), with_coords:
     return hourly.withColumns(at)
 
 
+#: Hours of a grid that are generated as one array.
+GRID = 8192
+
+
+def hour_grid(span: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
+    """``(series…, datetime)``: every hour from ``_lo`` to ``_hi`` of each row. Hours are generated in blocks of
+    ``GRID``, so one bad date makes more rows, not an array of all of them."""
+    s = list(series_cols)
+    hours = "CAST((unix_seconds(CAST(_hi AS TIMESTAMP)) - unix_seconds(CAST(_lo AS TIMESTAMP))) DIV 3600 AS BIGINT)"
+    blocks = span.where("_lo IS NOT NULL").select(*s, "_lo", "_hi", F.explode(F.expr(f"sequence(0L, {hours} DIV {GRID})")).alias("_b"))
+    first = f"_lo + make_dt_interval(0, CAST(_b * {GRID} AS INT), 0, 0)"
+    last = f"least(_hi, _lo + make_dt_interval(0, CAST(_b * {GRID} + {GRID - 1} AS INT), 0, 0))"
+    return blocks.select(*s, F.explode(F.expr(f"sequence({first}, {last}, INTERVAL 1 HOUR)")).alias("datetime"))
+
+
 def fill_hour_gaps(hourly: DataFrame, series_cols: Sequence[str] = (), value: str = "trip_count") -> DataFrame:
     """Optional dense hourly grid (``fill_gaps``): every hour between each
     series' first and last hour, missing hours counted as 0, calendar columns
@@ -121,7 +136,7 @@ def fill_hour_gaps(hourly: DataFrame, series_cols: Sequence[str] = (), value: st
     """
     s = list(series_cols)
     span = hourly.groupBy(*s).agg(F.min("datetime").alias("_lo"), F.max("datetime").alias("_hi"))
-    grid = span.select(*s, F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 HOUR"))).alias("datetime"))
+    grid = hour_grid(span, s)
     calendar = {"hour", "day", "day_of_week", "month", "is_weekend"}
     rest = [c for c in hourly.columns if c not in {*s, "datetime", value, *calendar}]
     dense = grid.join(hourly.select(*s, "datetime", value, *rest), on=[*s, "datetime"], how="left")

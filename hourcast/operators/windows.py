@@ -32,6 +32,8 @@ BLOCK = "_blk"
 CORE = "_core"
 _BUCKET = "_bkt"
 _NULL_BUCKET = 2 ** 62
+#: Rows without an order value lie in so many buckets, by a hash of the row.
+_NULL_BUCKETS = 1024
 
 WEEK_SECONDS = 7 * 24 * 3600
 DEFAULT_BLOCK_ROWS = 8192
@@ -40,7 +42,8 @@ DEFAULT_BLOCK_ROWS = 8192
 def add_row_index(df: DataFrame, order_col: str = "datetime", series_cols: Sequence[str] = (),
                   tiebreak: Sequence[str] = (), bucket_seconds: int = WEEK_SECONDS,
                   name: str = RN, bucket: Column | None = None) -> DataFrame:
-    """1-based row position per series by ascending ``order_col`` (nulls last).
+    """1-based row position per series by ascending ``order_col`` (nulls last, in the order of a hash of
+    the row and then of ``tiebreak``, so that many of them do not meet in one task).
 
     ``bucket`` may give any coarse key that is monotone in ``order_col``
     (default: weeks of a timestamp column)."""
@@ -48,14 +51,16 @@ def add_row_index(df: DataFrame, order_col: str = "datetime", series_cols: Seque
     ts = F.col(order_col)
     if bucket is None:
         bucket = F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(bucket_seconds))
-    bucket = F.coalesce(bucket.cast("long"), F.lit(_NULL_BUCKET).cast("long"))
+    told = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread = F.pmod(F.xxhash64(*told), F.lit(_NULL_BUCKETS)) + F.lit(_NULL_BUCKET)
+    bucket = F.coalesce(bucket.cast("long"), spread)
     b = df.withColumn(_BUCKET, bucket)
     counts = b.groupBy(*series, _BUCKET).agg(F.count(F.lit(1)).alias("_cnt"))
     prior = Window.partitionBy(*series).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*series, _BUCKET,
                             F.coalesce(F.sum("_cnt").over(prior), F.lit(0)).alias("_off"))
     within = Window.partitionBy(*series, _BUCKET).orderBy(
-        F.asc_nulls_last(order_col), *[F.asc_nulls_last(t) for t in tiebreak])
+        F.asc_nulls_last(order_col), F.when(ts.isNull(), F.xxhash64(*told)), *[F.asc_nulls_last(t) for t in tiebreak])
     return (b.join(offsets, on=[*series, _BUCKET], how="inner")
             .withColumn(name, (F.col("_off") + F.row_number().over(within)).cast("long"))
             .drop(_BUCKET, "_off"))

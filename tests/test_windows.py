@@ -50,3 +50,32 @@ def test_lead_across_blocks(spark):
     out = halo_window(df, [], lambda w: {"nxt": F.lead("y", 3).over(w)}, back=0, fwd=3, block_rows=8)
     pdf = out.toPandas().sort_values(RN)
     np.testing.assert_array_equal(pdf["nxt"].fillna(-1).values, pdf["y"].shift(-3).fillna(-1).values)
+
+
+def test_many_rows_without_a_time_are_spread(spark):
+    """Half of all stamps null: positions stay 1…n with nulls last, and no bucket holds many of them."""
+    rows = spark.range(20_000).selectExpr("id", "id % 2 AS s", "CASE WHEN id % 4 < 2 THEN timestamp_seconds(id * 3600) END AS datetime")
+    rows = rows.withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
+    out = add_row_index(rows, "datetime", ["s"])
+    got = out.groupBy("s").agg(F.count("*").alias("n"), F.countDistinct(RN).alias("d"), F.min(RN).alias("lo"), F.max(RN).alias("hi"),
+                               F.max(F.when(F.col("datetime").isNotNull(), F.col(RN))).alias("last_time")).collect()
+    assert all((r["n"], r["d"], r["lo"], r["hi"], r["last_time"]) == (10_000, 10_000, 1, 10_000, 5_000) for r in got)
+    late = {r["id"]: r[RN] for r in out.where("datetime is null").collect()}
+    assert late == {r["id"]: r[RN] for r in add_row_index(rows.repartition(3), "datetime", ["s"]).where("datetime is null").collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" in plan and "SinglePartition" not in plan
+
+
+def test_one_bad_date_makes_blocks_not_one_array(spark):
+    from hourcast.operators.aggregate import GRID, fill_hour_gaps, hour_grid
+
+    span = spark.sql("SELECT 'a' AS s, TIMESTAMP_NTZ'0001-01-01 00:00:00' AS _lo, TIMESTAMP_NTZ'2024-01-01 05:00:00' AS _hi "
+                     "UNION ALL SELECT 'b', TIMESTAMP_NTZ'2024-01-01 05:00:00', TIMESTAMP_NTZ'2024-01-01 05:00:00' UNION ALL SELECT 'c', NULL, NULL")
+    got = {r["s"]: (r["n"], r["lo"], r["hi"], r["d"]) for r in hour_grid(span, ["s"]).groupBy("s").agg(
+        F.count("*").alias("n"), F.min("datetime").cast("string").alias("lo"), F.max("datetime").cast("string").alias("hi"), F.approx_count_distinct("datetime").alias("d")).collect()}
+    n = spark.sql("SELECT timestampdiff(HOUR, TIMESTAMP_NTZ'0001-01-01 00:00:00', TIMESTAMP_NTZ'2024-01-01 05:00:00') + 1 AS n").first()["n"]
+    assert got["a"][:3] == (n, "0001-01-01 00:00:00", "2024-01-01 05:00:00") and got["b"][0] == 1 and "c" not in got
+    # around the edge of a block
+    hours = spark.sql(f"SELECT TIMESTAMP_NTZ'2020-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT), 0, 0) AS datetime, 1 AS trip_count FROM range({GRID + 5}) WHERE id IN (0, {GRID - 1}, {GRID + 4})")
+    dense = fill_hour_gaps(hours).collect()
+    assert len(dense) == GRID + 5 == len({r["datetime"] for r in dense}) and sum(r["trip_count"] for r in dense) == 3
