@@ -248,3 +248,28 @@ FROM stay QUALIFY rank <= 2000
 @query
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest_documents(load(spark, sf_dir, "documents"), length=200)
+
+
+ORACLES["op13_suffix_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS t FROM documents
+), w AS (
+  SELECT r, i, md5(t[i + 1:i + 200]) AS k FROM d, unnest(range(0, greatest(octet_length(t) - 199, 0))) AS places(i)
+), twice AS (
+  SELECT k FROM w GROUP BY k HAVING count(*) > 1
+), starts AS (
+  SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM w SEMI JOIN twice USING (k)
+), runs AS (
+  SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM starts
+), spans AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY r, run
+), gaps AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS kept_from FROM spans
+), cut AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(hex(t[kept_from + 1:a]), '' ORDER BY a) AS kept
+  FROM gaps JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN n_spans IS NULL THEN t ELSE unhex(kept || hex(t[last + 1:octet_length(t)])) END) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""

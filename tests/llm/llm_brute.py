@@ -169,3 +169,38 @@ def phrases(rows, least, top, longest=5):
         for i, (score, a, p, left, right) in enumerate(sorted(stay)[:top]):
             out.append((lang, i + 1, p.decode(), -a, left, right, n[lang], -score))
     return out
+
+
+def site_scores(rows, sway, keep):
+    """(p_host, p_path, score, kept) of (host, path, p) rows: Beta priors by moments on two levels, a row at a time."""
+    import math
+
+    def odds(p):
+        p = min(max(p, 1e-4), 1 - 1e-4)
+        return math.log(p / (1 - p))
+
+    def strength(groups):
+        """groups: (n, good, centre)"""
+        n = sum(g[0] for g in groups)
+        noise = sum(c * (1 - c) for _, _, c in groups)
+        spread = sum(m * (x / m - c) ** 2 for m, x, c in groups)
+        within = sum(m * c * (1 - c) for m, _, c in groups)
+        excess = (spread - noise) / max(n - sum(m * m for m, _, _ in groups) / n, 1)
+        return min(max(within / n / excess - 1, 1), 1e4) if excess > 0 else 1e4
+
+    hosts, paths = {}, {}
+    for host, path, p in rows:
+        for at, key in ((hosts, host), (paths, (host, path))):
+            n, good = at.get(key, (0, 0.0))
+            at[key] = n + 1, good + p
+    whole = sum(p for _, _, p in rows) / len(rows)
+    tau = strength([(n, good, whole) for n, good in hosts.values()])
+    p_host = {h: (good + tau * whole) / (n + tau) for h, (n, good) in hosts.items()}
+    tau = strength([(n, good, p_host[h]) for (h, _), (n, good) in paths.items()])
+    p_path = {k: (good + tau * p_host[k[0]]) / (n + tau) for k, (n, good) in paths.items()}
+    out = []
+    for host, path, p in rows:
+        shift = min(max(odds(p_path[host, path]) - odds(whole), -sway), sway)
+        score = 1 / (1 + math.exp(-(odds(p) + shift)))
+        out.append((p_host[host], p_path[host, path], score, score >= keep))
+    return out

@@ -282,3 +282,17 @@ def test_registered():
     names = list(registered.QUERIES)
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert set(registered.ORACLES) <= set(names)
+
+
+def test_site_scores_equal_brute_force(spark, small, labels):
+    """Host and path posteriors, and what they do to a document, restated a row at a time."""
+    from llm_brute import site_scores
+
+    weights = site_quality.learn(small, labels)
+    docs = small.withColumn("source", F.when(F.col("doc_id") % 7 != 0, F.col("source"))).withColumn("lang", F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    got = site_quality.scored(docs.unionByName(docs.where("doc_id % 3 = 0")), weights).collect()
+    want = site_scores([(r["host"], r["path"], r["p_doc"]) for r in got], site_quality.SWAY, site_quality.KEEP)
+    assert len({(r["host"], r["path"]) for r in got}) > 8
+    for r, (p_host, p_path, score, kept) in zip(got, want):
+        assert (r["p_host"], r["p_path"], r["score"]) == pytest.approx((p_host, p_path, score), rel=1e-9)
+        assert r["kept"] == kept
