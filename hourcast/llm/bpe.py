@@ -25,14 +25,15 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourcast.llm.common import sha256_hex
+from hourcast.llm.common import give_back, sha256_hex
 
 #: Fixed value: the word pattern of byte-level BPE.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words up to this many bytes use the array scan.
 SHORT = 96
-#: Words remembered in a task; beyond it the memory is emptied and fills again.
-MEMORY = 300_000
+#: Bytes of words and ids remembered in a task, and what an entry takes besides them; beyond it the memory
+#: is emptied and fills again.
+MEMORY, ENTRY = 48_000_000, 200
 #: Characters of text whose new words are encoded together.
 TOGETHER = 500_000
 
@@ -60,13 +61,15 @@ class Codec:
         self.byte_id = np.zeros(256, np.int64)
         for letter, b in letters.items():
             self.byte_id[b] = vocab[letter]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, merge in enumerate(data["model"]["merges"]):
+        merges = data["model"]["merges"]
+        keys, values = np.zeros(len(merges), np.int64), np.zeros(len(merges), np.int64)
+        for rank, merge in enumerate(merges):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.pairs.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
-        #: pairs of ids as sorted numbers, and for each its rank and what it becomes, as a number that orders by rank
-        table = sorted((left << 24 | right, rank << 24 | join) for (left, right), (rank, join) in self.pairs.items())
-        self.keys, self.values = np.array(table, np.int64).reshape(-1, 2).T.copy()
+            keys[rank], values[rank] = vocab[left] << 24 | vocab[right], rank << 24 | vocab[left + right]
+        #: pairs of ids as sorted numbers, and for each its rank and what it becomes, as a number that orders
+        #: by rank; of a pair listed twice the first counts
+        self.keys, first = np.unique(keys, return_index=True)
+        self.values = values[first]
         added = [(t["id"], t["content"]) for t in data.get("added_tokens", [])]
         self.special = {content: i for i, content in added}
         self.piece = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
@@ -74,10 +77,10 @@ class Codec:
             self.piece[i] = bytes(letters[c] for c in token)
         for content, i in self.special.items():
             self.piece[i] = content.encode("utf-8")
-        self.number = [str(i) for i in range(len(self.piece))]
         self.word = regex.compile(WORD)
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.seen: dict[str, bytes] = {}  # word to its ids, four bytes each
+        self.held = 0
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 24 | right
@@ -131,9 +134,16 @@ class Codec:
             for rows, done in self.scan(parts):
                 ids, width = done.astype(ID).tobytes(), ID.itemsize * done.shape[1]
                 self.seen.update((group[r][0], ids[i * width : (i + 1) * width]) for i, r in enumerate(rows.tolist()))
+                self.held += len(rows) * (ENTRY + size + width)
+
+    def look(self, pair: tuple[int, int]) -> tuple[int, int] | None:
+        """(rank, what it becomes) of one pair."""
+        key = pair[0] << 24 | pair[1]
+        at = int(np.searchsorted(self.keys, key))
+        return divmod(int(self.values[at]), 1 << 24) if at < len(self.keys) and self.keys[at] == key else None
 
     def long(self, parts: list[int]) -> list[int]:
-        look, n = self.pairs.get, len(parts)
+        look, n = self.look, len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(f[0], i, f[1], parts[i], parts[i + 1]) for i in range(n - 1) if (f := look((parts[i], parts[i + 1])))]
         heapq.heapify(heap)
@@ -182,9 +192,9 @@ class Codec:
     def flushed(self, held: list[list[str | int]]) -> Iterator[np.ndarray]:
         words = set().union(*held).difference(self.special.values())
         new = words - self.seen.keys()
-        if len(self.seen) + len(new) > MEMORY:
+        if self.held > MEMORY:
             self.seen.clear()
-            new = words
+            self.held, new = 0, words
         self.learn(new)
         look = self.seen.__getitem__
         for parts in held:
@@ -201,7 +211,7 @@ class Codec:
         return b"".join(map(self.piece.__getitem__, ids)).decode("utf-8", "replace")
 
     def listed(self, ids: list[int]) -> str:
-        return ",".join(map(self.number.__getitem__, ids))
+        return ",".join(map(str, ids))
 
 
 def vocabulary(path: str) -> str:
@@ -219,6 +229,8 @@ def encoder(source: str):
         codec = Codec(source)
         for part in texts:
             yield pd.Series(list(codec.encode_many(part)), dtype=object)
+        del codec
+        give_back()
 
     return ids
 
@@ -245,6 +257,8 @@ def digest(source: str):
             rows = [(len(ids), sha256_hex(codec.listed(ids).encode()), sha256_hex(codec.decode(ids).encode("utf-8")))
                     for ids in map(np.ndarray.tolist, codec.encode_many(part))]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        del codec
+        give_back()
 
     return digests
 

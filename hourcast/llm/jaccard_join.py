@@ -41,10 +41,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourcast.llm.common import stored
+from hourcast.llm.common import give_back, stored
 
 #: Shingles in a fragment of the first cut, at most about; fewest fragments; fragments of a comparison.
-FRAGMENT, FRAGMENTS, PARTS = 4_000_000, 32, 16
+FRAGMENT, FRAGMENTS, PARTS = 2_500_000, 32, 16
 #: Shingles a task holds before it hands its fragments on.
 HELD = 1_000_000
 #: A shingle in more than this share of a batch is a candidate for the list of frequent ones; half of it of all documents counts.
@@ -157,6 +157,8 @@ def cut(size: int, fragments: int, often: np.ndarray):
                     sets, held = [], 0
         if sets:
             yield from emit(sets)
+        sets, seen = [], set()
+        give_back()
 
     return run
 
@@ -187,6 +189,7 @@ def shared(table: pa.Table) -> pa.Table:
     counts = np.bincount(owner, minlength=len(keys))
     ends = np.cumsum(counts)
     has = np.flatnonzero(counts)
+    give_back()
     return pa.table({
         "key": pa.array(keys[has], pa.int64()), "n": pa.array(sizes[has], pa.int32()), "s": pa.array(counts[has], pa.int32()),
         "hashes": pa.array([x[e - c : e].tobytes() for e, c in zip(ends[has], counts[has])], pa.binary()),
