@@ -21,7 +21,7 @@ import json
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
-from pyspark import SparkContext, StorageLevel
+from pyspark import SparkContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression,
                                    LinearRegressionModel)
@@ -217,7 +217,7 @@ class Forecaster:
         self.scalers: S.Scalers | None = None
         self.models: dict[str, object] = {}
         self.result: FitResult | None = None
-        self._held: DataFrame | None = None
+        self.sequences: DataFrame | None = None  # all labelled sequences of the fit
 
     # ---------------------------------------------------------------- fitting
     @property
@@ -307,9 +307,8 @@ class Forecaster:
         seqs = seqs.withColumn("member", _member_of(F.col("target_time")) if members != ["all"]
                                else F.lit("all"))
         split = chronological_split(seqs, [*self.series, "member"], cfg.test_size, cfg.val_size)
-        split = (split.withColumn(VEC, array_to_vector(SEQ))
-                 .withColumn("_is_val", F.col("split") == "val")
-                 .persist(StorageLevel.MEMORY_AND_DISK))
+        # written, not cached: nothing stays in memory after the fit, and lost executors cost no sequence
+        split = cut_lineage(split.withColumn(VEC, array_to_vector(SEQ)).withColumn("_is_val", F.col("split") == "val"))
         if split.isEmpty():
             raise ValueError("no complete sequence fits into the training rows")
 
@@ -325,15 +324,9 @@ class Forecaster:
                    else M.regression_metrics(test).withColumn("member", F.lit("all")))
         train_samples = split.where(F.col("split") == "train")
         self.result = FitResult(metrics, test, train_samples)
-        self._held = split
+        self.sequences = split
         return self.result
 
-    def release(self) -> None:
-        """Free the cached sequences; results are computed anew when they are read after that."""
-        if self._held is not None:
-            self._held.unpersist()
-            self._held = None
-
     def _score(self, rows: DataFrame, member: str) -> DataFrame:
         """Model output → trips: null/NaN → 0 (FN-NU7), then inverse min-max."""
         out = self.models[member].transform(rows)
@@ -555,7 +548,7 @@ class MultiStepForecaster:
         self.inner = Forecaster(replace(self.cfg, mode="fixed"))
         self.models: dict[int, object] = {}
         self.metrics: DataFrame | None = None
-        self._held: DataFrame | None = None
+        self.sequences: DataFrame | None = None  # all labelled sequences of the fit
 
     def fit(self, df: DataFrame, features: tuple | None = None) -> DataFrame:
         cfg, inner = self.cfg, self.inner
@@ -567,11 +560,10 @@ class MultiStepForecaster:
         split = chronological_split(seqs, inner.series, cfg.test_size, cfg.val_size)
         if cfg.algorithm == "ridge":
             return self._fit_ridge(split)
-        split = (split.withColumn(VEC, array_to_vector(SEQ)).withColumn("_is_val", F.col("split") == "val")
-                 .persist(StorageLevel.MEMORY_AND_DISK))
+        split = cut_lineage(split.withColumn(VEC, array_to_vector(SEQ)).withColumn("_is_val", F.col("split") == "val"))
         if split.isEmpty():
             raise ValueError("no complete sequence fits into the training rows")
-        self._held = split
+        self.sequences = split
         preds = []
         for h in range(1, cfg.horizon + 1):
             part = split.withColumn(TARGET, F.col(TARGETS)[h - 1])
@@ -634,12 +626,6 @@ class MultiStepForecaster:
         rows = rows.withColumn("hours_ahead", ((F.col("hours_ahead") - 1) % H + 1).cast("int"))
         return M.regression_metrics(rows, group_cols=["penalty", "hours_ahead"])
 
-    def release(self) -> None:
-        """Free the cached sequences."""
-        if self._held is not None:
-            self._held.unpersist()
-            self._held = None
-
     def save(self, path: str) -> None:
         """One model folder per step, and the metadata (SNK-4)."""
         save_models(path, self.models, self.cfg, self.inner)
@@ -718,7 +704,5 @@ def run_experiments(df: DataFrame, param_sets: dict[str, dict] | None = None,
         m = res.metrics.where(F.col("member") == "all").select(
             F.lit(name).alias("experiment"), F.lit(json.dumps(overrides, sort_keys=True)).alias("params"),
             "n", "mae", "rmse", "r2", "smape", "huber")
-        m = cut_lineage(m)  # a row; the run's sequences need not stay cached for it
-        f.release()
         rows = m if rows is None else rows.unionByName(m)
     return rows

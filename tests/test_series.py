@@ -194,13 +194,13 @@ def test_boosting_stops_by_patience_and_keeps_the_best(spark):
     cfg = ModelConfig(spec="base", seq_length=3, max_iter=14, max_depth=4, step_size=0.9, patience=3)
     f = Forecaster(cfg)
     f.fit(hist)
-    val = f._held.where("split = 'val'")
+    val = f.sequences.where("split = 'val'")
     from hourcast.plans.model import make_estimator
 
-    whole = make_estimator(cfg, False).fit(f._held.where("split = 'train'"))
+    whole = make_estimator(cfg, False).fit(f.sequences.where("split = 'train'"))
     losses = []
     for n in range(1, 15):  # a model of its own for every number of rounds
-        one = make_estimator(ModelConfig(**{**cfg.__dict__, "max_iter": n}), False).fit(f._held.where("split = 'train'"))
+        one = make_estimator(ModelConfig(**{**cfg.__dict__, "max_iter": n}), False).fit(f.sequences.where("split = 'train'"))
         losses.append(one.transform(val).select(F.avg((F.col("prediction") - F.col("target")) ** 2)).first()[0])
     kept = hand_loop(losses, 3)
     model = f.models["all"]
@@ -213,7 +213,7 @@ def test_ridge_stops_by_patience(spark):
     hist = history(spark, ("small",), days=10)
     f = Forecaster(ModelConfig(spec="base", algorithm="ridge", seq_length=3, max_iter=60, patience=4))
     f.fit(hist)
-    rows = {s: f._held.where(F.col("split") == s) for s in ("train", "val")}
+    rows = {s: f.sequences.where(F.col("split") == s) for s in ("train", "val")}
     sums = gram.gram_of(rows["train"], "seq", F.array("target"))
     losses = []
     for state in gram.descent(sums, 0.0, 0.0, 60):
