@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from hourcast.llm.common import stored
 
 #: Bytes of text in a shard of texts, and of segments in a suffix array, about.
-SHARD, BUCKET = 2 << 20, 2 << 20
+SHARD, BUCKET = 2 << 20, 1 << 20
 #: Places of a name in one suffix array at most; beyond it the name is dealt to several.
 HOT = 4096
-#: Places of text whose hashes are held together.
-STRETCH = 1 << 22
+#: Places of text whose hashes are worked on together; few enough that they stay near the processor.
+STRETCH = 1 << 17
 #: Rows of shards in a partition.
 TOGETHER = 16
 #: Symbols in the first key of the suffix sort: nine bits each, 0 for the end.
@@ -415,7 +415,7 @@ def without_repeats(docs: DataFrame, length: int = 200, key: str = "doc_id", tex
     kind = docs.schema[key].dataType.simpleString()
     shards = stored(shards_of(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")), "key", "text"), "suffix-shards")
     parts = -(-shards.count() // TOGETHER) or 1
-    named = shards.select("shard", "sizes", "body").mapInArrow(names(length), "name long, shard long, n long")
+    named = stored(shards.select("shard", "sizes", "body").mapInArrow(names(length), "name long, shard long, n long"), "suffix-runs")
     again = named.groupBy("name").agg(F.sum("n").alias("total")).where("total > 1")
     found = named.join(again, "name").groupBy("shard").agg(F.collect_list(F.struct("name", "total")).alias("found"), F.sum("n").alias("n"))
     found = stored(found, "suffix-names")
