@@ -53,7 +53,9 @@ def add_row_index(df: DataFrame, order_col: str = "datetime", series_cols: Seque
         bucket = F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(bucket_seconds))
     told = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     spread = F.pmod(F.xxhash64(*told), F.lit(_NULL_BUCKETS)) + F.lit(_NULL_BUCKET)
-    bucket = F.coalesce(bucket.cast("long"), spread)
+    # never null to the optimiser either: the join below would else infer a filter on the hash of all columns,
+    # and Spark's constraints double with every column of it that a projection underneath has made
+    bucket = F.coalesce(bucket.cast("long"), spread, F.lit(_NULL_BUCKET))
     b = df.withColumn(_BUCKET, bucket)
     counts = b.groupBy(*series, _BUCKET).agg(F.count(F.lit(1)).alias("_cnt"))
     prior = Window.partitionBy(*series).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)

@@ -79,3 +79,15 @@ def test_one_bad_date_makes_blocks_not_one_array(spark):
     hours = spark.sql(f"SELECT TIMESTAMP_NTZ'2020-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT), 0, 0) AS datetime, 1 AS trip_count FROM range({GRID + 5}) WHERE id IN (0, {GRID - 1}, {GRID + 4})")
     dense = fill_hour_gaps(hours).collect()
     assert len(dense) == GRID + 5 == len({r["datetime"] for r in dense}) and sum(r["trip_count"] for r in dense) == 3
+
+
+def test_row_index_join_infers_no_filter_on_the_hash_of_all_columns(spark, capsys):
+    """Such a filter, pushed below a projection that fills columns, doubles Spark's constraints with every column."""
+    wide = spark.range(50).selectExpr("id AS s", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS datetime",
+                                      *(f"nullif(id, {i}) AS c{i}" for i in range(30)))
+    filled = wide.selectExpr("s", "datetime", *(f"coalesce(CAST(c{i} AS DOUBLE), 0.5D) AS c{i}" for i in range(30)))
+    out = add_row_index(filled, "datetime", ["s"])
+    capsys.readouterr()
+    out.explain()
+    assert not [x for x in capsys.readouterr().out.split("\n") if "Filter" in x and "xxhash64" in x]
+    assert out.count() == 50
