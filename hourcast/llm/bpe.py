@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourcast.llm.common import give_back, sha256_hex
+from hourcast.llm.common import give_back, lean, sha256_hex
 
 #: Fixed value: the word pattern of byte-level BPE.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,7 +53,8 @@ def byte_letters() -> dict[str, int]:
 
 
 class Codec:
-    """Encoder and decoder over one vocabulary file's JSON text."""
+    """Encoder and decoder over one vocabulary file's JSON text. The driver reads the text; a task gets the codec
+    as sorted numbers, so that no worker holds the parsed file."""
 
     def __init__(self, source: str):
         data = json.loads(source)
@@ -204,6 +205,10 @@ class Codec:
                 ids = b"".join(map(self.known, parts))
             yield np.frombuffer(ids, ID)
 
+    def forget(self) -> None:
+        """Empty the memory of words."""
+        self.seen, self.held = {}, 0
+
     def encode(self, text: str | None) -> list[int]:
         return next(self.encode_many([text])).tolist()
 
@@ -223,13 +228,13 @@ def vocabulary(path: str) -> str:
 
 def encoder(source: str):
     """Column function: text to array of token ids."""
+    codec = Codec(source)
 
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(source)
-        for part in texts:
+        for part in lean(texts):
             yield pd.Series(list(codec.encode_many(part)), dtype=object)
-        del codec
+        codec.forget()
         give_back()
 
     return ids
@@ -237,11 +242,11 @@ def encoder(source: str):
 
 def decoder(source: str):
     """Column function: array of token ids to text (null for null)."""
+    codec = Codec(source)
 
     @F.pandas_udf("string")
     def text(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(source)
-        for part in lists:
+        for part in lean(lists):
             yield pd.Series([None if x is None else codec.decode(x) for x in part], dtype=object)
 
     return text
@@ -249,15 +254,15 @@ def decoder(source: str):
 
 def digest(source: str):
     """Column function: one pass that encodes, decodes and hashes both results."""
+    codec = Codec(source)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(source)
-        for part in texts:
+        for part in lean(texts):
             rows = [(len(ids), sha256_hex(codec.listed(ids).encode()), sha256_hex(codec.decode(ids).encode("utf-8")))
                     for ids in map(np.ndarray.tolist, codec.encode_many(part))]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        del codec
+        codec.forget()
         give_back()
 
     return digests

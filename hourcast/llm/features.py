@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourcast.llm.common import lean
+
 WS = re.compile(r"[\x20\x09-\x0D]")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -67,7 +69,7 @@ def measured(text: Column) -> Column:
 
     @F.pandas_udf(", ".join(f"{n} long" for n in NAMES))
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in texts:
+        for part in lean(texts):
             yield pd.DataFrame([measures(t) for t in part], columns=list(NAMES))
 
     return run(text)

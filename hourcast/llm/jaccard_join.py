@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourcast.llm.common import give_back, stored
+from hourcast.llm.common import give_back, lean, stored
 
 #: Shingles in a fragment of the first cut, at most about; fewest fragments; fragments of a comparison.
 FRAGMENT, FRAGMENTS, PARTS = 2_500_000, 32, 16
@@ -99,7 +99,7 @@ def described(text: Column, size: int) -> Column:
     @F.pandas_udf("key long, n long, often array<long>, times array<long>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHash()
-        for part in texts:
+        for part in lean(texts):
             keys, sizes, sets, seen = [], [], [], set()
             for t in part:
                 words = words_of(t)
@@ -143,7 +143,7 @@ def cut(size: int, fragments: int, often: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sets, held, seen = WordHash(), [], 0, set()
-        for batch in batches:
+        for batch in lean(batches):
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
                 if not words or (key := class_key(words)) in seen:
@@ -189,12 +189,14 @@ def shared(table: pa.Table) -> pa.Table:
     counts = np.bincount(owner, minlength=len(keys))
     ends = np.cumsum(counts)
     has = np.flatnonzero(counts)
-    give_back()
-    return pa.table({
+    out = pa.table({
         "key": pa.array(keys[has], pa.int64()), "n": pa.array(sizes[has], pa.int32()), "s": pa.array(counts[has], pa.int32()),
         "hashes": pa.array([x[e - c : e].tobytes() for e, c in zip(ends[has], counts[has])], pa.binary()),
         "times": pa.array([times[e - c : e].tobytes() for e, c in zip(ends[has], counts[has])], pa.binary()),
     })
+    del x, keys, sizes, counts, times, owner, common, ends, has
+    give_back()
+    return out
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -206,7 +208,7 @@ def indexed(percent: int):
     """Classes to index rows: a class's first shingles in the order, with what the bounds need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             tokens, keys, sizes, at, own, bits = [], [], [], [], [], []
             for key, n, parts in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 x, times = joined(parts)
@@ -236,7 +238,7 @@ def joined(parts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes to (key, n, part, hashes): the shared shingles cut into ``PARTS`` ranges of the order."""
-    for batch in batches:
+    for batch in lean(batches):
         rows = []
         for key, n, parts in zip(*(batch.column(i).to_pylist() for i in range(3))):
             x = np.sort(joined(parts)[0])
@@ -338,7 +340,7 @@ def keyed(text: Column) -> Column:
 
     @F.pandas_udf("long")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
+        for part in lean(texts):
             yield pd.Series([class_key(words) if (words := words_of(t)) else None for t in part], dtype="Int64")
 
     return run(text)

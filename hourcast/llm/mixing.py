@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourcast.llm.common import byte_words, share, stored
+from hourcast.llm.common import byte_words, lean, share, stored
 
 #: Buckets of ranks in a source; only one of them is sorted.
 BUCKETS = 4096
@@ -36,7 +36,7 @@ BUCKETS = 4096
 def n_words(text: Column) -> Column:
     @F.pandas_udf("long")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
+        for part in lean(texts):
             yield pd.Series([len(byte_words(t)) for t in part], dtype="int64")
 
     return run(text)

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import regex
@@ -12,7 +13,7 @@ from llm_brute import plain_pii, plain_secrets, quality_base, sha, spans
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hourcast.llm import bpe, features, language, pii, quality_rules, secret_scan
+from hourcast.llm import bpe, common, features, language, pii, quality_rules, secret_scan
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,6 +49,28 @@ def test_bpe_memory_empties(library, monkeypatch):
     assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_bpe_tasks_do_not_parse_the_vocabulary(spark, monkeypatch):
+    source = bpe.vocabulary(PATH)
+    want = bpe.Codec(source).encode("some words, some more words")
+    made = [bpe.encoder(source), bpe.digest(source), bpe.decoder(source)]
+    monkeypatch.setattr(bpe.json, "loads", lambda text: pytest.fail("a task parsed the file"))
+    ids, digests, text = (f.func for f in made)
+    texts = pd.Series(["some words, some more words", None, ""])
+    for _ in range(2):  # a task that follows starts with an empty memory and gives the same
+        got = next(iter(list(ids(iter([texts])))))
+        assert [x.tolist() for x in got] == [want, [], []]
+        assert list(digests(iter([texts])))[0]["n_tokens"].tolist() == [len(want), 0, 0]
+        assert list(text(iter([pd.Series([want, None])])))[0].tolist() == ["some words, some more words", None]
+
+
+def test_tasks_give_memory_back_before_and_after(monkeypatch):
+    log = []
+    monkeypatch.setattr(common, "give_back", lambda: log.append("back"))
+    for x in common.lean(iter([1, 2])):
+        log.append(x)
+    assert log == ["back", 1, 2, "back"]
+
+
 def test_bpe_digest(tricky, empty, small, library):
     for docs in (tricky, small):
         want = []
