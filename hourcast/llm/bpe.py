@@ -25,17 +25,17 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourcast.llm.common import give_back, lean, sha256_hex
+from hourcast.llm.common import give_back, lean, sha256_hex, sparing
 
 #: Fixed value: the word pattern of byte-level BPE.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words up to this many bytes use the array scan.
 SHORT = 96
-#: Bytes of words and ids remembered in a task, and what an entry takes besides them; beyond it the memory
-#: is emptied and fills again.
-MEMORY, ENTRY = 48_000_000, 200
+#: Bytes of words and ids remembered in a task, and what an entry takes besides them. A half of it fills;
+#: then it takes the place of the other half, and words met again move over from there.
+MEMORY, ENTRY = 16_000_000, 200
 #: Characters of text whose new words are encoded together.
-TOGETHER = 500_000
+TOGETHER = 250_000
 
 NO_RANK = 1 << 62
 #: How ids are stored in the memory of words.
@@ -80,8 +80,7 @@ class Codec:
             self.piece[i] = content.encode("utf-8")
         self.word = regex.compile(WORD)
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.seen: dict[str, bytes] = {}  # word to its ids, four bytes each
-        self.held = 0
+        self.forget()
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 24 | right
@@ -192,11 +191,14 @@ class Codec:
 
     def flushed(self, held: list[list[str | int]]) -> Iterator[np.ndarray]:
         words = set().union(*held).difference(self.special.values())
+        if self.held > MEMORY // 2:
+            self.before, self.seen, self.held = self.seen, {}, 0
         new = words - self.seen.keys()
-        if self.held > MEMORY:
-            self.seen.clear()
-            self.held, new = 0, words
-        self.learn(new)
+        again = new & self.before.keys()
+        for w in again:
+            ids = self.seen[w] = self.before[w]
+            self.held += ENTRY + len(w.encode("utf-8")) + len(ids)
+        self.learn(new - again)
         look = self.seen.__getitem__
         for parts in held:
             try:
@@ -207,7 +209,9 @@ class Codec:
 
     def forget(self) -> None:
         """Empty the memory of words."""
-        self.seen, self.held = {}, 0
+        self.seen: dict[str, bytes] = {}  # word to its ids, four bytes each
+        self.before: dict[str, bytes] = {}  # the half that filled before
+        self.held = 0
 
     def encode(self, text: str | None) -> list[int]:
         return next(self.encode_many([text])).tolist()
@@ -232,7 +236,7 @@ def encoder(source: str):
 
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in lean(texts):
+        for part in sparing(texts):
             yield pd.Series(list(codec.encode_many(part)), dtype=object)
         codec.forget()
         give_back()
@@ -258,7 +262,7 @@ def digest(source: str):
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in lean(texts):
+        for part in sparing(texts):
             rows = [(len(ids), sha256_hex(codec.listed(ids).encode()), sha256_hex(codec.decode(ids).encode("utf-8")))
                     for ids in map(np.ndarray.tolist, codec.encode_many(part))]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])

@@ -336,14 +336,15 @@ def components(index: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
 
 def keyed(text: Column) -> Column:
-    """The class key of each text, null for one without words."""
+    """The class key of each text, null for one without words. A filter on it does not work it out a second
+    time, in a second Python worker, which Spark does with a function that it takes for deterministic."""
 
     @F.pandas_udf("long")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in lean(texts):
             yield pd.Series([class_key(words) if (words := words_of(t)) else None for t in part], dtype="Int64")
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def join_documents(docs: DataFrame, size: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -269,6 +269,13 @@ def test_near_duplicates_go_by_row(spark):
         assert out.columns == docs.columns and rows_of(out, "doc_id", "text") == sorted(want, key=repr)
 
 
+def test_near_duplicates_work_a_key_out_once(spark, small):
+    """No stage holds the key's function twice, above and below a filter: that took a second worker a task."""
+    out = corpus_pipeline.near_duplicates(spark, small, SF)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 3  # of rows with words, without, and without an id
+
+
 def test_pipeline_cases(spark, tricky, empty, tmp_path):
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     for docs in (tricky, empty):

@@ -71,6 +71,40 @@ def test_tasks_give_memory_back_before_and_after(monkeypatch):
     assert log == ["back", 1, 2, "back"]
 
 
+def test_secret_evidence_is_worked_out_once(spark, small, monkeypatch):
+    """The function is not held twice, above and below the filter: that took a second worker a task."""
+    plans, stored = [], secret_scan.stored
+    monkeypatch.setattr(secret_scan, "stored", lambda df, label: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), stored(df, label))[1])
+    secret_scan.learn(small)
+    assert len(plans) == 1 and plans[0].count("ArrowEvalPython") == 1
+
+
+def test_bpe_gives_memory_back_after_every_batch(monkeypatch):
+    log = []
+    monkeypatch.setattr(common, "give_back", lambda: log.append("back"))
+    source = bpe.vocabulary(PATH)
+    for made in (bpe.encoder(source), bpe.digest(source)):
+        log.clear()
+        for out in made.func(iter([pd.Series(["some words"]), pd.Series(["more", None])])):
+            log.append(len(out))
+        assert log[:5] == ["back", 1, "back", 2, "back"]
+
+
+def test_bpe_memory_is_bounded_and_keeps_words_met_again(library, monkeypatch):
+    """Rare words by the thousand, one frequent word: both halves stay in the bound, the frequent word is worked out once."""
+    monkeypatch.setattr(bpe, "MEMORY", 60_000)
+    monkeypatch.setattr(bpe, "TOGETHER", 400)
+    codec, learned, most = bpe.Codec(bpe.vocabulary(PATH)), [], 0
+    learn = codec.learn
+    monkeypatch.setattr(codec, "learn", lambda words: (learned.extend(words), learn(words)))
+    texts = [" ".join(f"frequent w{chr(97 + i % 26)}{chr(97 + j)}{chr(97 + i // 26)}" for j in range(26)) for i in range(120)]
+    for text, ids in zip(texts, codec.encode_many(texts)):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        most = max(most, sum(bpe.ENTRY + len(w) + len(x) for half in (codec.seen, codec.before) for w, x in half.items()))
+    assert len(learned) > 2000 and learned.count(" frequent") == 1
+    assert most < 60_000 + 2 * 60 * (bpe.ENTRY + 40)  # the halves, and the words of one round in each
+
+
 def test_bpe_digest(tricky, empty, small, library):
     for docs in (tricky, small):
         want = []
