@@ -199,6 +199,29 @@ def test_secrets_format_spans(spark):
     assert masked[200] == prose + "[SECRET] end" and masked[0] == prose + "[SECRET] " and masked[100] == rows[100][1]
 
 
+def test_secrets_ordinary_text_is_that_of_all_texts(spark, monkeypatch):
+    """Class pairs come from every text, with credentials or without, wherever it stands in a batch."""
+    rng = np.random.default_rng(4)
+    number = lambda: "".join(rng.choice(list("0123456789"), 16))
+    texts = ["prose", *(f"prose token = {number()} end" for _ in range(60)), *(f"order {number()}" for _ in range(300)), None, "", "naïve 🙂"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    pairs = np.full((secret_scan.CLASSES, secret_scan.CLASSES), 0.5)
+    for t in texts:
+        t, at, ordinary = t or "", 0, " "
+        for s, e in sorted((s, e) for s, _, e in plain_secrets(t)):
+            ordinary, at = ordinary + t[at:s] + " ", max(at, e)
+        c = (ordinary + t[at:] + " ").encode().translate(secret_scan.TABLE)
+        for a, b in zip(c, c[1:]):
+            pairs[a, b] += 1
+    want = np.log2(pairs / pairs.sum(1, keepdims=True))
+    for stretch, parts in ((1 << 20, 1), (5, 1), (1 << 20, 7)):
+        monkeypatch.setattr(secret_scan, "STRETCH", stretch, raising=False)
+        model = secret_scan.learn(docs.coalesce(1) if parts == 1 else docs.repartition(parts))
+        assert np.allclose(model.plain, want)
+    # numbers are ordinary here: most texts without credentials hold one
+    assert all(k != 3 for t in texts for _, k, _ in model.spans(t or ""))
+
+
 def test_secrets_all_candidates_are_scored():
     """Short runs, runs of one kind of character, and what a plain span leaves of a run."""
     key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEYzz"
