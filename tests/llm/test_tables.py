@@ -276,6 +276,15 @@ def test_near_duplicates_work_a_key_out_once(spark, small):
     assert plan.count("ArrowEvalPython") == 3  # of rows with words, without, and without an id
 
 
+def test_pipeline_secrets_learn_from_all_texts(spark):
+    """What texts without credentials hold is ordinary text for the stage that masks secrets."""
+    number = lambda i: str(i * 7919 % 10**8 + 10**8) * 2
+    rows = [(0, "prose")] + [(i, f"prose token = {number(i)} end") for i in range(1, 61)] + [(i, f"order {number(i)}") for i in range(61, 361)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.secrets(spark, docs, SF).collect()}
+    assert out == {i: t if i < 1 or i > 60 else "prose [SECRET] end" for i, t in rows}
+
+
 def test_pipeline_cases(spark, tricky, empty, tmp_path):
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     for docs in (tricky, empty):
