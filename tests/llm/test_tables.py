@@ -154,6 +154,42 @@ def test_top_k_stops_early():
         assert sorted((i, -x) for x, i in s) == [(i, x) for a, i, x in got if a == q]
 
 
+def test_top_k_blocks_take_no_more_than_their_vectors(spark, monkeypatch):
+    """What is copied to every shard is a query's components in the smallest integers, its id and its row."""
+    frames, packed = [], topk.packed
+    monkeypatch.setattr(topk, "packed", lambda *a: frames.append(packed(*a)) or frames[-1])
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=64) / 8]) for i in range(2000)]
+    topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0)
+    for frame, n in zip(frames, (2000, 40)):
+        got = [{k: v for k, v in r.asDict().items() if isinstance(v, (bytes, bytearray))} for r in frame.collect()]
+        assert sum(len(r["ids"]) for r in got) == 8 * n and sum(len(b) for r in got for b in r.values()) <= (2 * 64 + 16) * n
+
+
+@pytest.mark.parametrize("make", ["few", "same", "wide", "clusters"])
+def test_top_k_tiles_are_brute_force(monkeypatch, make):
+    """Many tiles: equal vectors in all of them, scores beyond 53 bits, tiles that no query needs."""
+    monkeypatch.setattr(topk, "ROWS", 64)
+    monkeypatch.setattr(topk, "TILE", 100)
+    rng = np.random.default_rng(9)
+    v = np.floor(rng.normal(size=(1500, 16)) * (8e7 if make == "wide" else 40)).astype(np.int64)
+    if make == "few":
+        v = v[rng.integers(0, 60, len(v))]
+    if make == "same":
+        v[rng.random(len(v)) < 0.5] = v[0]
+    if make == "clusters":
+        v += np.floor(rng.normal(size=(20, 16)) * 4000).astype(np.int64)[rng.integers(0, 20, len(v))]
+    ids, rows, asked = rng.permutation(len(v)) // 2, np.arange(len(v)), rng.choice(len(v), 200, replace=False)
+    p = v[:24].astype(float)
+    far = np.sqrt(((v[:, None, :].astype(float) - p[None]) ** 2).sum(2))
+    got = topk.best(5, v[asked], v, far[asked], far, ids, rows[asked], rows)
+    want = []
+    for n, a in enumerate(asked.tolist()):
+        s = sorted((-int(x), i, r) for x, i, r in zip(v @ v[a], ids.tolist(), rows.tolist()) if r != a)[:5]
+        want += [(n, r, -x) for x, _, r in s]
+    assert sorted((int(q), int(c), int(s)) for q, c, s in got) == sorted(want)
+
+
 @pytest.mark.parametrize("table", ["tricky", "small"])
 def test_mixing(request, table):
     docs = request.getfixturevalue(table)
